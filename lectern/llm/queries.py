@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, token_counts
+from . import quality, secret_scan, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,14 @@ FROM judged"""
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document, as byte_bpe_50k.json counts."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the secrets in every document."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    base = F.sha2(listed(of(*secret_scan.BASE)), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, listed(F.col("spans")).alias("spans"))
