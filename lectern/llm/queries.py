@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan, simhash, token_counts
+from . import quality, secret_scan, simhash, token_counts, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +86,21 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
     base = F.sha2(listed(of(*secret_scan.BASE)), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of each whose vec_id is divisible by 100, exactly (factor 1)."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, factor=1.0)
+
+
+SQL["op7_nearest_neighbours"] = """
+WITH v AS (SELECT vec_id, embedding FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, v.vec_id,
+             list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
+      FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
