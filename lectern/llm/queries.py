@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, secret_scan, simhash, token_counts, vptree, wrappers
+from . import chat, quality, secret_scan, sharding, simhash, token_counts, vptree, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -146,3 +146,9 @@ FROM t GROUP BY conv_id"""
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and law of every document, for 40 shards."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40)
