@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, secret_scan, sharding, simhash, token_counts, vptree, wrappers
+from . import chat, mixing, pieces, quality, secret_scan, sharding, simhash, token_counts, vptree, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,3 +159,9 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as its source's weight asks, in the order of its epoch's block permutation."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.selectExpr("doc_id", "source", "_words AS n_words", "_epoch AS epoch", "_block AS block_order", "_row AS row_order")
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled piece ids of every document."""
+    return pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
