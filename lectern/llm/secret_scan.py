@@ -102,16 +102,21 @@ def rule_queries(rules: tuple[Rule, ...]) -> dict[str, list[list[str]] | None]:
 # --- The index -----------------------------------------------------------------------------------------------------
 
 
-def grams_held(text: Column, queries: dict[str, list[list[str]] | None]) -> Column:
-    """The trigrams of the rules' queries that a text holds: its rows in the inverted index."""
+def grams_held(low: Column, queries: dict[str, list[list[str]] | None]) -> Column:
+    """The trigrams of the rules' queries that a lower-case text holds: its rows in the inverted index."""
     grams = sorted({g for q in queries.values() if q for clause in q for g in clause})
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(gram, key) of the trigrams that some rule asks for. docs: key, text."""
-    return docs.select("key", F.explode(grams_held(F.col("text"), rule_queries(rules))).alias("gram"))
+    """(key, gram) of the trigrams that some rule asks for. docs: key, text.
+
+    The lower-case text and the list are columns of their own, so that a text is folded once and not for each trigram;
+    the outer form keeps the optimizer from testing the list for emptiness first, which would make it twice.
+    """
+    low = docs.select("key", F.lower("text").alias("low"))
+    held = low.select("key", grams_held(F.col("low"), rule_queries(rules)).alias("held"))
+    return held.select("key", F.explode_outer("held").alias("gram")).where("gram IS NOT NULL")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
