@@ -92,7 +92,8 @@ def detect_language(docs: DataFrame, text: str = "text") -> DataFrame:
     cyrillic = F.lower(F.array_join(F.regexp_extract_all(head, F.lit(r"([Ѐ-ӿ]+)"), F.lit(1)), ""))
     letters = F.array_join("_latin", "")
     order = {code: k for k, code in enumerate(L.SMALL_WORDS)}
-    hits = [F.size(F.filter("_latin", lambda w, s=s: w.isin(*s.split()))) for s in L.SMALL_WORDS.values()]
+    known_in = lambda words: lambda w: w.isin(*words)
+    hits = [F.size(F.filter("_latin", known_in(s.split()))) for s in L.SMALL_WORDS.values()]
     scored = F.array(*[F.struct(h.alias("n"), F.lit(-k).alias("k"), F.lit(c).alias("code")) for (c, k), h in zip(order.items(), hits)])
     best = F.array_max(scored)
     scripts = {
