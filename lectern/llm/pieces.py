@@ -8,14 +8,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Sharpness of the weights of pieces; larger values come nearer to the one best segmentation.
 THETA = 0.3
 #: Segments whose lattices a worker keeps, and code points that are sampled at a time.
-KEPT = 250_000
-BLOCK = 1 << 20
+KEPT = 150_000
+BLOCK = 1 << 19
 #: Bits of a chance, and of a code point in a key.
 _CHANCE_BITS, _CHAR_BITS = 36, 21
 _SEGMENT = re.compile(r" *[^ ]+| +")
@@ -74,6 +75,11 @@ class Pieces:
             ends[state] = text
         keys = sorted((s << _CHAR_BITS | c, to) for (s, c), to in steps.items())
         self.keys, self.to = (np.array(x, np.int64) for x in zip(*keys))
+        #: The first step, from the root, by code point; -1 where no piece begins so.
+        self.first_step = np.full(max(c for s, c in steps if not s) + 2, -1, np.int64)
+        for (state, c), to in steps.items():
+            if not state:
+                self.first_step[c] = to
         self.piece_at = np.full(len(steps) + 1, -1, np.int64)
         self.weight_at = np.zeros(len(steps) + 1)
         for state, text in ends.items():
@@ -89,10 +95,15 @@ class Pieces:
         for d in range(self.longest):
             going = left[at] > d
             at, state = at[going], state[going]
-            key = state << _CHAR_BITS | points[at + d]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[k] == key
-            at, state = at[known], self.to[k[known]]
+            if not d:
+                step = self.first_step[np.minimum(points, len(self.first_step) - 1)]
+                known = step >= 0
+                at, state = at[known], step[known]
+            else:
+                key = state << _CHAR_BITS | points[at + d]
+                k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                known = self.keys[k] == key
+                at, state = at[known], self.to[k[known]]
             whole = self.piece_at[state] >= 0
             found.append((at[whole], np.full(int(whole.sum()), d + 1), self.piece_at[state[whole]], self.weight_at[state[whole]]))
             if not d:  # a character that is no piece is spelled
@@ -116,8 +127,8 @@ class Sampler:
         self.end_of: dict[str, int] = {}
         self.nodes = 0
         self.cum = np.zeros(0, np.int64)
-        self.prev = np.zeros(0, np.int64)
-        self.emit = np.zeros(0, np.int64)
+        self.prev = np.zeros(0, np.int32)
+        self.emit = np.zeros(0, np.int32)
 
     def _add(self, segments: list[str]) -> None:
         """Forward filtering of new segments, all of them at once: at each node the chance of each piece that ends there.
@@ -163,8 +174,8 @@ class Sampler:
         whole = np.floor(chance * (1 << _CHANCE_BITS)).astype(np.int64)
         whole[last] = 1 << _CHANCE_BITS
         self.cum = np.concatenate([self.cum, (end + self.nodes << _CHANCE_BITS) + whole])
-        self.prev = np.concatenate([self.prev, start + self.nodes])
-        self.emit = np.concatenate([self.emit, emit])
+        self.prev = np.concatenate([self.prev, (start + self.nodes).astype(np.int32)])
+        self.emit = np.concatenate([self.emit, emit.astype(np.int32)])
         ends = first + size + np.arange(len(segments)) + self.nodes
         self.end_of.update(zip(segments, ends.tolist()))
         self.nodes += len(alpha)
@@ -191,7 +202,7 @@ class Sampler:
             edge = np.searchsorted(self.cum, (live << _CHANCE_BITS) + u, side="right")
             steps.append((who, self.emit[edge]))
             counts[who] += 1
-            live = self.prev[edge]
+            live = self.prev[edge].astype(np.int64)
             going = live != stop[who]
             who, live = who[going], live[going]
             t += 1
@@ -264,20 +275,19 @@ def encode(docs: DataFrame, model_path: str, seed: int = 7, theta: float = THETA
         sampler = _sampler(model_path, theta)
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                seeds = row_seeds(batch.column(0), seed)
+                column, seeds = batch.column(1), row_seeds(batch.column(0), seed)
+                upto = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
                 lo = 0
-                while lo < len(texts):
-                    hi, size = lo + 1, len(texts[lo])
-                    while hi < len(texts) and size + len(texts[hi]) <= BLOCK:
-                        size += len(texts[hi])
-                        hi += 1
-                    ids = encode_texts(texts[lo:hi], seeds[lo:hi], sampler)
+                while lo < batch.num_rows:  # about BLOCK code points at a time, a longer text alone
+                    before = upto[lo - 1] if lo else 0
+                    hi = max(lo + 1, int(np.searchsorted(upto, before + BLOCK, side="right")))
+                    texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+                    ids = encode_texts(texts, seeds[lo:hi], sampler)
                     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-                    chars = pa.array([len(t) for t in texts[lo:hi]], pa.int64())
+                    chars = pa.array([len(t) for t in texts], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(lo, hi - lo), lists, pa.array(sizes), chars], ["doc_id", "ids", "n_pieces", "n_chars"]
                     )
