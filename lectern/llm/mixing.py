@@ -94,15 +94,15 @@ def mix(
     budget: float | None = None,
     seed: int = 17,
 ) -> DataFrame:
-    """docs (doc_id, text, source and any other columns) as mixed: all columns, with _words, _epoch, _block, _row.
+    """(doc, words, epoch, block_order, row_order): rows of docs (doc_id, text, source and any other columns) as mixed.
 
     Each source gives its quota of words: whole epochs first, each with all its rows, then the start of one more, up to
-    the row with which the quota is reached. _block and _row are the permuted order in the epoch. The choice depends on
-    rows and seed only. A null source is a source; sources without words have no weight and give no rows; null and
+    the row with which the quota is reached. doc is the whole row, so no name of its columns can clash; block_order and
+    row_order are the permuted order in the epoch. The choice depends on rows and seed only. A null source is a source; sources without words have no weight and give no rows; null and
     empty texts of other sources cost nothing and come as their place in the order says. Repeated rows are rows; they
     share a place in the order and are told apart by nothing else. An empty table gives no rows.
     """
-    keyed = docs.withColumn("_source", _source("source"))
+    keyed = docs.select(F.struct("*").alias("doc"), "doc_id", "text", _source("source").alias("_source"))
     blocks = keyed.groupBy("_source").count().select("_source", F.greatest(F.ceil(F.col("count") / BLOCK_ROWS), F.lit(1)).alias("_blocks"))
     # As many rows as sources, of which weights() allows MOST_SOURCES.
     blocks = settle(blocks)
@@ -133,7 +133,9 @@ def mix(
     ended = last.where(here == there).withColumn("_upto", running)
     ended = ended.where(F.col("_upto") - F.col("_words") < F.col("rest") - edge["start"]).drop("_upto")
     out = whole.unionByName(before).unionByName(ended)
-    return out.withColumn("_block", h).withColumn("_row", row).select(*docs.columns, "_words", "_epoch", "_block", "_row")
+    return out.withColumn("_block", h).withColumn("_row", row).select(
+        "doc", F.col("_words").alias("words"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block_order"), F.col("_row").alias("row_order")
+    )
 
 
 def _bounded(sources: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as its source's weight asks, in the order of its epoch's block permutation."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.selectExpr("doc_id", "source", "_words AS n_words", "_epoch AS epoch", "_block AS block_order", "_row AS row_order")
+    return mixed.selectExpr("doc.doc_id", "doc.source", "words AS n_words", "epoch", "block_order", "row_order")
 
 
 @query

@@ -216,8 +216,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     n_chars, where docs has it, becomes the new length of a changed text. Rows without secrets stay as they are.
     """
-    keyed = docs.withColumn("_key", key_of())
-    found = _if_small(spans(keyed.select(F.col("_key").alias("key"), "text"), rules)).withColumnRenamed("key", "_key")
+    # The row is one column meanwhile, so that no name of its fields can clash.
+    keyed = docs.select(F.struct("*").alias("doc"), "text", key_of().alias("key"))
+    found = _if_small(spans(keyed.select("key", "text"), rules))
     text = F.col("text")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -228,10 +229,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
 
     rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    changed = F.when(F.col("spans").isNotNull(), F.aggregate("spans", state, step, rest)).otherwise(text)
-    joined = keyed.join(found, "_key", "left").withColumn("_new", changed)
-    new = {"text": F.col("_new")}
+    clean = F.aggregate("spans", state, step, rest)
+    new = F.col("doc").withField("text", clean)
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("spans").isNotNull(), F.length("_new").cast(kind)).otherwise(F.col("n_chars"))
-    return joined.withColumns(new).select(*docs.columns)
+        new = new.withField("n_chars", F.length(clean).cast(docs.schema["n_chars"].dataType))
+    joined = keyed.join(found, "key", "left")
+    return joined.select(F.when(F.col("spans").isNotNull(), new).otherwise(F.col("doc")).alias("doc")).select("doc.*")

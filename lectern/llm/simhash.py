@@ -235,6 +235,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Rows with a null doc_id stay (they cannot be named), and rows that repeat a kept doc_id stay once.
     """
     groups = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), "text"))
-    kept = docs.join(groups, "doc_id", "left_semi").withColumn("_once", once).where("_once = 1").drop("_once")
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n"))
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "doc.text"))
+    kept = packed.join(groups, "doc_id", "left_semi").withColumn("nth", once).where("nth = 1").select("doc.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))
