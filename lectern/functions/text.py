@@ -53,7 +53,7 @@ def sentence_ends(toks: Column) -> Column:
     stop behind an abbreviation or a single capital.
     """
     state = F.struct(
-        F.lit(False).alias("open"), F.lit(False).alias("free"), F.lit("").alias("prev"), F.lit(False).alias("space"),
+        F.lit(False).alias("open"), F.lit(False).alias("free"), F.lit(False).alias("bar"), F.lit("").alias("prev"), F.lit(False).alias("space"),
         F.lit(0).alias("n"), F.lit(0).alias("start"), F.array().cast("array<int>").alias("ends"),
     )
     tails = [*STOPS, *CLOSERS]
@@ -61,7 +61,7 @@ def sentence_ends(toks: Column) -> Column:
     def step(s: Column, x: Column) -> Column:
         t = x["t"]
         longer = s["open"] & ~s["space"] & t.isin(*tails)
-        free = s["free"] | is_cjk(t)
+        free = s["free"] | (is_cjk(t) & ~s["bar"])
         ends = s["open"] & ~longer & (free | (s["space"] & F.regexp_like(t, F.lit(r'^[A-Z0-9(\[“"‘]'))))
         cut = F.when(ends, F.concat(s["ends"], F.array(s["n"]))).otherwise(s["ends"])
         start = F.when(ends, s["n"]).otherwise(s["start"])
@@ -72,7 +72,7 @@ def sentence_ends(toks: Column) -> Column:
         return F.struct(
             (longer | opens).alias("open"),
             F.when(longer, s["free"] | t.isin(*CJK_STOPS, *DANDAS)).otherwise(now_free).alias("free"),
-            t.alias("prev"), x["s"].alias("space"), (s["n"] + 1).alias("n"), start.alias("start"), cut.alias("ends"),
+            F.when(longer, s["bar"]).otherwise(number).alias("bar"), t.alias("prev"), x["s"].alias("space"), (s["n"] + 1).alias("n"), start.alias("start"), cut.alias("ends"),
         )
 
     return F.aggregate(

@@ -103,7 +103,7 @@ def read_bibliography(items: DataFrame, column: str = "json") -> DataFrame:
     people = get("$.data.creators", "array<struct<creatorType:string,firstName:string,lastName:string,name:string>>")
     authors = F.transform(F.filter(people, lambda c: c["creatorType"].isNull() | (c["creatorType"] == "author")), lambda c: F.coalesce(c["name"], F.concat_ws(", ", c["lastName"], c["firstName"])))
     extra = F.coalesce(get("$.data.extra"), F.lit(""))
-    arxiv = r"(?i)(?:arxiv[:./ ]*(?:abs/|pdf/)?|10\.48550/arxiv\.)(\d{4}\.\d{4,5})"
+    arxiv = r"(?i)(?:arxiv(?:\.org)?[:./ ]*(?:abs/|pdf/)?|10\.48550/arxiv\.)(\d{4}\.\d{4,5})"
     fields = [F.nullif(F.regexp_extract(F.coalesce(get(f"$.data.{f}"), F.lit("")), arxiv, 1), F.lit("")) for f in ("url", "DOI", "extra", "archiveID", "reportNumber")]
     repo = F.when(F.lower(F.coalesce(get("$.data.repository"), F.lit(""))) == "arxiv", F.nullif(F.regexp_extract(F.coalesce(get("$.data.archiveID"), F.lit("")), r"(\d{4}\.\d{4,5})", 1), F.lit("")))
     year = F.substring(F.coalesce(get("$.meta.parsedDate"), get("$.data.date"), F.lit("")), 1, 4)
