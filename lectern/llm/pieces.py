@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Sharpness of the weights of pieces; larger values come nearer to the one best segmentation.
 THETA = 0.3
 #: Segments whose lattices a worker keeps, and code points that are sampled at a time.
-KEPT = 150_000
+KEPT = 220_000
 BLOCK = 1 << 19
 #: Bits of a chance, and of a code point in a key.
 _CHANCE_BITS, _CHAR_BITS = 36, 21
