@@ -123,6 +123,13 @@ def n9_reading_record(t: Tables) -> DataFrame:
     return made.select("part", "doc_id", "ord", "line")
 
 
+@query()
+def n10_record_prompts(t: Tables) -> DataFrame:
+    """Two templates over the record's material."""
+    templates = t.spark.sql("SELECT * FROM VALUES ('overview', 'Say what was read.'), ('question', 'Say what is open.') AS x(name, instruction)")
+    return notes.record_prompts(notes.record_material(_picked(t), d.notes(t), _sections(t)), templates)
+
+
 @query(f"WITH {d.NOTES} SELECT doc_id, CAST(created AS DATE) AS day, count(*) AS notes FROM notes GROUP BY GROUPING SETS ((doc_id, 2), (2))")
 def n11_calendar(t: Tables) -> DataFrame:
     return notes.notes_calendar(d.notes(t))
