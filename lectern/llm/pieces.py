@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 THETA = 0.3
 #: Segments whose lattices a worker keeps, and code points that are sampled at a time.
 KEPT = 220_000
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 #: Bits of a chance, and of a code point in a key.
 _CHANCE_BITS, _CHAR_BITS = 36, 21
 _SEGMENT = re.compile(r" *[^ ]+| +")
