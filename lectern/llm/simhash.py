@@ -21,6 +21,8 @@ BLOCKS = 4
 CELL = 8192
 #: Rows of a cell that are compared with another cell at a time.
 STRIP = 128
+#: Shingles in one block of texts that are measured with another block.
+BLOCK_SHINGLES = 1 << 16
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -207,26 +209,86 @@ def near_duplicates(
     return joined.join(least, "root").select("doc_id", "fp", "component_id")
 
 
+def _similar(a: list[np.ndarray], b: list[np.ndarray] | None, share: float) -> list[tuple[int, int]]:
+    """Links that join all sets of a and b (b None: of a) with at least that Jaccard similarity, without naming every pair.
+
+    Every pair is measured unless links found before join its sets already.
+    """
+    n, right = len(a), a if b is None else b
+    ids = np.unique(np.concatenate([*a, *(b or [])]), return_inverse=True)[1]
+    ends_a, sizes = np.cumsum([len(x) for x in a]), np.array([len(x) for x in right])
+    ids_b = ids if b is None else ids[ends_a[-1] :]
+    starts = np.cumsum(sizes) - sizes
+    root, base, out = np.arange(n if b is None else n + len(b)), 0 if b is None else n, []
+    mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
+    for i in range(n):
+        upto = i if b is None else len(right)
+        rest = np.flatnonzero(root[base : base + upto] != root[i])
+        if not len(rest):
+            continue
+        mine = ids[ends_a[i] - len(a[i]) : ends_a[i]]
+        mark[mine] = 1
+        if 4 * len(rest) < upto:
+            common = np.array([mark[ids_b[starts[j] : starts[j] + sizes[j]]].sum() for j in rest])
+        else:
+            end = starts[upto - 1] + sizes[upto - 1]
+            common = np.add.reduceat(mark[ids_b[:end]], starts[:upto])[rest]
+        mark[mine] = 0
+        for j in rest[common >= (len(mine) + sizes[rest] - common) * share].tolist():
+            if root[base + j] != root[i]:
+                out.append((i, j))
+                low, high = sorted((root[base + j], root[i]))
+                root[root == high] = low
+    return out
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, lanes: int, radius: int, width: int, share: float) -> DataFrame:
-    """Links between nodes whose texts' shingle sets have at least that Jaccard similarity."""
-    found = settle(links(nodes.where("n_shingles > 0"), lanes, radius, by_size=1 / share).distinct())
-    needed = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(needed, "node", "left_semi").select("node", "doc_id")
+    """Links that join all nodes within reach whose texts' shingle sets have at least that Jaccard similarity.
+
+    The links by bits only say which nodes may be alike: all pairs inside one of their components are measured, so a
+    link that fails hides no other. A component is dealt to blocks of about BLOCK_SHINGLES shingles, and each pair of
+    its blocks is measured on its own.
+    """
+    near = components(links(nodes.where("n_shingles > 0"), lanes, radius, by_size=1 / share))
+    groups = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    wanted = groups.join(nodes, "node").select("node", "root", "doc_id", "n_shingles")
+    cells = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("cells")
+    large = settle(wanted.groupBy("root").agg(cells).where("cells > 1"))
+    block = F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))).alias("block")
+    wanted = wanted.join(F.broadcast(large), "root", "left").select("node", "root", "doc_id", block)
     # Rows that repeat a doc_id with other texts would give a node several sets: the text must give the node's own print.
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(_shingle_hashes(t.as_py(), width)).astype(np.uint64).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
-
-    sets = texts.select("node", "text").mapInArrow(shingle_sets, "node long, set array<long>")
-    sets = settle(sets.groupBy("node").agg(F.first("set").alias("set")))
-    a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    either = F.size("set_a") + F.size("set_b") - common
-    return found.join(a, "a").join(b, "b").where(common >= either * F.lit(share)).select("a", "b")
+            sets = [np.unique(_shingle_hashes(t.as_py(), width)).astype(np.uint64).view(np.int64) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], ["root", "block", "node", "set"])
+
+    sets = texts.select("root", "block", "node", "text").mapInArrow(shingle_sets, "root long, block long, node long, set array<long>")
+    sets = sets.groupBy("root", "block", "node").agg(F.first("set").alias("set"))
+    blocks = settle(sets.groupBy("root", "block").agg(F.sort_array(F.collect_list(F.struct("node", "set"))).alias("rows")))
+
+    def unpack(block: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
+        rows = block.values
+        return rows.field("node").to_numpy(zero_copy_only=False), [x.values.to_numpy() for x in rows.field("set")]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in zip(*batch.columns):
+                na, sa = unpack(rows[0])
+                nb, sb = unpack(rows[1]) if len(rows) > 1 else (na, None)
+                found = _similar(sa, sb, share)
+                if found:
+                    i, j = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], ["a", "b"])
+
+    inside = blocks.select("rows").mapInArrow(measure, "a long, b long")
+    many = blocks.join(F.broadcast(large.select("root")), "root", "left_semi")
+    a = many.select("root", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
+    b = many.select("root", F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
+    pairs = a.select("root", "block_a").join(b.select("root", "block_b"), "root").where("block_a < block_b")
+    work = pairs.join(a, ["root", "block_a"]).join(b, ["root", "block_b"]).select("rows_a", "rows_b")
+    return inside.unionByName(work.mapInArrow(measure, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

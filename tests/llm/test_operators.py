@@ -118,6 +118,33 @@ def test_near_duplicates_need_jaccard(spark):
     assert got == {3: 3, 5: 3, 7: 7, 9: 9, 1: 1, 2: 1}
 
 
+def version(base: list[str], changed: range, to: str) -> str:
+    return " ".join(f"{to}{k}" if k in changed else w for k, w in enumerate(base))
+
+
+def test_failed_links_hide_no_true_one(spark, monkeypatch):
+    # Each group: a chain of versions, some pairs of which are within reach by bits and under the Jaccard limit.
+    rows = []
+    for g in range(12):
+        base = text_of(50 + g, 150).split()
+        rows += [(100 * g + k, version(base, range(2 * k, 2 * k + 9 + (g * 5 + k * 3) % 12), f"g{k}x")) for k in range(14)]
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (simhash.BLOCK_SHINGLES, 500):
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", size)
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == root
+    assert 12 < len(set(root.values())) < len(root)
+
+
 def test_keep_one_keeps_columns_and_null_ids(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
