@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the least doc_id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return simhash.keep_one(docs, width=5, lanes=4, radius=51, distinct=True, min_similarity=0.8)
+    return simhash.keep_one(docs, width=5, lanes=4, radius=simhash.RADIUS, distinct=True, min_similarity=0.8)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

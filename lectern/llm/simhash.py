@@ -21,6 +21,9 @@ BLOCKS = 4
 CELL = 8192
 #: Rows of a cell that are compared with another cell at a time.
 STRIP = 128
+#: Bits of 256 within which two texts are compared shingle by shingle: a pair with a Jaccard similarity of 0.8 differs in
+#: 39 on average, with a standard deviation of 6.
+RADIUS = 66
 #: Shingles in one block of texts that are measured with another block.
 BLOCK_SHINGLES = 1 << 16
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -82,17 +85,19 @@ def _linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple
     a and b hold one row of 64-bit words per fingerprint. A row of a that is near rows of b is linked to the nearest row
     of each set that is not joined with it yet, and to its nearest row: at most a forest and one link a row.
     """
-    n, first, out = len(a), 64 if a.shape[1] == 1 else 22, []
+    n, dense, out = len(a), min(3, a.shape[1]), []
     root = np.arange(n + (0 if same else len(b)))
     base = 0 if same else n
     for lo in range(0, n, STRIP):
+        # A distance over some lanes is at most that over all, so this loses nothing; three lanes fit a byte.
         near = np.bitwise_count(a[lo : lo + STRIP, None, 0] ^ b[None, :, 0])
-        limit = radius if a.shape[1] == 1 else max(first, -(-radius * 3 // (2 * a.shape[1])))
-        rows, cols = np.nonzero(near <= limit)
+        for lane in range(1, dense):
+            near += np.bitwise_count(a[lo : lo + STRIP, None, lane] ^ b[None, :, lane])
+        rows, cols = np.nonzero(near <= radius)
         keep = cols < rows + lo if same else slice(None)
         rows, cols = rows[keep], cols[keep]
         dist = near[rows, cols].astype(np.int64)
-        for lane in range(1, a.shape[1]):
+        for lane in range(dense, a.shape[1]):
             dist += np.bitwise_count(a[rows + lo, lane] ^ b[cols, lane])
         ok = dist <= radius
         rows, cols, dist = rows[ok], cols[ok], dist[ok]
@@ -180,7 +185,7 @@ def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     lanes: int = 4,
-    radius: int = 51,
+    radius: int = RADIUS,
     distinct: bool = True,
     min_similarity: float | None = 0.8,
 ) -> DataFrame:

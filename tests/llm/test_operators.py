@@ -118,6 +118,25 @@ def test_near_duplicates_need_jaccard(spark):
     assert got == {3: 3, 5: 3, 7: 7, 9: 9, 1: 1, 2: 1}
 
 
+def test_simhash_joins_all_within_the_radius_whatever_the_lane():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, (8, 4), dtype=np.uint64)
+    b = a.copy()
+    for k in range(8):
+        b[k, k % 4] ^= np.uint64((1 << (30 + k)) - 1)
+    assert {(k, k) for k in range(8)} <= set(simhash._linked(a, b, False, 51))
+    apart = a ^ np.uint64((1 << 64) - 1)
+    assert not simhash._linked(a, apart, False, 51)
+
+
+def test_pairs_at_the_limit_are_candidates():
+    rng = np.random.default_rng(2)
+    for _ in range(1500):
+        h = rng.integers(0, 1 << 63, 200, dtype=np.uint64).astype(">u8")  # 160 of 200 shared
+        x, y = (int.from_bytes(simhash._fingerprint(part, 4), "big") for part in (h[:180], h[20:]))
+        assert (x ^ y).bit_count() <= simhash.RADIUS
+
+
 def version(base: list[str], changed: range, to: str) -> str:
     return " ".join(f"{to}{k}" if k in changed else w for k, w in enumerate(base))
 
