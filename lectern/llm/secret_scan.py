@@ -30,13 +30,24 @@ class Rule:
 
 
 _VALUE = "[A-Za-z0-9+/_.=-]+"
+#: What stands between the lines of a key: white space, or line ends as they are written inside a string.
+_GAP = r"(?:[\x20\t\r\n]|\\[nr])++"
+#: A private key: to its END line, else over the lines of base64 that follow its first. Possessive, so that neither
+#: Java's stack nor the time of a failed match grows with the key.
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+    r"[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info):\x20*[A-Za-z0-9,-]++)*+(?:{_GAP}[A-Za-z0-9+/]{{24,}}+={{0,2}})++"
+    r"(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+[A-Za-z0-9+/]++={0,2}(?![^\r\n\\]))?+"
+    r")?+"
+)
 #: The base rules first, in the order in which spans at one place are listed.
 RULES = (
     Rule("assign", rf"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?({_VALUE})""", 2, 6),
     # A run of one class is as long in the shorter form, so the least length can stand in the regex.
     Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("private_key", _KEY, 0, 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("github", r"(?:ghp|gho|ghs)_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[bp]-[A-Za-z0-9-]+", 0, 20),

@@ -280,6 +280,28 @@ def test_trigram_queries_are_necessary():
                 assert any(all(g in text.lower() for g in clause) for clause in queries[kind])
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    line, begin, end = "Ab0+" * 16, "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123AB\n\n"
+    texts = {
+        f"a {begin}\n{line}\n{line}\nAb0=\n{end} z": "a [private_key] z",
+        f"a {begin}\n{head}{line}\nAb0=\n{end}\nz": "a [private_key]\nz",
+        f"a {begin}\\n{line}\\nAb0=\\n{end}\\n z": "a [private_key]\\n z",
+        f"a {begin}\n{line}\n{line}\nAb0=\n\nThe end": "a [private_key]\n\nThe end",
+        f"a {begin}\r\n{head}{line}": "a [private_key]",
+        f"a {begin} {line} {line} and on": "a [private_key] and on",
+        f"a {begin} opens a key. No more": "a [private_key] opens a key. No more",
+        f"{begin}\n{line}\nor {begin}\n{line}\n{end}.": "[private_key]\nor [private_key].",
+        f"{begin}\n{(line + chr(10)) * 20_000}": "[private_key]\n",
+        f"{begin}\n{'a-' * 100_000}\n{end}z": "[private_key]z",
+        f"{begin}\n{'a-' * 100_000}": f"[private_key]\n{'a-' * 100_000}",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == list(texts.values())
+    marker = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    assert secret_scan.rule_queries(secret_scan.RULES)["private_key"] == secret_scan.trigram_query(marker)
+
+
 def test_redaction(docs, none):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
