@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .common import drop_settled, gapless_rank, settle
 
 SHARDS = 40
-ROUNDS = 6
+#: Rounds after which propagation is taken for stuck. Each round raises the number of links inside shards, so it ends; a
+#: group larger than a shard takes about a round for each shard that it fills.
+MOST_ROUNDS = 1000
 #: Parts in which the movers to one shard are ranked against its quota.
 QUOTA_PARTS = 64
 
@@ -24,18 +26,18 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def propagate(members: DataFrame, capacity: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(members: DataFrame, capacity: dict[int, int], max_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Move linked documents together. members: link, shard, n (how many of the link's documents are in the shard).
 
     The links between documents of one group are all alike, so a round works on counts: a group's documents outside the
     shard that has most of them want to go there, as each then gains as many links as that shard holds. Only shards with
     room are targets. What wants to enter a shard is ordered by gain and let in up to its quota, a group's last part if
-    need be. Rounds end when nothing moves. At most len(capacity) rows a group, so a group of any size stays small.
+    need be. Rounds end when nothing moves; running out of max_rounds is an error, not a partial answer. At most len(capacity) rows a group, so a group of any size stays small.
     """
     spark = members.sparkSession
     now = settle(members)
     shards = spark.createDataFrame(sorted(capacity.items()), "shard int, capacity long")
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         load = now.groupBy("shard").agg(F.sum("n").alias("load"))
         room = settle(shards.join(load, "shard", "left").selectExpr("shard", "capacity - coalesce(load, 0) AS room"))
         free = now.join(F.broadcast(room), "shard")
@@ -65,18 +67,18 @@ def propagate(members: DataFrame, capacity: dict[int, int], rounds: int = ROUNDS
             drop_settled(table)
         now = after
         if not moved:
-            break
-    return now
+            return now
+    raise RuntimeError(f"linked documents still moved after {max_rounds} rounds")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MOST_ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs; the law is `rows`.
 
     Shards hold counts at most one apart: row counts are divided evenly and the first shards take the rest. Documents
     with equal texts are links. They start where their doc_id puts them and are drawn together by propagate() within
     what a shard may hold; documents without links then fill each shard to its exact count. Slots count up from 0 in each
     shard. Null texts have no bytes and are linked with each other; null ids and repeated rows are documents like others.
-    A group larger than a shard is spread over as few shards as the rounds reach. An empty table gives no rows.
+    A group larger than a shard is drawn together until no part of it can move to a shard with more of it and room left. An empty table gives no rows.
     """
     items = settle(sizes_of(docs))
     total = items.count()
@@ -84,7 +86,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
     counts = items.groupBy("link", start).agg(F.count(F.lit(1)).alias("n"))
     groups = counts.groupBy("link").agg(F.sum("n").alias("members")).where("members > 1").drop("members")
-    linked = propagate(_fit(counts.join(groups, "link"), capacity), capacity, rounds)
+    linked = propagate(_fit(counts.join(groups, "link"), capacity), capacity, max_rounds)
 
     # A linked document takes the shard in whose part of its group its rank falls.
     upto = F.sum("n").over(Window.partitionBy("link").orderBy("shard"))

@@ -415,6 +415,15 @@ def test_sharding_is_even_and_keeps_groups(spark):
     assert sum(len(s) > 1 for t, s in where.items()) <= 3
 
 
+def test_a_group_of_many_shards_is_drawn_together(spark):
+    rows = [(i, "same" if i % 3 == 0 else f"text {i}") for i in range(960)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=40).collect()
+    check_shards(out, 40)
+    assert len({r.shard for r in out if r.doc_id % 3 == 0}) == 14
+    with pytest.raises(RuntimeError):
+        sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=40, max_rounds=2)
+
+
 def test_sharding_edge_cases(spark, docs, none):
     out = sharding.shard_documents(docs, shards=4).collect()
     assert len(out) == docs.count()
