@@ -1,4 +1,4 @@
-"""Helpers that several operators share: shared-folder tables, gapless ranks, words."""
+"""Helpers that several operators share: shared-folder tables, joins and ranks without hot keys."""
 
 from __future__ import annotations
 
@@ -8,14 +8,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that one window of a two-level rank holds on average.
-RANK_ROWS = 50_000
+#: Rows of a bucket that a rank aims at, and the most buckets that it makes.
+BUCKET_ROWS = 100
+MOST_BUCKETS = 65_536
+#: A key with more than this share of all rows is dealt to several tasks; at most as many keys can have it.
+HOT_SHARE = 2_000
+#: A key with fewer rows than this is never dealt.
+HOT_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session, whose executor is the driver, gets a new folder; on a cluster it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -47,19 +57,37 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def gapless_rank(df: DataFrame, groups: list[str], order: list[Column], out: str, rows: int | None = None) -> DataFrame:
-    """Add a rank 0, 1, 2, ... inside each group (one group if groups is empty) that no single task has to count.
+def spread_join(many: DataFrame, few: DataFrame, counts: DataFrame, key: str, total: int, deal: Column, how: str = "inner") -> DataFrame:
+    """many joined with few (one row a key) on `key`, hot keys dealt to several tasks by the column `deal`.
+
+    counts: key and `_n`, its rows in many. Keys with over a HOT_SHARE-th of `total` rows, of which there can be HOT_SHARE
+    at most, are broadcast with their number of parts; their row of few is copied to each part.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.join(hot, key, "left").withColumn("_part", F.pmod(deal, parts)).drop("_parts")
+    right = few.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets among which `rows` rows are dealt when they are ranked."""
+    return min(max(1, rows // BUCKET_ROWS), MOST_BUCKETS)
+
+
+def running_start(df: DataFrame, groups: list[str], order: list[Column], weight: str, out: str, rows: int) -> DataFrame:
+    """Add to each row the sum of `weight` over the rows before it in its group: 0, w1, w1 + w2, ...
 
-    Rows are dealt to hash buckets of about RANK_ROWS rows; a bucket starts where those before it in its group end, and
-    a window ranks the rows inside a bucket only. Buckets come in order of their number, rows in a bucket by `order`.
+    No single task sees a whole group: rows are dealt to hash buckets of `order`; a bucket starts where those before it in
+    its group end, and a window adds up inside a bucket only. Buckets come in order of their number, rows in a bucket by
+    `order`. Rows with equal `order` columns meet in one bucket, so they should be one row with a weight.
     """
-    count = df.count() if rows is None else rows
-    buckets = max(1, -(-count // RANK_ROWS))
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(bucket_count(rows))))
     keys = [*groups, "_bucket"]
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    joined = keyed.withColumn("_inside", inside).join(starts, keys)
-    return joined.withColumn(out, (F.col("_start") + F.col("_inside") - 1).cast("long")).drop("_bucket", "_start", "_inside")
+    starts = keyed.groupBy(*keys).agg(F.sum(weight).alias("_sum"))
+    starts = starts.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = F.sum(weight).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = keyed.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(starts, keys)
+    return joined.withColumn(out, (F.col("_start") + F.col("_inside")).cast("long")).drop("_bucket", "_start", "_inside")

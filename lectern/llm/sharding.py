@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, gapless_rank, settle
+from .common import drop_settled, running_start, settle, spread_join
 
 SHARDS = 40
 #: Rounds after which propagation is taken for stuck. Each round raises the number of links inside shards, so it ends; a
 #: group larger than a shard takes about a round for each shard that it fills.
 MOST_ROUNDS = 1000
-#: Parts in which the movers to one shard are ranked against its quota.
-QUOTA_PARTS = 64
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
@@ -31,8 +29,9 @@ def propagate(members: DataFrame, capacity: dict[int, int], max_rounds: int = MO
 
     The links between documents of one group are all alike, so a round works on counts: a group's documents outside the
     shard that has most of them want to go there, as each then gains as many links as that shard holds. Only shards with
-    room are targets. What wants to enter a shard is ordered by gain and let in up to its quota, a group's last part if
-    need be. Rounds end when nothing moves; running out of max_rounds is an error, not a partial answer. At most len(capacity) rows a group, so a group of any size stays small.
+    room are targets. What wants to enter a shard is ordered by the binary order of its gain, then by hash, and let in up
+    to its quota, a group's last part if need be. Rounds end when nothing moves; running out of max_rounds is an error, not
+    a partial answer. At most len(capacity) rows a group, so a group of any size stays small.
     """
     spark = members.sparkSession
     now = settle(members)
@@ -42,74 +41,83 @@ def propagate(members: DataFrame, capacity: dict[int, int], max_rounds: int = MO
         room = settle(shards.join(load, "shard", "left").selectExpr("shard", "capacity - coalesce(load, 0) AS room"))
         free = now.join(F.broadcast(room), "shard")
         best = free.where("room > 0").groupBy("link").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("target"), F.max("n").alias("gain"))
+        level = F.floor(F.log2(F.col("gain") + 1)).alias("level")
         moves = settle(
             now.join(best, "link").where("shard <> target AND (n < gain OR n = gain AND shard > target)")
-            .select("link", "shard", "target", "gain", "n", F.pmod(F.xxhash64("link"), F.lit(QUOTA_PARTS)).alias("part"))
+            .select("link", "shard", "target", level, "n")
         )
-        # Running totals in two steps: over (gain level, part) by shard, then inside one part.
-        level = -F.floor(F.log2(F.col("gain") + 1))
-        moves_l = moves.withColumn("level", level)
-        sums = moves_l.groupBy("target", "level", "part").agg(F.sum("n").alias("s"))
-        before = Window.partitionBy("target").orderBy("level", "part").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
-        inside = Window.partitionBy("target", "level", "part").orderBy(F.desc("gain"), "link", "shard").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = moves_l.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, ["target", "level", "part"])
+        wanting = moves.count()
+        if not wanting:
+            for table in (moves, room):
+                drop_settled(table)
+            return now
+        # What goes before a mover: all of higher levels, then those of its own level that come before it.
+        levels = moves.groupBy("target", "level").agg(F.sum("n").alias("s")).collect()  # shards times 64 rows at most
+        above = [(x.target, x.level, sum(y.s for y in levels if y.target == x.target and y.level > x.level)) for x in levels]
         quota = room.select(F.col("shard").alias("target"), "room")
-        let_in = ranked.join(F.broadcast(quota), "target").withColumn(
-            "k", F.least(F.col("n"), F.col("room") - F.col("before") - F.col("inside"))
-        ).where("k > 0")
+        higher = spark.createDataFrame(above, "target int, level long, above long").join(F.broadcast(quota), "target")
+        ranked = running_start(moves, ["target", "level"], [F.col("link"), F.col("shard")], "n", "start", wanting)
+        let_in = ranked.join(F.broadcast(higher), ["target", "level"]).withColumn("k", F.expr("least(n, room - above - start)")).where("k > 0")
         change = let_in.select("link", F.col("target").alias("shard"), F.col("k").alias("n")).unionByName(
             let_in.select("link", "shard", (-F.col("k")).alias("n"))
         )
         after = settle(now.unionByName(change).groupBy("link", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-        moved = change.limit(1).count()
         for table in (moves, room, now):
             drop_settled(table)
         now = after
-        if not moved:
-            return now
     raise RuntimeError(f"linked documents still moved after {max_rounds} rounds")
 
 
+def _spans(parts: Column, start: Column, n: Column) -> Column:
+    """array<struct<shard, n>>: how much of [start, start + n) falls in each of parts (array<struct<upto, shard>>, sorted)."""
+    low = F.transform(parts, lambda p, i: F.struct(p["shard"].alias("shard"), F.when(i > 0, F.get(parts, i - 1)["upto"]).otherwise(0).alias("lo"), p["upto"].alias("hi")))
+    take = lambda p: F.least(p["hi"], start + n) - F.greatest(p["lo"], start)
+    return F.filter(F.transform(low, lambda p: F.struct(p["shard"].alias("shard"), take(p).alias("n"))), lambda p: p["n"] > 0)
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MOST_ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs; the law is `rows`.
 
     Shards hold counts at most one apart: row counts are divided evenly and the first shards take the rest. Documents
     with equal texts are links. They start where their doc_id puts them and are drawn together by propagate() within
     what a shard may hold; documents without links then fill each shard to its exact count. Slots count up from 0 in each
-    shard. Null texts have no bytes and are linked with each other; null ids and repeated rows are documents like others.
-    A group larger than a shard is drawn together until no part of it can move to a shard with more of it and room left. An empty table gives no rows.
+    shard. Null texts have no bytes and are linked with each other; null ids and repeated rows are documents like others;
+    repeated rows are one row with a count until the end. A group larger than a shard is drawn together until no part of it
+    can move to a shard with more of it and room left. Texts of any length count by their bytes; further columns are
+    ignored; an empty table gives no rows.
     """
-    items = settle(sizes_of(docs))
-    total = items.count()
+    names = ["doc_id", "size", "text_crc32", "link"]
+    items = settle(sizes_of(docs).groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     capacity = {s: total // shards + (s < total % shards) for s in range(shards)}
     start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
-    counts = items.groupBy("link", start).agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.groupBy("link").agg(F.sum("n").alias("members")).where("members > 1").drop("members")
-    linked = propagate(_fit(counts.join(groups, "link"), capacity), capacity, max_rounds)
-
-    # A linked document takes the shard in whose part of its group its rank falls.
-    upto = F.sum("n").over(Window.partitionBy("link").orderBy("shard"))
-    parts = linked.withColumn("upto", upto).groupBy("link").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("parts"))
+    counts = items.groupBy("link", start).agg(F.sum("n").alias("n"))
+    groups = settle(items.groupBy("link").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("_n")).where("members > 1"))
+    linked = propagate(_fit(counts.join(groups.select("link"), "link", "left_semi"), capacity), capacity, max_rounds)
+
+    # A linked document takes the shard in whose part of its group its rank falls. A group's parts are one for each of its
+    # shards, so at most `shards`. A third of all rows may have one link.
+    part = F.array_sort(F.collect_list(F.struct("shard", "n")))
+    upto = F.transform(part, lambda p, i: F.struct(F.aggregate(F.slice(part, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("upto"), p["shard"].alias("shard")))
+    parts = groups.drop("members").join(linked.groupBy("link").agg(upto.alias("parts")), "link")
+    known = spread_join(items, parts.select("link", "parts"), parts.select("link", "_n"), "link", total, F.xxhash64("doc_id", "size"), "left")
+    marked = settle(known)
     order = [F.col("doc_id"), F.col("size")]
-    known = items.join(groups, "link", "left_semi")
-    ranked = gapless_rank(known, ["link"], order, "rank").join(parts, "link")
-    placed = ranked.withColumn("shard", F.get(F.filter("parts", lambda p: p["upto"] > F.col("rank")), F.lit(0))["shard"])
-    placed = placed.select("doc_id", "size", "text_crc32", "shard")
+    ranked = running_start(marked.where("parts IS NOT NULL"), ["link"], order, "n", "start", total)
+    placed = ranked.select("doc_id", "size", "text_crc32", F.inline(_spans(F.col("parts"), F.col("start"), F.col("n"))))
 
     # The others fill what is left, shard after shard, by a rank over all of them.
     used = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     ends, at = [], 0
     for s in range(shards):
         at += capacity[s] - used.get(s, 0)
-        ends.append(F.struct(F.lit(at).alias("upto"), F.lit(s).alias("shard")))
-    alone = gapless_rank(items.join(groups, "link", "left_anti"), [], [F.col("link"), *order], "rank")
-    filled = alone.withColumn("shard", F.get(F.filter(F.array(*ends), lambda p: p["upto"] > F.col("rank")), F.lit(0))["shard"])
-    everyone = settle(placed.unionByName(filled.select("doc_id", "size", "text_crc32", "shard")))
-    slots = gapless_rank(everyone, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", rows=total)
-    return slots.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+        ends.append(F.struct(F.lit(at).cast("long").alias("upto"), F.lit(s).alias("shard")))
+    alone = running_start(marked.where("parts IS NULL").drop("parts"), [], [F.col("link"), *order], "n", "start", total)
+    filled = alone.select("doc_id", "size", "text_crc32", F.inline(_spans(F.array(*ends), F.col("start"), F.col("n"))))
+    everyone = settle(placed.unionByName(filled))
+    slots = running_start(everyone, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "n", "first", total)
+    slot = F.explode(F.sequence(F.col("first"), F.expr("first + n - 1"))).alias("slot")
+    return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot, F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _fit(counts: DataFrame, capacity: dict[int, int]) -> DataFrame:
@@ -117,22 +125,21 @@ def _fit(counts: DataFrame, capacity: dict[int, int]) -> DataFrame:
 
     Starting places are dealt by hash, so this moves a few rows, and only when nearly all documents are linked.
     """
-    load = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    over = {s: n - capacity[s] for s, n in load.items() if n > capacity[s]}
+    load = {r["shard"]: (r["n"], r["rows"]) for r in counts.groupBy("shard").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    over = {s: n - capacity[s] for s, (n, _) in load.items() if n > capacity[s]}
     if not over:
         return counts
-    spark = counts.sparkSession
+    spark, rows = counts.sparkSession, sum(r for _, r in load.values())
     surplus = F.create_map(*[F.lit(x) for s, n in over.items() for x in (s, n)])
-    running = F.sum("n").over(Window.partitionBy("shard").orderBy("n", "link"))
-    cut = counts.where(F.col("shard").isin(*over)).withColumn("out", F.least(F.col("n"), surplus[F.col("shard")] - running + F.col("n")))
-    cut = settle(cut.where("out > 0").withColumn("upto", F.sum("out").over(Window.orderBy("shard", "link"))))
+    full = running_start(counts.where(F.col("shard").isin(*over)), ["shard"], [F.col("link")], "n", "start", rows)
+    cut = settle(full.withColumn("out", F.least(F.col("n"), surplus[F.col("shard")] - F.col("start"))).where("out > 0").drop("start"))
+    cut = running_start(cut, [], [F.col("link"), F.col("shard")], "out", "first", rows)
     room, at = [], 0
     for s, c in sorted(capacity.items()):
-        if c > load.get(s, 0):
-            room.append((s, at, at + c - load.get(s, 0)))
-            at = room[-1][2]
-    spans = spark.createDataFrame(room, "to int, lo long, hi long")
-    dealt = cut.join(F.broadcast(spans), (F.col("lo") < F.col("upto")) & (F.col("hi") > F.col("upto") - F.col("out")))
-    take = (F.least("hi", "upto") - F.greatest("lo", F.col("upto") - F.col("out"))).alias("n")
-    moved = dealt.select("link", F.col("to").alias("shard"), take).unionByName(cut.select("link", "shard", (-F.col("out")).alias("n")))
-    return counts.select("link", "shard", "n").unionByName(moved).groupBy("link", "shard").agg(F.sum("n").alias("n")).where("n > 0")
+        if c > load.get(s, (0, 0))[0]:
+            at += c - load.get(s, (0, 0))[0]
+            room.append(F.struct(F.lit(at).cast("long").alias("upto"), F.lit(s).alias("shard")))
+    moved = cut.select("link", F.inline(_spans(F.array(*room), F.col("first"), F.col("out"))))
+    lost = cut.select("link", "shard", (-F.col("out")).alias("n"))
+    every = counts.select("link", "shard", "n").unionByName(moved).unionByName(lost)
+    return every.groupBy("link", "shard").agg(F.sum("n").alias("n")).where("n > 0")

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_settled, settle, spread_join
 from .components import components
 
 SEED = 42
@@ -61,22 +61,28 @@ def _fingerprint(h: np.ndarray, lanes: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, width: int, lanes: int, distinct: bool) -> DataFrame:
-    """(doc_id, fp binary of 8 * lanes bytes, n_shingles) per row of docs. distinct: each shingle of a text counts once."""
+    """(doc_id, text_key, fp binary of 8 * lanes bytes, n_shingles) per row of docs. distinct: each shingle of a text counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, sizes = [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 h = _shingle_hashes(text.as_py(), width)
                 if distinct:
                     h = np.unique(h)
                 fps.append(_fingerprint(h, lanes))
                 sizes.append(len(h))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "n_shingles"]
+                [*batch.columns[:2], pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "text_key", "fp", "n_shingles"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp binary, n_shingles long")
+    given = docs.select(F.col("doc_id").cast("long"), _text_key(), "text")
+    return given.mapInArrow(run, "doc_id long, text_key long, fp binary, n_shingles long")
+
+
+def _text_key() -> Column:
+    """Tells rows that share a doc_id but not their text."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
@@ -134,12 +140,14 @@ def links(nodes: DataFrame, lanes: int, radius: int, by_size: float | None = Non
         tile = F.array(F.floor(F.log(F.greatest(F.col("n_shingles"), F.lit(1))) / math.log(by_size)).cast("int"))
         reach = [[-1], [0], [1]]
     placed = nodes.select("node", "fp", tile.alias("tile"))
-    # A cell is a bounded part of a tile: rows are dealt by hash, so a full tile is spread over several cells.
-    sizes = placed.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
-    dealt = placed.join(sizes, "tile").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
-    cells = settle(
-        dealt.groupBy("tile", "cell").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("rows"))
-    )
+    # A cell is a bounded part of a tile: rows are dealt by hash, so a full tile is spread over several cells. There are
+    # 17 ** 4 different tiles of population counts, and some dozens of sizes, so the table of the full ones is bounded.
+    full = placed.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells")).where("cells > 1")
+    cell = F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))).alias("cell")
+    dealt = placed.join(F.broadcast(full), "tile", "left").select("node", "fp", "tile", cell)
+    # A node of one lane is its fingerprint; it is not shipped twice.
+    row = F.col("node") if lanes == 1 else F.struct("node", "fp")
+    cells = settle(dealt.groupBy("tile", "cell").agg(F.sort_array(F.collect_list(row)).alias("rows")))
     keys = cells.select("tile", "cell")
     offsets = F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in reach]))
     ahead = keys.select("tile", "cell", offsets.alias("o")).select(
@@ -157,6 +165,9 @@ def links(nodes: DataFrame, lanes: int, radius: int, by_size: float | None = Non
 
     def unpack(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
         rows = cell.values
+        if lanes == 1:
+            node = rows.to_numpy(zero_copy_only=False)
+            return node, node.astype(np.int64).view(np.uint64).reshape(-1, 1)
         fp = np.frombuffer(b"".join(rows.field("fp").to_pylist()), dtype=">u8").astype(np.uint64)
         return rows.field("node").to_numpy(zero_copy_only=False), fp.reshape(-1, lanes)
 
@@ -200,18 +211,34 @@ def near_duplicates(
     other). A null doc_id is kept and never chosen unless its whole component has none. Repeated rows stay. An empty
     table gives an empty result.
     """
+    grouped = _grouped(docs, width, lanes, radius, distinct, min_similarity)
+    return grouped.select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, width: int, lanes: int, radius: int, distinct: bool, min_similarity: float | None) -> DataFrame:
+    """doc_id, text_key, fp, component (the least node of the row's component) and component_id for every row of docs."""
     prints = settle(fingerprints(docs, width, lanes, distinct))
     node = F.conv(F.hex("fp"), 16, -10).cast("long") if lanes == 1 else F.xxhash64("fp")
     members = prints.withColumn("node", node)
-    nodes = members.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
+    nodes = settle(
+        members.groupBy("node", "fp").agg(
+            F.min("doc_id").alias("doc_id"), F.min_by("text_key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("text_key"),
+            F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("_n"),
+        )
+    )
     if min_similarity is None:
         found = links(nodes, lanes, radius)
     else:
-        found = _verified(docs, settle(nodes), lanes, radius, width, min_similarity)
+        found = _verified(docs, nodes, lanes, radius, width, min_similarity)
     roots = components(found)
-    joined = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(least, "root").select("doc_id", "fp", "component_id")
+    labelled = nodes.join(roots, "node", "left").select("node", "_n", "doc_id", F.coalesce("root", "node").alias("component"))
+    labelled = settle(labelled)
+    # A component may hold most nodes and a node most rows: both joins deal such keys.
+    sizes = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    total, rows = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    named = spread_join(labelled.select("node", "component"), sizes.drop("_n"), sizes.drop("component_id"), "component", total, F.xxhash64("node"))
+    counts = labelled.select("node", "_n")
+    return spread_join(members, named, counts, "node", rows, F.xxhash64("doc_id", "text_key"))
 
 
 def _similar(a: list[np.ndarray], b: list[np.ndarray] | None, share: float) -> list[tuple[int, int]]:
@@ -256,22 +283,27 @@ def _verified(docs: DataFrame, nodes: DataFrame, lanes: int, radius: int, width:
     """
     near = components(links(nodes.where("n_shingles > 0"), lanes, radius, by_size=1 / share))
     groups = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
-    wanted = groups.join(nodes, "node").select("node", "root", "doc_id", "n_shingles")
-    cells = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("cells")
-    large = settle(wanted.groupBy("root").agg(cells).where("cells > 1"))
-    block = F.pmod(F.xxhash64("node"), F.coalesce("cells", F.lit(1))).alias("block")
-    wanted = wanted.join(F.broadcast(large), "root", "left").select("node", "root", "doc_id", block)
-    # Rows that repeat a doc_id with other texts would give a node several sets: the text must give the node's own print.
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id")
+    wanted = groups.join(nodes, "node").select("node", "root", "doc_id", "text_key", "n_shingles")
+    wanted = settle(wanted)
+    sizes = settle(wanted.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("cells"), F.count(F.lit(1)).alias("_n")))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    dealt = spread_join(wanted, sizes.drop("_n"), sizes.drop("cells"), "root", total, F.xxhash64("node"))
+    wanted = dealt.select("node", "root", "cells", F.col("doc_id").alias("_id"), "text_key", F.pmod(F.xxhash64("node"), "cells").alias("block"))
+    # The text that gave the node its print, and no other with the same doc_id.
+    own = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("_text_key"))
+    given = docs.select(F.col("doc_id").cast("long"), "text", _text_key().alias("_text_key"))
+    texts = given.join(wanted, own)
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(_shingle_hashes(t.as_py(), width)).astype(np.uint64).view(np.int64) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], ["root", "block", "node", "set"])
+            sets = [np.unique(_shingle_hashes(t.as_py(), width)).astype(np.uint64).view(np.int64) for t in batch.column(4)]
+            names = ["root", "cells", "block", "node", "set"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names)
 
-    sets = texts.select("root", "block", "node", "text").mapInArrow(shingle_sets, "root long, block long, node long, set array<long>")
-    sets = sets.groupBy("root", "block", "node").agg(F.first("set").alias("set"))
-    blocks = settle(sets.groupBy("root", "block").agg(F.sort_array(F.collect_list(F.struct("node", "set"))).alias("rows")))
+    given = texts.select("root", "cells", "block", "node", "text")
+    sets = given.mapInArrow(shingle_sets, "root long, cells long, block long, node long, set array<long>")
+    sets = sets.groupBy("root", "cells", "block", "node").agg(F.first("set").alias("set"))
+    blocks = settle(sets.groupBy("root", "cells", "block").agg(F.sort_array(F.collect_list(F.struct("node", "set"))).alias("rows")))
 
     def unpack(block: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
         rows = block.values
@@ -288,7 +320,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, lanes: int, radius: int, width:
                     yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], ["a", "b"])
 
     inside = blocks.select("rows").mapInArrow(measure, "a long, b long")
-    many = blocks.join(F.broadcast(large.select("root")), "root", "left_semi")
+    many = blocks.where("cells > 1")
     a = many.select("root", F.col("block").alias("block_a"), F.col("rows").alias("rows_a"))
     b = many.select("root", F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
     pairs = a.select("root", "block_a").join(b.select("root", "block_b"), "root").where("block_a < block_b")
@@ -297,12 +329,16 @@ def _verified(docs: DataFrame, nodes: DataFrame, lanes: int, radius: int, width:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """Rows of docs without those that have a near duplicate with a smaller doc_id; all columns stay as they are.
+    """One row of docs for each group of near duplicates: the one with the least doc_id; all columns stay as they are.
 
-    Rows with a null doc_id stay (they cannot be named), and rows that repeat a kept doc_id stay once.
+    Rows with a null doc_id stay, as they cannot be named. Rows that share a doc_id but not their text are documents of
+    their own: each stays or goes with its group. Of equal doc_ids in one group the text with the least hash stays, of
+    repeated rows one. An empty table gives no rows.
     """
-    groups = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n"))
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "doc.text"))
-    kept = packed.join(groups, "doc_id", "left_semi").withColumn("nth", once).where("nth = 1").select("doc.*")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    defaults = {"width": 5, "lanes": 4, "radius": RADIUS, "distinct": True, "min_similarity": 0.8}
+    grouped = _grouped(docs, **(defaults | how)).where("doc_id = component_id")
+    chosen = grouped.groupBy("component", "doc_id").agg(F.min("text_key").alias("text_key"))
+    packed = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), _text_key())
+    kept = packed.join(chosen.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_semi")
+    once = kept.groupBy("doc_id", "text_key").agg(F.first("doc").alias("doc"))
+    return once.select("doc.*").unionByName(docs.where("doc_id IS NULL"))
