@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import zlib
@@ -485,12 +486,119 @@ def test_extraction(spark, none):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def tree(text: str) -> wrappers.Tree:
+    """A tree written as nested lists of labels, parents first."""
+    labels, ups, todo = [], [], [(-1, json.loads(text))]
+    while todo:
+        up, (label, kids) = todo.pop(0)
+        todo = [(len(labels), k) for k in kids] + todo
+        labels.append(label)
+        ups.append(up)
+    return wrappers.Tree(labels, ups)
+
+
 def test_simple_tree_matching():
-    a = ["html", [["nav", []], ["div", [["p", []]]], ["p", []]]]
-    b = ["html", [["div", [["p", []], ["q", []]]], ["p", []]]]
-    size, pairs = wrappers.match_trees(a, b)
-    assert size == 4 and ([1], [0]) in pairs and ([1, 0], [0, 0]) in pairs and ([2], [1]) in pairs
-    assert wrappers.match_trees(["a", []], ["b", []]) == (0, [])
+    a = tree('["html", [["nav", []], ["div", [["p", []]]], ["p", []]]]')
+    b = tree('["html", [["div", [["p", []], ["q", []]]], ["p", []]]]')
+    assert wrappers.match_trees(a, b) == (4, {0: 0, 1: 2, 2: 3, 4: 4})
+    assert wrappers.match_trees(tree('["a", []]'), tree('["b", []]')) == (0, {})
+
+
+def largest_match(a: wrappers.Tree, b: wrappers.Tree, x: int = 0, y: int = 0) -> int:
+    """Size of the largest top-down match, by trying every order-keeping choice of children."""
+    if a.labels[x] != b.labels[y]:
+        return 0
+    rows, cols = a.kids[x], b.kids[y]
+    best = 0
+    for n in range(min(len(rows), len(cols)) + 1):
+        for r in itertools.combinations(rows, n):
+            for c in itertools.combinations(cols, n):
+                best = max(best, sum(largest_match(a, b, i, j) for i, j in zip(r, c)))
+    return 1 + best
+
+
+def test_tree_matching_equals_brute_force():
+    rng = np.random.default_rng(4)
+
+    def grown() -> wrappers.Tree:
+        labels, ups = ["r"], [-1]
+        for _ in range(int(rng.integers(0, 9))):
+            ups.append(int(rng.integers(0, len(labels))))
+            labels.append(str(rng.choice(list("abc"))))
+        return wrappers.Tree(labels, ups)
+
+    for _ in range(300):
+        a, b = grown(), grown()
+        size, found = wrappers.match_trees(a, b)
+        assert size == largest_match(a, b) == len(found)
+        assert len(set(found.values())) == size
+        up_a = {c: k for k, kids in enumerate(a.kids) for c in kids}
+        up_b = {c: k for k, kids in enumerate(b.kids) for c in kids}
+        for y, x in found.items():
+            assert a.labels[x] == b.labels[y] and (y == 0 or found[up_b[y]] == up_a[x])
+
+
+def alone(html: str) -> str:
+    page = wrappers.read_page(html)
+    return wrappers.content(page, wrappers.Outline(page), {}, [])
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body><nav>menu</nav>" + "<div>" * 40 + "<article><h1>T</h1><p>Deep.</p></article>" + "</div>" * 40 + "<footer>f</footer>", "T Deep."),
+        ("<body><nav>menu</nav><article class='search'><p>Found.</p></article><div class='ad'>Buy this now.</div>", "Found."),
+        ("<article><p>One.</p><div class='comments-on-law'><p>Two.</p></div><div id='social'>Three has sentences. Many.</div></article>", "One. Two. Three has sentences. Many."),
+        ("<article><p>One.</p><div class='related'>Related work is this.</div><div class='related'><a href='x'>Links</a></div></article>", "One. Related work is this."),
+        ("<article><p>x <math><mi>a</mi>+<mi>b</mi></math> y</p><section id='comments'><p>Nice article.</p></section></article>", "x a+b y"),
+        ("<body><span><x-shell><article><p>In odd elements.</p></article></x-shell></span><aside>s</aside>", "In odd elements."),
+        ("<article><p>a<span hidden>no</span>b<!-- <p>no --><script>if (a < b) '<p>no</p>'</script> c &lt;d&gt; 1 < 2</p><p>cut <b off", "ab c <d> 1 < 2 cut"),
+        ("<article><table><tr><td>1<td>2<tr><td>3</table><ul><li>a<li><p>b</ul></article><div role='search'>no</div>", "1 2 3 a b"),
+        ("<div>", ""), ("<!-- open", ""), ("<p>&nbsp;x&#8203;", "x\u200b"),
+        ("<div>" * 5000 + "<p>deep text</p>", "deep text"),
+    ],
+)
+def test_single_pages(html, text):
+    assert alone(html) == text
+
+
+SENTENCES = [text_of(100 + i, 30) + "." for i in range(60)]
+
+
+def plain_page(i: int, body: str) -> str:
+    """A page in which no tag or name tells what is what."""
+    links = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in SENTENCES[i % 60].split()[: 3 + i % 4])
+    return (
+        f"<body><div><ul>{links}</ul></div><div>{SENTENCES[(7 * i) % 60][:40]}</div><div><h1>Title {i}</h1>{body}"
+        f"<div>All rights belong to us.</div></div><div>page {i}</div></body>"
+    )
+
+
+def test_wrappers_decide_without_tags_or_names(spark):
+    body = [f"<p>{SENTENCES[i]}</p>" * (1 + i % 3) + (f"<ul><li>{SENTENCES[i]}</ul>" if i % 4 == 1 else "") for i in range(24)]
+    rows = [(i, "http://h.example/x", plain_page(i, body[i])) for i in range(24)]
+    rows += [(100 + i, "http://copies.example/x", plain_page(5, body[5])) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    off = {r.page_id: r.text for r in wrappers.extract(pages, aligned=False).collect()}
+    for i in range(24):
+        assert got[i] == f"Title {i} " + " ".join([SENTENCES[i]] * (1 + i % 3 + (i % 4 == 1)))
+        assert off[i] != got[i]
+    # Copies of one page prove nothing constant: no text of theirs goes.
+    assert all(SENTENCES[5] in got[100 + i] and "rights" in got[100 + i] for i in range(9))
+
+
+def test_wrappers_decide_on_the_given_pages(spark, sf):
+    pages = spark.read.parquet(sf.replace("0.001", "0.01") + "/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", r"<(/?)(?:nav|article|footer)(?=[ >])", "<$1div"), "<div class=\"ad\">", "<div>")
+    want = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    hosts = Counter(r.h for r in pages.select(wrappers._host("url").alias("h")).collect())
+    got = pages.select("page_id", "url", bare.alias("html"), wrappers._host("url").alias("h"))
+    many = [h for h, n in hosts.items() if n >= 8]
+    on = {r.page_id: r.text for r in wrappers.extract(got.where(F.col("h").isin(many))).collect()}
+    off = {r.page_id: r.text for r in wrappers.extract(got.where(F.col("h").isin(many)), aligned=False).collect()}
+    assert len(on) > 50 and sum(on[i] == want[i] for i in on) >= 0.95 * len(on)
+    assert all(off[i] != on[i] for i in on)
 
 
 # --- the pipeline ---
