@@ -67,8 +67,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR n_symbols > 0.2 * n_words
             OR n_dup_lines > 0.5 * len(string_split(text, chr(10)))
             OR len(list_filter(words, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) > 0.5 * n_words
-            OR strlen(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g'))
-               < 0.5 * strlen(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))) AS kept
+            OR length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 0.5 * word_chars) AS kept
 FROM judged"""
 
 

@@ -211,6 +211,34 @@ def test_rule_order_does_not_change_verdicts(docs):
     assert a == b
 
 
+def test_best_order_counts_what_earlier_rules_leave():
+    # a rejects most and is cheap; b rejects only what a does; c rejects one more, at a high price.
+    rejected = np.array([[1, 1, 1, 0, 0, 0], [1, 1, 0, 0, 0, 0], [0, 0, 0, 1, 0, 0]], bool)
+    seconds = np.array([[1.0] * 6, [1.0] * 6, [2.0] * 6])
+    assert quality.best_order(rejected, seconds, ["a", "b", "c"]) == [0, 2, 1]
+    # Alone, b is the second best: its rejections are all taken by a.
+    assert quality.best_order(rejected[1:], seconds[1:], ["b", "c"]) == [0, 1]
+
+
+def test_rules_are_timed_with_the_base_at_hand(spark):
+    def slow(d: quality.Doc) -> bool:
+        return sum(len(w) for w in d.words for _ in range(20)) < 0 or len(d.words) > 100
+
+    def split(d: quality.Doc) -> bool:  # dear on a fresh text, nearly free once the words are split
+        return len(d.words) > 80
+
+    rows = [(i, text_of(i, 60 + i % 60)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r.name for r in quality.cascade_order(docs, (quality.Rule("slow", slow), quality.Rule("split", split)))]
+    assert order == ["split", "slow"]
+    assert quality.cascade_order(docs.where("false"), quality.RULES) == list(quality.RULES)
+
+
+@pytest.mark.parametrize("text", ["Straße 12 日本 ¿·", "a1", "", "é́x"])
+def test_letters_are_code_points(text):
+    assert quality.Doc(text).letters() == sum(c.isalpha() for c in text)
+
+
 # --- 4 ---
 
 
