@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Vectors in one shard's tree, and queries that are sent to a shard together.
+#: Vectors in one shard's tree, and queries that are put to a tree together.
 SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
+#: Bytes of query vectors that are broadcast at a time.
+BROADCAST_BYTES = 64_000_000
 #: Vectors in a leaf, compared in one matrix product.
 LEAF = 128
 
@@ -26,6 +30,28 @@ class VantageTree:
         self.nodes: list[tuple[int, int, int, float, int]] = []  # start, end, vantage or -1, radius, outer node
         self._build(0, len(x), leaf)
 
+    def packed(self, ids: np.ndarray) -> dict[str, bytes]:
+        """ids, vectors and nodes as bytes, rows in the order of the leaves, so that a leaf is one slice."""
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        ends = [(lo, hi, int(place[v]) if v >= 0 else -1, outer) for lo, hi, v, _, outer in self.nodes]
+        radii = np.array([n[3] for n in self.nodes], np.float64)
+        return {
+            "ids": ids[self.order].astype(np.int64).tobytes(), "vectors": self.x[self.order].astype(np.float64).tobytes(),
+            "ends": np.array(ends, np.int64).tobytes(), "radii": radii.tobytes(),
+        }
+
+    @classmethod
+    def unpacked(cls, size: int, vectors: bytes, ends: bytes, radii: bytes) -> VantageTree:
+        """A tree made by packed(), without building it again."""
+        tree = cls.__new__(cls)
+        tree.x = np.frombuffer(vectors, np.float64).reshape(-1, size)
+        tree.order = np.arange(len(tree.x))
+        tree.norms = np.einsum("ij,ij->i", tree.x, tree.x)
+        rows = zip(np.frombuffer(ends, np.int64).reshape(-1, 4).tolist(), np.frombuffer(radii, np.float64).tolist())
+        tree.nodes = [(lo, hi, v, r, outer) for (lo, hi, v, outer), r in rows]
+        return tree
+
     def _build(self, lo: int, hi: int, leaf: int) -> None:
         todo = [(lo, hi, -1)]
         while todo:
@@ -106,11 +132,40 @@ class VantageTree:
                 best_d[seen], best_id[seen] = dist[pick], name[pick]
 
 
+def grown(vectors: DataFrame) -> DataFrame:
+    """(size, shard, ids, vectors, ends, radii): one packed tree for each shard of vectors (vec_id, embedding, shard, size)."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        size = table.column("size")[0].as_py()
+        x = np.stack(table.column("embedding").to_numpy()).astype(np.float64)
+        made = VantageTree(x).packed(table.column("vec_id").to_numpy())
+        yield pa.RecordBatch.from_pydict({"size": [size], "shard": [table.column("shard")[0].as_py()], **{k: [v] for k, v in made.items()}})
+
+    schema = "size long, shard long, ids binary, vectors binary, ends binary, radii binary"
+    return vectors.groupBy("shard", "size").applyInArrow(build, schema)
+
+
+def blocks_of(queries: DataFrame, blocks: int) -> DataFrame:
+    """(size, block, own, asked): queries (vec_id, embedding, size) in `blocks` blocks a size, as bytes."""
+    given = queries.select("vec_id", "embedding", F.col("size").cast("long"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        x = np.stack(table.column("embedding").to_numpy()).astype(np.float64)
+        own = table.column("vec_id").to_numpy().astype(np.int64)
+        one = {k: [table.column(k)[0].as_py()] for k in ("size", "block")}
+        yield pa.RecordBatch.from_pydict({**one, "own": [own.tobytes()], "asked": [x.tobytes()]})
+
+    return given.groupBy("block", "size").applyInArrow(pack, "size long, block long, own binary, asked binary")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors by Euclidean distance, ties to the smaller vec_id.
 
     vectors and queries hold vec_id and embedding; further columns are ignored. Vectors are dealt to shards of about
-    SHARD_ROWS; each shard builds one tree and answers the queries in blocks, and the shards' answers are merged.
+    SHARD_ROWS and shuffled once; each shard's tree is built once and written. Queries are blocks of about QUERY_ROWS, which
+    are broadcast to the trees, BROADCAST_BYTES of them at a time, so no vector moves again; the shards' answers are merged.
     A branch is skipped when `factor` times the least distance that the triangle inequality allows exceeds the k-th best
     found so far: 1 is exact, more skips more. Rows whose vector is null, zero or has null or non-finite parts take no
     part, nor do null ids; a row never finds its own vec_id. Vectors of another length than a query's are not compared.
@@ -122,36 +177,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     usable = f"{good} AND {parts} AND exists(embedding, x -> x <> 0)"
 
     def clean(df: DataFrame) -> DataFrame:
-        return df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable)
+        chosen = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable)
+        return chosen.withColumn("size", F.size("embedding").cast("long"))
 
+    # One vector may stand in a third of all rows: its least ids are found in two steps, by parts and then over all.
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
+    some = F.row_number().over(Window.partitionBy("embedding", "_part").orderBy("vec_id"))
+    first = clean(vectors).distinct().withColumn("_part", part).withColumn("_n", some).where(F.col("_n") <= k + 1).drop("_n", "_part")
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    held = settle(clean(vectors).distinct().withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n"))
+    held = settle(first.withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n"))
     asked = settle(clean(queries).distinct())
     shards = max(1, -(-held.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    size = F.size("embedding").alias("size")
-    left = held.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), size,
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding",
-    )
-    right = asked.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), size,
-        F.pmod(F.hash("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "embedding",
-    )
-
-    def answer(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(candidates) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids = candidates["vec_id"].to_numpy(np.int64)
-        tree = VantageTree(np.stack(candidates["embedding"].to_numpy()).astype(np.float64))
-        q = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-        own = asked["vec_id"].to_numpy(np.int64)
-        d, found = tree.search(q, own, ids, k, factor)
-        i, j = np.nonzero(np.isfinite(d))
-        return pd.DataFrame({"query_id": own[i], "vec_id": found[i, j], "score": d[i, j]})
-
-    keys = ["shard", "block", "size"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(answer, "query_id long, vec_id long, score double")
+    found = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(8 * (F.col("size") + 1)), F.lit(0))).first()
+    blocks, rounds = max(1, -(-found[0] // QUERY_ROWS)), max(1, -(-found[1] // BROADCAST_BYTES))
+    trees = settle(grown(held.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))))
+    packs = settle(blocks_of(asked, max(blocks, rounds)))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tree, ids = None, None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in ("size", "shard", "own", "asked")}
+                if (row["size"], row["shard"]) != last:
+                    made = {n: batch.column(n)[i].as_py() for n in ("vectors", "ends", "radii")}
+                    last, tree = (row["size"], row["shard"]), VantageTree.unpacked(row["size"], **made)
+                    ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                own = np.frombuffer(row["own"], np.int64)
+                q = np.frombuffer(row["asked"], np.float64).reshape(-1, row["size"])
+                d, near = tree.search(q, own, ids, k, factor)
+                i_, j_ = np.nonzero(np.isfinite(d))
+                out = [pa.array(own[i_]), pa.array(near[i_, j_]), pa.array(d[i_, j_])]
+                yield pa.RecordBatch.from_arrays(out, ["query_id", "vec_id", "score"])
+
+    local = None
+    for r in range(rounds):  # a round's blocks are one share of the queries, of bounded size
+        some = packs if rounds == 1 else packs.where(F.pmod("block", F.lit(rounds)) == r)
+        one = trees.join(F.broadcast(some), "size").mapInArrow(answer, "query_id long, vec_id long, score double")
+        local = one if local is None else local.unionByName(one)
     # A repeated id with two vectors is found at its nearer place.
     best = local.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

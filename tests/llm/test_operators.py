@@ -419,6 +419,24 @@ def test_nearest_leaves_out_what_cannot_be_measured(spark):
     assert vptree.nearest(v.where("false"), v).count() == 0
 
 
+def test_nearest_over_shards_blocks_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 60)
+    monkeypatch.setattr(vptree, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vptree, "BROADCAST_BYTES", 900)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    x[:90] = x[0]
+    rows = [(i, v.tolist(), "c", "c") for i, v in enumerate(x)] + [(300 + i, [1.0, float(i)], "c", "c") for i in range(3)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string, size string")
+    got = vptree.nearest(v, v.where("vec_id % 10 = 0 OR vec_id > 299"), k=4).collect()
+    want = []
+    for q in [*range(0, 300, 10), 300, 301, 302]:
+        own = rows[q][1]
+        near = sorted((float(np.sqrt(((np.array(e) - own) ** 2).sum())), i) for i, e, *_ in rows if i != q and len(e) == len(own))[:4]
+        want += [(q, n + 1, i, round(d, 9)) for n, (d, i) in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
 # --- 9 ---
 
 
