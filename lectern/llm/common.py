@@ -76,14 +76,17 @@ def bucket_count(rows: int) -> int:
     return min(max(1, rows // BUCKET_ROWS), MOST_BUCKETS)
 
 
-def running_start(df: DataFrame, groups: list[str], order: list[Column], weight: str, out: str, rows: int) -> DataFrame:
+def running_start(
+    df: DataFrame, groups: list[str], order: list[Column], weight: str, out: str, rows: int, buckets: Column | None = None
+) -> DataFrame:
     """Add to each row the sum of `weight` over the rows before it in its group: 0, w1, w1 + w2, ...
 
     No single task sees a whole group: rows are dealt to hash buckets of `order`; a bucket starts where those before it in
     its group end, and a window adds up inside a bucket only. Buckets come in order of their number, rows in a bucket by
-    `order`. Rows with equal `order` columns meet in one bucket, so they should be one row with a weight.
+    `order`. Rows with equal `order` columns meet in one bucket, so they should be one row with a weight. buckets: the
+    bucket of a row instead, such as the leading bits of a hash that the order begins with, which keeps the order.
     """
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(bucket_count(rows))))
+    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(bucket_count(rows))) if buckets is None else buckets)
     keys = [*groups, "_bucket"]
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy(*keys).agg(F.sum(weight).alias("_sum"))

@@ -7,16 +7,22 @@ the blocks and the rows inside them, and the last epoch ends where the source's
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import running_start, settle, spread_join
 
 #: Rows in a block on average.
 BLOCK_ROWS = 2_000
-#: Sources that may stand in one row while weights are computed; more are an error.
+#: Sources that may stand in one row while weights are computed, or be broadcast; more are aggregated and joined as a table.
 MOST_SOURCES = 100_000
 _STEPS = 60
+#: Exponents tried at a time where the sources are a table.
+_GRID = 64
+#: Parts in which equal rows of one block are ranked.
+_PARTS = 64
 
 
 def words_in(text: str = "text") -> Column:
@@ -35,13 +41,16 @@ def weights(totals: DataFrame, entropy_share: float | None, max_repeats: float |
     The exponent is between 0 (all sources alike) and 1 (natural shares). entropy_share asks for the largest exponent
     whose weights have that share of the greatest entropy; max_repeats for the smallest under which no source is repeated
     more often within the budget. If both are given the repetition limit wins. budget None: the least with which every
-    document is used once. A single source has weight 1.
+    document is used once. A single source has weight 1. Up to MOST_SOURCES sources are one row; the exponent of more is
+    found by the same bisection over aggregates, a grid of exponents at a time.
     """
+    if totals.where("tokens > 0").count() > MOST_SOURCES:
+        return _weights_of_many(totals.where("tokens > 0").select("source", "tokens"), entropy_share, max_repeats, budget)
     row = totals.where("tokens > 0").agg(
         F.array_sort(F.collect_list(F.struct("source", "tokens"))).alias("s"), F.sum("tokens").alias("total")
     ).where("size(s) > 0")
     share = F.transform("s", lambda x: x["tokens"] / F.col("total"))
-    shared = row.withColumn("p", share).withColumn("enough", F.assert_true(F.size("s") <= MOST_SOURCES))
+    shared = row.withColumn("p", share)
 
     def add(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -87,6 +96,48 @@ def weights(totals: DataFrame, entropy_share: float | None, max_repeats: float |
     return solved.select("exponent", "budget", each).withColumn("quota", F.round(F.col("weight") * F.col("budget")).cast("long"))
 
 
+def _weights_of_many(totals: DataFrame, entropy_share: float | None, max_repeats: float | None, budget: float | None) -> DataFrame:
+    """weights() for sources that are too many for one row: only sums over all of them reach the driver."""
+    n, total = totals.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    shared = totals.withColumn("p", F.col("tokens") / F.lit(total))
+
+    def measures(exponents: list[float]) -> list[tuple[float, float]]:
+        """Entropy and most repeats at each exponent."""
+        raised = F.pow("p", F.col("a"))
+        sums = shared.select("p", F.explode(F.array(*[F.lit(float(a)) for a in exponents])).alias("a")).groupBy("a").agg(
+            F.sum(raised).alias("z"), F.sum(raised * F.col("a") * F.ln("p")).alias("e"),
+            F.max(F.pow("p", F.col("a") - 1)).alias("high"), F.min(F.pow("p", F.col("a") - 1)).alias("low"),
+        )
+        by = {x.a: x for x in sums.collect()}
+        repeats = (lambda x: x.high / x.low) if budget is None else (lambda x: x.high / x.z * budget / total)
+        return [(math.log(by[a].z) - by[a].e / by[a].z, repeats(by[a])) for a in exponents]
+
+    def edge(good, upper: bool) -> float:
+        lo, hi = 0.0, 1.0
+        if upper and good(measures([1.0])[0]):
+            return 1.0
+        for _ in range(math.ceil(_STEPS / math.log2(_GRID))):
+            grid = sorted({lo + (hi - lo) * k / _GRID for k in range(1, _GRID)} - {lo, hi})
+            if not grid:
+                break
+            ok = [good(x) if upper else not good(x) for x in measures(grid)]
+            k = ok.index(False) if False in ok else len(grid)
+            lo, hi = (grid[k - 1] if k else lo), (grid[k] if k < len(grid) else hi)
+        return lo if upper else hi
+
+    bounds = []
+    if entropy_share is not None:
+        bounds.append(edge(lambda x: x[0] >= entropy_share * math.log(n), upper=True))
+    if max_repeats is not None:
+        bounds.append(edge(lambda x: x[1] <= max_repeats, upper=False))
+    exponent = max(bounds) if bounds else 1.0
+    z = shared.agg(F.sum(F.pow("p", F.lit(exponent)))).first()[0]
+    solved = shared.withColumn("weight", F.pow("p", F.lit(exponent)) / F.lit(z))
+    spent = budget if budget is not None else solved.agg(F.max(F.col("tokens") / F.col("weight"))).first()[0]
+    out = solved.select(F.lit(exponent).alias("exponent"), F.lit(float(spent)).alias("budget"), "source", "tokens", "weight")
+    return out.withColumn("quota", F.round(F.col("weight") * F.col("budget")).cast("long"))
+
+
 def mix(
     docs: DataFrame,
     entropy_share: float | None = 0.9,
@@ -103,44 +154,51 @@ def mix(
     share a place in the order and are told apart by nothing else. An empty table gives no rows.
     """
     keyed = docs.select(F.struct("*").alias("doc"), "doc_id", "text", _source("source").alias("_source"))
-    blocks = keyed.groupBy("_source").count().select("_source", F.greatest(F.ceil(F.col("count") / BLOCK_ROWS), F.lit(1)).alias("_blocks"))
-    # As many rows as sources, of which weights() allows MOST_SOURCES.
-    blocks = settle(blocks)
+    counts = keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = settle(counts.withColumn("_blocks", F.greatest(F.ceil(F.col("_n") / BLOCK_ROWS), F.lit(1))))
+    sources, rows = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     row_key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    dealt = keyed.join(_bounded(blocks), "_source").withColumn("_block_no", F.pmod(row_key, F.col("_blocks")))
+
+    def by_source(many: DataFrame, few: DataFrame, deal: Column) -> DataFrame:
+        """Join a table of one row a source: broadcast if the sources are few enough, else with hot sources dealt."""
+        if sources <= MOST_SOURCES:
+            return many.join(F.broadcast(few), "_source")
+        return spread_join(many, few, blocks.select("_source", "_n"), "_source", rows, deal)
+
+    dealt = by_source(keyed, blocks.drop("_n"), row_key).withColumn("_block_no", F.pmod(row_key, F.col("_blocks")))
     sums = settle(dealt.groupBy("_source", "_block_no").agg(F.sum(words_in()).alias("words")))
     totals = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("tokens"))
-    plan = weights(totals, entropy_share, max_repeats, budget)
+    plan = weights(settle(totals), entropy_share, max_repeats, budget)
     plan = plan.withColumn("full", F.floor(F.col("quota") / F.col("tokens"))).withColumn("rest", F.col("quota") - F.col("full") * F.col("tokens"))
+    plan = plan.withColumnRenamed("source", "_source")
 
-    # The block of each source in which its last epoch ends.
+    # The block of each source in which its last epoch ends. A hash's leading bits are buckets that keep its order.
     place = F.xxhash64(F.lit(seed), F.col("full"), F.col("_block_no"))
-    ordered = sums.join(plan.withColumnRenamed("source", "_source"), "_source").withColumn("h", place)
-    upto = F.sum("words").over(Window.partitionBy("_source").orderBy("h", "_block_no").rowsBetween(Window.unboundedPreceding, 0))
-    cut = ordered.withColumn("upto", upto).where("rest > 0 AND upto - words < rest AND upto >= rest")
-    cut = cut.groupBy("_source").agg(F.min_by(F.struct("h", "_block_no", (F.col("upto") - F.col("words")).alias("start")), "upto").alias("cut"))
-    plan = settle(plan.withColumnRenamed("source", "_source").join(cut, "_source", "left").select("_source", "full", "rest", "cut"))
+    ordered = by_source(sums, plan, F.col("_block_no")).withColumn("h", place)
+    started = running_start(ordered, ["_source"], [F.col("h"), F.col("_block_no")], "words", "start", 0, F.shiftright("h", 48))
+    cut = started.where("rest > 0 AND start < rest AND start + words >= rest")
+    cut = cut.groupBy("_source").agg(F.min_by(F.struct("h", "_block_no", "start"), "start").alias("cut"))
+    plan = settle(plan.join(cut, "_source", "left").select("_source", "full", "rest", "cut"))
 
-    planned = dealt.join(_bounded(plan), "_source").withColumn("_words", words_in())
+    planned = by_source(dealt, plan, row_key).withColumn("_words", words_in())
     whole = planned.where("full > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
     last = planned.where("rest > 0").withColumn("_epoch", F.col("full"))
     h, edge = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_block_no")), F.col("cut")
     here, there = F.struct(h.alias("h"), F.col("_block_no").alias("_block_no")), F.struct(edge["h"].alias("h"), edge["_block_no"].alias("_block_no"))
     before = last.where(here < there)
-    # Only rows of the one block in which the quota ends are ranked.
+    # Only rows of the one block in which the quota ends are ranked. Equal rows share a place: once written they have a
+    # number to tell them apart, and are added up in parts.
     row = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("doc_id"), F.col("text"))
-    running = F.sum("_words").over(Window.partitionBy("_source").orderBy(row, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    ended = last.where(here == there).withColumn("_upto", running)
-    ended = ended.where(F.col("_upto") - F.col("_words") < F.col("rest") - edge["start"]).drop("_upto")
-    out = whole.unionByName(before).unionByName(ended)
+    edges = settle(last.where(here == there).withColumn("_place", row).withColumn("_tie", F.monotonically_increasing_id()))
+    edges = edges.withColumn("_part", F.pmod(F.xxhash64("_tie"), F.lit(_PARTS)))
+    keys = ["_source", "_place", "_part"]
+    upto = Window.partitionBy("_source").orderBy("_place", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = edges.groupBy(*keys).agg(F.sum("_words").alias("_sum"))
+    starts = starts.select(*keys, F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_start"))
+    inside = F.sum("_words").over(Window.partitionBy(*keys).orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = edges.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(starts, keys)
+    ended = ranked.where(F.col("_start") + F.col("_inside") < F.col("rest") - F.col("cut")["start"])
+    out = whole.unionByName(before).unionByName(ended.drop("_place", "_tie", "_part", "_inside", "_start"))
     return out.withColumn("_block", h).withColumn("_row", row).select(
         "doc", F.col("_words").alias("words"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block_order"), F.col("_row").alias("row_order")
     )
-
-
-def _bounded(sources: DataFrame) -> DataFrame:
-    """Broadcast a settled table of one row a source, after a check of its size."""
-    n = sources.count()
-    if n > MOST_SOURCES:
-        raise ValueError(f"{n} sources; at most {MOST_SOURCES}")
-    return F.broadcast(sources)

@@ -362,6 +362,74 @@ def test_mixing_meets_its_weights(spark, docs, none):
     assert mixing.mix(docs).select("doc.*").columns == docs.columns and mixing.mix(none).count() == 0
 
 
+def mixed_by_hand(rows, hashes, entropy_share, max_repeats):
+    """The rules of mix() in plain Python. rows: (key, source, words); hashes: row and block orders by (epoch, key or block)."""
+    size = Counter(s for _, s, _ in rows)
+    blocks = {s: max(1, -(-n // mixing.BLOCK_ROWS)) for s, n in size.items()}
+    tokens = Counter()
+    for _, s, w in rows:
+        tokens[s] += w
+    names = sorted(s for s in tokens if tokens[s])
+    p = np.array([tokens[s] for s in names]) / sum(tokens.values())
+
+    def weighed(a):
+        w = p**a
+        return w / w.sum()
+
+    def bisect(good):
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if good(mid) else (lo, mid)
+        return lo, hi
+
+    entropy = lambda a: -(weighed(a) * np.log(weighed(a))).sum()
+    most = bisect(lambda a: entropy(a) >= entropy_share * np.log(len(p)))[0] if entropy(1.0) < entropy_share * np.log(len(p)) else 1.0
+    used = lambda a: (p ** (a - 1)).max() / (p ** (a - 1)).min()
+    a = max(most, bisect(lambda x: used(x) > max_repeats)[1])
+    w = weighed(a)
+    budget = max(tokens[s] / x for s, x in zip(names, w))
+    out = Counter()
+    for s, x in zip(names, w):
+        quota = int(np.floor(x * budget + 0.5))
+        full, rest = divmod(quota, tokens[s])
+        mine = [r for r in rows if r[1] == s]
+        for key, _, _ in mine:
+            out[s, key] += full
+        order = sorted(mine, key=lambda r: (hashes["block", full, hashes["key", r[0]] % blocks[s]], hashes["key", r[0]] % blocks[s], hashes["row", full, r[0]]))
+        at = 0
+        for key, _, words in order:
+            if at >= rest:
+                break
+            out[s, key] += 1
+            at += words
+    return Counter({k: n for k, n in out.items() if n})
+
+
+@pytest.mark.parametrize("limit", [100_000, 3])
+def test_mixing_equals_its_rules_by_hand(spark, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", limit)
+    rows = [(i if i % 4 else 8, " ".join(["w"] * (1 + i % 7 if i % 4 else 3)), f"s{0 if i % 10 < 6 else i % 10}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key, text = F.col("doc_id"), F.col("text")
+    hashes = {}
+    for r in docs.distinct().select("doc_id", "text", F.xxhash64(F.lit(17), key, text).alias("k"), *[F.xxhash64(F.lit(17), F.lit(e).cast("long"), key, text).alias(f"r{e}") for e in range(4)]).collect():
+        hashes["key", (r.doc_id, r.text)] = r.k
+        for e in range(4):
+            hashes["row", e, (r.doc_id, r.text)] = r[f"r{e}"]
+    for b in spark.range(60).select("id", *[F.xxhash64(F.lit(17), F.lit(e).cast("long"), F.col("id")).alias(f"b{e}") for e in range(4)]).collect():
+        for e in range(4):
+            hashes["block", e, b.id] = b[f"b{e}"]
+    want = mixed_by_hand([((i, t), "=" + s, len(t.split())) for i, t, s in rows], hashes, 0.95, 2.0)
+    got = mixing.mix(docs, entropy_share=0.95, max_repeats=2.0).groupBy("doc.source", "doc.doc_id", "doc.text").count().collect()
+    found = Counter({("=" + r.source, (r.doc_id, r.text)): r["count"] for r in got})
+    if limit == 3:  # sums in another order may move a quota by a word
+        assert sum((found - want).values()) + sum((want - found).values()) <= len({s for s, _ in want})
+    else:
+        assert found == want
+
+
 # --- 6 ---
 
 
