@@ -132,7 +132,9 @@ def canonical_turns(records: DataFrame, keys: list[str], mappings: tuple[Mapping
     """keys, pos, role, text, mapping, fingerprint: one row for each turn of each record (column `record`, JSON text).
 
     Records whose fingerprint no mapping has, and those that are not JSON objects, give one row with null pos and
-    mapping, so that nothing is lost unseen. Null texts are empty; null roles are empty.
+    mapping, so that nothing is lost unseen; mapped() makes an error of them. A record of more than 128 MB cannot be parsed and is one of them. Null
+    texts are empty; null roles are empty. Repeated records give their turns as often. An empty table gives no rows; columns of records
+    other than keys and `record` are ignored, and keys keep their names.
     """
     v = F.try_parse_json("record")
     known = records.select(*keys, v.alias("_v")).withColumn("fingerprint", fingerprint(field_paths(F.col("_v"))))
@@ -145,6 +147,12 @@ def canonical_turns(records: DataFrame, keys: list[str], mappings: tuple[Mapping
     ).select(*keys, "pos", "_turn.role", "_turn.text", "mapping", "fingerprint")
 
 
+def mapped(turns: DataFrame) -> DataFrame:
+    """Turns of canonical_turns(), all of which must have a mapping: a record without one fails the job instead of going."""
+    odd = F.raise_error(F.concat(F.lit("no mapping for a record of fingerprint "), F.coalesce(F.col("fingerprint").cast("string"), F.lit("null"))))
+    return turns.where(F.when(F.col("mapping").isNotNull() & F.col("pos").isNotNull(), F.lit(True)).otherwise(odd.cast("boolean")))
+
+
 # --- Template ------------------------------------------------------------------------------------------------------
 
 
@@ -180,7 +188,8 @@ def format_conversations(turns: DataFrame, key: str, order: list[str], loss_role
     turns: key, role, text and the order columns. The mask has for each turn the code points before its text, of its
     escaped text and behind it, and whether the text counts for the loss. Turns are first joined in parts of PART_TURNS,
     then parts, so that a conversation of very many turns meets in one place as a few long strings only. Ties in the order
-    are broken by role and text; rows with a null key are one conversation.
+    are broken by role and text, so repeated rows stay next to each other; rows with a null key are one conversation. Texts of
+    any length that a string may have are taken whole. Further columns are ignored, whatever their names; an empty table gives no rows.
     """
     clean = turns.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
     head, tail = F.length(escape_role(F.col("role"))) + len(START) + 1, F.lit(len(END) + 1)
@@ -196,12 +205,17 @@ def format_conversations(turns: DataFrame, key: str, order: list[str], loss_role
 
 
 def read_back(formatted: Column, mask: Column) -> Column:
-    """array<struct<role, text, loss>> of a formatted conversation. No text holds a start mark, so cutting there is exact."""
+    """array<struct<role, text, loss>> of a formatted conversation.
+
+    Roles and texts come from the string alone: no escaped role or text holds a mark or, in a role, a line end, so cutting
+    there is exact. The mask only says which texts count for the loss.
+    """
     chunks = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 2_000_000_000)
 
     def turn(c: Column, run: Column) -> Column:
-        role = unescape_role(F.substring(c, F.lit(1), run["head"] - len(START) - 1))
-        text = unescape(F.substring(c, run["head"] - len(START) + 1, run["text"]))
-        return F.struct(role.alias("role"), text.alias("text"), run["loss"].alias("loss"))
+        role = F.substring_index(c, "\n", 1)
+        size = F.length(c) - F.length(role) - (len(END) + 2)
+        text = unescape(F.substring(c, F.length(role) + 2, size))
+        return F.struct(unescape_role(role).alias("role"), text.alias("text"), run["loss"].alias("loss"))
 
     return F.zip_with(chunks, mask, turn)

@@ -570,6 +570,40 @@ def test_chat_layouts(spark):
     assert back[5] == [("we\nird\\n", "|x<", False)]
 
 
+def by_string_alone(formatted: str) -> list[tuple[str, str]]:
+    """Turns of a formatted conversation, read in plain Python without its mask."""
+    out = []
+    for c in formatted.split("<|im_start|>")[1:]:
+        role, _, rest = c.partition("\n")
+        role = re.sub(r"<\\(\\*)\|", r"<\1|", role)
+        role = re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role)
+        assert rest.endswith("<|im_end|>\n")
+        out.append((role, re.sub(r"<\\(\\*)\|", r"<\1|", rest[: -len("<|im_end|>\n")])))
+    return out
+
+
+def test_chat_reads_back_from_the_string_alone(spark):
+    rng = np.random.default_rng(6)
+    parts = ["<", "|", "\\", "n", "\n", "<|im_end|>", "<|im_start|>", "assistant", ">", "é", " ", "<\\|"]
+    words = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 14, 400)]
+    rows = [(i // 8, i % 8, words[i], words[-i - 1], "c", "c") for i in range(400)]
+    turns = spark.createDataFrame(rows, "c long, turn long, role string, text string, shown string, run string")
+    made = chat.format_conversations(turns, "c", ["turn"])
+    for r in made.select("c", "formatted", chat.read_back(F.col("formatted"), F.col("mask")).alias("t")).collect():
+        want = [(row[2], row[3]) for row in rows[8 * r.c : 8 * r.c + 8]]
+        assert by_string_alone(r.formatted) == want == [(x.role, x.text) for x in r.t]
+    assert chat.format_conversations(turns.where("false"), "c", ["turn"]).count() == 0
+
+
+def test_records_without_a_mapping_fail_the_job(spark):
+    good = spark.createDataFrame([(1, '{"role": "a", "text": "b"}')], "k long, record string")
+    bad = spark.createDataFrame([(2, '{"odd": 1}')], "k long, record string")
+    assert chat.mapped(chat.canonical_turns(good, ["k"])).count() == 1
+    with pytest.raises(Exception, match="no mapping"):
+        chat.mapped(chat.canonical_turns(good.union(bad), ["k"])).collect()
+    assert chat.canonical_turns(good.where("false"), ["k"]).count() == 0
+
+
 def test_long_conversations_keep_their_order(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"<|t{i}") for i in range(700)] + [(None, 0, None, None)]
     made = chat.format_conversations(spark.createDataFrame(rows, "c long, turn long, role string, text string"), "c", ["turn"])
