@@ -58,6 +58,9 @@ class Pieces:
                 self.weight[text] = (i, (rank + 2.0) ** -theta)
                 self.spelled[i] = text.encode("utf-8")
         self.rare = (2.0 * n) ** -theta
+        each = [self.spelled.get(i, b"") for i in range(n)]
+        #: The pieces' bytes end to end, and where each begins.
+        self.table = np.frombuffer(b"".join(each), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in each])])
         self.first_char_code = n  # an emission of n + c spells code point c in bytes
         self.longest = max(map(len, self.weight))
         if any(" " in p.lstrip(" ") for p in self.weight):
@@ -126,9 +129,12 @@ class Sampler:
     def _clear(self) -> None:
         self.end_of: dict[str, int] = {}
         self.nodes = 0
-        self.cum = np.zeros(0, np.int64)
+        #: By edge, sorted by end node: cumulated chance within the node, where it comes from, and its emission; and for
+        #: each node its first edge.
+        self.upto = np.zeros(0, np.int64)
         self.prev = np.zeros(0, np.int32)
         self.emit = np.zeros(0, np.int32)
+        self.first = np.zeros(0, np.int32)
 
     def _add(self, segments: list[str]) -> None:
         """Forward filtering of new segments, all of them at once: at each node the chance of each piece that ends there.
@@ -146,7 +152,7 @@ class Sampler:
         end = start + length
         depth = inside[pos] + length
         head = np.flatnonzero(np.diff(end, prepend=-1))  # the first edge into each node
-        rank = np.arange(len(end)) - np.repeat(head, np.diff([*head, len(end)]))
+        rank = np.arange(len(end)) - np.repeat(head, np.diff(head, append=len(end)))
         alpha = np.ones(len(points) + len(segments))
         chance = np.empty(len(end))
         by_depth = np.argsort(depth, kind="stable")
@@ -154,7 +160,7 @@ class Sampler:
         for j in range(1, int(size.max()) + 1):
             e = by_depth[cuts[j - 1] : cuts[j]]
             new = np.flatnonzero(rank[e] == 0)
-            which = np.repeat(np.arange(len(new)), np.diff([*new, len(e)]))
+            which = np.repeat(np.arange(len(new)), np.diff(new, append=len(e)))
             part = alpha[start[e]] * weight[e]
             upto, total = np.empty(len(e)), np.zeros(len(new))
             live, r = np.arange(len(e)), 0
@@ -173,7 +179,10 @@ class Sampler:
         last = np.append(head[1:] - 1, len(end) - 1)
         whole = np.floor(chance * (1 << _CHANCE_BITS)).astype(np.int64)
         whole[last] = 1 << _CHANCE_BITS
-        self.cum = np.concatenate([self.cum, (end + self.nodes << _CHANCE_BITS) + whole])
+        first_edge = np.zeros(len(alpha), np.int32)
+        first_edge[end[head]] = head + len(self.upto)
+        self.first = np.concatenate([self.first, first_edge])
+        self.upto = np.concatenate([self.upto, whole])
         self.prev = np.concatenate([self.prev, (start + self.nodes).astype(np.int32)])
         self.emit = np.concatenate([self.emit, emit.astype(np.int32)])
         ends = first + size + np.arange(len(segments)) + self.nodes
@@ -199,7 +208,11 @@ class Sampler:
         t = 0
         while len(who):
             u = (_mix(keys[who] + _GOLDEN * np.uint64(t + 1)) >> np.uint64(64 - _CHANCE_BITS)).astype(np.int64)
-            edge = np.searchsorted(self.cum, (live << _CHANCE_BITS) + u, side="right")
+            edge = self.first[live]
+            over = np.flatnonzero(self.upto[edge] <= u)
+            while len(over):  # nodes have few edges, so steps from the first are nearer than a search among all
+                edge[over] += 1
+                over = over[self.upto[edge[over]] <= u[over]]
             steps.append((who, self.emit[edge]))
             counts[who] += 1
             live = self.prev[edge].astype(np.int64)
@@ -246,6 +259,20 @@ def encode_texts(texts: list[str], seeds: np.ndarray, sampler: Sampler) -> list[
     return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def lossless(flat: np.ndarray, sizes: np.ndarray, texts: list[str], table: tuple[np.ndarray, np.ndarray]) -> list[bool]:
+    """Whether the ids of each text, laid end to end, decode to it. table: the bytes of all pieces and where each begins."""
+    data, starts = table
+    length = (starts[1:] - starts[:-1])[flat]
+    ends = np.cumsum(length)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[flat] - (ends - length), length)
+    decoded = data[at].tobytes()
+    wanted = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    if decoded == b"".join(wanted):
+        return [True] * len(texts)
+    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [decoded[a:b] == w for a, b, w in zip(cuts, cuts[1:], wanted)]
+
+
 def decode_ids(ids, spelled: dict[int, bytes]) -> str:
     """The text of piece ids: pieces joined, without the blank that encoding puts in front."""
     return b"".join([spelled[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
@@ -263,12 +290,13 @@ def row_seeds(ids: pa.Array, seed: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, model_path: str, seed: int = 7, theta: float = THETA) -> DataFrame:
-    """(doc_id, ids array<int>, n_pieces, n_chars) per row of docs: a segmentation sampled for its doc_id and the seed.
+    """(doc_id, ids array<int>, n_pieces, n_chars, lossless) per row of docs: a segmentation sampled for its doc_id and seed.
 
     A segmentation's chance is the product of its pieces' weights over the sum for all segmentations of the text; it is
     drawn exactly, by filtering forward and sampling backward. The same doc_id, text, model and seed give the same ids on
-    any cluster. Null and empty texts have no ids. Rows with a null doc_id share a seed; repeated rows get equal ids.
-    Further columns are ignored. Whole texts are encoded.
+    any cluster. The ids are decoded again; lossless says whether the text came back. Null and empty texts have no ids. Rows
+    with a null doc_id share a seed; repeated rows get equal ids. Further columns are ignored, whatever their names; an empty
+    table gives no rows. Whole texts are encoded; a segment without blanks takes a step for each of its characters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,13 +316,15 @@ def encode(docs: DataFrame, model_path: str, seed: int = 7, theta: float = THETA
                     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
                     chars = pa.array([len(t) for t in texts], pa.int64())
+                    back = pa.array(lossless(flat, sizes, texts, sampler.pieces.table), pa.bool_())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(lo, hi - lo), lists, pa.array(sizes), chars], ["doc_id", "ids", "n_pieces", "n_chars"]
+                        [batch.column(0).slice(lo, hi - lo), lists, pa.array(sizes), chars, back],
+                        ["doc_id", "ids", "n_pieces", "n_chars", "lossless"],
                     )
                     lo = hi
 
     given = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
-    return given.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, n_chars long")
+    return given.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, n_chars long, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -174,5 +174,5 @@ def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled piece ids of every document."""
+    """The sampled piece ids of every document, and whether they decode to its text."""
     return pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))

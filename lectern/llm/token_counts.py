@@ -1,10 +1,14 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The byte-level BPE tokenizer is compiled to two deterministic machines. The boundary machine reads code-point classes
-and says where a pre-token begins; its transitions carry the offsets of the boundaries they decide. The lexical machine
-gives a finished pre-token the number of tokens it emits. A text is cut into chunks of equal length. Every chunk is run
-from the start state, and from each other state only until both runs meet, which gives the chunk's map from entry state
-to exit state. A prefix scan composes the maps, which fixes each chunk's entry state and with it all boundaries.
+The byte-level BPE tokenizer is compiled to two parts. The boundary machine, a deterministic transducer, reads code-point
+classes and says where a pre-token begins; its transitions carry the offsets of the boundaries they decide. A text is cut
+into chunks of equal length. Every chunk is run from the start state, and from each other state only until both runs meet,
+which gives the chunk's map from entry state to exit state. A prefix scan composes the maps, which fixes each chunk's entry
+state and with it all boundaries.
+
+The number of tokens that a finished pre-token emits is not on transitions: a transducer over all pre-tokens has no bound, as
+merges look at the whole pre-token. The Lexicon gives it: a table from pre-token to count, filled by the merge rules when a
+pre-token is met for the first time and emptied when full. A chunk's count is the sum of its pre-tokens' counts.
 """
 
 from __future__ import annotations

@@ -440,7 +440,20 @@ def test_pieces_round_trip_and_repeat(docs, none):
     assert Counter((r.doc_id, tuple(r.ids)) for r in a) == Counter((r.doc_id, tuple(r.ids)) for r in b)
     back = Counter((r.doc_id, r.text) for r in pieces.decode(out, path).collect())
     assert back == Counter((r.doc_id, r.text or "") for r in docs.collect())
-    assert pieces.encode(none, path).count() == 0
+    assert all(r.lossless for r in a) and pieces.encode(none, path).count() == 0
+
+
+def test_a_changed_id_is_not_lossless():
+    table = pieces.Pieces(tokenizer_file("piece_bpe_32k.model")).table
+    sampler = pieces.Sampler(pieces.Pieces(tokenizer_file("piece_bpe_32k.model")))
+    texts = ["one two", "", "three ▁ é日\U0001d11e", "x" * 20_000]
+    with np.errstate(over="ignore"):
+        ids = pieces.encode_texts(texts, np.arange(4, dtype=np.uint64), sampler)
+    sizes = np.array([len(x) for x in ids])
+    flat = np.concatenate(ids)
+    assert pieces.lossless(flat, sizes, texts, table) == [True] * 4
+    flat[0] = ids[2][0]
+    assert pieces.lossless(flat, sizes, texts, table) == [False, True, True, True]
 
 
 def test_pieces_are_drawn_by_their_weights():
