@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, running_start, settle, spread_join
+from .common import BUCKET_ROWS, MOST_BUCKETS, drop_settled, running_start, settle, spread_join
 
 SHARDS = 40
 #: Rounds after which propagation is taken for stuck. Each round raises the number of links inside shards, so it ends; a
@@ -99,11 +99,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MOS
     # shards, so at most `shards`. A third of all rows may have one link.
     part = F.array_sort(F.collect_list(F.struct("shard", "n")))
     upto = F.transform(part, lambda p, i: F.struct(F.aggregate(F.slice(part, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("upto"), p["shard"].alias("shard")))
-    parts = groups.drop("members").join(linked.groupBy("link").agg(upto.alias("parts")), "link")
-    known = spread_join(items, parts.select("link", "parts"), parts.select("link", "_n"), "link", total, F.xxhash64("doc_id", "size"), "left")
+    # A group has as many buckets as its size asks for, so that their sums are few rows.
+    buckets = F.least(F.greatest(F.floor(F.col("_n") / BUCKET_ROWS), F.lit(1)), F.lit(MOST_BUCKETS)).alias("buckets")
+    parts = groups.join(linked.groupBy("link").agg(upto.alias("parts")), "link").select("link", "parts", buckets, "_n")
+    known = spread_join(items, parts.drop("_n"), parts.select("link", "_n"), "link", total, F.xxhash64("doc_id", "size"), "left")
     marked = settle(known)
     order = [F.col("doc_id"), F.col("size")]
-    ranked = running_start(marked.where("parts IS NOT NULL"), ["link"], order, "n", "start", total)
+    bucket = F.pmod(F.xxhash64(*order), F.col("buckets"))
+    ranked = running_start(marked.where("parts IS NOT NULL"), ["link"], order, "n", "start", total, bucket)
     placed = ranked.select("doc_id", "size", "text_crc32", F.inline(_spans(F.col("parts"), F.col("start"), F.col("n"))))
 
     # The others fill what is left, shard after shard, by a rank over all of them.
@@ -112,10 +115,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, max_rounds: int = MOS
     for s in range(shards):
         at += capacity[s] - used.get(s, 0)
         ends.append(F.struct(F.lit(at).cast("long").alias("upto"), F.lit(s).alias("shard")))
-    alone = running_start(marked.where("parts IS NULL").drop("parts"), [], [F.col("link"), *order], "n", "start", total)
+    alone = running_start(marked.where("parts IS NULL").drop("parts", "buckets"), [], [F.col("link"), *order], "n", "start", total)
     filled = alone.select("doc_id", "size", "text_crc32", F.inline(_spans(F.array(*ends), F.col("start"), F.col("n"))))
     everyone = settle(placed.unionByName(filled))
-    slots = running_start(everyone, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "n", "first", total)
+    slots = running_start(everyone, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "n", "first", total // shards)
     slot = F.explode(F.sequence(F.col("first"), F.expr("first + n - 1"))).alias("slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot, F.lit(None).cast("int").alias("grown_shard"))
 
