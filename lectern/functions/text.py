@@ -31,10 +31,14 @@ WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
 def tokens(text: Column) -> Column:
-    """array<struct<t string, s boolean>>: the tokens of a text and whether white space follows each."""
-    found = F.regexp_extract_all(text, F.lit(rf"({TOKEN})(\s*)"), F.lit(1))
-    gaps = F.regexp_extract_all(text, F.lit(rf"({TOKEN})(\s*)"), F.lit(2))
-    return F.zip_with(found, gaps, lambda t, g: F.struct(t.alias("t"), (g != "").alias("s")))
+    """array<struct<t string, s boolean>>: the tokens of a text and whether white space follows each. One match pass."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?:{TOKEN})\s*"), F.lit(0))
+
+    def cut(x: Column) -> Column:
+        t = F.rtrim(x, F.lit(" \t\n\x0b\f\r"))
+        return F.struct(t.alias("t"), (F.octet_length(t) < F.octet_length(x)).alias("s"))
+
+    return F.transform(found, cut)
 
 
 def is_word(token: Column) -> Column:
@@ -45,10 +49,39 @@ def is_cjk(text: Column) -> Column:
     return F.regexp_like(text, F.lit(f"[{CJK}]"))
 
 
-def sentence_ends(toks: Column) -> Column:
-    """array<int>: the token index behind each sentence.
+def sentence_ends(toks: Column, text: Column) -> Column:
+    """array<int>: the token index behind each sentence of a text.
+
+    Texts without CJK characters and dandas, in which a sentence ends at white space only, go the short way.
+    """
+    wide = F.regexp_like(text, F.lit(f"[{CJK}{''.join((*CJK_STOPS, *DANDAS))}]"))
+    return F.when(wide, _ends_one_by_one(toks)).otherwise(_ends_by_code(toks))
+
+
+def _ends_by_code(toks: Column) -> Column:
+    """Ends by a pattern over one letter for each token: o opens a run of stops, t prolongs it, q does so and may begin a
+    sentence, c may begin one, x is any other; a capital letter has white space behind it."""
+    heads = ("(", "[", "“", "‘")
+
+    def code(x: Column, i: Column) -> Column:
+        t, first = x["t"], F.substring(x["t"], 1, 1)
+        prev = F.coalesce(F.get(toks, i - 1)["t"], F.lit(""))
+        short = (t == ".") & (F.lower(prev).isin(*ABBREVIATIONS) | (F.octet_length(prev) == 1) & prev.between("A", "Z"))
+        starts = first.between("A", "Z") | first.between("0", "9") | first.isin(*heads)
+        kind = F.when(t.isin(*STOPS), F.when(short, "t").otherwise("o")).when(t == '"', "q").when(t.isin(*CLOSERS), "t").when(starts, "c").otherwise("x")
+        return F.when(x["s"], F.upper(kind)).otherwise(kind)
+
+    codes = F.array_join(F.transform(toks, code), "")
+    parts = F.split(F.regexp_replace(codes, "(o[otq]*[OTQ]|O)(?=[cCqQ])", "$1|"), r"\|")
+    none = F.array().cast("array<int>")
+    upto = F.aggregate(parts, none, lambda a, p: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + F.length(p))))
+    return F.when(F.size(toks) > 0, upto).otherwise(none)
+
+
+def _ends_one_by_one(toks: Column) -> Column:
+    """Ends by one pass over the tokens.
 
-    One pass over the tokens. A stop that may end a sentence opens a run, which closers and stops without space between
+    A stop that may end a sentence opens a run, which closers and stops without space between
     them prolong; the token behind the run decides. A number and its stop at the start of a text end nothing, nor do a
     stop behind an abbreviation or a single capital.
     """
@@ -87,8 +120,8 @@ def plain(toks: Column) -> Column:
 
 def sentence_texts(toks: Column, ends: Column) -> Column:
     """array<string>: the texts of the sentences."""
-    starts = F.concat(F.array(F.lit(0)), ends)
-    return F.transform(ends, lambda e, i: plain(F.slice(toks, F.get(starts, i) + 1, e - F.get(starts, i))))
+    before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+    return F.transform(ends, lambda e, i: plain(F.slice(toks, before(i) + 1, e - before(i))))
 
 
 def head_size(toks: Column, n: int) -> Column:

@@ -22,7 +22,7 @@ def with_sentences(units: DataFrame) -> DataFrame:
     """units with toks, ends and sentences. Arrays inside a row: no shuffle."""
     return (
         units.withColumn("toks", T.tokens(F.col("text")))
-        .withColumn("ends", T.sentence_ends(F.col("toks")))
+        .withColumn("ends", T.sentence_ends(F.col("toks"), F.col("text")))
         .withColumn("sentences", T.sentence_texts(F.col("toks"), F.col("ends")))
     )
 

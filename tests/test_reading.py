@@ -262,3 +262,15 @@ def test_calendar_and_streams(spark, tmp_path):
     stream = readers.stream_docs(spark, str(tmp_path / "in"), docs.schema)
     streams.run_to_table(streams.fold_stream(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_both_ways_to_sentence_ends_agree(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["Foo", "bar", ".", ". ", "?", "! ", ")", ") ", '"', '" ', "’", "1", "1. ", "etc", "A", "(", " (", "[x] ", " ", "e.g. ", "“Ab ", "é", "Dr. ", "\t", "x,"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 14)))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, text string").withColumn("toks", T.tokens(F.col("text")))
+    both = df.select("text", T._ends_by_code(F.col("toks")).alias("a"), T._ends_one_by_one(F.col("toks")).alias("b"))
+    assert [r for r in both.collect() if r.a != r.b] == []
+    assert both.where("size(a) > 1").count() > 500
