@@ -19,6 +19,7 @@ BUDGETS = {
     "cjk": (28, 50, 6, 32, "characters"), "thai": (80, 130, 18, 90, "characters"), "hangul": (12, 22, 3, 14, "words"),
     "vi": (24, 40, 6, 27, "words"), "other": (16, 26, 4, 18, "words"),
 }
+# Fixed values, as results must agree to the letter: word lists and character lists that decide a text's language.
 #: Small words by which Latin languages are told, in the order in which ties are broken.
 SMALL_WORDS = {
     "en": "the of and to in is that for with as on are this by be it from at or an which we not",

@@ -67,8 +67,12 @@ def _ends_by_code(toks: Column) -> Column:
         t, first = x["t"], F.substring(x["t"], 1, 1)
         prev = F.coalesce(F.get(toks, i - 1)["t"], F.lit(""))
         short = (t == ".") & (F.lower(prev).isin(*ABBREVIATIONS) | (F.octet_length(prev) == 1) & prev.between("A", "Z"))
-        starts = first.between("A", "Z") | first.between("0", "9") | first.isin(*heads)
-        kind = F.when(t.isin(*STOPS), F.when(short, "t").otherwise("o")).when(t == '"', "q").when(t.isin(*CLOSERS), "t").when(starts, "c").otherwise("x")
+        # Most tokens are words, which the first tests settle.
+        kind = (
+            F.when(first.between("a", "z"), "x").when(first.between("A", "Z") | first.between("0", "9"), "c")
+            .when(t.isin(*STOPS), F.when(short, "t").otherwise("o")).when(t == '"', "q").when(t.isin(*CLOSERS), "t")
+            .when(first.isin(*heads), "c").otherwise("x")
+        )
         return F.when(x["s"], F.upper(kind)).otherwise(kind)
 
     codes = F.array_join(F.transform(toks, code), "")

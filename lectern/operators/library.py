@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,35 +91,43 @@ def folder_tree(folders: DataFrame, placements: DataFrame) -> DataFrame:
 
 
 def apply_folder_changes(changes: DataFrame) -> DataFrame:
-    """folder_id, name, parent of the folders that stand after changes in order: new, rename, nest, delete.
+    """tree, folder_id, name, parent of the folders that stand after changes in order: new, rename, nest, delete.
 
-    changes: seq, op, folder_id, name, parent. What a deleted folder held moves to its parent, up to one that stands. A
-    nest into itself or below itself is refused, by the state before it.
+    changes: tree, seq, op, folder_id, name, parent. Each change meets the state before it: one that names no standing
+    folder is refused, as is a nest into itself or below itself; what a deleted folder held moves to its parent. A tree is
+    one reader's folders, so its changes are replayed in one group; trees are independent.
     """
-    spark = changes.sparkSession
-    names = changes.where("op IN ('new', 'rename')").groupBy("folder_id").agg(F.max_by("name", "seq").alias("name"))
-    made = changes.where("op = 'new'").select("folder_id", F.col("parent").alias("first_parent"))
-    nests = changes.where("op = 'nest' AND folder_id <> parent")
-    # A nest below itself: the new parent's line upwards, as folders were made, holds the folder.
-    made.createOrReplaceTempView("_made")
-    line = spark.sql("""
-        WITH RECURSIVE up(folder_id, above, n) AS (
-          SELECT folder_id, first_parent, 1 FROM _made WHERE first_parent IS NOT NULL
-          UNION ALL SELECT up.folder_id, m.first_parent, n + 1 FROM up JOIN _made m ON up.above = m.folder_id
-          WHERE m.first_parent IS NOT NULL AND n < 64)
-        SELECT folder_id AS parent, above AS folder_id FROM up""")
-    nests = nests.join(line, ["parent", "folder_id"], "left_anti")
-    moved = nests.groupBy("folder_id").agg(F.max_by("parent", "seq").alias("moved"))
-    placed = made.join(moved, "folder_id", "left").select("folder_id", F.coalesce("moved", "first_parent").alias("parent"))
-    gone = changes.where("op = 'delete'").select("folder_id").distinct()
-    placed.join(gone, "folder_id", "left_semi").createOrReplaceTempView("_gone")
-    lifted = spark.sql("""
-        WITH RECURSIVE g(folder_id, parent, n) AS (
-          SELECT folder_id, parent, 0 FROM _gone
-          UNION ALL SELECT g.folder_id, x.parent, n + 1 FROM g JOIN _gone x ON g.parent = x.folder_id WHERE n < 64)
-        SELECT folder_id AS parent, max_by(parent, n) AS up FROM g GROUP BY folder_id""")
-    kept = placed.join(gone, "folder_id", "left_anti").join(lifted.withColumn("was_gone", F.lit(True)), "parent", "left")
-    return kept.select("folder_id", F.when(F.col("was_gone"), F.col("up")).otherwise(F.col("parent")).alias("parent")).join(names, "folder_id", "left").select("folder_id", "name", "parent")
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        names: dict[str, str] = {}
+        parents: dict[str, str | None] = {}
+        for op, folder, name, parent in pdf.sort_values("seq")[["op", "folder_id", "name", "parent"]].itertuples(index=False):
+            parent = parent if isinstance(parent, str) else None
+            if parent is not None and parent not in parents:
+                continue
+            if op == "new" and folder not in parents:
+                names[folder], parents[folder] = name, parent
+            elif folder not in parents:
+                continue
+            elif op == "rename":
+                names[folder] = name
+            elif op == "nest":
+                above = parent
+                while above is not None and above != folder:
+                    above = parents[above]
+                if above is None:
+                    parents[folder] = parent
+            elif op == "delete":
+                up = parents.pop(folder)
+                for other, own in parents.items():
+                    if own == folder:
+                        parents[other] = up
+        out = pd.DataFrame([(f, names[f], p) for f, p in parents.items()], columns=["folder_id", "name", "parent"])
+        out.insert(0, "tree", pdf["tree"].iloc[0])
+        return out
+
+    kind = changes.schema["tree"].dataType.simpleString()
+    return changes.groupBy("tree").applyInPandas(replay, f"tree {kind}, folder_id string, name string, parent string")
 
 
 def library_times(events: DataFrame, known: DataFrame | None = None) -> DataFrame:

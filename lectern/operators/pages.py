@@ -276,11 +276,11 @@ def _matcher(selector: str):
 def apply_recipes(pages: DataFrame, recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(page_id, host, text, hits map), (host, selector, hits): pages read by their site's rules, and how often each matched.
 
-    recipes: host, article, drop, content (arrays of selectors); one row a site, few enough to be written by hand and
-    broadcast. Selectors outside the subset (such as pseudo-states) match nothing and show no hits.
+    recipes: host, article, drop, content (arrays of selectors); one row a site. Spark broadcasts them if they are small and
+    shuffles pages by host if not. Selectors outside the subset (such as pseudo-states) match nothing and show no hits.
     """
     host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit(""))), r"^www\.", "")
-    joined = pages.withColumn("host", host).join(F.broadcast(recipes), "host")
+    joined = pages.withColumn("host", host).join(recipes, "host")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

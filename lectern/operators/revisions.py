@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 NEAREST, ALIKE = 12, 0.5
 #: Contexts: what a passage at a text's edge scores, and what several places with the same words must reach.
 EDGE, FIT = 20, 8
+#: Characters of context that can tell a passage whose own words are gone.
+CONTEXT = 12
 
 
 def _likeness(a: str, b: str, least: float) -> float:
@@ -132,17 +135,18 @@ def _shared_start(a: Column, b: Column, most: int = 40) -> Column:
 
 
 def reanchor(notes: DataFrame, new: DataFrame, alignment: DataFrame) -> DataFrame:
-    """doc_id, note_id, unit_id, start, state: where each note's passage is in the new text.
+    """doc_id, note_id, unit_id, start, size, state: where each note's passage is in the new text.
 
     notes: doc_id, note_id, unit_id, exact, prefix, suffix; new: doc_id, pos, unit_id, text. A unit word for word the same
     keeps its note (state kept). Else each place of the exact words is scored by how much of the contexts fits, the
     edited unit breaks ties, then the nearest place; a single place is taken, of several one that fits by eight or is in
-    the edited unit (found). Else the note is lost, on the edited unit if there is one. Places are found inside the same
+    the edited unit (found). Where the words are nowhere, what stands between the old contexts is taken, if these have
+    CONTEXT characters and the gap is at most twice the words and 40: in the edited unit, or in one place only (found). Else the note is lost, on the edited unit if there is one. Places are found inside the same
     document only.
     """
     a = alignment.select("doc_id", F.col("old_id").alias("unit_id"), "new_id", "kind", "at")
     n = notes.join(a, ["doc_id", "unit_id"], "left")
-    kept = n.where("kind = 'same'").select("doc_id", "note_id", F.col("new_id").alias("unit_id"), F.lit(None).cast("int").alias("start"), F.lit("kept").alias("state"))
+    kept = n.where("kind = 'same'").select("doc_id", "note_id", F.col("new_id").alias("unit_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit("kept").alias("state"))
     rest = n.where("kind IS NULL OR kind <> 'same'").drop("unit_id")
     cand = rest.where("trim(exact) <> ''").join(new.select("doc_id", F.col("unit_id").alias("u"), "pos", "text"), "doc_id").where("contains(text, exact)")
     # Overlapping places count: every start at which the words stand.
@@ -156,11 +160,32 @@ def reanchor(notes: DataFrame, new: DataFrame, alignment: DataFrame) -> DataFram
     w = Window.partitionBy("doc_id", "note_id")
     scored = hit.withColumns({"fit": fit, "near": near, "far": F.abs(F.col("pos") - F.coalesce("at", F.lit(0)))})
     scored = scored.withColumns({"k": F.row_number().over(w.orderBy(F.desc("fit"), F.desc("near"), "far", "pos", "i")), "hits": F.count(F.lit(1)).over(w)})
-    found = scored.where("k = 1 AND (hits = 1 OR fit >= %d OR near)" % FIT).select("doc_id", "note_id", F.col("u").alias("unit_id"), F.col("i").alias("start"), F.lit("found").alias("state"))
-    lost = rest.join(found, ["doc_id", "note_id"], "left_anti").select("doc_id", "note_id", F.col("new_id").alias("unit_id"), F.lit(None).cast("int").alias("start"), F.lit("lost").alias("state"))
+    found = scored.where("k = 1 AND (hits = 1 OR fit >= %d OR near)" % FIT).select("doc_id", "note_id", F.col("u").alias("unit_id"), F.col("i").alias("start"), F.length("exact").alias("size"), F.lit("found").alias("state"))
+    gone = rest.where("trim(exact) <> ''").join(hit.select("doc_id", "note_id").distinct(), ["doc_id", "note_id"], "left_anti")
+    found = found.unionByName(_between(gone, new))
+    lost = rest.join(found, ["doc_id", "note_id"], "left_anti").select("doc_id", "note_id", F.col("new_id").alias("unit_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit("lost").alias("state"))
     return kept.unionByName(found).unionByName(lost)
 
 
+def _between(gone: DataFrame, new: DataFrame) -> DataFrame:
+    """found rows of notes whose words are nowhere, by what stands between their contexts. gone: a note's columns and new_id."""
+    told = gone.withColumns({c: F.coalesce(c, F.lit("")) for c in ("prefix", "suffix")}).where(F.length("prefix") + F.length("suffix") >= CONTEXT)
+    cand = told.join(new.select("doc_id", F.col("unit_id").alias("u"), "pos", "text"), "doc_id").where("contains(text, prefix) AND contains(text, suffix)")
+    # Where a prefix ends: the lengths of the parts before, which the prefix cuts the text into.
+    cut = F.split("text", F.concat(F.lit("\\Q"), "prefix", F.lit("\\E")))
+    ends = F.transform(F.sequence(F.lit(1), F.size("cut") - 1), lambda i: F.length(F.array_join(F.slice("cut", 1, i), "")) + i * F.length("prefix"))
+    starts = cand.withColumn("cut", F.when(F.col("prefix") != "", cut)).withColumn("s", F.explode(F.when(F.col("prefix") != "", ends).otherwise(F.array(F.lit(0)))))
+    stop = F.expr("CASE WHEN suffix = '' THEN length(text) ELSE locate(suffix, text, s + 1) - 1 END")
+    gaps = starts.withColumn("e", stop).where("e >= s").withColumn("gap", F.expr("substring(text, s + 1, e - s)"))
+    gaps = gaps.where("trim(gap) <> '' AND length(gap) <= 2 * length(exact) + 40").withColumn("near", F.coalesce(F.col("u") == F.col("new_id"), F.lit(False)))
+    w = Window.partitionBy("doc_id", "note_id")
+    ranked = gaps.withColumns({"k": F.row_number().over(w.orderBy(F.desc("near"), "pos", "s")), "places": F.count(F.lit(1)).over(w)})
+    inner = F.length("gap") - F.length(F.ltrim("gap"))
+    return ranked.where("k = 1 AND (near OR places = 1)").select(
+        "doc_id", "note_id", F.col("u").alias("unit_id"), (F.col("s") + inner).cast("int").alias("start"), F.length(F.trim("gap")).alias("size"), F.lit("found").alias("state")
+    )
+
+
 def section_target(asked: DataFrame, old: DataFrame, new: DataFrame, alignment: DataFrame) -> DataFrame:
     """asked (doc_id, section_id) with target: the section itself if it is still there, else where most of its units are,
     else the one before its place, else the first. An as-of lookup by place."""
@@ -177,29 +202,71 @@ def section_target(asked: DataFrame, old: DataFrame, new: DataFrame, alignment:
     return out.select("doc_id", "section_id", F.coalesce(F.when(F.col("_here"), F.col("section_id")), "most", "before", "first").alias("target"))
 
 
+def _word_places(was: list[tuple[int, str]], now: list[tuple[int, str]], most_cells: int) -> list[tuple[int, str, str]]:
+    """(pos, was, now) of what differs between two runs of units, word by word; changes with only white space between
+    them are one. pos is the new unit's that a change begins in, the old one's if the run has no new unit."""
+
+    def words(units: list[tuple[int, str]]) -> list[tuple[int, str]]:
+        cut = [(pos, w) for pos, text in units for w in [*re.split(r"(\s+)", text), "\n\n"] if w]
+        return cut[:-1]
+
+    a, b = words(was), words(now)
+    ta, tb = [w for _, w in a], [w for _, w in b]
+    # What both begin and end with is set aside first: an edit is mostly a few words.
+    s = e = 0
+    while s < min(len(ta), len(tb)) and ta[s] == tb[s]:
+        s += 1
+    while e < min(len(ta), len(tb)) - s and ta[-1 - e] == tb[-1 - e]:
+        e += 1
+    ma, mb = ta[s : len(ta) - e], tb[s : len(tb) - e]
+    if len(ma) * len(mb) > most_cells:
+        ops = [("replace", 0, len(ma), 0, len(mb))]
+    else:
+        ops = difflib.SequenceMatcher(None, ma, mb, autojunk=False).get_opcodes()
+    ops = [(op, i1 + s, i2 + s, j1 + s, j2 + s) for op, i1, i2, j1, j2 in ops]
+    out: list[list] = []
+    gap, open_ = "", False
+    for op, i1, i2, j1, j2 in ops:
+        if op == "equal":
+            gap = "".join(ta[i1:i2])
+            open_ = open_ and gap.isspace()
+            continue
+        if open_:
+            out[-1][1] += gap
+            out[-1][2] += gap
+        else:
+            at = b[j1][0] if j1 < len(b) else b[-1][0] if b else a[i1][0]
+            out.append([at, "", ""])
+        out[-1][1] += "".join(ta[i1:i2])
+        out[-1][2] += "".join(tb[j1:j2])
+        open_ = True
+    return [(pos, x.strip(), y.strip()) for pos, x, y in out if x.strip() or y.strip()]
+
+
 def edit_places(old: DataFrame, new: DataFrame, most_cells: int = 1_000_000) -> DataFrame:
-    """doc_id, pos, was, now: what changed between two versions: units first, then runs of words inside a changed unit.
+    """doc_id, pos, was, now: what changed between two versions: units first, then runs of words inside replaced units.
 
-    old, new: doc_id, pos, text; a unit is compared with the one at its place. Units with equal texts are set aside by a
-    full outer join; only changed ones go to Python. Pairs of very long units are one change.
+    old, new: doc_id, pos, text. Documents in which every unit has its text at its place are set aside by a full outer
+    join; of the others the units are aligned by their texts, whatever their places, so that a unit put in between changes
+    no other. Runs of units with more than most_cells pairs of words are one change. One changed document is one group.
     """
-    o, n = old.select("doc_id", "pos", F.col("text").alias("was")), new.select("doc_id", "pos", F.col("text").alias("now"))
-    changed = o.join(n, ["doc_id", "pos"], "full").where("NOT (was <=> now)")
-
-    def words(batches):
-        for pdf in batches:
-            rows = []
-            for doc, pos, was, now in pdf[["doc_id", "pos", "was", "now"]].itertuples(index=False):
-                a, b = (was or "").split(" "), (now or "").split(" ")
-                if was is None or now is None or len(a) * len(b) > most_cells:
-                    rows.append((doc, pos, was, now))
-                    continue
-                for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                    if op != "equal":
-                        rows.append((doc, pos, " ".join(a[i1:i2]), " ".join(b[j1:j2])))
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "was", "now"])
+    # New names of old columns, as the versions may come from one table.
+    o = old.select(F.col("doc_id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("was"))
+    n = new.select(F.col("doc_id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("now"))
+    changed = o.join(n, ["doc_id", "pos"], "full").where("NOT (was <=> now)").select("doc_id").distinct()
 
-    return changed.mapInPandas(words, "doc_id long, pos int, was string, now string")
+    def places(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
+        a, b = (list(x.sort_values("pos")[["pos", x.columns[2]]].itertuples(index=False, name=None)) for x in (before, after))
+        rows = []
+        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, [t for _, t in a], [t for _, t in b], autojunk=False).get_opcodes():
+            if op != "equal":
+                rows += _word_places(a[i1:i2], b[j1:j2], most_cells)
+        out = pd.DataFrame(rows, columns=["pos", "was", "now"])
+        out.insert(0, "doc_id", (before if len(before) else after)["doc_id"].iloc[0])
+        return out
+
+    sides = [x.join(changed, "doc_id", "left_semi").groupBy("doc_id") for x in (o, n)]
+    return sides[0].cogroup(sides[1]).applyInPandas(places, "doc_id long, pos int, was string, now string")
 
 
 def changed_sections(prompts: DataFrame, replies: DataFrame) -> DataFrame:

@@ -21,9 +21,13 @@ _WIDE = r"[぀-ヿ㐀-鿿가-힯]"
 CITE = r"\[\[\s*([^\[\]]+?)\s*\]\]"
 
 
+# Fixed value: what counts as a term of a question.
+TERM = r"([a-z][a-z0-9]*(?:[=<>≤≥]\d+)?|\d+(?:\.\d+)?)"
+
+
 def query_terms(text: Column) -> Column:
     """array<string>: the words a question can be matched on, with repeats: Latin words, numbers, forms as d=4, CJK pairs."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z][a-z0-9]*(?:[=<>≤≥]\d+)?|\d+(?:\.\d+)?)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1))
     latin = F.filter(found, lambda w: ~w.isin(*QUERY_STOP) & (F.length(w) > 1))
     runs = F.regexp_extract_all(text, F.lit(rf"({_WIDE}{{2,}})"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
@@ -55,14 +59,33 @@ def fold_accents(text: Column) -> Column:
     return F.translate(F.lower(text), "".join(plain), "".join(v * len(k) for k, v in plain.items()))
 
 
-def find(texts: DataFrame, query: str) -> DataFrame:
-    """doc_id, pos, place, start: non-overlapping hits of a query in texts (doc_id, pos, place, text), accents and case aside."""
-    needle = fold_accents(F.lit(query))
-    parts = F.split(fold_accents(F.col("text")), F.concat(F.lit("\\Q"), needle, F.lit("\\E")))
-    size = len(query)
-    upto = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.aggregate(F.slice("_p", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * size)
-    hits = texts.where(fold_accents(F.col("text")).contains(needle)).withColumn("_p", parts)
-    return hits.select("doc_id", "pos", "place", F.explode(upto).alias("start"))
+def find(levels: DataFrame, query: str, level: str = "full", sections: DataFrame | None = None) -> DataFrame:
+    """doc_id, pos, place, start: non-overlapping hits of a query, accents, case and runs of white space aside.
+
+    levels: doc_id, pos, full and the level's column. place is the level for a hit in its text; `open` for one in
+    the full text that the level leaves out; `section` for a section (doc_id, pos, title) whose title holds the query (start
+    null). A hit of the full text counts as shown if the level's text stands in the full text and covers its start.
+    """
+    words = " ".join(query.split())
+    if not words:
+        return levels.select("doc_id", "pos", F.lit("").alias("place"), F.lit(0).alias("start")).where("false")
+    needle = fold_accents(F.lit(words))
+    flat = lambda c: fold_accents(F.regexp_replace(F.trim(c), r"\s+", " "))
+    sides = [(level, level)] + ([("open", "full")] if level != "full" else [])
+    folded = levels.select("doc_id", "pos", *[flat(F.col(c)).alias(f"_{p}") for p, c in sides])
+    each = F.array(*[F.struct(F.lit(p).alias("place"), F.col(f"_{p}").alias("text")) for p, _ in sides])
+    rows = folded.select("doc_id", "pos", F.instr("_open", F.col(f"_{level}")).alias("at") if level != "full" else F.lit(0).alias("at"), F.length(f"_{level}").alias("n"), F.explode(each).alias("x"))
+    rows = rows.where(F.contains("x.text", needle)).withColumn("id", F.struct("doc_id", "pos", "x.place"))
+    # A hit starts where the parts before it end; a running sum adds them up.
+    parts = rows.select("id", "at", "n", F.posexplode(F.split("x.text", F.concat(F.lit("\\Q"), needle, F.lit("\\E")))).alias("i", "part"))
+    upto = F.sum(F.length("part")).over(Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    hits = parts.withColumn("start", (upto + (F.col("i") - 1) * F.length(needle)).cast("int")).where("i > 0")
+    covered = (F.col("at") > 0) & (F.col("start") >= F.col("at") - 1) & (F.col("start") < F.col("at") - 1 + F.col("n"))
+    out = hits.where((F.col("id.place") == level) | ~covered).select("id.doc_id", "id.pos", "id.place", "start")
+    if sections is None:
+        return out
+    titled = sections.where(F.contains(flat(F.col("title")), needle)).select("doc_id", "pos", F.lit("section").alias("place"), F.lit(None).cast("int").alias("start"))
+    return out.unionByName(titled)
 
 
 def search_library(docs: DataFrame, query: str, columns: list[str]) -> DataFrame:
@@ -135,6 +158,23 @@ def resolve_citations(answers: DataFrame, targets: DataFrame) -> tuple[DataFrame
     return answered.select("answer_id", text.alias("answer")), cites.select("answer_id", "target", place.alias("place"))
 
 
+def resolve_tags(answers: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answer_id, answer) with a record's own citations rewritten, and (answer_id, target, place) of what they name.
+
+    answers: answer_id, record_id, answer; tags: record_id, tag, target. [3] names a picked note and [T1.3] a section of
+    a text; each becomes [target], and one that names nothing is left out.
+    """
+    mark = r"\[(\d{1,3}|T\d{1,2}\.\d{1,3})\]"
+    pieces = answers.select("answer_id", "record_id", F.split("answer", mark).alias("rest"), F.regexp_extract_all("answer", F.lit(mark), F.lit(1)).alias("cited"))
+    named = pieces.select("answer_id", "record_id", F.posexplode("cited").alias("i", "tag")).join(tags.dropDuplicates(["record_id", "tag"]), ["record_id", "tag"])
+    known = named.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "target"))).alias("m"))
+    shown = lambda i: F.coalesce(F.concat(F.lit("["), F.try_element_at("m", i), F.lit("]")), F.lit(""))
+    text = F.array_join(F.transform("rest", lambda r, i: F.concat(r, shown(i))), "")
+    first = named.groupBy("answer_id", "target").agg(F.min("i").alias("i"))
+    place = F.row_number().over(Window.partitionBy("answer_id").orderBy("i"))
+    return pieces.join(known, "answer_id", "left").select("answer_id", text.alias("answer")), first.select("answer_id", "target", place.alias("place"))
+
+
 def with_shingles(df: DataFrame, width: int = 4, chars: int = 6) -> DataFrame:
     """df with shingles: hashes of the distinct runs of four words of text, or of six characters where over a quarter is CJK.
 

@@ -28,8 +28,10 @@ def notes(t: Tables) -> DataFrame:
         "text": F.when(F.col("kind") == "note", F.concat(F.lit("wrote "), who)),
         "thread": F.when(F.col("kind") == "ask", F.array(turn)).otherwise(F.array().cast("array<struct<q:string,takeaway:string>>")),
     })
-    first = fold.fold_local(units(t)).select("doc_id", "pos", "section_id", F.col("key").alias("quote"))
-    return e.join(first, ["doc_id", "pos"]).select("doc_id", "note_id", "kind", "created", "text", "thread", "quote", "pos", "section_id", "event_id")
+    # Only units that a note is on are folded.
+    wanted = e.select("doc_id", "pos").distinct()
+    first = fold.fold_local(units(t).where("pos < 5").join(wanted, ["doc_id", "pos"], "left_semi"))
+    return e.join(first.select("doc_id", "pos", "section_id", F.col("key").alias("quote")), ["doc_id", "pos"]).select("doc_id", "note_id", "kind", "created", "text", "thread", "quote", "pos", "section_id", "event_id")
 
 
 NOTES = f"""{sql.FOLD}, nd AS (SELECT count(*) AS n FROM documents),

@@ -59,8 +59,10 @@ def n4_pick_notes(t: Tables) -> DataFrame:
     return _picked(t).withColumn("created", F.col("created").cast("timestamp_ntz"))
 
 
-def _levels(t: Tables) -> DataFrame:
-    return fold.local_levels(d.units(t)).withColumn("role", F.lit("para"))
+def _levels(t: Tables, picked: DataFrame) -> DataFrame:
+    """Levels of the texts that picked notes are on; 400 notes at most are picked."""
+    read = F.broadcast(picked.select("doc_id").distinct())
+    return fold.local_levels(d.units(t).join(read, "doc_id", "left_semi")).withColumn("role", F.lit("para"))
 
 
 _LINES = """lines AS (SELECT u.doc_id, arg_min(takeaway, u.pos) AS line FROM units u JOIN fold f ON f.doc_id = u.doc_id AND f.pos = u.pos
@@ -70,7 +72,8 @@ _LINES = """lines AS (SELECT u.doc_id, arg_min(takeaway, u.pos) AS line FROM uni
 @query(f"""WITH {_PICKED}, {_LINES} SELECT p.doc_id, any_value(line) AS line, count(*) AS notes, CAST(min(created) AS DATE) AS first_day, CAST(max(created) AS DATE) AS last_day
 FROM picked p LEFT JOIN lines l ON l.doc_id = p.doc_id GROUP BY p.doc_id""")
 def n5_texts_read(t: Tables) -> DataFrame:
-    return notes.texts_read(_picked(t), _levels(t))
+    picked = _picked(t)
+    return notes.texts_read(picked, _levels(t, picked))
 
 
 @query(f"WITH {d.NOTES} SELECT doc_id, note_id, 0 AS turn, question, 'because' AS answer_line, section_id, CAST(created AS DATE) AS day FROM notes WHERE question IS NOT NULL")
@@ -83,11 +86,16 @@ def n6_wrote(t: Tables) -> DataFrame:
     return notes.wrote(d.notes(t))
 
 
-def _sections(t: Tables) -> DataFrame:
-    """Sections with the takeaway of their first unit as line and its first word as title."""
-    lv = fold.local_levels(d.units(t)).select("doc_id", "section_id", "pos", "takeaway")
-    first = lv.groupBy("doc_id", "section_id").agg(F.min(F.struct("pos", "takeaway")).alias("x"))
-    return first.select("doc_id", "section_id", F.col("x.pos").alias("pos"), F.split("x.takeaway", " ")[0].alias("title"), F.col("x.takeaway").alias("line"))
+def _sections(t: Tables, wanted: DataFrame) -> DataFrame:
+    """Sections with the takeaway of their first unit as line and its first word as title; only those of `wanted`'s keys.
+
+    Only the first units are folded.
+    """
+    keys = wanted.columns
+    units = d.units(t).join(wanted.distinct(), keys, "left_semi")
+    first = units.groupBy("doc_id", "section_id").agg(F.min_by(F.struct("pos", "text"), "pos").alias("x")).select("doc_id", "section_id", "x.*")
+    lv = fold.local_levels(first).select("doc_id", "section_id", "pos", "takeaway")
+    return lv.select("doc_id", "section_id", "pos", F.split("takeaway", " ")[0].alias("title"), F.col("takeaway").alias("line"))
 
 
 _SECTIONS = """sf AS (SELECT doc_id, 's' || pos // 5 AS section_id, min({'p': pos, 't': takeaway}) AS x FROM fold GROUP BY ALL),
@@ -98,7 +106,8 @@ sections AS (SELECT doc_id, section_id, x.p AS pos, string_split(x.t, ' ')[1] AS
 SELECT q.doc_id, q.section_id, CASE WHEN title <> '' AND starts_with(line, title) THEN regexp_replace(line[length(title) + 1:], '^[\\s:.,-]+', '') ELSE line END AS line, quotes
 FROM q LEFT JOIN sections s ON s.doc_id = q.doc_id AND s.section_id = q.section_id""")
 def n7_marked(t: Tables) -> DataFrame:
-    return notes.marked(d.notes(t), _sections(t))
+    n = d.notes(t)
+    return notes.marked(n, _sections(t, n.where("kind = 'highlight'").select("doc_id", "section_id")))
 
 
 @query(f"""WITH {_PICKED}, {_SECTIONS}, tx AS (SELECT doc_id, row_number() OVER (ORDER BY min(place)) AS t FROM picked GROUP BY 1),
@@ -107,27 +116,37 @@ sa AS (SELECT *, row_number() OVER (ORDER BY t, n) AS k FROM sn)
 SELECT 'T' || t AS tag, 'text ' || doc_id AS line FROM tx UNION ALL SELECT 'T' || t || '.' || n, title FROM sa WHERE k <= 60
 UNION ALL SELECT place::VARCHAR, coalesce(text, question || ' because', quote)[1:1500] FROM picked""")
 def n8_record_material(t: Tables) -> DataFrame:
-    return notes.record_material(_picked(t), d.notes(t), _sections(t)).select("tag", "line")
+    picked = _picked(t)
+    return notes.record_material(picked, d.notes(t), _sections(t, picked.select("doc_id"))).select("tag", "line")
 
 
 @query(f"""WITH {_PICKED}, {_LINES}, r AS (
  SELECT 1 AS part, p.doc_id, '' AS ord, coalesce(any_value(line), '') AS line FROM picked p LEFT JOIN lines l ON l.doc_id = p.doc_id GROUP BY p.doc_id
  UNION ALL SELECT 2, doc_id, note_id || '-0', question || ' because' FROM picked WHERE question IS NOT NULL
- UNION ALL SELECT 3, doc_id, note_id, text FROM picked WHERE text IS NOT NULL)
+ UNION ALL SELECT 3, doc_id, note_id, text FROM picked WHERE text IS NOT NULL
+ UNION ALL SELECT 4, doc_id, section_id, string_agg(quote, ' | ' ORDER BY created, note_id) FROM picked WHERE kind = 'highlight' GROUP BY doc_id, section_id)
 SELECT part, doc_id, ord, line FROM r""")
 def n9_reading_record(t: Tables) -> DataFrame:
     n, picked = d.notes(t), _picked(t)
     mine = n.join(picked.select("doc_id", "note_id"), ["doc_id", "note_id"], "left_semi")
-    none = notes.marked(mine.where("false"), _sections(t))
-    made = notes.reading_record(notes.texts_read(picked, _levels(t)), notes.asked(mine), notes.wrote(mine), none)
+    marks = notes.marked(mine, _sections(t, mine.select("doc_id", "section_id")))
+    made = notes.reading_record(notes.texts_read(picked, _levels(t, picked)), notes.asked(mine), notes.wrote(mine), marks)
     return made.select("part", "doc_id", "ord", "line")
 
 
-@query()
+@query(f"""WITH {_PICKED}, {_SECTIONS}, tx AS (SELECT doc_id, row_number() OVER (ORDER BY min(place)) AS t FROM picked GROUP BY 1),
+sn AS (SELECT t, title, row_number() OVER (PARTITION BY s.doc_id ORDER BY pos) AS n FROM sections s JOIN tx ON tx.doc_id = s.doc_id WHERE title <> ''),
+sa AS (SELECT *, row_number() OVER (ORDER BY t, n) AS k FROM sn),
+m AS (SELECT 0 AS k, t AS a, 0 AS b, 'T' || t AS tag, 'text ' || doc_id AS line FROM tx UNION ALL SELECT 1, t, n, 'T' || t || '.' || n, title FROM sa WHERE k <= 60
+UNION ALL SELECT 2, place, 0, place::VARCHAR, coalesce(text, question || ' because', quote)[1:1500] FROM picked),
+body AS (SELECT string_agg('[' || tag || '] ' || line, chr(10) ORDER BY k, a, b) AS body, count(*) FILTER (k = 0) AS texts FROM m)
+SELECT name, CAST(least(600, 90 + 70 * texts) AS BIGINT) AS words, instruction || chr(10) || chr(10) || body AS prompt
+FROM (VALUES ('overview', 'Say what was read.'), ('question', 'Say what is open.')) AS x(name, instruction), body""")
 def n10_record_prompts(t: Tables) -> DataFrame:
     """Two templates over the record's material."""
     templates = t.spark.sql("SELECT * FROM VALUES ('overview', 'Say what was read.'), ('question', 'Say what is open.') AS x(name, instruction)")
-    return notes.record_prompts(notes.record_material(_picked(t), d.notes(t), _sections(t)), templates)
+    picked = _picked(t)
+    return notes.record_prompts(notes.record_material(picked, d.notes(t), _sections(t, picked.select("doc_id"))), templates)
 
 
 @query(f"WITH {d.NOTES} SELECT doc_id, CAST(created AS DATE) AS day, count(*) AS notes FROM notes GROUP BY GROUPING SETS ((doc_id, 2), (2))")
@@ -196,6 +215,26 @@ def b3_folder_tree(t: Tables) -> DataFrame:
     return library.folder_tree(_folders(t), placed)
 
 
+@query("""WITH f AS (SELECT s_suppkey AS tree, k, 'f' || k AS folder_id FROM supplier, (SELECT unnest(range(0, 8)) AS k))
+SELECT tree, folder_id, CASE WHEN k = 6 AND tree % 2 = 0 THEN 'renamed' ELSE 'n' || k END AS name,
+CASE k WHEN 0 THEN NULL WHEN 1 THEN 'f0' WHEN 2 THEN CASE WHEN tree % 3 = 0 THEN 'f0' ELSE 'f1' END WHEN 4 THEN 'f0' WHEN 5 THEN 'f4' WHEN 6 THEN 'f2' WHEN 7 THEN NULL END AS parent
+FROM f WHERE k <> 3""")
+def b4_folder_changes(t: Tables) -> DataFrame:
+    """A tree for each supplier: f0 > f1 > f2 > f3 > f4 > f5, then moves, some of them refused."""
+    k = "s_suppkey % 3 = 0", "s_suppkey % 2 = 0"
+    changes = [
+        *[("true", "new", f"f{i}", f"n{i}", f"f{i - 1}" if i else None) for i in range(6)], ("true", "new", "f6", "n6", "f2"), ("true", "new", "f7", "n7", "f5"),
+        ("true", "new", "f8", "n8", "nowhere"), ("true", "nest", "f0", None, "f3"), ("true", "nest", "f7", None, None), (k[0], "nest", "f2", None, "f0"),
+        (k[1], "rename", "f6", "renamed", None), ("true", "nest", "f4", None, "f0"), ("true", "delete", "f3", None, None), ("true", "nest", "f5", None, "f3"),
+    ]
+    text = lambda x: "CAST(NULL AS STRING)" if x is None else f"'{x}'"
+    rows = ", ".join(
+        f"CASE WHEN {when} THEN struct({i} AS seq, '{op}' AS op, '{folder}' AS folder_id, {text(name)} AS name, {text(parent)} AS parent) END"
+        for i, (when, op, folder, name, parent) in enumerate(changes)
+    )
+    return library.apply_folder_changes(t.supplier.selectExpr("s_suppkey AS tree", f"inline(array_compact(array({rows})))"))
+
+
 @query(f"WITH {d.LIBRARY_EVENTS} SELECT doc_id, min(ts) AS added, max(ts) FILTER (event = 'opened') AS opened FROM le WHERE event IS NOT NULL GROUP BY 1")
 def b5_library_times(t: Tables) -> DataFrame:
     out = library.library_times(d.library_events(t))

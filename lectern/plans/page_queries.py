@@ -94,7 +94,10 @@ def p7_inline_notes(t: Tables) -> DataFrame:
     return P.inline_notes(t.pages)
 
 
-@query()
+@query(f"""WITH h AS (SELECT {_HOST} AS host, html FROM pages)
+SELECT host, selector, CAST(sum(CASE selector WHEN 'article' THEN len(regexp_extract_all(html, '<article[ >]')) WHEN '.ad' THEN len(regexp_extract_all(html, '<div class="ad"'))
+ WHEN 'h1' THEN len(regexp_extract_all(html, '<h1[ >]')) ELSE 0 END) AS BIGINT) AS hits
+FROM h, (SELECT unnest(['article', '.ad', 'footer:hover', 'h1']) AS selector) GROUP BY ALL""")
 def p8_apply_recipes(t: Tables) -> DataFrame:
     """Every host of the pages read by one rule: the article without what is classed as an advert."""
     host = F.regexp_replace(F.lower(F.try_parse_url(F.col("url"), F.lit("HOST"))), r"^www\.", "")

@@ -80,7 +80,26 @@ def _prompts(t: Tables) -> DataFrame:
     return fold.fold_prompts(fold.fold_local(d.units(t)), docs)
 
 
-@query()
+_PROMPTS = f"""{sql.FOLD}, un AS (SELECT u.doc_id, 's' || u.pos // 5 AS section_id, u.pos, u.pos % 5 AS _, f.key,
+  coalesce((SELECT string_agg('  ' || sent || ': ' || text, chr(10) ORDER BY sent) FROM sents s WHERE s.doc_id = u.doc_id AND s.pos = u.pos), '') AS lines
+  FROM units u LEFT JOIN fold f ON f.doc_id = u.doc_id AND f.pos = u.pos),
+nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY pos) - 1 AS i FROM un),
+bl AS (SELECT doc_id, section_id, min(pos) AS p, string_agg('[U' || i || '] paragraph' || chr(10) || lines, chr(10) ORDER BY pos) AS body FROM nb GROUP BY 1, 2),
+ks AS (SELECT doc_id, pos, key, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM un WHERE key <> ''),
+op AS (SELECT doc_id, string_agg(key, ' ' ORDER BY pos) AS opening FROM ks WHERE k <= 2 GROUP BY 1),
+ol AS (SELECT b.doc_id, b.section_id, string_agg(CASE WHEN o.section_id = b.section_id THEN '> ' ELSE '- ' END || o.section_id, chr(10) ORDER BY o.p) AS outline
+  FROM bl b JOIN bl o ON o.doc_id = b.doc_id GROUP BY 1, 2),
+prompts AS (SELECT b.doc_id, b.section_id, CASE WHEN d.doc_id % 2 = 0 THEN 'Paper' ELSE 'Text' END || ': ' || source || chr(10) || chr(10)
+  || CASE WHEN coalesce(opening, '') = '' THEN '' ELSE 'Opening: ' || opening || chr(10) || chr(10) END || 'Outline:' || chr(10) || outline || chr(10) || chr(10)
+  || 'Section ' || b.section_id || chr(10) || chr(10) || body || chr(10) || chr(10)
+  || CASE WHEN d.doc_id % 2 = 0 THEN '{fold.WORDING["paper"][2]}' ELSE '{fold.WORDING["text"][2]}' END
+  || ' Give the section a takeaway of 16 words. Give each paragraph a takeaway of 14 words, a reason of 22 and a topic of 3, in the words of '
+  || CASE WHEN d.doc_id % 2 = 0 THEN 'the authors' ELSE 'the author' END || '.' AS prompt
+  FROM bl b JOIN documents d ON d.doc_id = b.doc_id JOIN ol ON ol.doc_id = b.doc_id AND ol.section_id = b.section_id LEFT JOIN op ON op.doc_id = b.doc_id),
+keyed AS (SELECT *, sha256(CAST(to_json(['Answer with JSON only.', prompt, {sql.text_literal(fold.REPLY_SCHEMA)}, 'stub', '']) AS VARCHAR))[1:24] AS cache_key FROM prompts)"""
+
+
+@query(f"WITH {_PROMPTS} SELECT doc_id, section_id, 0 AS part, 1 AS parts, prompt, cache_key FROM keyed")
 def f10_fold_prompts(t: Tables) -> DataFrame:
     return _prompts(t)
 
@@ -94,16 +113,19 @@ def f11_to_ask(t: Tables) -> DataFrame:
     return p.join(fold.to_ask(p, kept).select("cache_key"), "cache_key", "left_semi").select("doc_id", "section_id")
 
 
-@query()
+@query(f"WITH {_PROMPTS} SELECT cache_key, CASE WHEN cache_key[1] < '4' THEN NULL ELSE length(prompt)::VARCHAR END AS out, CASE WHEN cache_key[1] < '4' THEN 'failed' END AS error FROM keyed")
 def f12_complete(t: Tables) -> DataFrame:
-    """A stub completion that answers each prompt with its length and fails a batch that holds a prompt over 100,000 characters."""
+    """A stub completion that answers each prompt with its length; a quarter of the keys are batches that fail."""
 
     def answer(prompts: list[str]) -> list[str]:
-        if any(len(p) > 100_000 for p in prompts):
-            raise ValueError("too long")
         return [str(len(p)) for p in prompts]
 
-    return fold.complete(_prompts(t), answer)
+    def fail(prompts: list[str]) -> list[str]:
+        raise ValueError("failed")
+
+    made = _prompts(t)
+    odd = F.substring("cache_key", 1, 1) < "4"
+    return fold.complete(made.where(~odd), answer).unionByName(fold.complete(made.where(odd), fail))
 
 
 # --- Links ----------------------------------------------------------------------------------------------------------
@@ -124,7 +146,9 @@ def l1_cross_refs(t: Tables) -> DataFrame:
     return _refs(t)
 
 
-@query()
+@query(f"""WITH {sql.FOLD}, n AS (SELECT doc_id, takeaway, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM fold WHERE takeaway <> ''),
+p AS (SELECT *, CAST(floor(i / ceil(n / ceil(n / 400.0))) AS INTEGER) AS part FROM n)
+SELECT doc_id, part, CAST(greatest(8, round(greatest(20, floor(max(n) / 2.0)) * count(*) / max(n))) AS INTEGER) AS links, string_agg('[' || i || '] ' || takeaway, chr(10) ORDER BY i) AS prompt FROM p GROUP BY doc_id, part""")
 def l2_link_prompts(t: Tables) -> DataFrame:
     return links.link_prompts(fold.fold_local(d.units(t)))
 

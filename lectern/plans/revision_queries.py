@@ -70,10 +70,14 @@ def v6_section_target(t: Tables) -> DataFrame:
     return revisions.section_target(asked, old, new, revisions.align_units(old, new))
 
 
-@query(f"""WITH {sql.UNITS} SELECT doc_id, pos, '' AS was, 'revised' AS now FROM units WHERE pos % 7 = 2""")
+@query(f"""WITH {sql.UNITS} SELECT doc_id, 2 * pos AS pos, '' AS was, 'revised' AS now FROM units WHERE pos % 7 = 2
+UNION ALL SELECT doc_id, 2 * pos + 1, '', 'Put-in' || pos FROM units WHERE pos % 13 = 5 AND pos % 7 <> 2""")
 def v7_edit_places(t: Tables) -> DataFrame:
-    old = d.units(t)
-    new = old.withColumn("text", F.when(F.col("pos") % 7 == 2, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")))
+    """Lines edited and put in between, so that most units are at another place; lines are numbered, so none is repeated."""
+    old = d.units(t).withColumn("text", F.concat("pos", F.lit("> "), "text"))
+    edited = F.when(F.col("pos") % 7 == 2, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))
+    put = old.where("pos % 13 = 5 AND pos % 7 <> 2").select("doc_id", (2 * F.col("pos") + 1).alias("pos"), F.concat(F.lit("Put-in"), "pos").alias("text"))
+    new = old.select("doc_id", (2 * F.col("pos")).alias("pos"), edited.alias("text")).unionByName(put)
     return revisions.edit_places(old, new)
 
 

@@ -41,7 +41,27 @@ p AS (SELECT *, string_split(x, 'the ed') AS p FROM f WHERE contains(x, 'the ed'
 i AS (SELECT *, unnest(range(1, len(p))) AS i FROM p)
 SELECT doc_id, pos, 'full' AS place, CAST(list_sum(list_transform(p[1:i], lambda y: length(y))) + (i - 1) * 6 AS INTEGER) AS start FROM i""")
 def q3_find(t: Tables) -> DataFrame:
-    return search.find(_units(t).withColumn("place", F.lit("full")), "THE éd")
+    return search.find(_units(t).withColumnRenamed("text", "full"), "THE éd")
+
+
+_FLAT = "translate(lower(regexp_replace(trim({0}), '\\s+', ' ', 'g')), 'àâäéèêëîïôöùûüç', 'aaaeeeeiioouuuc')"
+
+
+@query(f"""WITH {sql.FOLD}, x AS (SELECT u.doc_id, u.pos, {_FLAT.format("coalesce(f.takeaway, '')")} AS shown, {_FLAT.format('u.text')} AS full_text
+  FROM units u LEFT JOIN fold f ON f.doc_id = u.doc_id AND f.pos = u.pos),
+p AS (SELECT doc_id, pos, 'takeaway' AS place, string_split(shown, 'the e') AS p, 0 AS spot, 0 AS n FROM x WHERE contains(shown, 'the e')
+  UNION ALL SELECT doc_id, pos, 'open', string_split(full_text, 'the e'), instr(full_text, shown), length(shown) FROM x WHERE contains(full_text, 'the e')),
+i AS (SELECT *, unnest(range(1, len(p))) AS i FROM p),
+h AS (SELECT *, CAST(list_sum(list_transform(p[1:i], lambda y: length(y))) + (i - 1) * 5 AS INTEGER) AS start FROM i),
+sf AS (SELECT doc_id, min({{'p': pos, 't': takeaway}}) AS x FROM fold GROUP BY doc_id, pos // 5),
+s AS (SELECT doc_id, x.p AS pos, x.t AS title FROM sf)
+SELECT doc_id, pos, place, start FROM h WHERE NOT (place = 'open' AND spot > 0 AND start >= spot - 1 AND start < spot - 1 + n)
+UNION ALL SELECT doc_id, pos, 'section', NULL FROM s WHERE contains({_FLAT.format('title')}, 'the e')""")
+def q3_find_at_takeaway(t: Tables) -> DataFrame:
+    """Hits in takeaways, in what they leave out, and in titles of sections."""
+    made = fold.fold_local(_units(t)).select("doc_id", "pos", "section_id", F.col("text").alias("full"), "takeaway")
+    titles = made.groupBy("doc_id", "section_id").agg(F.min(F.struct("pos", "takeaway")).alias("x")).select("doc_id", "x.pos", F.col("x.takeaway").alias("title"))
+    return search.find(made, "The  é", "takeaway", titles)
 
 
 @query("SELECT doc_id FROM documents WHERE contains(strip_accents(lower(lang || ' ' || source || ' ' || doc_id || ' ' || string_split(text, chr(10))[1])), 'en') AND contains(strip_accents(lower(lang || ' ' || source || ' ' || doc_id || ' ' || string_split(text, chr(10))[1])), 'src1')")
@@ -83,6 +103,24 @@ def q7_cited_units(t: Tables) -> DataFrame:
     return search.resolve_citations(*_answers(t))[1]
 
 
+def _record_answers(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Answers that cite notes and sections of a record for each document; some of them name nothing."""
+    answers = t.documents.select(
+        F.col("doc_id").alias("answer_id"), F.col("doc_id").alias("record_id"), F.format_string("See [%d] and [T1.%d], not [999]; [%d] again. [x]", F.col("doc_id") % 5, F.col("doc_id") % 4, F.col("doc_id") % 5).alias("answer"),
+    )
+    u = _units(t).select(F.col("doc_id").alias("record_id"), "pos", "unit_id")
+    notes = u.select("record_id", F.col("pos").cast("string").alias("tag"), F.concat(F.lit("n-"), "unit_id").alias("target"))
+    return answers, notes.unionByName(u.select("record_id", F.concat(F.lit("T1."), "pos").alias("tag"), F.concat(F.lit("s-"), "unit_id").alias("target")))
+
+
+_TAG = "coalesce('[' || (SELECT any_value('{0}-u' || u.pos) FROM units u WHERE u.doc_id = d.doc_id AND u.pos = d.doc_id % {1}) || ']', '')"
+
+
+@query(f"""WITH {sql.UNITS} SELECT doc_id AS answer_id, 'See ' || {_TAG.format('n', 5)} || ' and ' || {_TAG.format('s', 4)} || ', not ; ' || {_TAG.format('n', 5)} || ' again. [x]' AS answer FROM documents d""")
+def q7_record_answers(t: Tables) -> DataFrame:
+    return search.resolve_tags(*_record_answers(t))[0]
+
+
 def _shingles(table: str, key: str) -> str:
     return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - 2)) AS i
       FROM (SELECT {key}, string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' ') AS w FROM {table}))"""

@@ -18,7 +18,11 @@ from .registry import Tables, query
 
 def _folder(spark: SparkSession) -> str:
     """A new folder where the cluster shares files, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -154,7 +158,7 @@ def w2_note_stream(t: Tables) -> DataFrame:
         F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "seen").otherwise("put").alias("text"),
     )
     streams.upsert_notes(changes, where, f"{where}/ck").awaitTermination()
-    return t.spark.read.parquet(f"{where}/now").select("note_id", "text")
+    return streams.current_notes(t.spark, where).select("note_id", "text")
 
 
 @query("SELECT event_id % 100 AS doc_id, max(ts) AS opened FROM events WHERE event_type = 'view' GROUP BY 1")
@@ -169,12 +173,14 @@ def w3_opened_stream(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{where}/now").withColumn("opened", F.col("opened").cast("timestamp_ntz"))
 
 
-@query("""SELECT user_id AS job_id, arg_max(event_type, event_id) AS stage, count(*) AS lines, CASE WHEN bool_or(event_type = 'error') THEN 'stopped' ELSE 'running' END AS status FROM events GROUP BY 1""")
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+SELECT user_id AS job_id, arg_max(event_type, event_id) AS stage, count(*) AS lines, CASE WHEN bool_or(event_type = 'error') THEN 'stopped' ELSE 'running' END AS status,
+string_agg(event_type, ',' ORDER BY event_id) FILTER (k <= 40) AS log FROM e GROUP BY 1""")
 def w4_job_status(t: Tables) -> DataFrame:
     """Each user's events as the progress of a job; an error stops it."""
     p = t.events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.lit(1).alias("done"), F.lit(1).alias("total"), F.when(F.col("event_type") == "error", "stopped").otherwise("running").alias("status"), F.col("event_type").alias("line"))
     n = p.groupBy("job_id").agg(F.count(F.lit(1)).alias("lines"))
-    return streams.job_status(p).join(n, "job_id").select("job_id", "stage", "lines", "status")
+    return streams.job_status(p).join(n, "job_id").select("job_id", "stage", "lines", "status", F.array_join("log", ",").alias("log"))
 
 
 def _timed(t: Tables) -> DataFrame:

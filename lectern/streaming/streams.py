@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,15 +20,40 @@ def fold_stream(docs: DataFrame, time: str = "ts", late: str = "1 hour") -> Data
     return fold_local(units_of(once)).select("doc_id", "pos", "key", "takeaway", "topic")
 
 
-def upsert_notes(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the log of note changes and, after each batch, the current notes as a table at path.
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions below path, in order. A version is finished once its files are all there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    found = [(x.getPath(), x.getPath().getName()) for x in files.listStatus(place)]
+    done = [name for at, name in found if name.startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))]
+    return sorted(int(name[2:]) for name in done)
 
-    Each batch is appended under its number, so a batch that is run again replaces itself.
+
+def current_notes(spark: SparkSession, path: str) -> DataFrame:
+    """The notes of the newest finished version: doc_id, note_id, created, updated, text. Readers never meet a half-written one."""
+    return apply_note_changes(spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}"))
+
+
+def upsert_notes(changes: DataFrame, path: str, checkpoint: str, keep: int = 3) -> StreamingQuery:
+    """Keep the note changes that still matter as a table at path, a version for each batch.
+
+    A batch is merged into the last version: of a note's changes, its last deletion and what comes after it stay, so the table
+    follows the notes and not the history. A batch that is run again writes its own version again; `keep` old versions stay
+    for readers that have begun.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
-        apply_note_changes(batch.sparkSession.read.parquet(f"{path}/log").drop("batch")).write.mode("overwrite").parquet(f"{path}/now")
+        spark = batch.sparkSession
+        older = [v for v in _versions(spark, path) if v < number]
+        every = batch if not older else spark.read.parquet(f"{path}/v={older[-1]}").unionByName(batch)
+        gone = every.where("op = 'delete'").groupBy("doc_id", "note_id").agg(F.max(F.struct("ts", "seq")).alias("gone"))
+        live = every.join(gone, ["doc_id", "note_id"], "left").where("gone IS NULL OR struct(ts, seq) >= gone").drop("gone")
+        live.write.mode("overwrite").parquet(f"{path}/v={number}")
+        for v in older[:-keep]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,13 +69,14 @@ def job_status(progress: DataFrame, lines: int = 40) -> DataFrame:
     progress: job_id, seq, stage, done, total, status, line. A stopped job stays stopped. The log keeps the newest lines,
     which is what a status shows.
     """
-    last = F.max_by(F.struct("stage", "done", "total", "status"), "seq").alias("x")
+    newest = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))
+    log = progress.select("job_id", "seq", "line", newest.alias("k")).where(F.col("k") <= lines)
+    log = log.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).getField("line").alias("log"))
     made = progress.groupBy("job_id").agg(
-        last, F.max((F.col("status") == "stopped").cast("int")).alias("ended"), F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l")
+        F.max_by(F.struct("stage", "done", "total", "status"), "seq").alias("x"), F.max((F.col("status") == "stopped").cast("int")).alias("ended")
     )
-    size = F.least(F.size("l"), F.lit(lines))
     status = F.when(F.col("ended") == 1, "stopped").otherwise(F.col("x.status"))
-    return made.select("job_id", "x.stage", "x.done", "x.total", status.alias("status"), F.slice("l.line", F.size("l") - size + 1, size).alias("log"))
+    return made.join(log, "job_id").select("job_id", "x.stage", "x.done", "x.total", status.alias("status"), "log")
 
 
 def activity(events: DataFrame, late: str = "1 day") -> tuple[DataFrame, DataFrame, DataFrame]:

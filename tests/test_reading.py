@@ -193,8 +193,11 @@ def test_folders(spark):
     got = {r.folder_id: (r.parent, r.depth, r.documents) for r in library.folder_tree(f, p).collect()}
     assert got == {"a": (None, 0, 2), "b": ("a", 1, 1), "x": (None, 0, 0), "l1": (None, 0, 1), "l2": (None, 0, 0)}
     c = [(1, "new", "a", "A", None), (2, "new", "b", "B", "a"), (3, "new", "c", "C", "b"), (4, "rename", "a", "AA", None), (5, "nest", "a", None, "c"), (6, "delete", "b", None, None)]
-    out = library.apply_folder_changes(spark.createDataFrame(c, "seq int, op string, folder_id string, name string, parent string")).collect()
-    assert {(r.folder_id, r.name, r.parent) for r in out} == {("a", "AA", None), ("c", "C", "a")}
+    c = [("t", *x) for x in c]
+    c += [("u", 1, "new", "a", "A", None), ("u", 2, "new", "b", "B", None), ("u", 3, "nest", "a", None, "b"), ("u", 4, "nest", "b", None, "a"), ("u", 5, "new", "x", "X", "no")]
+    c += [("v", 1, "new", "a", "A", None), ("v", 2, "delete", "a", None, None), ("v", 3, "new", "b", "B", "a"), ("v", 4, "new", "a", "again", None), ("v", 5, "nest", "a", None, "a")]
+    out = library.apply_folder_changes(spark.createDataFrame(c, "tree string, seq int, op string, folder_id string, name string, parent string")).collect()
+    assert {tuple(r) for r in out} == {("t", "a", "AA", None), ("t", "c", "C", "a"), ("u", "a", "A", "b"), ("u", "b", "B", None), ("v", "a", "again", None)}
     e = [(1, "placed", "a", 1, 1), (1, "deleted", None, 2, 2), (2, "placed", "b", 1, 3), (3, "placed", "a", 1, 4), (3, "deleted", None, 2, 5), (3, "restored", None, 3, 6)]
     live = spark.createDataFrame([("a",)], "folder_id string")
     got = library.placement_history(spark.createDataFrame(e, "doc_id long, event string, folder_id string, ts int, seq int"), live).collect()
@@ -216,6 +219,34 @@ def test_revisions(spark):
     assert [(x.was, x.now) for x in edits] == [("is", "was")]
 
 
+def test_a_unit_put_in_between_changes_no_other(spark):
+    old = spark.createDataFrame([(1, i, f"Line {i} stands here.") for i in range(5)] + [(2, 0, "one two three four"), (3, 0, "only old")], "doc_id long, pos int, text string")
+    new = spark.createDataFrame([(1, 0, "Put before.")] + [(1, i + 1, f"Line {i} stands here.") for i in range(5)] + [(2, 0, "one 2 3 four"), (4, 0, "only new")], "doc_id long, pos int, text string")
+    got = {tuple(r) for r in revisions.edit_places(old, new).collect()}
+    assert got == {(1, 0, "", "Put before."), (2, 0, "two three", "2 3"), (3, 0, "only old", ""), (4, 0, "", "only new")}
+
+
+def test_passages_are_found_between_their_contexts(spark):
+    new = spark.createDataFrame([(1, 0, "v0", "He said that the whole plan was changed again today."), (1, 1, "v1", "Nothing here.")], "doc_id long, pos int, unit_id string, text string")
+    a = spark.createDataFrame([(1, "u0", None, None, 0)], "doc_id long, old_id string, new_id string, kind string, at int")
+    n = [(1, "n1", "u0", "old plan", "said that the ", " again today"), (1, "n2", "u0", "old plan", "the ", " agai"), (1, "n3", "u0", "old", "no such prefix ", " again today"), (1, "n4", "u0", "x", "He said that the ", " today.")]
+    cols = "doc_id long, note_id string, unit_id string, exact string, prefix string, suffix string"
+    got = {x.note_id: (x.unit_id, x.start, x.size, x.state) for x in revisions.reanchor(spark.createDataFrame(n, cols), new, a).collect()}
+    assert got["n1"] == ("v0", 17, 22, "found") and got["n2"][3] == got["n3"][3] == "lost" and got["n4"] == ("v0", 17, 28, "found")
+
+
+def test_find_and_record_citations(spark):
+    lv = spark.createDataFrame([(1, 0, "The Élan is  the elan of all elan.", "The Élan is")], "doc_id long, pos int, full string, takeaway string")
+    s = spark.createDataFrame([(1, 0, "Élan vital"), (1, 5, "Other")], "doc_id long, pos int, title string")
+    assert {tuple(r) for r in search.find(lv, "ELAN", "takeaway", s).collect()} == {(1, 0, "takeaway", 4), (1, 0, "open", 16), (1, 0, "open", 28), (1, 0, "section", None)}
+    assert {r.start for r in search.find(lv, "elan").collect()} == {4, 16, 28} and search.find(lv, "  ").count() == 0
+    a = spark.createDataFrame([(1, 7, "a [3] b [T1.2] c [4][3] [x]"), (2, 7, "none")], "answer_id long, record_id long, answer string")
+    tags = spark.createDataFrame([(7, "3", "n-3"), (7, "T1.2", "s2")], "record_id long, tag string, target string")
+    text, cites = search.resolve_tags(a, tags)
+    assert {r.answer_id: r.answer for r in text.collect()} == {1: "a [n-3] b [s2] c [n-3] [x]", 2: "none"}
+    assert {tuple(r) for r in cites.collect()} == {(1, "n-3", 1), (1, "s2", 2)}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a_file-name.md").write_bytes("﻿# Only head\n\ntext".encode())
     (tmp_path / "b.txt").write_bytes("中文内容".encode("gb18030"))
