@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 #: Sharpness of the weights of pieces; larger values come nearer to the one best segmentation.
 THETA = 0.3
 #: Segments whose lattices a worker keeps, and code points that are sampled at a time.
-KEPT = 220_000
-BLOCK = 1 << 20
+KEPT = 200_000
+BLOCK = 1 << 19
+#: Segments whose lattices are made at a time, which bounds what that takes besides.
+NEW = 30_000
 #: Bits of a chance, and of a code point in a key.
 _CHANCE_BITS, _CHAR_BITS = 36, 21
 _SEGMENT = re.compile(r" *[^ ]+| +")
@@ -128,7 +130,7 @@ class Sampler:
 
     def _clear(self) -> None:
         self.end_of: dict[str, int] = {}
-        self.nodes = 0
+        self.nodes = self.edges = 0
         #: By edge, sorted by end node: cumulated chance within the node, where it comes from, and its emission; and for
         #: each node its first edge.
         self.upto = np.zeros(0, np.int64)
@@ -136,9 +138,11 @@ class Sampler:
         self.emit = np.zeros(0, np.int32)
         self.first = np.zeros(0, np.int32)
 
-    def _add(self, segments: list[str]) -> None:
+    def _add(self, segments: list[str]) -> tuple[np.ndarray, ...]:
         """Forward filtering of new segments, all of them at once: at each node the chance of each piece that ends there.
 
+        Returns what they add to first, upto, prev and emit.
+
         A chance depends on its segment only, and is kept as a whole number of 2 ** -_CHANCE_BITS.
         """
         size = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -180,14 +184,13 @@ class Sampler:
         whole = np.floor(chance * (1 << _CHANCE_BITS)).astype(np.int64)
         whole[last] = 1 << _CHANCE_BITS
         first_edge = np.zeros(len(alpha), np.int32)
-        first_edge[end[head]] = head + len(self.upto)
-        self.first = np.concatenate([self.first, first_edge])
-        self.upto = np.concatenate([self.upto, whole])
-        self.prev = np.concatenate([self.prev, (start + self.nodes).astype(np.int32)])
-        self.emit = np.concatenate([self.emit, emit.astype(np.int32)])
+        first_edge[end[head]] = head + self.edges
+        self.edges += len(end)
+        made = first_edge, whole, (start + self.nodes).astype(np.int32), emit.astype(np.int32)
         ends = first + size + np.arange(len(segments)) + self.nodes
         self.end_of.update(zip(segments, ends.tolist()))
         self.nodes += len(alpha)
+        return made
 
     def ends(self, segments: list[str]) -> np.ndarray:
         """End node of each segment."""
@@ -195,7 +198,9 @@ class Sampler:
             self._clear()
         new = list({s: None for s in segments if s not in self.end_of})
         if new:
-            self._add(new)
+            made = [self._add(new[k : k + NEW]) for k in range(0, len(new), NEW)]
+            kept = self.first, self.upto, self.prev, self.emit
+            self.first, self.upto, self.prev, self.emit = (np.concatenate(x) for x in zip(kept, *made))
         return np.fromiter(map(self.end_of.__getitem__, segments), np.int64, len(segments))
 
     def sample(self, segments: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
