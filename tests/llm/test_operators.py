@@ -165,6 +165,14 @@ def test_failed_links_hide_no_true_one(spark, monkeypatch):
     assert 12 < len(set(root.values())) < len(root)
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b = text_of(31, 90), text_of(32, 90)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, b + " more"), (4, text_of(33, 90)), (None, a), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == Counter([(1, a), (1, b), (4, rows[5][1]), (None, a)])
+
+
 def test_keep_one_keeps_columns_and_null_ids(docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
@@ -561,6 +569,78 @@ def test_sharding_edge_cases(spark, docs, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def sharded_by_hand(rows, start, shards):
+    """The rules of shard_documents() in plain Python, for fewer rows than make two buckets. start: shard by doc_id."""
+    items = [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), hashlib.md5((("n" if t is None else "t") + (t or "")).encode()).digest()) for i, t in rows]
+    capacity = {s: len(items) // shards + (s < len(items) % shards) for s in range(shards)}
+    members = Counter(x[3] for x in items)
+    now = Counter((x[3], start[x[0]]) for x in items if members[x[3]] > 1)
+    load = Counter()
+    for (_, s), n in now.items():
+        load[s] += n
+    surplus = {s: load[s] - capacity[s] for s in capacity}
+    cut = []
+    for link, s in sorted(now):
+        k = min(now[link, s], max(surplus[s], 0))
+        surplus[s] -= k if k else 0
+        cut += [(link, s)] * k
+    spare = [s for s in range(shards) for _ in range(capacity[s] - load[s])]
+    for (link, s), to in zip(cut, spare):
+        now[link, s] -= 1
+        now[link, to] += 1
+    now = Counter({k: n for k, n in now.items() if n > 0})
+    while True:
+        load = Counter()
+        for (_, s), n in now.items():
+            load[s] += n
+        assert all(load[s] <= capacity[s] for s in load)
+        room = {s: capacity[s] - load[s] for s in capacity}
+        best = {}
+        for (link, s), n in now.items():
+            if room[s] > 0:
+                best[link] = max(best.get(link, (0, -shards)), (n, -s))
+        moves = defaultdict(list)
+        for (link, s), n in now.items():
+            if link in best:
+                gain, target = best[link][0], -best[link][1]
+                if s != target and (n < gain or n == gain and s > target):
+                    moves[target].append((-int(np.log2(gain + 1)), link, s, n))
+        if not moves:
+            break
+        for target, wanting in moves.items():
+            left = room[target]
+            for _, link, s, n in sorted(wanting):
+                k = min(n, left)
+                left -= k
+                now[link, s] -= k
+                now[link, target] += k
+        now = Counter({k: n for k, n in now.items() if n > 0})
+    first = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    placed = []
+    for link in {k for k, n in members.items() if n > 1}:
+        where = [s for (l, s), n in sorted(now.items()) if l == link for _ in range(n)]
+        placed += zip(sorted((x for x in items if x[3] == link), key=first), where)
+    used = Counter(s for _, s in placed)
+    free = [s for s in range(shards) for _ in range(capacity[s] - used[s])]
+    placed += zip(sorted((x for x in items if members[x[3]] == 1), key=lambda x: (x[3], first(x))), free)
+    out = []
+    for s in range(shards):
+        mine = sorted((x for x, at in placed if at == s), key=lambda x: (x[0] is not None, x[0] or 0, x[2], x[1]))
+        out += [(x[0], x[1], x[2], s, k) for k, x in enumerate(mine)]
+    return out
+
+
+@pytest.mark.parametrize("texts", [150, 900])
+def test_sharding_equals_its_rules_by_hand(spark, texts):
+    rng = np.random.default_rng(11)
+    rows = [(int(i), f"text {t}" if t > 6 else "same" if t > 2 else None) for i, t in zip(rng.permutation(280), rng.integers(0, texts, 280))]
+    rows += [(3, "repeated"), (3, "repeated"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = {r.doc_id: r.s for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(9)).alias("s")).distinct().collect()}
+    got = sharding.shard_documents(docs, shards=9).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == Counter(sharded_by_hand(rows, start, 9))
+
+
 # --- 1 ---
 
 
