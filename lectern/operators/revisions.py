@@ -28,7 +28,9 @@ def align_units(old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, old_id, new_id, kind (same, near, null), at: where each old unit is in the new text, in reading order.
 
     old, new: doc_id, pos, unit_id, text. same: word for word; near: in a replaced run, the most alike above a half of the
-    twelve nearest; at: the place among the new units. One document is one group, as a text fits a reader.
+    twelve nearest; at: the place among the new units. One document is one group, as a text fits a reader: the matcher's work
+    grows with the square of its units where lines repeat. Longer texts can be cut into parts at lines that stand once in
+    both versions, each part a doc_id of its own.
     """
 
     def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -53,8 +55,9 @@ def align_units(old: DataFrame, new: DataFrame) -> DataFrame:
         out.insert(0, "doc_id", a["doc_id"].iloc[0] if len(a) else None)
         return out[["doc_id", "old_id", "new_id", "kind", "at"]]
 
-    cols = ["doc_id", "pos", "unit_id", "text"]
-    pairs = old.select(*cols).groupBy("doc_id").cogroup(new.select(*cols).groupBy("doc_id"))
+    # New names of old columns: where both versions come from one table, their columns would be taken for each other.
+    sides = [df.select(*[F.col(c).alias(c) for c in ("doc_id", "pos", "unit_id", "text")]).groupBy("doc_id") for df in (old, new)]
+    pairs = sides[0].cogroup(sides[1])
     return pairs.applyInPandas(align, "doc_id long, old_id string, new_id string, kind string, at int")
 
 
