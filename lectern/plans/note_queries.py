@@ -45,11 +45,12 @@ def n3_note_changes(t: Tables) -> DataFrame:
 
 
 def _picked(t: Tables) -> DataFrame:
+    """The notes of one day, as a record of it has them."""
     n = d.notes(t)
-    return notes.pick_notes(n.where("doc_id % 50 = 0").select("doc_id", "note_id"), n)
+    return notes.pick_notes(n.where("to_date(created) = DATE '2024-01-09'").select("doc_id", "note_id"), n)
 
 
-_PICKED = f"""{d.NOTES}, pf AS (SELECT *, min({{'c': created, 'i': note_id}}) OVER (PARTITION BY doc_id) AS f FROM notes WHERE doc_id % 50 = 0),
+_PICKED = f"""{d.NOTES}, pf AS (SELECT *, min({{'c': created, 'i': note_id}}) OVER (PARTITION BY doc_id) AS f FROM notes WHERE CAST(created AS DATE) = DATE '2024-01-09'),
 pn AS (SELECT *, row_number() OVER (ORDER BY f, doc_id, created, note_id) AS place FROM pf),
 picked AS (SELECT * FROM pn WHERE place <= 400)"""
 
@@ -154,13 +155,13 @@ def n11_calendar(t: Tables) -> DataFrame:
     return notes.notes_calendar(d.notes(t))
 
 
-@query(f"""WITH {d.NOTES}, dd AS (SELECT DISTINCT CAST(created AS DATE) AS day FROM notes WHERE event_id % 97 = 0),
+@query(f"""WITH {d.NOTES}, dd AS (SELECT DISTINCT CAST(created AS DATE) AS day FROM notes),
 r AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS run FROM dd),
 s AS (SELECT min(day) AS first_day, max(day) AS last_day FROM r GROUP BY run)
 SELECT first_day, last_day, CASE WHEN first_day = date_trunc('month', first_day) AND last_day = last_day(first_day) THEN strftime(first_day, '%Y-%m')
 WHEN first_day = last_day THEN first_day::VARCHAR ELSE first_day || '/' || last_day END AS label FROM s""")
 def n11_day_ranges(t: Tables) -> DataFrame:
-    return notes.day_ranges(d.notes(t).where("event_id % 97 = 0"))
+    return notes.day_ranges(d.notes(t))
 
 
 @query(f"WITH {d.NOTES} SELECT note_id FROM notes WHERE event_id % 7 <> 0 AND contains(lower(strip_accents(coalesce(text, '') || ' ' || quote || ' ' || coalesce(question, ''))), 'the')")

@@ -6,19 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import dealt
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """df, or its rows dealt to all cores if its input has fewer splits than the cluster has cores.
-
-    A file of one row group is one task otherwise, however many cores wait. Large inputs have more splits and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Tables:
     """The given tables of a folder, read when asked for."""
 

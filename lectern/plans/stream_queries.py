@@ -97,14 +97,21 @@ def t14_running_heads(t: Tables) -> DataFrame:
 
 
 def _blocks(t: Tables) -> DataFrame:
-    """Lines as blocks, every fifth a heading of the second level."""
+    """Lines as blocks, every tenth a heading of the second level and the fifth after it one of the third."""
     u = d.units(t)
-    return u.select("doc_id", "pos", F.when(F.col("pos") % 5 == 0, "heading").otherwise("paragraph").alias("kind"), F.when(F.col("pos") % 5 == 0, 2).alias("level"), F.substring("text", 1, 40).alias("text"))
+    head = F.col("pos") % 5 == 0
+    level = F.when(head, F.when(F.col("pos") % 10 == 0, 2).otherwise(3)).alias("level")
+    text = F.when(head, F.concat(F.lit("Part "), "pos")).otherwise(F.col("text")).alias("text")
+    return u.select("doc_id", "pos", F.when(head, "heading").otherwise("paragraph").alias("kind"), level, text)
 
 
-@query(f"WITH {sql.UNITS} SELECT doc_id, count(*) FILTER (pos % 5 = 0) + CASE WHEN min(pos) % 5 <> 0 THEN 1 ELSE 0 END AS sections FROM units GROUP BY 1")
+@query(f"""WITH {sql.UNITS}, top AS (SELECT doc_id, min(CASE WHEN pos % 10 = 0 THEN 2 WHEN pos % 5 = 0 THEN 3 END) AS top, min(pos) AS first, max(pos) AS last FROM units GROUP BY 1),
+h AS (SELECT doc_id, pos, 'part-' || pos AS section_id, 'Part ' || pos AS title, CASE WHEN pos % 10 = 0 THEN 2 ELSE 3 END - top + 1 AS level, last FROM units JOIN top USING (doc_id) WHERE pos % 5 = 0
+  UNION ALL SELECT doc_id, first, 'abstract', '', 1, last FROM top WHERE first % 5 <> 0)
+SELECT doc_id, section_id, title, CAST(level AS INTEGER) AS level, CASE WHEN level > 1 THEN arg_max(CASE WHEN level = 1 THEN section_id END, CASE WHEN level = 1 THEN pos END) OVER w END AS parent, pos,
+  CAST(coalesce(lead(pos) OVER w, last + 1) AS INTEGER) AS "end" FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""")
 def t8_sections(t: Tables) -> DataFrame:
-    return structure.sections(_blocks(t)).groupBy("doc_id").agg(F.count_distinct("section_id").alias("sections"))
+    return structure.sections(_blocks(t)).select("doc_id", "section_id", "title", "level", "parent", "pos", "end")
 
 
 @query(f"WITH {sql.UNITS} SELECT doc_id, pos, 'u' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS unit_id FROM units WHERE pos % 5 <> 0".replace("'u' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1", "'u' || (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)"))

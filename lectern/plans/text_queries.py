@@ -55,12 +55,11 @@ _HITS = ", ".join(
 )
 
 
-@query(f"""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(text[1:40000], '[A-Za-zÀ-ɏḀ-ỿ]+'), lambda x: lower(x))[1:6000] AS w FROM documents),
-b AS (SELECT lang, len(w) AS size, list_max([{_HITS}]) AS best FROM w)
-SELECT lang, CASE WHEN size < 5 OR best.n < 5 THEN 'en' ELSE best.code END AS detected, count(*) AS n FROM b GROUP BY ALL""")
+@query(f"""WITH w AS (SELECT doc_id, lang, list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '(?s)```.*?```|`[^`\\n]*`|\\$\\$.*?\\$\\$|\\$[^$\\s][^$\\n]*\\$|\\[\\^?[\\w,–-]{{1,20}}\\]', ' ', 'g')[1:40000], '[A-Za-zÀ-ɏḀ-ỿ]+'), lambda x: lower(x))[1:6000] AS w FROM documents),
+b AS (SELECT doc_id, len(w) AS size, list_max([{_HITS}]) AS best FROM w)
+SELECT doc_id, CASE WHEN size < 5 OR best.n < 5 THEN 'en' ELSE best.code END AS detected FROM b""")
 def t6_language(t: Tables) -> DataFrame:
-    found = segment.detect_language(t.documents)
-    return t.documents.select("doc_id", "lang").join(found, "doc_id").groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
+    return segment.detect_language(t.documents)
 
 
 @query(f"""WITH {sql.SENTENCES}, c AS (SELECT doc_id, pos, CAST(count(*) AS INTEGER) AS n FROM ranges GROUP BY ALL),
