@@ -48,15 +48,6 @@ def drop_settled(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """df, or its rows dealt to all cores if its input has fewer splits than the cluster has cores.
-
-    A file of one row group is one task otherwise, however many cores wait. Large inputs have more splits and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def spread_join(many: DataFrame, few: DataFrame, counts: DataFrame, key: str, total: int, deal: Column, how: str = "inner") -> DataFrame:
     """many joined with few (one row a key) on `key`, hot keys dealt to several tasks by the column `deal`.
 

@@ -883,3 +883,23 @@ def test_pipeline_stages(spark, sf):
     assert ran["near_dedup"] == {find(i) for i in good}
     assert ran["secret_scans"] == ran["near_dedup"] == ran["source_mixing"] == ran["sentencepiece"]
     assert hashlib.sha256(str(sorted(ran["sentencepiece"])).encode()).hexdigest()
+
+
+def test_pipeline_stages_on_edge_cases(spark, docs, none, sf):
+    import corpus_pipeline
+
+    odd = docs.withColumnRenamed("words", "source_words").withColumn("n_chars", F.length("text"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
+        out = stage(spark, odd, sf)
+        if name != "sentencepiece":
+            assert out.columns == odd.columns
+        ids = Counter(r.doc_id for r in out.select("doc_id").collect())
+        if name == "quality_rules":
+            assert ids == Counter(r.doc_id for r in quality.judge(odd).collect() if r.kept)
+        elif name == "near_dedup":
+            assert ids[4] == 1 and not {5, 6} & set(ids) and ids[None] == 1 and ids[0] == 1 and not {1, 2} & set(ids)
+        elif name in ("secret_scans", "sentencepiece"):
+            assert ids == Counter(r.doc_id for r in docs.collect())
+        else:
+            assert set(ids) == {r.doc_id for r in docs.collect()}
