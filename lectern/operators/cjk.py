@@ -24,12 +24,16 @@ STRONG_EDGES, SOFT_EDGES = "。！？；", "，、："
 MARKERS = "①②③④⑤⑥⑦⑧⑨⑩⑴⑵⑶⑷⑸⑹⑺⑻⑼⑽⒈⒉⒊⒋⒌⒍⒎⒏⒐⒑⁰¹²³⁴⁵⁶⁷⁸⁹†‡§¶"
 NUMERALS = "一二三四五六七八九十百千"
 TOPIC_TAIL = "的地得了着与和及或"
+ORDINAL_TAILS = ("第一", "第二", "第三", "第四", "一是", "二是", "三是")
+#: Characters that nearly always begin a word: a label that ends on one was cut inside it.
+WORD_STARTS = "主是支第被把将能可各每"
 _ENDS = STRONG_EDGES + SOFT_EDGES + ".,;:!?)）】]」』”’\"'"
 
 
 def topic_of(take: str, budget: int = CJK_BUDGET["topic"]) -> str:
     """A short label from a line: marks, numbering, labels, ordinals and fillers off its front; cut at a clause edge a few
-    characters past the budget at most, else at the budget, never inside a number, behind a particle or on punctuation."""
+    characters past the budget at most, else at the budget; never inside a number or an ordinal, behind a particle, on the
+    first character of a word or on punctuation. A filler in the first few characters is skipped with what stands before it."""
     s = "".join(c for c in take if c not in MARKERS).strip()
     front = (
         rf"^[^\w{T.CJK}]+", rf"^(?:\d+|[{NUMERALS}]+)[.,、)）;；:：]", rf"^(?:第[{NUMERALS}](?=[{SOFT_EDGES}{STRONG_EDGES} ])|其[一二三四]|一[二三是])",
@@ -39,12 +43,21 @@ def topic_of(take: str, budget: int = CJK_BUDGET["topic"]) -> str:
         s = re.sub(rule, "", s)
     filler = "|".join(sorted(FILLERS, key=len, reverse=True))
     s = re.sub(rf"^[{SOFT_EDGES}{STRONG_EDGES} ]*(?:(?:{filler})[{SOFT_EDGES}{STRONG_EDGES} ]*)?", "", s)
+    later = re.compile(rf"(?:{filler})[{SOFT_EDGES}{STRONG_EDGES} ]*")
+    skips = (later.match(s, p) for p in range(min(5, len(s) - 1)))
+    s = next((s[m.end() :] for m in skips if m), s)
     edge = re.search(rf"[{STRONG_EDGES}{SOFT_EDGES}.,;:!?]", s[: budget + 5])
     end = edge.start() if edge else min(len(s), budget)
     while not edge and 0 < end < len(s) and (s[end].isdigit() or s[end - 1].isdigit()):
         end += 1
-    out = s[:end].rstrip(_ENDS)
-    return out.rstrip(TOPIC_TAIL) or out
+    out = s[:end].rstrip(_ENDS) if edge else s[:end]
+    out = out.rstrip(TOPIC_TAIL) or out[:1]
+    while len(out) >= 4 and out.endswith(ORDINAL_TAILS):
+        out = out[:-2]
+    if 2 < len(out) < len(s) and out[-1] in WORD_STARTS and re.match(f"[{T.CJK}]", s[len(out)]):
+        out = out[:-1]
+    out = out.rstrip(_ENDS)
+    return out if len(out) > 1 else ""
 
 
 def _claim(sentences: Column) -> Column:

@@ -305,3 +305,19 @@ def test_both_ways_to_sentence_ends_agree(spark):
     both = df.select("text", T._ends_by_code(F.col("toks")).alias("a"), T._ends_one_by_one(F.col("toks")).alias("b"))
     assert [r for r in both.collect() if r.a != r.b] == []
     assert both.where("size(a) > 1").count() > 500
+
+
+def test_topics_of_chinese_lines():
+    got = {t: cjk.topic_of(t) for t in ("我国对于数据保护的规定很多", "1.研究背景与意义", "本文的创新之处主要有三点", "文中几位作者认为第三方支付", "图 1—1 市场结构图", "的")}
+    assert got == {
+        "我国对于数据保护的规定很多": "数据保护的规定很", "1.研究背景与意义": "研究背景与意义", "本文的创新之处主要有三点": "本文的创新之处",
+        "文中几位作者认为第三方支付": "文中几位作者认为", "图 1—1 市场结构图": "市场结构图", "的": "",
+    }
+
+
+def test_all_prompts_failed_is_an_error(spark):
+    rows = [("a", None, "down"), ("b", None, "down")]
+    done = spark.createDataFrame(rows, "cache_key string, out string, error string")
+    with pytest.raises(RuntimeError, match="all 2 prompts failed: down"):
+        fold.require_answers(done)
+    assert fold.require_answers(done.where("cache_key = 'a'").unionByName(done.where("cache_key = 'b'").withColumn("error", F.lit(None).cast("string")))).count() == 2
