@@ -63,6 +63,7 @@ def folder_tree(folders: DataFrame, placements: DataFrame) -> DataFrame:
 
     Folders whose parent is missing, or that stand in a loop, are taken to the top. The recursion carries the path, so a
     loop ends; its depth is the depth of folders, a reader's own, and the closure has a row for each folder and ancestor.
+    Trees deeper than spark.sql.cteRecursionLevelLimit (100 as a rule) are an error.
     """
     spark = folders.sparkSession
     folders.createOrReplaceTempView("_folders")

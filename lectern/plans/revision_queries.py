@@ -62,11 +62,20 @@ def v5_reanchor(t: Tables) -> DataFrame:
     return revisions.reanchor(n, new, revisions.align_units(old, new))
 
 
-@query(f"""WITH {sql.UNITS} SELECT DISTINCT doc_id, 's' || pos // 5 AS section_id, 's' || pos // 5 AS target FROM units WHERE pos % 11 <> 3 OR pos % 13 = 5""")
+@query(f"""WITH {sql.UNITS}, nu AS (SELECT doc_id, pos, CASE WHEN pos // 5 = 1 THEN 's0' ELSE 's' || pos // 5 END AS s FROM units WHERE pos % 11 <> 3 AND pos // 5 <> 3),
+a AS (SELECT doc_id, 's' || pos // 5 AS section_id, min(pos) AS p FROM units GROUP BY ALL UNION ALL SELECT DISTINCT doc_id, 'zz', NULL FROM units),
+f AS (SELECT doc_id, arg_min(s, pos) AS first FROM nu GROUP BY 1), k AS (SELECT u.doc_id, 's' || u.pos // 5 AS section_id, min(s) AS most FROM units u JOIN nu ON nu.doc_id = u.doc_id AND nu.pos = u.pos GROUP BY 1, 2)
+SELECT a.doc_id, a.section_id, coalesce(CASE WHEN EXISTS (SELECT 1 FROM nu WHERE nu.doc_id = a.doc_id AND nu.s = a.section_id) THEN a.section_id END, most,
+  (SELECT arg_max(s, nu.pos) FROM nu WHERE nu.doc_id = a.doc_id AND nu.pos < a.p), first) AS target
+FROM a LEFT JOIN f ON f.doc_id = a.doc_id LEFT JOIN k ON k.doc_id = a.doc_id AND k.section_id = a.section_id""")
 def v6_section_target(t: Tables) -> DataFrame:
-    """Sections of the new text, asked for by their own ids."""
-    old, new = _versions(t)
-    asked = new.select("doc_id", "section_id").distinct()
+    """Old sections, and one that never was, in a text whose second section went into the first and whose fourth is gone."""
+    old = d.units(t).withColumn("text", F.concat("pos", F.lit("> "), "text"))
+    kept = old.where("pos % 11 <> 3 AND section_id <> 's3'")
+    section = F.when(F.col("section_id") == "s1", "s0").otherwise(F.col("section_id")).alias("section_id")
+    new = kept.select("doc_id", "pos", F.concat(F.lit("v"), "pos").alias("unit_id"), section, "text")
+    keys = old.select("doc_id", "section_id").distinct()
+    asked = keys.unionByName(old.select("doc_id", F.lit("zz").alias("section_id")).distinct())
     return revisions.section_target(asked, old, new, revisions.align_units(old, new))
 
 
