@@ -32,7 +32,9 @@ def s4_read_pages(t: Tables) -> DataFrame:
 
 @query(f"WITH {_VISIBLE} SELECT page_id, visible FROM v")
 def p1_visible_html(t: Tables) -> DataFrame:
-    return P.visible_html(t.pages).select("page_id", "visible")
+    """Pages with hidden elements put in: what is seen is what was there before."""
+    hidden = '<body><span hidden>h</span><p style="display: none">no</p><i aria-hidden="true">i</i><!-- c --><noscript>n</noscript>'
+    return P.visible_html(t.pages.withColumn("html", F.replace("html", F.lit("<body>"), F.lit(hidden)))).select("page_id", "visible")
 
 
 _RUNS = "list_distinct(list_transform(range(1, len(string_split(lower({0}), ' ')) - 2), lambda i: array_to_string(string_split(lower({0}), ' ')[i:i + 3], ' ')))"
@@ -47,9 +49,14 @@ def p2_extract_article(t: Tables) -> DataFrame:
     return P.extract_article(t.pages)
 
 
-@query(f"SELECT page_id, {_strip(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)')} AS title, {_HOST} AS host, 0 AS authors, '' AS license FROM pages")
+@query(f"""SELECT page_id, {_strip(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)')} || CASE WHEN page_id % 2 = 0 THEN '' ELSE ' - Site' END AS title, {_HOST} AS host,
+CASE WHEN page_id % 2 = 0 THEN 'A One|B Two|C ' || page_id ELSE '' END AS authors, CASE WHEN page_id % 2 = 0 THEN 'https://x.example/' || page_id ELSE '' END AS license FROM pages""")
 def p3_page_meta(t: Tables) -> DataFrame:
-    return P.page_meta(t.pages).withColumn("authors", F.size("authors"))
+    """Titles with a site's name behind them; half of the pages name the site, authors and a license."""
+    metas = F.concat(F.lit('<head><meta name="author" content="A One; B Two and C '), "page_id", F.lit('"><link rel="license" href="https://x.example/'), "page_id", F.lit('"><meta property="og:site_name" content="site">'))
+    named = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<head>"), metas)).otherwise(F.col("html"))
+    pages = t.pages.withColumn("html", F.replace(named, F.lit("</title>"), F.lit(" - Site</title>")))
+    return P.page_meta(pages).withColumn("authors", F.array_join("authors", "|"))
 
 
 _BLOCKS = f"""{_VISIBLE}, parts AS (SELECT page_id, string_split(regexp_replace(visible, '(?i)<({P.BLOCK_TAGS})\\b', chr(1) || '<\\1', 'g'), chr(1)) AS p FROM v),
@@ -82,11 +89,15 @@ def p6_strip_furniture(t: Tables) -> DataFrame:
     return P.strip_furniture(P.html_blocks(t.pages), P.page_meta(t.pages).select("page_id", "title"))
 
 
-@query(f"""SELECT page_id, 0 AS tooltips, 0 AS note_classes, 0 AS cell_buttons, 0 AS drawn, false AS paywall,
+@query(f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS tooltips, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS note_classes,
+CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS cell_buttons, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS drawn, page_id % 5 = 0 AS paywall,
 CAST(length(array_to_string(regexp_extract_all(html, '(?is)<script\\b.*?</script>'), '')) AS INTEGER) AS script_chars, CAST(length({_strip('html')}) AS INTEGER) AS text_chars,
-0 AS apps, 0.0::DOUBLE AS generated_share FROM pages""")
+CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS apps, CASE WHEN page_id % 7 = 0 THEN 1.0 / (2 + CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END) ELSE 0.0 END::DOUBLE AS generated_share FROM pages""")
 def p9_page_signals(t: Tables) -> DataFrame:
-    return P.page_signals(t.pages)
+    """Pages with marks of tooltips, notes, tables with buttons, drawings, a paywall and an application put in."""
+    every = [(3, '<i role="tooltip"></i><i class="tooltip"></i><i class="sidenote"></i>'), (2, "<td><button></button></td><svg></svg>"), (5, '<i class="paywall"></i>'), (7, '<i id="app" class="css-abc12x"></i>')]
+    marks = F.concat(F.lit("<body>"), *[F.when(F.col("page_id") % n == 0, F.lit(x)).otherwise("") for n, x in every])
+    return P.page_signals(t.pages.withColumn("html", F.replace("html", F.lit("<body>"), marks)))
 
 
 @query()

@@ -187,13 +187,15 @@ def x3_translation_gaps(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {d.TITLES}, l AS (SELECT doc_id, title, unnest(['de', 'fr']) AS lang FROM titles)
-SELECT doc_id, NULL AS section_id, lang FROM l WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""")
+SELECT doc_id, NULL AS section_id, lang FROM l WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0
+UNION ALL SELECT doc_id, 's' || k, lang FROM l, (SELECT unnest([0, 1]) AS k) WHERE NOT (lang = 'de' AND doc_id % 4 = 0)""")
 def x4_title_gaps(t: Tables) -> DataFrame:
-    """Documents whose title has no translation, or one that did not change it; there are no section titles here."""
+    """Titles of documents and of two sections each that have no translation, or one that did not change them."""
     docs = d.titles(t).select("doc_id", "title")
     made = docs.where("doc_id % 3 = 0").select("doc_id", F.explode(F.array(F.lit("de"), F.lit("fr"))).alias("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("title")).otherwise(F.concat("title", F.lit("!"))).alias("title"))
-    none = t.spark.createDataFrame([], "doc_id long, section_id string, lang string, title string")
-    return translate.title_gaps(none, docs, none, made, ["de", "fr"])
+    heads = docs.select("doc_id", F.explode(F.array(F.lit("s0"), F.lit("s1"))).alias("section_id"), F.lit("Head").alias("title"))
+    spoken = heads.where("doc_id % 4 = 0").select("doc_id", "section_id", F.lit("de").alias("lang"), F.when(F.col("section_id") == "s0", "Kopf").otherwise("Head").alias("title"))
+    return translate.title_gaps(heads, docs, spoken, made, ["de", "fr"])
 
 
 @query(f"""WITH {sql.UNITS}, s AS (SELECT doc_id, pos // 5 AS s, pos, length(text) AS size FROM units),

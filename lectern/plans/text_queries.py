@@ -90,12 +90,19 @@ def k2_text_keys(t: Tables) -> DataFrame:
     return segment.text_keys(t.documents)
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'stored' ELSE 'web' END AS kind, url AS key FROM pages
-WHERE regexp_matches(url, '^https?://')""")
+@query("""SELECT page_id, ['stored', 'github', 'arxiv', 'imported', 'wikipedia', 'europepmc', 'doi', 'web', 'error'][page_id % 9 + 1] AS kind,
+CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN 'own_' || page_id || '/repo' WHEN 2 THEN '2001.' || (10000 + page_id % 90000) || 'v2' WHEN 3 THEN 'md-abc-' || page_id WHEN 4 THEN 'en:Page_' || page_id
+WHEN 5 THEN 'PMC' || page_id WHEN 6 THEN '10.1234/abc' || page_id WHEN 7 THEN url || '?p=' || page_id END AS key FROM pages""")
 def k1_classify_refs(t: Tables) -> DataFrame:
-    pages = t.pages.select("page_id", "url")
-    stored = pages.where("page_id % 10 = 0").select(F.col("url").alias("key")).distinct()
-    return segment.classify_refs(pages, "url", stored).select("page_id", "kind", "key")
+    """Links and ids of every kind, made from the pages' addresses."""
+    k = F.col("page_id")
+    kinds = [
+        F.col("url"), F.concat(F.lit("https://github.com/Own_"), k, F.lit("/Repo.git#x")), F.concat(F.lit("https://arxiv.org/abs/2001."), 10000 + k % 90000, F.lit("v2")), F.concat(F.lit("md-abc-"), k),
+        F.concat(F.lit("https://en.wikipedia.org/wiki/Page_"), k), F.concat(F.lit("pmc"), k), F.concat(F.lit("https://doi.org/10.1234/AbC"), k), F.concat("url", F.lit("?p="), k), F.concat(F.lit("odd "), k),
+    ]
+    refs = t.pages.select("page_id", F.element_at(F.array(*kinds), (k % 9 + 1).cast("int")).alias("ref"))
+    stored = t.pages.where("page_id % 9 = 0").select(F.col("url").alias("key")).distinct()
+    return segment.classify_refs(refs, "ref", stored).select("page_id", "kind", "key")
 
 
 @query(f"WITH {sql.FOLD} SELECT doc_id, pos, key, takeaway, topic FROM fold")
