@@ -118,7 +118,21 @@ def p8_apply_recipes(t: Tables) -> DataFrame:
     return P.apply_recipes(t.pages, rules)[1]
 
 
-@query()
+_CUT = "string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_COUNT = "len(regexp_extract_all({0}, '[^\\s]+'))"
+
+
+@query(f"""WITH {_BLOCKS}, b AS (SELECT page_id, pos, tag, text FROM blocks WHERE text <> ''), w AS (SELECT page_id, {_strip('html')} AS page FROM pages), u AS (SELECT * FROM b WHERE tag = 'p'),
+s AS (SELECT page_id, pos, s FROM (SELECT page_id, pos, unnest({_CUT}) AS s FROM u) WHERE {_COUNT.format('s')} >= 5),
+a AS (SELECT page_id, count(*) FILTER (NOT contains(page, s)) AS absent FROM s JOIN w USING (page_id) GROUP BY 1),
+r AS (SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS reading FROM u GROUP BY 1),
+bs AS (SELECT page_id, pos, s FROM (SELECT page_id, pos, unnest({_CUT}) AS s FROM b) WHERE {_COUNT.format('s')} >= 5),
+sh AS (SELECT page_id, pos, avg(CASE WHEN coalesce(contains(reading, s), false) THEN 1.0 ELSE 0.0 END) AS share FROM bs LEFT JOIN r USING (page_id) GROUP BY 1, 2),
+m AS (SELECT page_id, count(*) FILTER (share < 0.8) AS missing FROM sh GROUP BY 1),
+l AS (SELECT page_id, array_to_string(string_split(text, ' ')[1:10], ' ') AS lead FROM u WHERE {_COUNT.format('text')} >= 6),
+un AS (SELECT page_id, count(*) FILTER ((length(page) - length(replace(page, lead, ''))) / length(lead) <> 1) AS unclear FROM l JOIN w USING (page_id) GROUP BY 1)
+SELECT p.page_id, coalesce(absent, 0) AS absent, coalesce(missing, 0) AS missing, coalesce(unclear, 0) AS unclear
+FROM pages p LEFT JOIN a ON a.page_id = p.page_id LEFT JOIN m ON m.page_id = p.page_id LEFT JOIN un ON un.page_id = p.page_id""")
 def p10_reading_check(t: Tables) -> DataFrame:
     """The article's blocks against their page."""
     units = P.html_blocks(t.pages).where("tag = 'p'").select("page_id", "pos", "text")
@@ -157,7 +171,13 @@ def r1_first_sentence(t: Tables) -> DataFrame:
     return t.conversations.select(*_KEYS, R.first_sentences(F.coalesce("text", F.lit("")), 1).alias("first"))
 
 
-@query()
+#: The turns have no markup and no blank lines: each is one paragraph.
+_TURNS = "c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s*\\n\\s*', ' ', 'g')) AS x FROM conversations)"
+_TWO = "^(.*?[.!?]+\\s+.*?[.!?]+)(?:\\s|$)"
+
+
+@query(f"""WITH {_TURNS}, f AS (SELECT *, CASE WHEN regexp_matches(x, '{_TWO}') THEN regexp_extract(x, '{_TWO}', 1) ELSE x END AS g FROM c)
+SELECT conv_id, turn, CASE WHEN g = x THEN g ELSE g || ' …' END AS shown FROM f""")
 def r2_fold_turns_brief(t: Tables) -> DataFrame:
     return R.fold_turns(t.conversations, _KEYS, 2)
 
@@ -168,11 +188,15 @@ def r2_fold_turns_gist(t: Tables) -> DataFrame:
     return R.fold_turns(t.conversations, _KEYS, 5)
 
 
-@query()
+_WORDS = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+(?:[''’-][\\p{{L}}\\p{{N}}_]+)*'))::DOUBLE"
+_SHARE = f"{_TURNS}, s AS (SELECT conv_id, turn, {_WORDS.format('x')} AS total, {_WORDS.format(_FIRST)} AS shown_words FROM c)"
+
+
+@query(f"WITH {_SHARE} SELECT conv_id, turn, total, shown_words FROM s")
 def r3_fold_share(t: Tables) -> DataFrame:
     return R.fold_share(t.conversations, _KEYS, 3)
 
 
-@query()
+@query(f"WITH {_SHARE} SELECT conv_id, turn FROM s WHERE total >= 80 AND shown_words <= 0.75 * total")
 def r4_worth_folding(t: Tables) -> DataFrame:
     return R.worth_folding(t.conversations, _KEYS, 3)
