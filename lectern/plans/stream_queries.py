@@ -224,3 +224,29 @@ def w5_activity_stream(t: Tables) -> DataFrame:
     events = _stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
     streams.run_to_table(streams.activity(events)[0], f"{where}/out", f"{where}/ck").awaitTermination()
     return _local(t.spark.read.schema("start timestamp, end timestamp, n long").parquet(f"{where}/out"))
+
+
+_COMPLETE = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+
+
+@query(f"""WITH e AS (SELECT date_trunc('day', ts)::TIMESTAMP AS d, unnest(range(0, 7)) AS k FROM events),
+g AS (SELECT d - to_days(CAST(k AS INTEGER)) AS start, d - to_days(CAST(k AS INTEGER)) + INTERVAL 7 DAY AS "end", count(*) AS n FROM e GROUP BY ALL)
+SELECT * FROM g WHERE "end" <= {_COMPLETE}""")
+def w5_week_stream(t: Tables) -> DataFrame:
+    """Sliding weeks from a stream, complete ones."""
+    where = _folder(t.spark)
+    events = _stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    streams.run_to_table(streams.activity(events)[1], f"{where}/out", f"{where}/ck").awaitTermination()
+    return _local(t.spark.read.schema("start timestamp, end timestamp, n long").parquet(f"{where}/out"))
+
+
+@query(f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
+x AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k)
+SELECT * FROM x WHERE "end" <= {_COMPLETE}""")
+def w5_session_stream(t: Tables) -> DataFrame:
+    """Sessions from a stream, those that have ended."""
+    where = _folder(t.spark)
+    events = _stream(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    streams.run_to_table(streams.activity(events)[2], f"{where}/out", f"{where}/ck").awaitTermination()
+    return _local(t.spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{where}/out"))
