@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a bucket that a rank aims at, and the most buckets that it makes.
-BUCKET_ROWS = 300
+BUCKET_ROWS = 100
 MOST_BUCKETS = 65_536
 #: A key with more than this share of all rows is dealt to several tasks; at most as many keys can have it.
 HOT_SHARE = 2_000
