@@ -176,8 +176,13 @@ _TURNS = "c AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\
 _TWO = "^(.*?[.!?]+\\s+.*?[.!?]+)(?:\\s|$)"
 
 
-@query(f"""WITH {_TURNS}, f AS (SELECT *, CASE WHEN regexp_matches(x, '{_TWO}') THEN regexp_extract(x, '{_TWO}', 1) ELSE x END AS g FROM c)
-SELECT conv_id, turn, CASE WHEN g = x THEN g ELSE g || ' …' END AS shown FROM f""")
+#: Stops behind initials and abbreviations end no sentence; they are another character meanwhile.
+_MASKED = "regexp_replace(regexp_replace(x, '(^|\\s)(\\p{{Lu}})\\.(\\s)', '\\1\\2' || chr(1) || '\\3', 'g'), '(^|[^\\p{{L}}.])(e\\.g|i\\.e|etc|vs|cf|Dr|Mr|Mrs|Ms|Prof|St|Fig|No)\\.', '\\1\\2' || chr(1), 'g')".format()
+
+
+@query(f"""WITH {_TURNS.replace('c AS', 'o AS')}, c AS (SELECT conv_id, turn, {_MASKED} AS x FROM o),
+f AS (SELECT *, CASE WHEN regexp_matches(x, '{_TWO}') THEN regexp_extract(x, '{_TWO}', 1) ELSE x END AS g FROM c)
+SELECT conv_id, turn, replace(CASE WHEN g = x THEN g ELSE g || ' …' END, chr(1), '.') AS shown FROM f""")
 def r2_fold_turns_brief(t: Tables) -> DataFrame:
     return R.fold_turns(t.conversations, _KEYS, 2)
 
