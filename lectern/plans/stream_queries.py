@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import fold, structure
 from ..sources import readers, sinks
 from ..streaming import streams
@@ -43,7 +44,12 @@ def s9_doc_json(t: Tables) -> DataFrame:
     return made.select("doc_id", units.cast("long").alias("units"), F.size(v["sections"]).cast("long").alias("sections"))
 
 
-@query()
+@query(f"""WITH {sql.FOLD}, {d.TITLES}, s AS (SELECT doc_id, pos, string_agg(text, ' ' ORDER BY sent) AS whole, min(text) FILTER (sent = 0) AS first FROM sents GROUP BY ALL),
+u AS (SELECT u.doc_id, u.pos, {{'id': 'u' || u.pos, 'full': coalesce(whole, ''), 'brief': CASE WHEN first IS NULL THEN []::VARCHAR[] ELSE [first] END, 'key': coalesce(key, ''), 'takeaway': coalesce(takeaway, ''), 'topic': coalesce(topic, '')}} AS x
+  FROM units u LEFT JOIN s ON s.doc_id = u.doc_id AND s.pos = u.pos LEFT JOIN fold f ON f.doc_id = u.doc_id AND f.pos = u.pos),
+c AS (SELECT doc_id, min(pos) AS p, {{'id': 's' || pos // 5, 'units': list(x ORDER BY pos)}} AS x FROM u GROUP BY doc_id, pos // 5),
+a AS (SELECT doc_id, list(x ORDER BY p) AS sections FROM c GROUP BY 1)
+SELECT doc_id, CAST(to_json({{'id': doc_id::VARCHAR, 'lang': lang, 'title': title, 'provenance': {{'ai_generated': false, 'local': true, 'model': ''}}, 'sections': sections, 'links': []::VARCHAR[]}}) AS VARCHAR) AS json FROM a JOIN titles USING (doc_id)""")
 def s9_doc_json_text(t: Tables) -> DataFrame:
     return sinks.doc_json(fold.local_levels(d.units(t)), d.titles(t))
 
@@ -128,8 +134,10 @@ def t19_atoms(t: Tables) -> DataFrame:
     return structure.atoms(u)
 
 
-@query()
+@query(rf"""WITH {sql.FOLD}, w AS (SELECT c.doc_id, c.pos, CAST(tok AS INTEGER) AS tok, regexp_replace(lower(t), '[^\p{{L}}\p{{N}}_\p{{M}}]', '', 'g') AS w FROM counted c JOIN heads h ON h.doc_id = c.doc_id AND h.pos = c.pos WHERE tok <= coalesce(h14, hn))
+SELECT doc_id, pos, tok AS line_tok, tok AS source_tok FROM w WHERE w <> '' AND w NOT IN ({sql.quoted(T.STOP_WORDS)})""")
 def f5_align_words(t: Tables) -> DataFrame:
+    """Takeaways begin as their sentences do, so each word but stop words is its own source."""
     made = fold.fold_local(d.units(t)).select("doc_id", "pos", F.col("takeaway").alias("line"), F.col("key").alias("source"))
     return structure.align_words(made)
 
