@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, mixing, pieces, quality, secret_scan, sharding, simhash, token_counts, vptree, wrappers
+from lectern.llm import chat, common, mixing, pieces, quality, secret_scan, sharding, simhash, token_counts, vptree, wrappers
 from lectern.llm.components import components
 from lectern.llm.queries import tokenizer_file
 
@@ -631,7 +631,9 @@ def sharded_by_hand(rows, start, shards):
 
 
 @pytest.mark.parametrize("texts", [150, 900])
-def test_sharding_equals_its_rules_by_hand(spark, texts):
+def test_sharding_equals_its_rules_by_hand(spark, monkeypatch, texts):
+    for module in (common, sharding):
+        monkeypatch.setattr(module, "BUCKET_ROWS", 1_000)
     rng = np.random.default_rng(11)
     rows = [(int(i), f"text {t}" if t > 6 else "same" if t > 2 else None) for i, t in zip(rng.permutation(280), rng.integers(0, texts, 280))]
     rows += [(3, "repeated"), (3, "repeated"), (None, "no id")]
