@@ -16,6 +16,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ _BLOCKS = frozenset(
     " thead tr ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a text: inside an article they are its own even if all pages of a host have the same ones.
+_TEXTS = _HEADINGS | frozenset("#text p blockquote pre ul ol li dl dt dd table caption thead tbody tfoot tr th td figure figcaption".split())
 #: Siblings of these tags that follow each other are one node of an outline, however many they are.
 _RUNS = frozenset("p li dt dd tr td th tbody hr blockquote pre #text".split())
 #: A whole article may be in one of these without further blocks.
@@ -338,49 +342,130 @@ class Tree:
             self.shape[k] = hash((labels[k], tuple(self.shape[c] for c in self.kids[k])))
 
 
-def match_trees(a: Tree, b: Tree) -> tuple[int, dict[int, int]]:
+#: Pairs of children that one alignment compares; what is wider is aligned by equal subtrees and by place.
+MOST_CELLS = 1 << 16
+
+
+def _in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of pairs (i, j), sorted by i, in which j rises too."""
+    ends: list[int] = []
+    chain: list[tuple[int, int]] = []  # place in pairs, place of the one before
+    for i, j in pairs:
+        k = bisect_left(ends, j, key=lambda e: pairs[e][1])
+        chain.append((len(chain), ends[k - 1] if k else -1))
+        ends[k : k + 1] = [len(chain) - 1]
+    out, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        out.append(pairs[at])
+        at = chain[at][1]
+    return out[::-1]
+
+
+def _once(items: list) -> dict:
+    """Items that occur once, with their places."""
+    seen: dict = {}
+    for i, x in enumerate(items):
+        seen[x] = -1 if x in seen else i
+    return {x: i for x, i in seen.items() if i >= 0}
+
+
+def _split(a: Tree, b: Tree, rows: list[int], cols: list[int], cells: int) -> tuple[list[tuple[int, int]], list[tuple[list[int], list[int]]], int]:
+    """How two lists of children are compared: pairs that are settled, parts that are compared each with each, cells left.
+
+    Equal subtrees at both ends belong to a largest match, so they are settled first. If the rest is wider than `cells`,
+    subtrees that stand once on both sides are settled in the longest order-keeping chain, and between them what is
+    still too wide is paired by place: the n-th child of a label with the n-th.
+    """
+    lo, n, m = 0, len(rows), len(cols)
+    while lo < min(n, m) and a.shape[rows[lo]] == b.shape[cols[lo]]:
+        lo += 1
+    hi = 0
+    while hi < min(n, m) - lo and a.shape[rows[n - 1 - hi]] == b.shape[cols[m - 1 - hi]]:
+        hi += 1
+    settled = list(zip(rows[:lo], cols[:lo])) + list(zip(rows[n - hi :], cols[m - hi :]))
+    rows, cols = rows[lo : n - hi], cols[lo : m - hi]
+    if len(rows) * len(cols) <= cells:
+        return settled, [(rows, cols)] if rows and cols else [], cells - len(rows) * len(cols)
+    there = _once([b.shape[d] for d in cols])
+    once = _once([a.shape[c] for c in rows])
+    anchors = _in_order(sorted((i, there[x]) for x, i in once.items() if x in there))
+    settled += [(rows[i], cols[j]) for i, j in anchors]
+    parts = []
+    for (i, j), (k, l) in zip([(-1, -1), *anchors], [*anchors, (len(rows), len(cols))]):
+        some, others = rows[i + 1 : k], cols[j + 1 : l]
+        if len(some) * len(others) <= cells:
+            cells -= len(some) * len(others)
+            parts += [(some, others)] if some and others else []
+            continue
+        places: dict[tuple[str, int], int] = {}
+        times: Counter = Counter()
+        for y, d in enumerate(others):
+            places[b.labels[d], times[b.labels[d]]] = y
+            times[b.labels[d]] += 1
+        times.clear()
+        both = []
+        for x, c in enumerate(some):
+            y = places.get((a.labels[c], times[a.labels[c]]))
+            times[a.labels[c]] += 1
+            if y is not None:
+                both.append((x, y))
+        settled += [(some[x], others[y]) for x, y in _in_order(both)]
+    return settled, parts, cells
+
+
+def match_trees(a: Tree, b: Tree, cells: int = MOST_CELLS) -> tuple[int, dict[int, int]]:
     """Simple tree matching: size of the largest top-down, order-keeping match of two trees, and its places in b to those in a.
 
-    Equal subtrees match as they are. Otherwise the work for two nodes is the product of their numbers of children; runs
-    of equal siblings count as one.
+    Equal subtrees match as they are. Otherwise the work for two nodes is the product of their numbers of children, without
+    equal subtrees at both ends; runs of equal siblings count as one. Beyond `cells` compared pairs the match keeps order and labels
+    but need not be the largest (_split).
     """
     if not a.labels or not b.labels or a.labels[0] != b.labels[0]:
         return 0, {}
-    pairs, best, table = [(0, 0)], {}, {}
+    pairs, best, split, table = [(0, 0)], {}, {}, {}
     for x, y in pairs:
         if a.shape[x] != b.shape[y]:
-            pairs += [(c, d) for c in a.kids[x] for d in b.kids[y] if a.labels[c] == b.labels[d]]
+            settled, parts, cells = split_ = _split(a, b, a.kids[x], b.kids[y], cells)
+            split[x, y] = split_
+            pairs += settled
+            pairs += [(c, d) for rows, cols in parts for c in rows for d in cols if a.labels[c] == b.labels[d]]
     for x, y in reversed(pairs):
         if a.shape[x] == b.shape[y]:
             best[x, y] = a.size[x]
             continue
-        rows, cols = a.kids[x], b.kids[y]
-        t = [[0] * (len(cols) + 1)]
-        for c in rows:
-            prior, row = t[-1], [0]
-            for j, d in enumerate(cols):
-                row.append(max(prior[j + 1], row[j], prior[j] + best.get((c, d), 0)))
-            t.append(row)
-        table[x, y], best[x, y] = t, 1 + t[-1][-1]
+        settled, parts, _ = split[x, y]
+        total = 1 + sum(best[p] for p in settled)
+        for k, (rows, cols) in enumerate(parts):
+            t = [[0] * (len(cols) + 1)]
+            for c in rows:
+                prior, row = t[-1], [0]
+                for j, d in enumerate(cols):
+                    row.append(max(prior[j + 1], row[j], prior[j] + best.get((c, d), 0)))
+                t.append(row)
+            table[x, y, k] = t
+            total += t[-1][-1]
+        best[x, y] = total
     found: dict[int, int] = {}
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
         found[y] = x
-        if (x, y) not in table:
+        if (x, y) not in split:
             todo += zip(a.kids[x], b.kids[y])
             continue
-        t, rows, cols = table[x, y], a.kids[x], b.kids[y]
-        i, j = len(rows), len(cols)
-        while i and j:
-            w = best.get((rows[i - 1], cols[j - 1]), 0)
-            if w and t[i][j] == t[i - 1][j - 1] + w:
-                todo.append((rows[i - 1], cols[j - 1]))
-                i, j = i - 1, j - 1
-            elif t[i][j] == t[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        settled, parts, _ = split[x, y]
+        todo += settled
+        for k, (rows, cols) in enumerate(parts):
+            t, i, j = table[x, y, k], len(rows), len(cols)
+            while i and j:
+                w = best.get((rows[i - 1], cols[j - 1]), 0)
+                if w and t[i][j] == t[i - 1][j - 1] + w:
+                    todo.append((rows[i - 1], cols[j - 1]))
+                    i, j = i - 1, j - 1
+                elif t[i][j] == t[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
     return best[0, 0], found
 
 
@@ -394,7 +479,9 @@ def decide(labels: list[str], ups: list[int], odd: list[bool], low: list[int], h
 
     low, high: least and greatest digest of a slot's texts (zero: no text); sizes: characters outside links on all pages;
     seen: 64 bits, of which each different longest block of a page sets one. A slot is constant if its text is the same on
-    LEAST_PAGES different pages or more, and on all that have it; copies of one page prove nothing.
+    LEAST_PAGES different pages or more, and on all that have it; copies of one page prove nothing. Constant boxes are dropped
+    wherever they stand; constant headings, paragraphs, lists, quotes and tables stay inside an article element, or inside a main
+    without one.
     """
     kids, n = kids_of(ups), len(labels)
     constant = [low[k] == high[k] != 0 and seen[k].bit_count() >= LEAST_PAGES for k in range(n)]
@@ -424,7 +511,13 @@ def decide(labels: list[str], ups: list[int], odd: list[bool], low: list[int], h
         if any(tag[c] in _HEADINGS and mass[c] > 0 for c in kids[t][: kids[t].index(best)]):
             break
         t = best
-    verdict = [DROP if c else KEEP for c in constant]
+    holds = [x == "article" for x in tag]
+    for k in reversed(order):
+        holds[k] |= any(holds[c] for c in kids[k])
+    inside = [False] * n
+    for k in order:
+        inside[k] = tag[k] == "article" or tag[k] == "main" and not holds[k] or k > 0 and inside[ups[k]]
+    verdict = [DROP if c and not (inside[k] and tag[k] in _TEXTS) else KEEP for k, c in enumerate(constant)]
     if n:
         verdict[t] = ROOT
     return verdict
@@ -448,7 +541,25 @@ def content(page: Node, outline: Outline, found: dict[int, int], verdict: list[i
                     b.drop = True
                 else:
                     b[0].items[b[1]] = " "
-    return words_of(outline.blocks[root], choose=True)
+    return words_of(_articles(outline, root, found, verdict), choose=True)
+
+
+def _articles(outline: Outline, root: int, found: dict[int, int], verdict: list[int]) -> list:
+    """The blocks of the content's root and, if it is an article element, of the page's other outermost ones, in page order.
+
+    Articles inside furniture, and constant ones, are none of the page's.
+    """
+    tags = [x.split(".")[0] for x in outline.labels]
+    if tags[root] != "article":
+        return outline.blocks[root]
+    roots, todo = [], [0]
+    while todo:
+        k = todo.pop()
+        if k == root or tags[k] == "article" and not outline.odd(k):
+            roots += [] if k != root and k in found and verdict[found[k]] == DROP else outline.blocks[k]
+        elif k == 0 or not outline.odd(k):
+            todo += reversed(outline.kids[k])
+    return roots if any(b is r for b in roots for r in outline.blocks[root]) else outline.blocks[root]
 
 
 # --- Induction over all pages --------------------------------------------------------------------------------------
