@@ -20,6 +20,10 @@ FILLERS = (
     "随着 根据 由于 因此 但是 而且 并且 不过 然而 所以 如果 虽然 尽管 目前 首先 其次 再次 最后 此外 另外 同时 综上 总之 基于 鉴于 针对 对于 关于"
     " 近年来 当前 实践中 从我国 从中国"
 ).split()
+#: How a line begins whose subject is the document that it comes from, or a year.
+CITED_FIRST = r"^\s*(?:《[^》]{2,40}》|(?:19|20)\d{2}\s*年)"
+#: Share of Chinese and Japanese characters above which a text is written in them.
+CJK_SHARE = 0.2
 STRONG_EDGES, SOFT_EDGES = "。！？；", "，、："
 MARKERS = "①②③④⑤⑥⑦⑧⑨⑩⑴⑵⑶⑷⑸⑹⑺⑻⑼⑽⒈⒉⒊⒋⒌⒍⒎⒏⒐⒑⁰¹²³⁴⁵⁶⁷⁸⁹†‡§¶"
 NUMERALS = "一二三四五六七八九十百千"
@@ -119,6 +123,31 @@ def repeats_section(lines: DataFrame, share: float = 0.8, least: int = 8) -> Dat
     return compared.unionByName(l.where(~maybe).withColumn("repeats", F.lit(False))).drop("_a", "_b")
 
 
+def step_down_background(ladders: DataFrame, documents: DataFrame, cap: int = 2) -> DataFrame:
+    """ladders (doc_id, section_id, pos, role, takeaway, section_line) with shown: which lines stand at the takeaway level.
+
+    documents: doc_id, is_cjk. Only sections of Chinese and Japanese documents whose own lines are written so are changed. There a
+    line that repeats its section's line steps down and neither counts nor resets; a section's first line stands; of
+    background lines at most `cap` in a row; a background line about the source that it opens with steps down, though it
+    counts; any other role, and a unit that folds to nothing, resets the run. A section without a line has no repeats.
+    """
+    section = Window.partitionBy("doc_id", "section_id")
+    line = F.coalesce("takeaway", F.lit(""))
+    word, wide = F.regexp_count(line, F.lit(r"[\p{L}\p{N}]")), F.regexp_count(line, F.lit(f"[{T.CJK}]"))
+    written = F.sum(wide).over(section) > CJK_SHARE * F.sum(word).over(section)
+    gated = ladders.join(documents.select("doc_id", "is_cjk"), "doc_id", "left").withColumn("_gate", F.coalesce("is_cjk", F.lit(False)) & written).drop("is_cjk")
+    compared = repeats_section(gated.where("_gate")).unionByName(gated.where("NOT _gate").withColumn("repeats", F.lit(False)))
+    folds, order = line != "", section.orderBy("pos")
+    first = F.col("pos") == F.min(F.when(folds, F.col("pos"))).over(section)
+    reset = ~folds | (~F.col("repeats") & (first | ~F.col("role").isin("context", "setup")))
+    about = (wide > CJK_SHARE * word) & F.regexp_like(line, F.lit(CITED_FIRST)) & ~F.regexp_like(line, F.lit("[：:]|" + "|".join(CLAIM_WORDS)))
+    marked = compared.withColumn("_reset", reset).withColumn("_g", F.sum(F.col("_reset").cast("int")).over(order))
+    counts = folds & ~F.col("repeats") & ~F.col("_reset")
+    run = F.sum(counts.cast("int")).over(Window.partitionBy("doc_id", "section_id", "_g").orderBy("pos"))
+    shown = folds & ~F.col("repeats") & (F.col("_reset") | (F.col("_run") <= cap) & ~about)
+    return marked.withColumn("_run", run).withColumn("shown", F.when(F.col("_gate"), shown).otherwise(folds)).drop("_gate", "_reset", "_g", "_run")
+
+
 def carry_tail(units: DataFrame, glue: int = 40, least: int = 20) -> DataFrame:
     """units (doc_id, section_id, pos, role, text) with carried: the end of the unit before that a page break cut off.
 

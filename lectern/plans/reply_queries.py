@@ -115,17 +115,18 @@ def f11_to_ask(t: Tables) -> DataFrame:
 
 @query(f"WITH {_PROMPTS} SELECT cache_key, CASE WHEN cache_key[1] < '4' THEN NULL ELSE length(prompt)::VARCHAR END AS out, CASE WHEN cache_key[1] < '4' THEN 'failed' END AS error FROM keyed")
 def f12_complete(t: Tables) -> DataFrame:
-    """A stub completion that answers each prompt with its length; a quarter of the keys are batches that fail."""
+    """A stub completion that answers each prompt with its length; a call fails if it holds a prompt of a quarter of the keys."""
 
     def answer(prompts: list[str]) -> list[str]:
-        return [str(len(p)) for p in prompts]
+        import hashlib
+        import json
 
-    def fail(prompts: list[str]) -> list[str]:
-        raise ValueError("failed")
+        keys = [hashlib.sha256(json.dumps(["Answer with JSON only.", p, fold.REPLY_SCHEMA, "stub", ""], separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() for p in prompts]
+        if any(k[0] < "4" for k in keys):
+            raise ValueError("failed")
+        return [str(len(p)) for p in prompts]
 
-    made = _prompts(t)
-    odd = F.substring("cache_key", 1, 1) < "4"
-    return fold.complete(made.where(~odd), answer).unionByName(fold.complete(made.where(odd), fail))
+    return fold.complete(_prompts(t), answer)
 
 
 # --- Links ----------------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fold, structure
+from ..operators import cjk, fold, segment, structure
 from ..sources import readers, sinks
 from ..streaming import streams
 from . import derived as d
@@ -65,12 +65,17 @@ def s11_notes_markdown(t: Tables) -> DataFrame:
 @query(f"""WITH {sql.FOLD} SELECT doc_id, pos, CASE WHEN doc_id % 3 = 0 AND pos % 2 = 0 THEN 'two ' || takeaway WHEN doc_id % 3 <> 0 AND pos % 4 = 0 THEN 'one ' || takeaway ELSE takeaway END AS takeaway,
 CASE WHEN doc_id % 3 = 0 AND pos % 2 = 0 OR doc_id % 3 <> 0 AND pos % 4 = 0 THEN 'model' ELSE 'local' END AS model FROM fold""")
 def s12_read_layers(t: Tables) -> DataFrame:
-    """Two versions of a layer; units that the newest lacks fall back to their extractive fold."""
+    """Two versions of a layer in the document's language; units that the newest lacks fall back to their extractive fold.
+
+    A newer layer in another language changes nothing.
+    """
     local = fold.fold_local(d.units(t))
-    base = local.select("doc_id", F.lit("en").alias("lang"), "pos", "key", "takeaway", "topic", F.lit("model").alias("model"))
+    own = t.documents.select("doc_id", "lang")
+    base = local.select("doc_id", "pos", "key", "takeaway", "topic", F.lit("model").alias("model")).join(own, "doc_id")
+    other = base.withColumns({"lang": F.concat("lang", F.lit("-x")), "version": F.lit(9), "takeaway": F.lit("other")})
     one = base.where("pos % 4 = 0").withColumns({"version": F.lit(1), "takeaway": F.concat(F.lit("one "), "takeaway")})
     two = base.where("doc_id % 3 = 0 AND pos % 2 = 0").withColumns({"version": F.lit(2), "takeaway": F.concat(F.lit("two "), "takeaway")})
-    return sinks.read_layers(one.unionByName(two), local).select("doc_id", "pos", "takeaway", "model")
+    return sinks.read_layers(one.unionByName(two).unionByName(other), local, own).select("doc_id", "pos", "takeaway", "model")
 
 
 @query("""SELECT c_custkey AS doc_id, CAST(k AS INTEGER) AS row, CASE k WHEN 0 THEN 'name|balance' ELSE c_name || '|' || CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS DECIMAL(18, 2))::VARCHAR END END AS cells
@@ -142,13 +147,30 @@ def f5_align_words(t: Tables) -> DataFrame:
     return structure.align_words(made)
 
 
-@query(f"""WITH {sql.UNITS} SELECT doc_id, pos, CASE WHEN pos % 4 IN (1, 2) THEN true WHEN pos % 4 = 3 THEN false ELSE true END AS shown FROM units""")
+_SECTION_LINE = "第三方支付应当统一监管并且立法规制"
+
+
+@query(f"""WITH {sql.UNITS}, x AS (SELECT doc_id, pos, pos // 8 AS sec, pos % 8 AS k, doc_id % 2 = 0 AS zh FROM units),
+f AS (SELECT *, pos = min(pos) OVER (PARTITION BY doc_id, sec) AS first FROM x),
+g AS (SELECT *, sum(CASE WHEN k <> 5 AND (first OR k IN (0, 3)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sec ORDER BY pos) AS g FROM f),
+r AS (SELECT *, sum(CASE WHEN k IN (1, 2, 4, 6, 7) AND NOT first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sec, g ORDER BY pos) AS run FROM g)
+SELECT doc_id, pos, NOT zh OR k <> 5 AND (first OR k IN (0, 3) OR run <= 2 AND k <> 2) AS shown FROM r""")
 def f8_background_run(t: Tables) -> DataFrame:
-    """Three background lines after each claim: the third steps down."""
-    u = d.units(t)
-    ladders = u.select("doc_id", F.concat(F.lit("s"), F.floor(F.col("pos") / 4)).alias("section_id"), "pos", F.when(F.col("pos") % 4 == 0, "claim").otherwise("context").alias("role"), F.lit(5).alias("tn"), F.lit(False).alias("repeats"))
-    full = ladders.unionByName(ladders.select("doc_id", "section_id", (F.floor(F.col("pos") / 4) * 4).cast("int").alias("pos"), F.lit("claim").alias("role"), "tn", "repeats").distinct()).dropDuplicates(["doc_id", "pos"])
-    return u.select("doc_id", "pos").join(fold.step_down_background(full).select("doc_id", "pos", "shown"), ["doc_id", "pos"])
+    """Lines of which every second document's are Chinese: claims, background, a cited title, one with a colon, the section's own line.
+
+    Of English documents every line stands.
+    """
+    k, zh = F.col("pos") % 8, F.col("doc_id") % 2 == 0
+    said = (
+        F.when(k.isin(0, 3), "本文认为应当立法").when(k == 2, "《支付办法》规定甲乙").when(k == 4, "《资本要求》：若干条件").when(k == 5, _SECTION_LINE + "。")
+        .otherwise("甲乙丙丁戊己庚")
+    )
+    text = F.when(zh, said).otherwise(F.when(k == 5, "The section says this once more.").otherwise(F.col("text")))
+    u = d.units(t).withColumn("text", text)
+    line = F.when(zh, _SECTION_LINE).otherwise("The section says this once more.")
+    section = F.concat(F.lit("s"), F.floor(F.col("pos") / 8))
+    lines = u.select("doc_id", section.alias("section_id"), "pos", F.when(k.isin(0, 3, 5), "claim").otherwise("context").alias("role"), F.col("text").alias("takeaway"), line.alias("section_line"))
+    return cjk.step_down_background(lines, segment.document_cjk_share(u)).select("doc_id", "pos", "shown")
 
 
 # --- Streams --------------------------------------------------------------------------------------------------------

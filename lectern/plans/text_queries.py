@@ -44,9 +44,15 @@ def t4_word_counts(t: Tables) -> DataFrame:
     return segment.word_counts(t.documents.select("doc_id", "text")).drop("text")
 
 
-@query(f"WITH {sql.UNITS} SELECT DISTINCT doc_id, 0.0::DOUBLE AS share, false AS is_cjk FROM units")
+@query(rf"""WITH {sql.UNITS}, x AS (SELECT doc_id, pos, CASE WHEN pos % 3 < doc_id % 4 THEN '这是第' || pos || '段，写成中文。' ELSE text END AS text FROM units),
+h AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x),
+c AS (SELECT doc_id, substring(text, 1, CAST(4000 - b AS BIGINT)) AS t FROM h WHERE b < 4000),
+n AS (SELECT doc_id, sum(len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]'))) AS w, sum(len(regexp_extract_all(t, '[一-鿿]'))) AS c FROM c GROUP BY 1)
+SELECT doc_id, CASE WHEN w > 0 THEN c / w ELSE 0.0 END AS share, CASE WHEN w > 0 THEN c / w ELSE 0.0 END > 0.2 AS is_cjk FROM n""".replace("\\\\", "\\"))
 def t5_cjk_share(t: Tables) -> DataFrame:
-    return segment.document_cjk_share(_units(t))
+    """Documents of which none, a third, two thirds or all lines are Chinese."""
+    line = F.concat(F.lit("这是第"), "pos", F.lit("段，写成中文。"))
+    return segment.document_cjk_share(_units(t).withColumn("text", F.when(F.col("pos") % 3 < F.col("doc_id") % 4, line).otherwise(F.col("text"))))
 
 
 _HITS = ", ".join(

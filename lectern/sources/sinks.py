@@ -65,13 +65,15 @@ def save_layer(ladders: DataFrame, path: str) -> None:
     ladders.write.mode("append").partitionBy("lang").parquet(path)
 
 
-def read_layers(layers: DataFrame, local: DataFrame) -> DataFrame:
+def read_layers(layers: DataFrame, local: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, pos, key, takeaway, topic, model: the newest layer's lines for each unit, the extractive ones where it has none.
 
-    layers: doc_id, lang, version, pos, key, takeaway, topic, model; local: fold_local().
+    layers: doc_id, lang, version, pos, key, takeaway, topic, model; local: fold_local(); wanted: doc_id and the one lang in which
+    it is read, such as its own or that of a translation. Layers in other languages are left alone.
     """
-    newest = latest_layers(layers.select("doc_id", "lang", "version").distinct())
-    mine = layers.join(newest, ["doc_id", "lang", "version"], "left_semi")
+    asked = layers.join(wanted.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi")
+    newest = latest_layers(asked.select("doc_id", "lang", "version").distinct())
+    mine = asked.join(newest, ["doc_id", "lang", "version"], "left_semi")
     cols = ["key", "takeaway", "topic", "model"]
     ours = mine.select("doc_id", "pos", *[F.col(c).alias(f"_{c}") for c in cols])
     return local.select("doc_id", "pos", *cols).join(ours, ["doc_id", "pos"], "left").select("doc_id", "pos", *[F.coalesce(f"_{c}", c).alias(c) for c in cols])
