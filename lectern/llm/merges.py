@@ -16,16 +16,17 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of texts whose new words are replayed together, and matches of one long text at a time.
-BLOCK = 1 << 22
-MATCHES = 1 << 19
+BLOCK = 1 << 21
+MATCHES = 1 << 18
 #: Words, and ids of words, beyond which a worker forgets them and begins anew.
-REMEMBERED = 600_000
-REMEMBERED_IDS = 8_000_000
+REMEMBERED = 400_000
+REMEMBERED_IDS = 4_000_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -230,15 +231,21 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     that are new to a task are replayed together, block by block, and remembered. The words of a task, not of all
     documents, are the corpus that is replayed: ids then need no shuffle and no table that grows with the input. Null texts
     have no ids. Null doc_ids and repeated rows make no difference, further columns are ignored whatever their names, an empty
-    table gives no rows. Long texts are cut to words 524,288 matches at a time; a word of any length is replayed whole.
+    table gives no rows. Long texts are cut to words 262,144 matches at a time; a word of any length is replayed whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(rank_file, pattern)
         for batch in batches:
-            ids, counts = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), listed], ["doc_id", "ids"])
+            upto = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:  # about BLOCK code points at a time, a longer text alone
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BLOCK, side="right")))
+                some = batch.slice(lo, hi - lo)
+                ids, counts = encoder.encode([t or "" for t in some.column(1).to_pylist()])
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([some.column(0), listed], ["doc_id", "ids"])
+                lo = hi
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
