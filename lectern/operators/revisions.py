@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Candidates that an edited unit is compared with, nearest place first, and the likeness it must pass.
 NEAREST, ALIKE = 12, 0.5
+#: Units of each version that are compared in one group.
+GAP_UNITS = 1_000
 #: Contexts: what a passage at a text's edge scores, and what several places with the same words must reach.
 EDGE, FIT = 20, 8
 #: Characters of context that can tell a passage whose own words are gone.
@@ -24,41 +29,150 @@ def _likeness(a: str, b: str, least: float) -> float:
     return m.ratio()
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """The rows that work gives for each group of df, handed to it as tuples of df's columns in order.
+
+    Groups are streamed through sorted partitions, so that many small ones cost no call each; a task holds one at a time.
+    """
+    places = [df.columns.index(k) for k in keys]
+    names = [field.split(" ")[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, key = [], None
+        for pdf in batches:
+            out = []
+            for k, rows in groupby(pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None), key=lambda r: tuple(r[p] for p in places)):
+                if k != key:
+                    out += work(held) if held else []
+                    held, key = [], k
+                held += rows
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(work(held) if held else [], columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _chain(blocks: list[tuple]) -> list[tuple]:
+    """The heaviest set of a document's blocks (doc_id, i, j, n), sorted by i, in which j rises too. Of equal sets the one that ends first."""
+    tails: list[tuple[int, int, int]] = []  # j, weight and place of chain ends; j and weight rise
+    before = []
+    for k, (_, _, j, n) in enumerate(blocks):
+        at = bisect_left(tails, (j,))
+        weight = n + (tails[at - 1][1] if at else 0)
+        before.append(tails[at - 1][2] if at else -1)
+        over = at
+        while over < len(tails) and tails[over][1] <= weight:
+            over += 1
+        tails[at:over] = [(j, weight, k)]
+    kept, k = [], tails[-1][2] if tails else -1
+    while k >= 0:
+        kept.append(blocks[k])
+        k = before[k]
+    return kept[::-1]
+
+
+def gaps(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both versions' units, cut at the lines that stand once in each: what stays, and the gaps between.
+
+    old, new: doc_id, pos, unit_id, text. Rows come with side (0 old, 1 new), place (from 0 in their version), stays, other (the place
+    of a line that stays in the other version), gap, part, base (where the part begins among the new units), n_old and n_new (units of
+    the gap). Lines that stand once in both versions are found by hash; runs of them that are together in both are one block, and a
+    document's heaviest chain of blocks that keeps its order is what stays: 24 bytes a block are all that a Python task holds of a
+    document. A gap of more than GAP_UNITS units on a side is cut into parts at equal shares of both: no line stands once in both
+    sides of it, but for lines that moved. Everything else is a window over a document, spilled where it is long.
+    """
+    cols = ("doc_id", "pos", "unit_id", "text")
+    # New names of old columns: where both versions come from one table, their columns would be taken for each other.
+    old, new = (df.select(*[F.col(c).alias(c) for c in cols], F.lit(k).alias("side")) for k, df in enumerate((old, new)))
+    placed = old.unionByName(new).repartition("doc_id").withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "side").orderBy("pos")) - 1)
+    alike = Window.partitionBy("doc_id", "_h")
+    count = lambda k: F.sum((F.col("side") == k).cast("int")).over(alike)
+    hashed = placed.select("doc_id", "side", "place", F.sha2("text", 256).alias("_h"))
+    met = hashed.withColumns({"_o": count(0), "_n": count(1), "j": F.max(F.when(F.col("side") == 1, F.col("place"))).over(alike)})
+    once = met.where("_o = 1 AND _n = 1 AND side = 0").select("doc_id", F.col("place").alias("i"), "j")
+    by_i = Window.partitionBy("doc_id").orderBy("i")
+    begins = (F.col("i") != F.lag("i").over(by_i) + 1) | (F.col("j") != F.lag("j").over(by_i) + 1)
+    runs = once.withColumn("_b", F.coalesce(begins, F.lit(True)).cast("long")).withColumn("run", F.sum("_b").over(by_i))
+    blocks = runs.groupBy("doc_id", "run").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count(F.lit(1)).alias("n")).drop("run")
+    chain = by_group(blocks, ["doc_id"], ["i"], _chain, "doc_id long, i int, j int, n int")
+    # A block is laid before the unit that it begins with, so that each unit finds the last block before it.
+    ends = [chain.select("doc_id", F.lit(k).alias("side"), F.col(m).alias("place"), F.struct(F.col(m).alias("a"), F.col(o).alias("b"), "n").alias("block")) for k, m, o in ((0, "i", "j"), (1, "j", "i"))]
+    laid = placed.unionByName(ends[0].unionByName(ends[1]), allowMissingColumns=True).repartition("doc_id")
+    upto = Window.partitionBy("doc_id", "side").orderBy("place", F.col("block").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("block", ignorenulls=True).over(upto)
+    found = laid.withColumns({"_last": last, "gap": F.count("block").over(upto)}).where("block IS NULL").drop("block")
+    ahead = F.col("place") - F.col("_last.a")
+    stays = F.coalesce(ahead < F.col("_last.n"), F.lit(False))
+    begin = F.coalesce(F.col("_last.a") + F.col("_last.n"), F.lit(0))
+    other_begin = F.coalesce(F.col("_last.b") + F.col("_last.n"), F.lit(0))
+    told = found.withColumns({
+        "stays": stays, "other": F.when(stays, F.col("_last.b") + ahead), "base": F.when(F.col("side") == 0, other_begin).otherwise(begin), "_k": F.col("place") - begin,
+    })
+    of_gap = Window.partitionBy("doc_id", "gap")
+    units = lambda k: F.sum(((F.col("side") == k) & ~F.col("stays")).cast("int")).over(of_gap)
+    sized = told.withColumns({"n_old": units(0), "n_new": units(1)})
+    parts = F.greatest(F.lit(1), F.ceil(F.greatest("n_old", "n_new") / GAP_UNITS))
+    part = F.when(F.col("stays"), 0).otherwise(F.floor(F.col("_k") * parts / F.when(F.col("side") == 0, F.col("n_old")).otherwise(F.col("n_new"))))
+    made = sized.withColumn("part", part.cast("int"))
+    return made.withColumn("base", (F.col("base") + F.ceil(F.col("part") * F.col("n_new") / parts)).cast("int")).drop("_last", "_k")
+
+
+def _opcodes(a: list[str], b: list[str], at_start: bool) -> list[tuple]:
+    """difflib's opcodes for a gap. Lines that both sides begin or end with go on from the lines that stay around the gap.
+
+    at_start: nothing stays before the gap, so the end has the first choice.
+    """
+    most, lo, hi = min(len(a), len(b)), 0, 0
+    for end in (at_start, not at_start):
+        while end and hi < most - lo and a[-1 - hi] == b[-1 - hi]:
+            hi += 1
+        while not end and lo < most - hi and a[lo] == b[lo]:
+            lo += 1
+    inner = difflib.SequenceMatcher(None, a[lo : len(a) - hi], b[lo : len(b) - hi], autojunk=False).get_opcodes()
+    ops = [("equal", 0, lo, 0, lo)] if lo else []
+    ops += [(op, i1 + lo, i2 + lo, j1 + lo, j2 + lo) for op, i1, i2, j1, j2 in inner]
+    return ops + ([("equal", len(a) - hi, len(a), len(b) - hi, len(b))] if hi else [])
+
+
 def align_units(old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, old_id, new_id, kind (same, near, null), at: where each old unit is in the new text, in reading order.
 
     old, new: doc_id, pos, unit_id, text. same: word for word; near: in a replaced run, the most alike above a half of the
-    twelve nearest; at: the place among the new units. One document is one group, as a text fits a reader: the matcher's work
-    grows with the square of its units where lines repeat. Longer texts can be cut into parts at lines that stand once in
-    both versions, each part a doc_id of its own.
+    twelve nearest; at: the place among the new units. Lines that stand once in both versions are matched by their hashes; only
+    what lies between them is compared, gap by gap (see gaps), so a document of any length has no group of more than GAP_UNITS
+    units a side. Equal lines that repeat are matched inside their gap.
     """
 
-    def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("pos"), b.sort_values("pos")
-        ta, tb, ia, ib = a["text"].tolist(), b["text"].tolist(), a["unit_id"].tolist(), b["unit_id"].tolist()
+    def align(both: list[tuple]) -> list[tuple]:
+        a, b = ([(text, unit) for _, _, _, side, _, unit, text, _ in both if side == k] for k in (0, 1))
+        ta, ia, tb, ib = [x for x, _ in a], [u for _, u in a], [x for x, _ in b], [u for _, u in b]
+        doc, gap, base = both[0][0], both[0][1], both[0][-1]
         rows = []
-        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, ta, tb, autojunk=False).get_opcodes():
+        for op, i1, i2, j1, j2 in _opcodes(ta, tb, gap == 0):
             free = dict.fromkeys(range(j1, j2)) if op == "replace" else {}
             for i in range(i1, i2):
                 if op == "equal":
-                    rows.append((ia[i], ib[j1 + i - i1], "same", j1 + i - i1))
+                    rows.append((doc, ia[i], ib[j1 + i - i1], "same", base + j1 + i - i1))
                     continue
                 near = sorted(free, key=lambda j: (abs(j - j1 - i + i1), j))[:NEAREST]
                 scored = [(_likeness(ta[i], tb[j], ALIKE), -k, j) for k, j in enumerate(near)]
                 score, _, j = max(scored, default=(0.0, 0, -1))
                 if score > ALIKE:
                     free.pop(j)
-                    rows.append((ia[i], ib[j], "near", j1))
+                    rows.append((doc, ia[i], ib[j], "near", base + j1))
                 else:
-                    rows.append((ia[i], None, None, j1))
-        out = pd.DataFrame(rows, columns=["old_id", "new_id", "kind", "at"])
-        out.insert(0, "doc_id", a["doc_id"].iloc[0] if len(a) else None)
-        return out[["doc_id", "old_id", "new_id", "kind", "at"]]
+                    rows.append((doc, ia[i], None, None, base + j1))
+        return rows
 
-    # New names of old columns: where both versions come from one table, their columns would be taken for each other.
-    sides = [df.select(*[F.col(c).alias(c) for c in ("doc_id", "pos", "unit_id", "text")]).groupBy("doc_id") for df in (old, new)]
-    pairs = sides[0].cogroup(sides[1])
-    return pairs.applyInPandas(align, "doc_id long, old_id string, new_id string, kind string, at int")
+    cut = gaps(old, new)
+    key = F.when(F.col("side") == 1, F.col("place")).otherwise(F.col("other")).alias("at")
+    sides = [F.max(F.when(F.col("side") == k, F.col("unit_id"))).alias(c) for k, c in ((0, "old_id"), (1, "new_id"))]
+    same = cut.where("stays").groupBy("doc_id", key).agg(*sides).select("doc_id", "old_id", "new_id", F.lit("same").alias("kind"), "at")
+    none = F.lit(None).cast("string")
+    gone = cut.where("NOT stays AND side = 0 AND n_new = 0").select("doc_id", F.col("unit_id").alias("old_id"), none.alias("new_id"), none.alias("kind"), F.col("base").alias("at"))
+    open_ = cut.where("NOT stays AND n_old > 0 AND n_new > 0").select("doc_id", "gap", "part", "side", "pos", "unit_id", "text", "base")
+    compared = by_group(open_, ["doc_id", "gap", "part"], ["side", "pos"], align, "doc_id long, old_id string, new_id string, kind string, at int")
+    return same.unionByName(compared).unionByName(gone)
 
 
 def carry_ids(old: DataFrame, new: DataFrame, alignment: DataFrame) -> DataFrame:
@@ -251,25 +365,25 @@ def edit_places(old: DataFrame, new: DataFrame, most_cells: int = 1_000_000) ->
 
     old, new: doc_id, pos, text. Documents in which every unit has its text at its place are set aside by a full outer
     join; of the others the units are aligned by their texts, whatever their places, so that a unit put in between changes
-    no other. Runs of units with more than most_cells pairs of words are one change. One changed document is one group.
+    no other. Lines that stand once in both versions cut a document into gaps, which are compared one by one (see gaps). Runs of
+    units with more than most_cells pairs of words are one change.
     """
     # New names of old columns, as the versions may come from one table.
-    o = old.select(F.col("doc_id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("was"))
-    n = new.select(F.col("doc_id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("now"))
-    changed = o.join(n, ["doc_id", "pos"], "full").where("NOT (was <=> now)").select("doc_id").distinct()
+    o = old.select(F.col("doc_id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("text"))
+    n = new.select(F.col("doc_id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("text"))
+    changed = o.withColumnRenamed("text", "was").join(n.withColumnRenamed("text", "now"), ["doc_id", "pos"], "full").where("NOT (was <=> now)").select("doc_id").distinct()
 
-    def places(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
-        a, b = (list(x.sort_values("pos")[["pos", x.columns[2]]].itertuples(index=False, name=None)) for x in (before, after))
+    def places(both: list[tuple]) -> list[tuple]:
+        a, b = ([(pos, text) for _, _, _, side, pos, text in both if side == k] for k in (0, 1))
         rows = []
-        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, [t for _, t in a], [t for _, t in b], autojunk=False).get_opcodes():
+        for op, i1, i2, j1, j2 in _opcodes([t for _, t in a], [t for _, t in b], both[0][1] == 0):
             if op != "equal":
-                rows += _word_places(a[i1:i2], b[j1:j2], most_cells)
-        out = pd.DataFrame(rows, columns=["pos", "was", "now"])
-        out.insert(0, "doc_id", (before if len(before) else after)["doc_id"].iloc[0])
-        return out
+                rows += [(both[0][0], *change) for change in _word_places(a[i1:i2], b[j1:j2], most_cells)]
+        return rows
 
-    sides = [x.join(changed, "doc_id", "left_semi").groupBy("doc_id") for x in (o, n)]
-    return sides[0].cogroup(sides[1]).applyInPandas(places, "doc_id long, pos int, was string, now string")
+    cut = gaps(*(x.join(changed, "doc_id", "left_semi").withColumn("unit_id", F.lit("")) for x in (o, n)))
+    open_ = cut.where("NOT stays").select("doc_id", "gap", "part", "side", "pos", "text")
+    return by_group(open_, ["doc_id", "gap", "part"], ["side", "pos"], places, "doc_id long, pos int, was string, now string")
 
 
 def changed_sections(prompts: DataFrame, replies: DataFrame) -> DataFrame:

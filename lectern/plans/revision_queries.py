@@ -20,14 +20,33 @@ def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
     return old, new.withColumn("unit_id", F.concat(F.lit("v"), "pos"))
 
 
-@query()
+def _numbered(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Numbered lines, of which every 21st is edited, another dropped, and one put in behind another."""
+    old = d.units(t).withColumn("text", F.concat("pos", F.lit("> "), "text"))
+    edited = F.when(F.col("pos") % 21 == 2, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))
+    kept = old.where("pos % 21 <> 9").withColumns({"text": edited, "half": F.lit(0)})
+    put = old.where("pos % 21 = 15").withColumns({"text": F.concat(F.lit("Put in after "), "pos", F.lit(".")), "half": F.lit(1)})
+    new = kept.unionByName(put).select("doc_id", (F.col("pos") * 2 + F.col("half")).alias("pos"), "section_id", "text")
+    return old, new.withColumn("unit_id", F.concat(F.lit("v"), "pos"))
+
+
+_NUMBERED = f"""{sql.UNITS}, o AS (SELECT doc_id, pos, 's' || pos // 5 AS section_id, pos || '> ' || text AS text FROM units),
+n AS (SELECT doc_id, 2 * pos AS np, pos AS was, section_id FROM o WHERE pos % 21 <> 9 UNION ALL SELECT doc_id, 2 * pos + 1, NULL, section_id FROM o WHERE pos % 21 = 15),
+k AS (SELECT doc_id, pos, section_id, CASE WHEN pos % 21 = 9 THEN NULL WHEN pos % 21 = 2 THEN CASE WHEN length(text) > 4 THEN 'near' END ELSE 'same' END AS kind FROM o)"""
+
+
+@query(f"""WITH {_NUMBERED}, c AS (SELECT doc_id, np, row_number() OVER (PARTITION BY doc_id ORDER BY np) - 1 AS place FROM n),
+w AS (SELECT k.doc_id, k.pos, kind, max(place) AS before FROM k LEFT JOIN c ON c.doc_id = k.doc_id AND c.np < 2 * k.pos GROUP BY ALL)
+SELECT doc_id, 'u' || pos AS old_id, CASE WHEN kind IS NOT NULL THEN 'v' || 2 * pos END AS new_id, kind, CAST(coalesce(before + 1, 0) AS INTEGER) AS at FROM w""")
 def v1_align_units(t: Tables) -> DataFrame:
-    return revisions.align_units(*_versions(t))
+    return revisions.align_units(*_numbered(t))
 
 
-@query()
+@query(f"""WITH {_NUMBERED}, h AS (SELECT DISTINCT doc_id, section_id FROM k WHERE kind IS NOT NULL)
+SELECT n.doc_id, 'v' || np AS new_id, CASE WHEN kind IS NOT NULL THEN 'u' || was ELSE 'v' || np END AS unit_id, n.section_id, h.section_id AS kept_section
+FROM n LEFT JOIN k ON k.doc_id = n.doc_id AND k.pos = n.was LEFT JOIN h ON h.doc_id = n.doc_id AND h.section_id = n.section_id""")
 def v2_carry_ids(t: Tables) -> DataFrame:
-    old, new = _versions(t)
+    old, new = _numbered(t)
     return revisions.carry_ids(old, new, revisions.align_units(old, new))
 
 
