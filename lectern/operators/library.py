@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import drop_settled, settle
+
 
 def latest_layers(layers: DataFrame) -> DataFrame:
     """The newest version of each (doc_id, lang)."""
@@ -58,37 +60,48 @@ def library_groups(listed: DataFrame, now: Column, order: str = "opened") -> Dat
     return listed.withColumns({"kind": kind, "recency": group})
 
 
+def _climbed(tree: DataFrame) -> tuple[DataFrame, bool]:
+    """tree (folder_id, parent, n) as folder_id, up, depth, documents, and whether some folder never meets a top.
+
+    Pointers double: each round a folder's pointer becomes its ancestor's, so 2^k levels are climbed in k rounds, and a folder adds what
+    the folders that point to it have gathered. A round is a join, an aggregate and a written table. Folders that still point
+    somewhere after more steps than there are folders stand in a loop or below one; their pointers are the loops' members.
+    """
+    first = F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("depth")
+    now = settle(tree.select("folder_id", F.col("parent").alias("up"), first, F.col("n").alias("documents")))
+    total, steps = now.count(), 1
+    while steps <= 2 * total:
+        if not now.where("up IS NOT NULL").take(1):
+            return now, False
+        above = now.select(F.col("folder_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        below = now.where("up IS NOT NULL").groupBy(F.col("up").alias("folder_id")).agg(F.sum("documents").alias("_more"))
+        met = now.join(above, "up", "left").join(below, "folder_id", "left")
+        after = settle(met.select(
+            "folder_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            (F.col("documents") + F.coalesce("_more", F.lit(0))).alias("documents"),
+        ))
+        drop_settled(now)
+        now, steps = after, 2 * steps
+    return now, True
+
+
 def folder_tree(folders: DataFrame, placements: DataFrame) -> DataFrame:
     """folder_id, parent, depth, documents: the tree with each folder's documents and those of all below it.
 
-    Folders whose parent is missing, or that stand in a loop, are taken to the top. The recursion carries the path, so a
-    loop ends; its depth is the depth of folders, a reader's own, and the closure has a row for each folder and ancestor.
-    Trees deeper than spark.sql.cteRecursionLevelLimit (100 as a rule) are an error.
+    Folders whose parent is missing, or that stand in a loop, are taken to the top. Trees may be of any depth (see _climbed); each
+    round is one row a folder.
     """
-    spark = folders.sparkSession
-    folders.createOrReplaceTempView("_folders")
-    up = spark.sql("""
-        WITH RECURSIVE up(folder_id, at, path) AS (
-          SELECT folder_id, parent, array(folder_id) FROM _folders
-          UNION ALL
-          SELECT up.folder_id, f.parent, array_append(up.path, f.folder_id) FROM up JOIN _folders f ON up.at = f.folder_id
-          WHERE NOT array_contains(up.path, f.folder_id))
-        SELECT folder_id, at, path FROM up""")
-    loops = up.where("at = folder_id").select("folder_id").distinct().withColumn("looped", F.lit(True))
-    there = folders.select(F.col("folder_id").alias("parent")).withColumn("known", F.lit(True))
-    healed = folders.join(there, "parent", "left").join(loops, "folder_id", "left").select(
-        "folder_id", F.when(F.col("known").isNotNull() & F.col("looped").isNull(), F.col("parent")).alias("parent")
-    )
-    healed.createOrReplaceTempView("_healed")
-    closure = spark.sql("""
-        WITH RECURSIVE c(folder_id, above, depth) AS (
-          SELECT folder_id, folder_id, 0 FROM _healed
-          UNION ALL SELECT c.folder_id, h.parent, c.depth + 1 FROM c JOIN _healed h ON c.above = h.folder_id WHERE h.parent IS NOT NULL)
-        SELECT folder_id, above, depth FROM c""")
+    there = folders.select(F.col("folder_id").alias("parent"), F.lit(True).alias("known"))
     own = placements.groupBy("folder_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = closure.join(own, "folder_id").groupBy(F.col("above").alias("folder_id")).agg(F.sum("n").alias("documents"))
-    depth = closure.groupBy("folder_id").agg(F.max("depth").alias("depth"))
-    return healed.join(depth, "folder_id").join(counts, "folder_id", "left").select("folder_id", "parent", "depth", F.coalesce("documents", F.lit(0)).alias("documents"))
+    known = folders.join(there, "parent", "left").select("folder_id", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    tree = settle(known.join(own, "folder_id", "left").fillna(0, ["n"]))
+    climbed, looped = _climbed(tree)
+    if looped:
+        loops = climbed.where("up IS NOT NULL").select(F.col("up").alias("folder_id"), F.lit(True).alias("looped")).distinct()
+        healed = tree.join(loops, "folder_id", "left").select("folder_id", F.when(F.col("looped").isNull(), F.col("parent")).alias("parent"), "n")
+        tree = settle(healed)
+        climbed, _ = _climbed(tree)
+    return tree.select("folder_id", "parent").join(climbed.select("folder_id", "depth", "documents"), "folder_id")
 
 
 def apply_folder_changes(changes: DataFrame) -> DataFrame:

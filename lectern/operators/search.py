@@ -190,13 +190,33 @@ def with_shingles(df: DataFrame, width: int = 4, chars: int = 6) -> DataFrame:
     return cut.withColumn("shingles", F.array_distinct(some)).drop("_s", "_words", "_dense")
 
 
+#: Passages' shingles up to which they are broadcast to the texts' ones.
+BROADCAST_SHINGLES = 500_000
+
+
 def contains_passage(docs: DataFrame, passages: DataFrame, share: float = 0.6) -> DataFrame:
     """doc_id, item_id, shared, total: documents that hold at least `share` of a passage's distinct shingles.
 
-    Shingles travel as hashes and are joined on equality; only documents that share one with a passage give rows.
+    A text that holds `share` of a passage's n shingles misses at most n - ceil(share n) of them, so it holds one of any
+    n - ceil(share n) + 1. Of each passage its rarest so many, by the number of documents that hold them, are the index: only documents
+    that hold one of these are candidates, and their shingles are compared as arrays. A shingle that all texts and passages share
+    is no index entry unless a passage has no rarer ones. Shingles travel as hashes; those that are in no passage are dropped
+    where they are made, as long as the passages' are few enough to be broadcast, else by a join.
     """
-    theirs = with_shingles(passages.select("item_id", "text")).select("item_id", F.explode_outer("shingles").alias("h")).where("h IS NOT NULL")
-    total = theirs.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    ours = with_shingles(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("shingles").alias("h"))
-    hits = ours.join(theirs, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
-    return hits.join(total, "item_id").where(F.col("shared") >= F.lit(share) * F.col("total")).select("doc_id", "item_id", "shared", "total")
+    # explode_outer: explode would bring a condition on the arrays, which would be made once more for it.
+    listed = with_shingles(passages.select("item_id", "text")).select("item_id", F.explode_outer("shingles").alias("h")).where("h IS NOT NULL")
+    theirs = listed.groupBy("item_id").agg(F.collect_list("h").alias("shingles"), F.count(F.lit(1)).alias("total"))
+    asked = listed.select("h").distinct()
+    asked = F.broadcast(asked) if listed.count() <= BROADCAST_SHINGLES else asked
+    ours = with_shingles(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("shingles").alias("h")).join(asked, "h", "left_semi")
+    held = ours.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "h"))
+    total = F.count(F.lit(1)).over(Window.partitionBy("item_id"))
+    # A shingle that no document holds is the rarest there is, and finds nothing.
+    ranked = listed.join(held, "h", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumns({"_r": rarest, "_total": total})
+    needed = F.col("_total") - F.ceil(F.lit(share) * F.col("_total")) + 1
+    index = ranked.where((F.col("_r") <= needed) & (F.col("df") > 0)).select("h", "item_id")
+    candidates = ours.join(index, "h").select("doc_id", "item_id").distinct()
+    arrays = ours.groupBy("doc_id").agg(F.collect_list("h").alias("_ours"))
+    both = candidates.join(arrays, "doc_id").join(theirs, "item_id").withColumn("shared", F.size(F.array_intersect("_ours", "shingles")).cast("long"))
+    return both.where(F.col("shared") >= F.lit(share) * F.col("total")).select("doc_id", "item_id", "shared", "total")

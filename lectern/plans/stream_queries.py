@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +10,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cjk, fold, segment, structure
 from ..sources import readers, sinks
-from ..streaming import streams
+from ..sources.tables import shared_dir
+from ..streaming import jobs, streams
 from . import derived as d
 from . import sql
 from .registry import Tables, query
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder where the cluster shares files."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(t: Tables, table: str) -> DataFrame:
@@ -220,6 +215,30 @@ def w4_job_status(t: Tables) -> DataFrame:
     return streams.job_status(p).join(n, "job_id").select("job_id", "stage", "lines", "status", F.array_join("log", ",").alias("log"))
 
 
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+SELECT user_id AS job_id, arg_max(event_type, event_id) AS stage, CASE WHEN bool_or(event_type = 'error') THEN 'stopped' ELSE 'running' END AS status,
+string_agg(event_type, ',' ORDER BY event_id) FILTER (k <= 40) AS log FROM e GROUP BY 1""")
+def w4_job_stream(t: Tables) -> DataFrame:
+    """The same jobs from a stream of four batches: split by event, a third of the rows twice, the latest rows first."""
+    where = _folder(t.spark)
+    progress = t.events.select(
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.lit(1).cast("long").alias("done"), F.lit(1).cast("long").alias("total"),
+        F.when(F.col("event_type") == "error", "stopped").otherwise("running").alias("status"), F.col("event_type").alias("line"),
+    )
+    deal = F.col("seq") % 3
+    for k, some in enumerate((deal == 2, deal == 0, deal == 2, deal == 1)):
+        progress.where(some).coalesce(1).write.mode("append").parquet(f"{where}/in/{k}")
+    stream = t.spark.readStream.schema(progress.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{where}/in")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{where}/out/v={number}")
+
+    jobs.run_jobs(jobs.job_stream(stream), f"{where}/ck", keep).awaitTermination()
+    said = t.spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/out")
+    last = said.groupBy("job_id").agg(F.max_by(F.struct("stage", "status", "log"), "batch").alias("x"))
+    return last.select("job_id", "x.stage", "x.status", F.array_join("x.log", ",").alias("log"))
+
+
 def _timed(t: Tables) -> DataFrame:
     return t.events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
 

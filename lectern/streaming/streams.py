@@ -20,40 +20,73 @@ def fold_stream(docs: DataFrame, time: str = "ts", late: str = "1 hour") -> Data
     return fold_local(units_of(once)).select("doc_id", "pos", "key", "takeaway", "topic")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions below path, in order. A version is finished once its files are all there."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(place):
-        return []
-    found = [(x.getPath(), x.getPath().getName()) for x in files.listStatus(place)]
-    done = [name for at, name in found if name.startswith("v=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))]
-    return sorted(int(name[2:]) for name in done)
+#: Buckets of a note table. A batch writes those again that its notes fall into.
+BUCKETS = 64
+
+
+def _held(spark: SparkSession, path: str) -> dict[int, list[tuple[int, str]]]:
+    """For each bucket below path its finished versions, oldest first, with their folders. A version is finished once its files are all there."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = {x.getPath().getParent().getName() for x in files.globStatus(fs.Path(f"{path}/v=*/_SUCCESS")) or []}
+    held: dict[int, list[tuple[int, str]]] = {}
+    for x in files.globStatus(fs.Path(f"{path}/v=*/b=*")) or []:
+        version = x.getPath().getParent().getName()
+        if version in done:
+            held.setdefault(int(x.getPath().getName()[2:]), []).append((int(version[2:]), str(x.getPath())))
+    return {b: sorted(v) for b, v in held.items()}
 
 
 def current_notes(spark: SparkSession, path: str) -> DataFrame:
-    """The notes of the newest finished version: doc_id, note_id, created, updated, text. Readers never meet a half-written one."""
-    return apply_note_changes(spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}"))
+    """doc_id, note_id, created, updated, text from each bucket's newest finished version. Readers never meet a half-written one."""
+    return apply_note_changes(spark.read.parquet(*[versions[-1][1] for versions in _held(spark, path).values()]))
 
 
-def upsert_notes(changes: DataFrame, path: str, checkpoint: str, keep: int = 3) -> StreamingQuery:
-    """Keep the note changes that still matter as a table at path, a version for each batch.
+def compact_changes(changes: DataFrame) -> DataFrame:
+    """Of each note's changes its last deletion, and the first and the last put after it: three rows at most.
 
-    A batch is merged into the last version: of a note's changes, its last deletion and what comes after it stay, so the table
-    follows the notes and not the history. A batch that is run again writes its own version again; `keep` old versions stay
-    for readers that have begun.
+    What apply_note_changes() makes of them is what it makes of all. changes: doc_id, note_id, op, ts, seq, text.
+    """
+    at = F.struct("ts", "seq")
+    gone = F.max(F.when(F.col("op") == "delete", at)).over(Window.partitionBy("doc_id", "note_id"))
+    live = changes.withColumn("_at", at).withColumn("_gone", gone).where("_gone IS NULL OR _at >= _gone")
+    row = F.struct("op", "ts", "seq", "text")
+    put = F.when((F.col("op") == "put") & (F.col("_gone").isNull() | (F.col("_at") > F.col("_gone"))), row)
+    kept = live.groupBy("doc_id", "note_id").agg(
+        F.max_by(F.when(F.col("op") == "delete", row), F.when(F.col("op") == "delete", F.col("_at"))).alias("d"),
+        F.min_by(put, F.when(put.isNotNull(), F.col("_at"))).alias("f"), F.max_by(put, F.when(put.isNotNull(), F.col("_at"))).alias("l"),
+    )
+    rows = F.array_distinct(F.filter(F.array("d", "f", "l"), lambda x: x.isNotNull()))
+    return kept.select("doc_id", "note_id", F.explode(rows).alias("x")).select("doc_id", "note_id", "x.*")
+
+
+def upsert_notes(changes: DataFrame, path: str, checkpoint: str, keep: int = 3, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the note changes that still matter as a table at path: buckets of notes, in versions.
+
+    A batch is merged with the newest version of the buckets that its notes fall into, and these are written again; other buckets
+    are not read. Of a note at most three rows stay (compact_changes), so the table follows the notes and not their history. Changes of a
+    note may come again, and puts late; a deletion that comes later than puts made after it sees only the puts that stayed. A batch
+    that is run again writes its own version again; `keep` old versions of a bucket stay for readers that have begun.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        older = [v for v in _versions(spark, path) if v < number]
-        every = batch if not older else spark.read.parquet(f"{path}/v={older[-1]}").unionByName(batch)
-        gone = every.where("op = 'delete'").groupBy("doc_id", "note_id").agg(F.max(F.struct("ts", "seq")).alias("gone"))
-        live = every.join(gone, ["doc_id", "note_id"], "left").where("gone IS NULL OR struct(ts, seq) >= gone").drop("gone")
-        live.write.mode("overwrite").parquet(f"{path}/v={number}")
-        for v in older[:-keep]:
-            place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        mine = batch.withColumn("b", F.pmod(F.xxhash64("doc_id", "note_id"), F.lit(buckets)).cast("int"))
+        touched = {r.b for r in mine.select("b").distinct().collect()}  # as many as there are buckets, at most
+        if not touched:
+            return
+        held = {b: [v for v in versions if v[0] < number] for b, versions in _held(spark, path).items()}
+        older = [held[b][-1][1] for b in touched if held.get(b)]
+        every = mine.drop("b")
+        if older:
+            every = every.unionByName(spark.read.schema(every.schema).parquet(*older))
+        merged = compact_changes(every).withColumn("b", F.pmod(F.xxhash64("doc_id", "note_id"), F.lit(buckets)).cast("int"))
+        merged.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/v={number}")
+        fs = spark._jvm.org.apache.hadoop.fs
+        for b in touched:
+            for _, place in held.get(b, [])[:-keep]:
+                at = fs.Path(place)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
