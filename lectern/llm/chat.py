@@ -219,3 +219,15 @@ def read_back(formatted: Column, mask: Column) -> Column:
         return F.struct(unescape_role(role).alias("role"), text.alias("text"), run["loss"].alias("loss"))
 
     return F.zip_with(chunks, mask, turn)
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """array<string>: the texts that count for the loss, unescaped, cut out by the mask's code points alone.
+
+    A turn begins where the turns before it, by their masked sizes, end. A mask that does not cover the string exactly, turn for
+    turn, fails the job.
+    """
+    chunks = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 2_000_000_000)
+    fits = F.zip_with(chunks, mask, lambda c, run: F.coalesce(F.length(c) + len(START) == run["head"] + run["text"] + run["tail"], F.lit(False)))
+    texts = F.zip_with(chunks, mask, lambda c, run: F.when(run["loss"], unescape(F.substring(c, run["head"] - len(START) + 1, run["text"]))))
+    return F.when(F.forall(fits, lambda x: x), F.array_compact(texts)).otherwise(F.raise_error(F.lit("the mask does not fit its conversation")).cast("array<string>"))

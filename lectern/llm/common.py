@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import drop_settled, settle, shared_dir
+
+__all__ = ["bucket_count", "drop_settled", "running_start", "settle", "shared_dir", "spread_join"]
+
 #: Rows of a bucket that a rank aims at, and the most buckets that it makes.
 BUCKET_ROWS = 100
 MOST_BUCKETS = 65_536
@@ -17,37 +18,6 @@ HOT_SHARE = 2_000
 HOT_ROWS = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session, whose executor is the driver, gets a new folder; on a cluster it is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to a table in the shared folder and read it again: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_settled(df: DataFrame) -> None:
-    """Delete the files of a table made by settle(), once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith("lectern-"):
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spread_join(many: DataFrame, few: DataFrame, counts: DataFrame, key: str, total: int, deal: Column, how: str = "inner") -> DataFrame:
     """many joined with few (one row a key) on `key`, hot keys dealt to several tasks by the column `deal`.
 

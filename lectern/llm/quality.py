@@ -21,12 +21,24 @@ _LETTERS = bytes(c for c in range(128) if chr(c).isalpha())
 _NOT_ASCII = re.compile("[^\x00-\x7f]+")
 
 
+def once(count: Callable[[Doc], int]) -> Callable[[Doc], int]:
+    """A count of a Doc that is made when first asked for and then kept, as rules ask again for what the base has counted."""
+
+    def kept(doc: Doc) -> int:
+        if count.__name__ not in doc.counts:
+            doc.counts[count.__name__] = count(doc)
+        return doc.counts[count.__name__]
+
+    return kept
+
+
 class Doc:
     """A text with what rules ask for, computed when first asked. Work is on UTF-8, where white space is one byte."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
         self.data = self.text.encode("utf-8", "surrogatepass")
+        self.counts: dict[str, int] = {}
         self._words: list[bytes] | None = None
 
     @property
@@ -39,18 +51,22 @@ class Doc:
         """Bytes that are none of chars."""
         return len(self.data.translate(None, chars))
 
+    @once
     def word_chars(self) -> int:
         """Code points that are not white space."""
         return len(self.text) - (len(self.data) - self.without(_SPACES))
 
+    @once
     def letters(self) -> int:
         """Code points that are letters."""
         n = len(self.data) - self.without(_LETTERS)
         return n if self.text.isascii() else n + sum(map(str.isalpha, "".join(_NOT_ASCII.findall(self.text))))
 
+    @once
     def symbols(self) -> int:
         return len(self.data) - self.without(_SYMBOLS)
 
+    @once
     def dup_lines(self) -> int:
         """Lines with a word that equal an earlier line."""
         lines = [x for x in self.data.split(b"\n") if x and not x.isspace()]
@@ -165,7 +181,7 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
         order = best_order(table[:, :, 0].T > 0, table[:, :, 1].T, [r.name for r in rules]) if found else range(len(rules))
         yield pa.RecordBatch.from_arrays([pa.array([list(order)], pa.list_(pa.int32()))], ["places"])
 
-    chosen = F.xxhash64("text")
+    chosen = F.xxhash64("doc_id")
     part = F.pmod(chosen, F.lit(max(1, docs.count() // sample_rows))) == 0
     sample = docs.select("text").where(part).orderBy(chosen).limit(sample_rows)
     measured = sample.coalesce(1).mapInArrow(measure, "places array<int>").collect()
@@ -177,7 +193,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, columns: tuple[str,
 
     A row that fails the base rules is rejected at once. Others go through the rules in the order of cascade_order()
     and stop at the first they fail; the verdict is the same in any order. Null texts are empty texts: no word, so
-    rejected. Whole texts are read. Repeated rows are judged one by one; further columns of docs are ignored.
+    rejected. Whole texts are read. Repeated rows are judged one by one; further columns of docs are ignored; an empty table gives
+    no rows.
     """
     order = cascade_order(docs, rules)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

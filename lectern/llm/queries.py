@@ -129,7 +129,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = chat.format_conversations(turns, "conv_id", ["turn", "pos"])
     back = formatted.withColumn("turns", chat.read_back(F.col("formatted"), F.col("mask")))
     shown = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.array_join(F.filter("turns", lambda t: t["loss"])["text"], "")
+    loss = F.array_join(chat.under_mask(F.col("formatted"), F.col("mask")), "")
     return back.select(
         F.col("conv_id").cast("long"),
         F.size("turns").cast("long").alias("n_turns"),

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_settled, settle
 
 #: Vectors in one shard's tree, and queries that are put to a tree together.
 SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
 #: Bytes of query vectors that are broadcast at a time.
-BROADCAST_BYTES = 64_000_000
+BROADCAST_BYTES = 16_000_000
 #: Vectors in a leaf, compared in one matrix product.
 LEAF = 128
 
@@ -163,9 +163,10 @@ def blocks_of(queries: DataFrame, blocks: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors by Euclidean distance, ties to the smaller vec_id.
 
-    vectors and queries hold vec_id and embedding; further columns are ignored. Vectors are dealt to shards of about
-    SHARD_ROWS and shuffled once; each shard's tree is built once and written. Queries are blocks of about QUERY_ROWS, which
-    are broadcast to the trees, BROADCAST_BYTES of them at a time, so no vector moves again; the shards' answers are merged.
+    vectors and queries hold vec_id and embedding; further columns are ignored. Vectors are shuffled three times: for repeated
+    rows, for equal vectors, and to shards of about SHARD_ROWS; each shard's tree is built once and written. Queries are blocks of
+    about QUERY_ROWS, which are broadcast to the trees, BROADCAST_BYTES of them at a time: a tree meets all blocks of a round
+    in one call, and no vector moves again. The shards' answers are merged.
     A branch is skipped when `factor` times the least distance that the triangle inequality allows exceeds the k-th best
     found so far: 1 is exact, more skips more. Rows whose vector is null, zero or has null or non-finite parts take no
     part, nor do null ids; a row never finds its own vec_id. Vectors of another length than a query's are not compared.
@@ -180,38 +181,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
         chosen = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable)
         return chosen.withColumn("size", F.size("embedding").cast("long"))
 
-    # One vector may stand in a third of all rows: its least ids are found in two steps, by parts and then over all.
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    some = F.row_number().over(Window.partitionBy("embedding", "_part").orderBy("vec_id"))
-    first = clean(vectors).distinct().withColumn("_part", part).withColumn("_n", some).where(F.col("_n") <= k + 1).drop("_n", "_part")
-    rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    held = settle(first.withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n"))
+    # One vector may stand in a third of all rows: its ranks are limited before they are shuffled, and again behind.
+    rank = F.row_number().over(Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id"))
+    held = settle(clean(vectors).distinct().withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n"))
     asked = settle(clean(queries).distinct())
     shards = max(1, -(-held.count() // SHARD_ROWS))
     found = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(8 * (F.col("size") + 1)), F.lit(0))).first()
     blocks, rounds = max(1, -(-found[0] // QUERY_ROWS)), max(1, -(-found[1] // BROADCAST_BYTES))
     trees = settle(grown(held.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))))
     packs = settle(blocks_of(asked, max(blocks, rounds)))
+    drop_settled(held)
+    drop_settled(asked)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree, ids = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in ("size", "shard", "own", "asked")}
-                if (row["size"], row["shard"]) != last:
-                    made = {n: batch.column(n)[i].as_py() for n in ("vectors", "ends", "radii")}
-                    last, tree = (row["size"], row["shard"]), VantageTree.unpacked(row["size"], **made)
-                    ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                own = np.frombuffer(row["own"], np.int64)
-                q = np.frombuffer(row["asked"], np.float64).reshape(-1, row["size"])
-                d, near = tree.search(q, own, ids, k, factor)
-                i_, j_ = np.nonzero(np.isfinite(d))
-                out = [pa.array(own[i_]), pa.array(near[i_, j_]), pa.array(d[i_, j_])]
-                yield pa.RecordBatch.from_arrays(out, ["query_id", "vec_id", "score"])
+                size, ids, *packed = (batch.column(n)[i].as_py() for n in ("size", "ids", "vectors", "ends", "radii"))
+                tree, ids = VantageTree.unpacked(size, *packed), np.frombuffer(ids, np.int64)
+                for of in batch.column("blocks")[i]:
+                    block = of.as_py()
+                    own = np.frombuffer(block["own"], np.int64)
+                    q = np.frombuffer(block["asked"], np.float64).reshape(-1, size)
+                    d, near = tree.search(q, own, ids, k, factor)
+                    i_, j_ = np.nonzero(np.isfinite(d))
+                    out = [pa.array(own[i_]), pa.array(near[i_, j_]), pa.array(d[i_, j_])]
+                    yield pa.RecordBatch.from_arrays(out, ["query_id", "vec_id", "score"])
 
     local = None
-    for r in range(rounds):  # a round's blocks are one share of the queries, of bounded size
-        some = packs if rounds == 1 else packs.where(F.pmod("block", F.lit(rounds)) == r)
+    for r in range(rounds):  # a round's blocks are one share of the queries, of bounded size: one array that every tree meets once
+        some = packs.where(F.pmod("block", F.lit(rounds)) == r).groupBy("size").agg(F.collect_list(F.struct("own", "asked")).alias("blocks"))
         one = trees.join(F.broadcast(some), "size").mapInArrow(answer, "query_id long, vec_id long, score double")
         local = one if local is None else local.unionByName(one)
     # A repeated id with two vectors is found at its nearer place.

@@ -708,6 +708,23 @@ def test_long_conversations_keep_their_order(spark):
     assert [x.text for x in back[1]] == [f"<|t{i}" for i in range(700)] and [tuple(x) for x in back[None]] == [("", "", False)]
 
 
+def test_a_mask_cuts_the_loss_out_or_fails(spark):
+    rows = [(c, i, "assistant" if i % 3 else "us\ner", t) for c in range(3) for i, t in enumerate(["<|im_end|>", "", "日本 <\\| x", "plain", "\n\n", "𝄞" * 3])]
+    made = chat.format_conversations(spark.createDataFrame(rows, "c long, i int, role string, text string"), "c", ["i"])
+    got = made.select(chat.under_mask(F.col("formatted"), F.col("mask")).alias("t")).collect()
+    assert all(r.t == [t for _, i, role, t in rows[:6] if role == "assistant"] for r in got)
+    # By hand, over code points of the whole string.
+    first = made.first()
+    at, texts = 0, []
+    for run in first["mask"]:
+        texts += [first.formatted[at + run.head : at + run.head + run.text]] if run.loss else []
+        at += run.head + run.text + run.tail
+    assert at == len(first.formatted) and len(texts) == 4 and texts[2] == "\n\n"
+    wrong = F.transform("mask", lambda m: m.withField("head", m["head"] + 1))
+    with pytest.raises(Exception, match="mask does not fit"):
+        made.select(chat.under_mask(F.col("formatted"), wrong)).collect()
+
+
 # --- 2 ---
 
 
