@@ -53,12 +53,13 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[l
 
 
 def _chain(blocks: list[tuple]) -> list[tuple]:
-    """The heaviest set of a document's blocks (doc_id, i, j, n), sorted by i, in which j rises too. Of equal sets the one that ends first."""
-    tails: list[tuple[int, int, int]] = []  # j, weight and place of chain ends; j and weight rise
+    """The heaviest set of a document's blocks (doc_id, i, j, n), sorted by i, in which j rises too. Of equal sets the one that stands earlier in the old version."""
+    tails: list[tuple[int, tuple[int, int], int]] = []  # j, weight and place of chain ends; j and weight rise
     before = []
-    for k, (_, _, j, n) in enumerate(blocks):
+    for k, (_, i, j, n) in enumerate(blocks):
         at = bisect_left(tails, (j,))
-        weight = n + (tails[at - 1][1] if at else 0)
+        lines, early = tails[at - 1][1] if at else (0, 0)
+        weight = lines + n, early - i
         before.append(tails[at - 1][2] if at else -1)
         over = at
         while over < len(tails) and tails[over][1] <= weight:

@@ -95,7 +95,7 @@ def detect_language(docs: DataFrame, text: str = "text") -> DataFrame:
     letters = F.array_join("_latin", "")
     order = {code: k for k, code in enumerate(L.SMALL_WORDS)}
     known_in = lambda words: lambda w: w.isin(*words)
-    hits = [F.size(F.filter("_latin", known_in(s.split()))) for s in L.SMALL_WORDS.values()]
+    hits = [F.size(F.filter("_small", known_in(s.split()))) for s in L.SMALL_WORDS.values()]
     scored = F.array(*[F.struct(h.alias("n"), F.lit(-k).alias("k"), F.lit(c).alias("code")) for (c, k), h in zip(order.items(), hits)])
     best = F.array_max(scored)
     scripts = {
@@ -105,7 +105,9 @@ def detect_language(docs: DataFrame, text: str = "text") -> DataFrame:
     }
     top = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-k).alias("k"), F.lit(s).alias("script")) for k, (s, n) in enumerate(scripts.items())]))
     counted = docs.withColumns({"_han": count(r"[一-鿿㐀-䶿]"), "_kana": count(r"[぀-ヿ]"), "_latin": latin_words})
-    known = counted.withColumn("_top", top)
+    # Words of no list are left out once, so that the lists are asked for few.
+    small = sorted({w for words in L.SMALL_WORDS.values() for w in words.split()})
+    known = counted.withColumns({"_top": top, "_small": F.filter("_latin", known_in(small))})
     script, enough = F.col("_top.script"), F.col("_top.n") >= 5
     ukrainian = F.regexp_count(cyrillic, F.lit("[іїєґ]")) > 0.01 * F.length(cyrillic)
     vietnamese = F.regexp_count(letters, F.lit(f"[{L.VIETNAMESE}]")) > 0.03 * F.greatest(F.length(letters), F.lit(1))

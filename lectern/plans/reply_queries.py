@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fold, links, translate
+from ..sources.tables import shared_dir
 from . import derived as d
 from . import sql
 from .registry import Tables, query
@@ -109,6 +112,9 @@ def f11_to_ask(t: Tables) -> DataFrame:
     """Two sections of three have no kept reply, and for a fifth of the documents what was kept cannot be read."""
     p = _prompts(t)
     kept = p.where("cast(substring(section_id, 2) AS int) % 3 = 0").select("cache_key", F.when(F.col("doc_id") % 5 == 0, "cut {").otherwise("{}").alias("out"))
+    store = f"replies_{uuid.uuid4().hex}"
+    fold.save_replies(kept, store, f"{shared_dir(t.spark)}/{store}", buckets=16)
+    kept = t.spark.table(store)
     # Equal sections of copied documents share a prompt only within one source title; keys are compared per section here.
     return p.join(fold.to_ask(p, kept).select("cache_key"), "cache_key", "left_semi").select("doc_id", "section_id")
 

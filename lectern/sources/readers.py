@@ -56,22 +56,44 @@ def sniff_separator(text: Column) -> Column:
     return F.array_max(F.array(*counts))["s"]
 
 
+#: Stand between the cells and the rows of a text while its quotes are read; where a text holds them they are escaped.
+_ESCAPE, _ROW, _CELL = "\x1d", "\x1e", "\x1f"
+
+
+def delimited_cells(text: Column, separator: Column) -> Column:
+    """array<array<string>>: the rows and cells of a delimited text, as Python's csv reads them.
+
+    One scan over the text takes a cell after the other: a quote that begins a cell holds separators and line ends until it is closed,
+    a doubled one is a quote, what stands behind the closing one belongs to the cell, and elsewhere quotes are as they are. A
+    quote that is never closed holds the rest. A blank line is a row of one empty cell.
+    """
+    bare = F.replace(F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit(_ROW), F.lit(_ESCAPE + "1")), F.lit(_CELL), F.lit(_ESCAPE + "2"))
+    cells = F.lit(None).cast("array<struct<quoted:string,plain:string,end:string>>")
+    for s in ",;\t|":
+        cell = rf'(?s)(?:"([^"]*+(?:""[^"]*+)*+)(?:"|\z))?+([^{s}\r\n]*+)([{s}]|\r\n|\r|\n|\z)'
+        parts = F.arrays_zip(*[F.regexp_extract_all(bare, F.lit(cell), F.lit(k)).alias(n) for k, n in enumerate(("quoted", "plain", "end"), 1)])
+        cells = F.when(separator == s, parts).otherwise(cells)
+    # A cell that ended with the text is followed by an empty match.
+    cells = F.when(F.get(cells, F.size(cells) - 2)["end"] == "", F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
+    mark = lambda e: F.when(e == "", "").when(F.substring(e, 1, 1).isin("\r", "\n"), _ROW).otherwise(_CELL)
+    shown = F.transform(cells, lambda c: F.concat(F.replace(c["quoted"], F.lit('""'), F.lit('"')), c["plain"], mark(c["end"])))
+    back = lambda c: F.replace(F.replace(F.replace(c, F.lit(_ESCAPE + "2"), F.lit(_CELL)), F.lit(_ESCAPE + "1"), F.lit(_ROW)), F.lit(_ESCAPE + "0"), F.lit(_ESCAPE))
+    return F.transform(F.split(F.array_join(shown, ""), _ROW), lambda row: F.transform(F.split(row, _CELL), back))
+
+
 def read_sniffed_csv(texts: DataFrame, key: str, max_rows: int = CSV_ROWS, max_columns: int = CSV_COLUMNS) -> DataFrame:
     """key, row, cells: the rows of delimited texts (key, text); row 0 is the header.
 
     Blank rows go and empty cells at a row's end; whole floats lose their fraction, midnights their time. Rows over the
-    limit become one row of "…": the limit is the reader's.
+    limit become one row of "…": the limit is the reader's. A text's rows are made from the text alone, without a shuffle.
     """
-    rows = texts.select(key, sniff_separator(F.col("text")).alias("sep"), F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    cells = F.when(F.col("sep") == ",", F.split("line", r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")).otherwise(F.split("line", F.concat(F.lit("\\Q"), "sep", F.lit("\\E"))))
-    plain = F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), r"^(-?\d+)\.0+$", "$1"), r"^(\d{4}-\d{2}-\d{2})[ T]00:00(?::00)?$", "$1"))
-    filled = F.transform(plain, lambda c, i: F.when(c != "", i + 1).otherwise(0))
-    made = rows.select(key, "line_no", plain.alias("cells"), F.array_max(filled).alias("width"))
-    made = made.where("width > 0").withColumn("cells", F.slice("cells", F.lit(1), F.least(F.col("width"), F.lit(max_columns))))
-    numbered = made.withColumn("row", F.row_number().over(Window.partitionBy(key).orderBy("line_no")) - 1)
-    cut = numbered.where(F.col("row") <= max_rows)
-    more = numbered.where(F.col("row") == max_rows + 1).withColumn("cells", F.array(F.lit("…")))
-    return cut.unionByName(more).select(key, "row", "cells")
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"^(-?\d+)\.0+$", "$1"), r"^(\d{4}-\d{2}-\d{2})[ T]00:00(?::00)?$", "$1")
+    rows = F.transform(delimited_cells(F.col("text"), sniff_separator(F.col("text"))), lambda row: F.transform(row, plain))
+    width = lambda row: F.array_max(F.transform(row, lambda c, i: F.when(c != "", i + 1).otherwise(0)))
+    cut = F.transform(rows, lambda row: F.slice(row, F.lit(1), F.least(width(row), F.lit(max_columns))))
+    made = texts.select(key, F.filter(cut, lambda row: F.size(row) > 0).alias("rows"))
+    more = F.when(F.size("rows") > max_rows + 1, F.array(F.array(F.lit("…")))).otherwise(F.array().cast("array<array<string>>"))
+    return made.select(key, F.posexplode(F.concat(F.slice("rows", 1, max_rows + 1), more)).alias("row", "cells"))
 
 
 NOTE_SCHEMA = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.fold import document_at
@@ -34,9 +34,50 @@ def write_doc_json(levels: DataFrame, docs: DataFrame, path: str, **how) -> None
     doc_json(levels, docs, **how).select("json").write.mode("append").text(path)
 
 
+#: Bytes of texts that one file of a packed folder aims at.
+SHARD_BYTES = 128_000_000
+
+
+def write_packed(texts: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> None:
+    """Texts (doc_id, text) end to end in files of about shard_bytes, and where each one lies.
+
+    path/texts holds one file for each shard, a line end behind every text; path/index is a table of doc_id, file, offset and size in
+    bytes. The number of files follows the bytes, not the texts. Null texts are empty; repeated rows are written as often.
+    """
+    spark = texts.sparkSession
+    given = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    total = given.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_bytes))
+    dealt = given.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text").drop("doc_id").write.partitionBy("shard").text(f"{path}/texts")
+    fs = spark._jvm.org.apache.hadoop.fs
+    files = fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(int(x.getPath().getParent().getName()[6:]), str(x.getPath())) for x in files.globStatus(fs.Path(f"{path}/texts/shard=*/part-*")) or []]
+    before = Window.partitionBy("shard").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.octet_length("text").cast("long")
+    placed = dealt.select("doc_id", "shard", size.alias("size"), F.coalesce(F.sum(size + 1).over(before), F.lit(0)).alias("offset"))
+    named = placed.join(F.broadcast(spark.createDataFrame(found, "shard int, file string")), "shard") if found else placed.withColumn("file", F.lit(""))
+    named.select("doc_id", "file", "offset", "size").write.parquet(f"{path}/index")
+
+
+def read_packed(spark: SparkSession, path: str, doc_id: int) -> list[str]:
+    """The texts of one document of a packed folder, each read from its place alone."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    out = []
+    for r in spark.read.parquet(f"{path}/index").where(F.col("doc_id") == doc_id).orderBy("offset").collect():
+        place = fs.Path(r.file)
+        stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+        try:
+            stream.seek(r.offset)
+            out.append(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, r.size)).decode("utf-8"))
+        finally:
+            stream.close()
+    return out
+
+
 def write_markdown(levels: DataFrame, level: str, path: str) -> None:
-    """Each document at a level as one line-separated text, a folder a document."""
-    document_at(levels, level).write.mode("append").partitionBy("doc_id").text(path)
+    """Each document at a level as one text, packed (see write_packed)."""
+    write_packed(document_at(levels, level), path)
 
 
 def file_name(title: Column) -> Column:
@@ -57,7 +98,8 @@ def notes_markdown(notes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def write_notes_markdown(notes: DataFrame, docs: DataFrame, path: str) -> None:
-    notes_markdown(notes, docs).select("doc_id", "text").write.mode("append").partitionBy("doc_id").text(path)
+    """Each document's notes as one text, packed (see write_packed)."""
+    write_packed(notes_markdown(notes, docs), path)
 
 
 def save_layer(ladders: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.languages import languages
+from lectern.operators.fold import document_at
 from lectern.operators import cjk, fold, library, links, notes, pages, revisions, search, segment, structure, translate, turns
 from lectern.sources import readers, sinks
 from lectern.streaming import streams
@@ -75,16 +76,52 @@ def test_topic_choice(spark):
     assert [r.x for r in df.select(fold.choose_topic(F.col("t"), F.col("k")).alias("x")).collect()] == ["Zero-shot Transfer", "new phrase", "Something else is"]
 
 
-def test_completion_costs_a_failed_batch_only(spark):
-    p = spark.createDataFrame([(str(i), "bad" if i == 3 else f"p{i}") for i in range(8)], "cache_key string, prompt string")
+def test_a_failed_prompt_costs_itself_only(spark):
+    bad = {3, 777, 778, 9_999}
+    p = spark.range(10_000).select(F.col("id").cast("string").alias("cache_key"), F.when(F.col("id").isin(*bad), "bad").otherwise(F.concat(F.lit("p"), "id")).alias("prompt"))
 
     def answer(prompts):
         if "bad" in prompts:
             raise ValueError("no")
         return [x.upper() for x in prompts]
 
-    got = fold.complete(p, answer, jobs=8).collect()
-    assert len(got) == 8 and {r.error for r in got} == {None, "no"}
+    for batch in (1, 64, 10_000):
+        got = {int(r.cache_key): (r.out, r.error) for r in fold.complete(p, answer, batch=batch).collect()}
+        assert got == {i: (None, "no") if i in bad else (f"P{i}", None) for i in range(10_000)}
+    short = fold.complete(p.limit(3), lambda prompts: prompts[:-1], batch=2).collect()
+    assert sorted((r.out is None, r.error) for r in short) == [(True, "0 replies to 1 prompts")] * 3
+
+
+def test_the_reply_store_stays_where_it_lies(spark, tmp_path):
+    prompts = spark.range(2000).select(F.md5(F.col("id").cast("string")).alias("cache_key"), F.lit("p").alias("prompt"))
+    kept = spark.range(0, 2000, 2).select(F.md5(F.col("id").cast("string")).alias("cache_key"), F.when(F.col("id") % 10 == 0, "cut {").otherwise("{}").alias("out"))
+    fold.save_replies(kept, "kept_replies", str(tmp_path / "store"), buckets=8)
+    asked = fold.to_ask(prompts, spark.table("kept_replies"))
+    assert asked.count() == 1200
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fold.to_ask(prompts, spark.table("kept_replies"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE kept_replies")
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, level = [], depth(scan)
+    for line in reversed(plan.splitlines()[: plan.splitlines().index(scan)]):
+        if depth(line) < level:
+            above.append(line)
+            level = depth(line)
+    assert "Join" in "".join(above) and not any("Exchange" in line for line in above)
+
+
+def test_layers_are_read_by_language(spark):
+    local = spark.createDataFrame([(d, p, f"k{p}", "t", "c", "local") for d in (1, 2) for p in (0, 1)], "doc_id long, pos int, key string, takeaway string, topic string, model string")
+    rows = [(1, "en", 1, 0, "en1"), (1, "en", 2, 1, "en2"), (1, "de", 7, 0, "de"), (1, "de", 7, 1, "de"), (2, "de", 1, 0, "two")]
+    layers = spark.createDataFrame([(*r, "t", "c", "m") for r in rows], "doc_id long, lang string, version int, pos int, key string, takeaway string, topic string, model string")
+    read = lambda lang: {(r.doc_id, r.pos): r.key for r in sinks.read_layers(layers, local, spark.createDataFrame([(1, lang), (2, lang)], "doc_id long, lang string")).collect()}
+    assert read("en") == {(1, 0): "k0", (1, 1): "en2", (2, 0): "k0", (2, 1): "k1"}
+    assert read("de") == {(1, 0): "de", (1, 1): "de", (2, 0): "two", (2, 1): "k1"} and read("fr")[1, 0] == "k0"
 
 
 @pytest.mark.parametrize(
@@ -119,6 +156,41 @@ def test_cjk(spark):
     assert [r.repeats for r in cjk.repeats_section(lines).orderBy("pos").collect()] == [True, False]
 
 
+@pytest.mark.parametrize(
+    "lines, line, shown",
+    [
+        (["甲乙丙", "丁戊", "己庚", "辛壬"], None, [True, True, True, False]),
+        (["甲乙", "!丙丁", "戊己", "庚辛", "壬癸"], None, [True, True, True, True, False]),
+        (["甲", "《某办法》规定乙丙丁", "戊己"], None, [True, False, True]),
+        (["甲", "2009 年规定乙丙丁", "2010 年本文认为戊"], None, [True, False, True]),
+        (["甲", "《资本要求》：乙丙丁"], None, [True, True]),
+        (["《某办法》规定甲", "乙"], None, [True, True]),
+        (["!既有监管模式不适应第三方跨境支付发展", "!另有一点与摘要无关"], "既有监管模式不适应第三方跨境支付发展", [False, True]),
+        (["甲乙", "", "丙", "丁", "戊"], None, [True, False, True, True, False]),
+        (["One fact here.", "Another fact here.", "A third one.", "A fourth."], None, [True, True, True, True]),
+    ],
+)
+def test_background_steps_down(spark, lines, line, shown):
+    rows = [(1, "s", p, "claim" if x[:1] == "!" else "context", x.lstrip("!"), line) for p, x in enumerate(lines)]
+    ladders = spark.createDataFrame(rows, "doc_id long, section_id string, pos int, role string, takeaway string, section_line string")
+    docs = spark.createDataFrame([(1, True)], "doc_id long, is_cjk boolean")
+    assert [r.shown for r in cjk.step_down_background(ladders, docs).orderBy("pos").collect()] == shown
+    other = cjk.step_down_background(ladders, docs.withColumn("is_cjk", F.lit(False))).orderBy("pos").collect()
+    assert [r.shown for r in other] == [x != "" for x in lines]  # a document in another language folds as it is
+
+
+@pytest.mark.parametrize(
+    "line, plumbing",
+    [
+        ("第一章 ……… 1", True), ("第一章 . . . 1" + "字" * 120, False), ("一句普通的话。", False), ("", True), ("① 王某：《支付法》，某出版社", True), ("王某：《支付法》，某出版社", False),
+        ("② 《支付法》第 12 条", True), ("③ 参见前文", True), ("④ Ronald Mann, Charging Ahead", True), ("⑤ 这是正文中的一句", False), ("① 见 [EB/OL] 一文", True), ("①：第 12—15", True),
+    ],
+)
+def test_apparatus(spark, line, plumbing):
+    units = spark.createDataFrame([(1, 0, line)], "doc_id long, pos int, text string")
+    assert fold.flag_apparatus(units).first().apparatus is plumbing
+
+
 def test_sections_and_units(spark):
     rows = [(0, "paragraph", None, "Lead text."), (1, "heading", 2, "1 Introduction"), (2, "paragraph", None, "A."), (3, "heading", 3, "1.1 Scope"), (4, "item", 0, "- an item"), (5, "heading", 2, "Appendix A Proofs"), (6, "heading", 3, "Scope"), (7, "paragraph", None, "P."), (8, "heading", 2, "References"), (9, "paragraph", None, "Work one.")]
     b = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, pos int, kind string, level int, text string")
@@ -270,7 +342,7 @@ def test_sinks(spark, tmp_path):
     u = spark.createDataFrame([(1, 0, "u0", "s0", "One. Two."), (2, 0, "u0", "s0", "Three.")], "doc_id long, pos int, unit_id string, section_id string, text string")
     lv = fold.local_levels(u)
     sinks.write_markdown(lv, "takeaway", str(tmp_path / "md"))
-    assert {r.value for r in spark.read.text(str(tmp_path / "md")).collect()} == {"- One.", "- Three."} or {r.value for r in spark.read.text(str(tmp_path / "md")).collect()} == {"- One", "- Three"}
+    assert sinks.read_packed(spark, str(tmp_path / "md"), 1) == [document_at(lv, "takeaway").where("doc_id = 1").first().text]
     sinks.write_doc_json(lv, spark.createDataFrame([(1, "T", "en"), (2, "U", "en")], "doc_id long, title string, lang string"), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
 
