@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -206,44 +206,157 @@ def _read(html: str) -> list:
     return tree.root
 
 
-def _words(node) -> str:
-    if isinstance(node, str):
-        return node
-    return "".join(_words(c) for c in node[2]) if node[0] not in ("script", "style") else ""
+class Element:
+    """An element of a page: its attributes, what it holds in order, where it hangs, its place in the page and its last one's."""
+
+    __slots__ = ("tag", "attrs", "kids", "up", "at", "end")
+
+    def __init__(self, tag: str, attrs: dict[str, str], up: Element | None, at: int):
+        self.tag, self.attrs, self.up, self.at, self.end = tag, attrs, up, at, at
+        self.kids: list[Element | str] = []
+
+    def classes(self) -> list[str]:
+        return self.attrs.get("class", "").split()
+
+    def holds(self, other: Element) -> bool:
+        return self.at <= other.at <= self.end
+
+    def above(self) -> Iterator[Element]:
+        node = self.up
+        while node is not None:
+            yield node
+            node = node.up
+
+
+class Index:
+    """A page's elements in order, those with an id, and which elements name an id (by a description, a control or a link)."""
+
+    def __init__(self, html: str):
+        self.all: list[Element] = []
+        self.ids: dict[str, Element] = {}
+        self.naming: dict[str, list[Element]] = {}
+        self.root = Element("", {}, None, 0)
+        self.all.append(self.root)
+        stack = [(self.root, iter(_read(html)[2]))]  # page order without recursion, as pages may be deep
+        while stack:
+            at, rest = stack[-1]
+            kid = next(rest, None)
+            if kid is None:
+                at.end = len(self.all) - 1
+                stack.pop()
+            elif isinstance(kid, str):
+                at.kids.append(kid)
+            else:
+                made = Element(kid[0], kid[1], at, len(self.all))
+                at.kids.append(made)
+                self.all.append(made)
+                if made.attrs.get("id"):
+                    self.ids.setdefault(made.attrs["id"], made)
+                for name in names_of(made):
+                    self.naming.setdefault(name, []).append(made)
+                stack.append((made, iter(kid[2])))
+
+
+def names_of(e: Element) -> list[str]:
+    """The ids that an element names."""
+    href = e.attrs.get("href", "")
+    return [*e.attrs.get("aria-describedby", "").split(), *e.attrs.get("aria-controls", "").split(), *([href.partition("#")[2]] if "#" in href else [])]
+
+
+#: Elements inside which a note belongs to a sentence, and those that show no words.
+_IN_TEXT = frozenset("p li dd dt td th figcaption blockquote h1 h2 h3 h4 h5 h6".split())
+_NO_WORDS = frozenset("script style button svg canvas input template noscript iframe video audio".split())
+_APART = frozenset("p div section aside blockquote ul ol li dl dt dd table tr td th h1 h2 h3 h4 h5 h6 figure figcaption br".split())
+_MARK = re.compile(r"\[?(?:\d{1,3}[a-z]?|[a-z]|[*†‡§¶⊕]{1,3})\]?|\(\d{1,3}\)", re.I)
+_LEADING = re.compile(r"[\[(]?(\d+|[*†‡§])[\])]?[.:]?\s*")
+
+
+def shown_text(e: Element | str, cut: set[int], said: dict[int, str]) -> str:
+    """The words of an element without those that are cut; `said` are words in place of some elements. Both by place in the page."""
+    out, todo = [], [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.at in said:
+            out.append(said[x.at])
+        elif x.at not in cut and x.tag not in _NO_WORDS:
+            apart = [" "] if x.tag in _APART else []
+            todo += [*apart, *reversed(x.kids), *apart]
+    return " ".join("".join(out).split())
+
+
+def paired(notes: list[Element], marks: list[Element], index: Index) -> dict[int, Element]:
+    """The mark of each note, by the note's place: the one that names it, the one that it links back to, else the nearest before it."""
+    free = {m.at: m for m in marks}
+    out: dict[int, Element] = {}
+    for note in notes:
+        named = [m for m in index.naming.get(note.attrs.get("id", ""), []) if m.at in free]
+        back = [free[t.at] for e in index.all[note.at : note.end + 1] for n in names_of(e) if (t := index.ids.get(n)) is not None and t.at in free]
+        near = [free[k] for k in sorted(free) if k < note.at][-1:]
+        for mark in [*named, *back, *near][:1]:
+            out[note.at] = free.pop(mark.at)
+    return out
+
+
+def sentence_notes(index: Index, given: dict[int, Element] | None = None, gone: Collection[int] = ()) -> tuple[list[tuple[str, str]], set[int]]:
+    """(mark, words) of the notes that stand inside sentences, in page order, and the places that go from the text with them.
+
+    given: notes that a recipe has found, by place, with their marks; gone: places of elements that are dropped with all in them. A mark is the text of the element that names the note, or that
+    the note links back to, if it reads like one; else what the note's words begin with; else the note's number among its kind. A
+    tooltip without any is cut and is no note. Notes inside notes go with them.
+    """
+    given = given or {}
+    found: list[tuple[str, str]] = []
+    cut: set[int] = set()
+    count: dict[str, int] = {}
+    past = -1
+    for e in index.all:
+        if e.at <= past:
+            continue
+        if e.at in gone:
+            past = e.end
+            continue
+        role, classes = e.attrs.get("role", ""), e.classes()
+        inside = any(u.tag in _IN_TEXT for u in e.above())
+        kind = (
+            "given" if e.at in given else "tip" if role == "tooltip" or "tooltip" in classes else "foot" if role in ("doc-footnote", "doc-endnote") and inside
+            else "distill" if e.tag == "d-footnote" else "side" if "sidenote" in classes and inside else "margin" if "marginnote" in classes and inside else ""
+        )
+        if not kind:
+            continue
+        past = e.end
+        back = [t for x in index.all[e.at + 1 : e.end + 1] for n in names_of(x) if (t := index.ids.get(n)) is not None and not e.holds(t)]
+        mark = given.get(e.at) or next((m for m in [*index.naming.get(e.attrs.get("id", ""), []), *back] if not e.holds(m)), None)
+        label = "".join(shown_text(mark, {e.at}, {}).split()) if mark is not None else ""
+        words = shown_text(e, set(), {})
+        count[kind] = count.get(kind, 0) + 1
+        if not _MARK.fullmatch(label):
+            first = _LEADING.match(words)
+            label, words = (first[1], words[first.end() :]) if first else ("" if kind == "tip" else str(count[kind]), words)
+            mark = mark if kind == "given" else None
+        cut.add(e.at)
+        if label:
+            found.append((label, words))
+            if mark is not None and not mark.holds(e):
+                cut.add(mark.at)
+    return found, cut
 
 
 def inline_notes(pages: DataFrame) -> DataFrame:
     """page_id, n, mark, words, html_text: notes that stand inside sentences, cut out, and the text without them (n null).
 
-    Tooltips with a mark, doc-footnote and doc-endnote roles, d-footnote, sidenote and marginnote. A tooltip without a
-    mark is dropped from the text and gives no note.
+    Tooltips with a mark, doc-footnote and doc-endnote roles, sidenotes and marginnotes inside a paragraph, and d-footnote; their marks
+    go from the text with them (see sentence_notes).
     """
 
-    def notes_of(html: str) -> tuple[list[tuple[str, str]], str]:
-        found: list[tuple[str, str]] = []
-
-        def walk(node) -> str:
-            if isinstance(node, str):
-                return node
-            tag, attrs, kids = node
-            name, role = attrs.get("class", ""), attrs.get("role", "")
-            tip = role == "tooltip" or "tooltip" in name.split()
-            if tip or tag == "d-footnote" or role in ("doc-footnote", "doc-endnote") or {"sidenote", "marginnote"} & set(name.split()):
-                text = " ".join(_words(node).split())
-                mark = re.match(r"[\[(]?(\d+|[*†‡§])[\])]?[.:]?\s*", text)
-                if mark or not tip:
-                    found.append((mark[1] if mark else "", text[mark.end():] if mark else text))
-                return ""
-            return "" if tag in ("script", "style") else "".join(walk(k) for k in kids)
-
-        return found, " ".join(walk(_read(html)).split())
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for pid, html in zip(pdf["page_id"], pdf["html"]):
-                found, text = notes_of(html)
-                rows.append((pid, None, None, None, text))
+                index = Index(html)
+                found, cut = sentence_notes(index)
+                rows.append((pid, None, None, None, shown_text(index.root, cut, {})))
                 rows += [(pid, k, mark, words, None) for k, (mark, words) in enumerate(found)]
             out = pd.DataFrame(rows, columns=["page_id", "n", "mark", "words", "html_text"])
             out["n"] = out["n"].astype("Int32")
@@ -273,46 +386,80 @@ def _matcher(selector: str):
     return test
 
 
+def _caption(figure: Element, index: Index, taken: set[int], figures: list[Element]) -> str:
+    """A figure's words: the caption inside it, its label, its first heading; else the nearest free caption under the nearest ancestor
+    that has one; else an arrow."""
+    caption = lambda e: e.tag == "figcaption" or any("caption" in c.lower() for c in e.classes())
+    inside = index.all[figure.at + 1 : figure.end + 1]
+    own = next((e for e in inside if e.tag == "figcaption"), None) or next((e for e in inside if caption(e)), None)
+    words = shown_text(own, set(), {}) if own is not None else figure.attrs.get("aria-label", "").strip()
+    if not words:
+        words = next((shown_text(e, set(), {}) for e in inside if re.fullmatch("h[1-6]", e.tag)), "")
+    if own is None and not words:
+        for up in figure.above():
+            free = [e for e in index.all[up.at + 1 : up.end + 1] if caption(e) and e.at not in taken and not any(f.holds(e) for f in figures)]
+            if free:
+                own = min(free, key=lambda e: (abs(e.at - figure.at), e.at))
+                taken.add(own.at)
+                words = shown_text(own, set(), {})
+                break
+    return words or "↗"
+
+
+_READ = "page_id long, host string, text string, hits map<string,int>, figures array<struct<caption:string,link:string>>, notes array<struct<mark:string,words:string>>"
+
+
 def apply_recipes(pages: DataFrame, recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(page_id, host, text, hits map), (host, selector, hits): pages read by their site's rules, and how often each matched.
+    """(page_id, host, text, hits map, figures, notes), (host, selector, hits): pages read by their site's rules, and how often each matched.
 
-    recipes: host, article, drop, content (arrays of selectors); one row a site. Spark broadcasts them if they are small and
-    shuffles pages by host if not. Selectors outside the subset (such as pseudo-states) match nothing and show no hits.
+    recipes: host, article, drop, content, and if there are any figures (arrays of selectors) and notes (array of mark and note
+    selectors); one row a site. Spark broadcasts them if they are small and shuffles pages by host if not. A figure is its caption in
+    the text, with a link to its place on the page. A note of a pair belongs to the mark that names it, to the one that it links back to,
+    else to the nearest free one before it; a note without a mark stays text. Notes that say what they are need no pair. Selectors outside
+    the subset (such as pseudo-states) match nothing and show no hits.
     """
     host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    for name, kind in (("figures", "array<string>"), ("notes", "array<struct<mark:string,note:string>>")):
+        if name not in recipes.columns:
+            recipes = recipes.withColumn(name, F.array().cast(kind))
     joined = pages.withColumn("host", host).join(recipes, "host")
 
+    def read_by(url, html, article, drop, content, figures, pairs) -> tuple:
+        index = Index(html)
+        chosen: dict[str, list[Element]] = {}
+        for s in (article, *drop, *content, *figures, *(x for p in pairs for x in (p["mark"], p["note"]))):
+            test = _matcher(s)
+            chosen[s] = [e for e in index.all[1:] if test and test(e.tag, e.attrs)]
+        dropped = [e for s in drop for e in chosen[s]]
+        lost = lambda e: any(d is not e and d.holds(e) for d in dropped)
+        chosen = {s: [e for e in found if not lost(e) and (s in drop or not any(d is e for d in dropped))] for s, found in chosen.items()}
+        roots = [e for s in (article, *content) for e in chosen[s]]
+        roots = sorted({e.at: e for e in roots if not any(r is not e and r.holds(e) for r in roots)}.values(), key=lambda e: e.at)
+        shown = lambda e: any(r.holds(e) for r in roots)
+        given: dict[int, Element] = {}
+        for p in pairs:
+            given |= paired([e for e in chosen[p["note"]] if shown(e)], [e for e in chosen[p["mark"]] if shown(e)], index)
+        cut, said, drawn, taken = {e.at for e in dropped}, {}, [], set()
+        notes, gone = sentence_notes(index, given, cut)
+        cut |= gone
+        drawings = [e for s in figures for e in chosen[s] if shown(e)]
+        for e in sorted(drawings, key=lambda e: e.at):
+            words = _caption(e, index, taken, drawings)
+            drawn.append((words, url.split("#")[0] + ("#" + e.attrs["id"] if e.attrs.get("id") else "")))
+            said[e.at] = f" {words} "
+        cut |= taken
+        text = " ".join(filter(None, (shown_text(r, cut, said) for r in roots)))
+        return text, {s: len(found) for s, found in chosen.items()}, drawn, notes
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for pid, where, html, article, drop, content in zip(*(pdf[c] for c in ("page_id", "host", "html", "article", "drop", "content"))):
-                hits = dict.fromkeys([article, *drop, *content], 0)
-                test = {s: _matcher(s) for s in hits}
-
-                def walk(node, inside, out):
-                    if isinstance(node, str):
-                        if inside:
-                            out.append(node)
-                        return
-                    tag, attrs, kids = node
-                    for s in drop:
-                        if test[s] and test[s](tag, attrs):
-                            hits[s] += 1
-                            return
-                    for s in (article, *content):
-                        if test[s] and test[s](tag, attrs):
-                            hits[s] += 1
-                            inside = True
-                    if tag not in ("script", "style"):
-                        for k in kids:
-                            walk(k, inside, out)
-                        out.append(" ")
-
-                out: list[str] = []
-                walk(_read(html), False, out)
-                rows.append((pid, where, " ".join("".join(out).split()), hits))
-            yield pd.DataFrame(rows, columns=["page_id", "host", "text", "hits"])
-
-    read = joined.select("page_id", "host", "html", "article", "drop", "content").mapInPandas(run, "page_id long, host string, text string, hits map<string,int>")
+            columns = (pdf[c] for c in ("page_id", "host", "url", "html", "article", "drop", "content", "figures", "notes"))
+            rows = [(pid, where, *read_by(url or "", *rest)) for pid, where, url, *rest in zip(*columns)]
+            out = pd.DataFrame(rows, columns=["page_id", "host", "text", "hits", "figures", "notes"])
+            out["figures"] = out["figures"].map(lambda x: [{"caption": c, "link": k} for c, k in x])
+            out["notes"] = out["notes"].map(lambda x: [{"mark": m, "words": w} for m, w in x])
+            yield out
+
+    read = joined.select("page_id", "host", "url", "html", "article", "drop", "content", "figures", "notes").mapInPandas(run, _READ)
     counts = read.select("host", F.explode("hits").alias("selector", "n")).groupBy("host", "selector").agg(F.sum("n").alias("hits"))
     return read, counts

@@ -100,9 +100,48 @@ def p9_page_signals(t: Tables) -> DataFrame:
     return P.page_signals(t.pages.withColumn("html", F.replace("html", F.lit("<body>"), marks)))
 
 
-@query()
+def _put(html: str, before: str, what) -> F.Column:
+    """The html column with something put before the first `before`; as it is where there is none."""
+    head = F.substring_index(html, before, 1)
+    rest = F.substring(F.col(html), F.length(head) + 1, F.length(html))
+    return F.when(F.contains(F.col(html), F.lit(before)), F.concat(head, what, rest)).otherwise(F.col(html))
+
+
+@query("""WITH k AS (SELECT page_id, page_id % 4 AS k FROM pages WHERE contains(html, '</h1>'))
+SELECT page_id, 0 AS n, '1' AS mark, 'Foot words ' || page_id || '.' AS words FROM k WHERE k = 0
+UNION ALL SELECT page_id, 0, '1', 'Distill words.' FROM k WHERE k = 1
+UNION ALL SELECT page_id, n, CAST(n + 1 AS VARCHAR), 'Side ' || n FROM k, (SELECT unnest([0, 1]) AS n) WHERE k = 2
+UNION ALL SELECT page_id, 0, '*', 'Tip words' FROM k WHERE k = 3""")
 def p7_inline_notes(t: Tables) -> DataFrame:
-    return P.inline_notes(t.pages)
+    """Notes of four kinds put into the headings of pages, and a tooltip without a mark."""
+    k = F.col("page_id") % 4
+    foot = F.concat(F.lit(' so<a role="doc-noteref" href="#n1">1</a><span role="doc-footnote" id="n1">Foot <b>words</b> '), "page_id", F.lit(".</span>"))
+    side = F.lit('<span class="sidenote">Side 0</span> and <span class="x sidenote">Side 1</span>')
+    tip = F.lit('<sup aria-describedby="t1">*</sup><span role="tooltip" id="t1">Tip words</span><i role="tooltip">gone</i>')
+    what = F.when(k == 0, foot).when(k == 1, F.lit("<d-footnote>Distill words.</d-footnote>")).when(k == 2, side).otherwise(tip)
+    return P.inline_notes(t.pages.withColumn("html", _put("html", "</h1>", what))).where("n IS NOT NULL").drop("html_text")
+
+
+@query("""WITH k AS (SELECT page_id, url FROM pages WHERE contains(html, '</article>'))
+SELECT page_id, 'figure' AS kind, 'Drawn inside ' || page_id AS label, string_split(url, '#')[1] || '#f1' AS words FROM k
+UNION ALL SELECT page_id, 'figure', 'Drawn beside', string_split(url, '#')[1] FROM k
+UNION ALL SELECT page_id, 'note', '1', 'Named' FROM k UNION ALL SELECT page_id, 'note', '2', 'Near' FROM k""")
+def p8_page_parts(t: Tables) -> DataFrame:
+    """Figures and notes put at the end of the article, found by a recipe: a caption inside and one beside, a note named and one near its mark."""
+    host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    what = F.concat(
+        F.lit('<div><div class="draw" id="f1"><canvas></canvas><p class="my-caption">Drawn inside '), "page_id",
+        F.lit('</p></div></div><section><div class="draw"></div><div class="figcaption">Drawn beside</div></section><p>Said<sup class="ref" aria-controls="p1">1</sup>'
+              ' and<sup class="ref">2</sup><span class="pop">Near</span>.</p><span class="pop" id="p1">Named</span>'),
+    )
+    pages = t.pages.withColumn("html", _put("html", "</article>", what))
+    pair = F.array(F.struct(F.lit(".ref").alias("mark"), F.lit("span.pop").alias("note")))
+    none = F.array().cast("array<string>")
+    rules = pages.select(host.alias("host")).distinct().select("host", F.lit("article").alias("article"), none.alias("drop"), none.alias("content"), F.array(F.lit(".draw")).alias("figures"), pair.alias("notes"))
+    read = P.apply_recipes(pages, rules)[0]
+    drawn = read.select("page_id", F.lit("figure").alias("kind"), F.explode("figures").alias("x")).select("page_id", "kind", F.col("x.caption").alias("label"), F.col("x.link").alias("words"))
+    noted = read.select("page_id", F.lit("note").alias("kind"), F.explode("notes").alias("x")).select("page_id", "kind", F.col("x.mark").alias("label"), F.col("x.words").alias("words"))
+    return drawn.unionByName(noted)
 
 
 @query(f"""WITH h AS (SELECT {_HOST} AS host, html FROM pages)

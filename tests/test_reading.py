@@ -239,10 +239,43 @@ def test_inline_notes_and_recipes(spark):
     html = '<article><p>Said<span class="sidenote">1. A note</span> so.<span role="tooltip">drop me</span></p><div class="ad">Buy</div></article><p>outside</p>'
     df = spark.createDataFrame([(1, "https://www.site.example/a", html)], "page_id long, url string, html string")
     rows = pages.inline_notes(df).collect()
-    assert [(r.mark, r.words) for r in rows if r.n is not None] == [("1", "A note")] and [r.html_text for r in rows if r.n is None] == ["Said so.Buyoutside"]
+    assert [(r.mark, r.words) for r in rows if r.n is not None] == [("1", "A note")] and [r.html_text for r in rows if r.n is None] == ["Said so. Buy outside"]
     rules = spark.createDataFrame([("site.example", "article", [".ad", "a:hover"], ["h1"])], "host string, article string, drop array<string>, content array<string>")
     read, hits = pages.apply_recipes(df, rules)
-    assert read.first().text == "Said1. A note so.drop me" and {r.selector: r.hits for r in hits.collect()} == {"article": 1, ".ad": 1, "a:hover": 0, "h1": 0}
+    assert read.first().text == "Said so." and [tuple(n) for n in read.first().notes] == [("1", "A note")] and {r.selector: r.hits for r in hits.collect()} == {"article": 1, ".ad": 1, "a:hover": 0, "h1": 0}
+
+
+@pytest.mark.parametrize(
+    "html, notes, text",
+    [
+        ('<p>A<sup><a id="r1" href="#f1">1</a></sup> b<span role="doc-footnote" id="f1">Words <a href="#r1">back</a></span>.</p>', [("1", "Words back")], "A b."),
+        ('<p>A<a id="r1">[2]</a> b<span class="sidenote">Linked <a href="#r1">up</a></span>.</p>', [("[2]", "Linked up")], "A b."),
+        ('<p>A <span class="marginnote">one</span><span class="marginnote">two <i class="sidenote">in</i></span></p>', [("1", "one"), ("2", "two in")], "A"),
+        ('<section role="doc-endnotes"><div role="doc-endnote" id="x">Apart.</div></section>', [], "Apart."),
+        ('<p>A <span class="tooltip">3. Told</span><span class="tooltip">lost</span></p>', [("3", "Told")], "A"),
+        ("<p>A<d-footnote>x<script>no</script></d-footnote>" + "<b>" * 3000 + "deep", [("1", "x")], "Adeep"),
+        ("", [], ""),
+    ],
+)
+def test_notes_inside_sentences(spark, html, notes, text):
+    rows = pages.inline_notes(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("n").collect()
+    assert [(r.mark, r.words) for r in rows if r.n is not None] == notes and rows[0].html_text == text
+
+
+def test_recipes_take_figures_and_notes(spark):
+    html = (
+        '<article><p>One<sup class="m">a</sup>, two<sup class="m">b</sup>.</p><aside class="n">First</aside><div class="fig" aria-label="Labelled"></div>'
+        '<div class="fig"><h3>Headed</h3></div><div><div class="fig"></div><p class="caption">Beside</p></div><div class="fig"></div><aside class="n">Second</aside></article>'
+    )
+    rules = spark.createDataFrame(
+        [("s.example", "article", [], [], [".fig"], [("sup.m", ".n")])],
+        "host string, article string, drop array<string>, content array<string>, figures array<string>, notes array<struct<mark:string,note:string>>",
+    )
+    df = spark.createDataFrame([(1, "http://s.example/p#top", html)], "page_id long, url string, html string")
+    r = pages.apply_recipes(df, rules)[0].first()
+    assert [x.caption for x in r.figures] == ["Labelled", "Headed", "Beside", "↗"] and {x.link for x in r.figures} == {"http://s.example/p"}
+    assert sorted((x.mark, x.words) for x in r.notes) == [("a", "Second"), ("b", "First")] and r.text == "One, two. Labelled Headed Beside ↗"
+    assert r.hits == {"article": 1, ".fig": 4, "sup.m": 2, ".n": 2}
 
 
 def test_visible_html(spark):
