@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import languages as L
-from ..operators import cjk, fold, library, revisions, structure
-from ..sources import readers
+from ..operators import cjk, fold, library, notes, revisions, structure, translate
+from ..sources import readers, sinks
+from ..sources.tables import shared_dir
 from . import derived as d
-from . import sql
-from .registry import Tables, query
+from . import sql, text_queries  # noqa: F401
+from .registry import SQL, Tables, query
 
 # --- Readers --------------------------------------------------------------------------------------------------------
 
@@ -238,3 +241,84 @@ def v5_numbered_notes(t: Tables) -> DataFrame:
     old, new = _numbered(t)
     n = old.select("doc_id", F.concat(F.lit("n"), "pos").alias("note_id"), "unit_id", F.concat(F.lit("Line "), "pos", F.lit(":")).alias("exact"), F.lit("").alias("prefix"), F.lit("").alias("suffix"))
     return revisions.reanchor(n, new, revisions.align_units(old, new)).select("doc_id", "note_id", "unit_id", "start", "state")
+
+
+@query(f"""WITH {sql.UNITS}, k AS (SELECT doc_id, pos, pos % 3 AS k, pos % 100 AS n FROM units)
+SELECT doc_id, pos, CASE k WHEN 0 THEN '本文认为第' || n || '类支付应当受到统一监管，并且需要立法。' WHEN 1 THEN '近年来，平台' || n || '的数据增长很快。' ELSE '' END AS brief,
+CASE k WHEN 0 THEN '本文认为第' || n || '类支付应当受到统一监管，并且需要立法。' WHEN 1 THEN '近年来，平台' || n || '的数据增长很快。' ELSE '' END AS takeaway,
+CASE k WHEN 0 THEN '本文认为第' || n || '类' WHEN 1 THEN '平台' || n || '的数据增长很快' ELSE '' END AS topic FROM k""")
+def f2_cjk_fold(t: Tables) -> DataFrame:
+    """Lines written in Chinese: a claim behind a lead-in, a line with a filler, a footnote."""
+    k, n = F.col("pos") % 3, (F.col("pos") % 100).cast("string")
+    claim = F.concat(F.lit("随着技术的发展，问题出现了。本文认为第"), n, F.lit("类支付应当受到统一监管，并且需要立法。"))
+    plain = F.concat(F.lit("近年来，平台"), n, F.lit("的数据增长很快。"))
+    text = F.when(k == 0, claim).when(k == 1, plain).otherwise(F.concat(F.lit("② 参见前文 "), n))
+    return cjk.fold_cjk(d.units(t).withColumn("text", text))
+
+
+# --- Readers and writers of files -------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id // 50 AS part, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars, md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS digest
+FROM documents GROUP BY 1""")
+def s1_text_scan(t: Tables) -> DataFrame:
+    """The documents as text files, fifty a file, read as texts again."""
+    where = f"{shared_dir(t.spark)}/texts-{uuid.uuid4().hex}"
+    part = F.floor(F.col("doc_id") / 50).cast("long")
+    given = t.documents.select("doc_id", part.alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    given.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(where)
+    found = readers.read_texts(t.spark, where)
+    return found.select(F.regexp_extract("path", "part=(\\d+)", 1).cast("long").alias("part"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query("""SELECT 'd' || user_id AS doc_id, 'n-' || event_id AS note_id, CASE WHEN event_id % 2 = 0 THEN 'ask' ELSE 'note' END AS kind, CASE WHEN event_id % 2 = 1 THEN 'wrote ' || event_type END AS text,
+CASE WHEN event_id % 2 = 0 THEN event_type END AS question FROM events WHERE user_id % 10 <> 3""")
+def s5_read_notes(t: Tables) -> DataFrame:
+    """Each user's events as a file of notes, read again; a tenth of the files have another format. Older notes have one question."""
+    where = f"{shared_dir(t.spark)}/notes-{uuid.uuid4().hex}"
+    ask, odd = F.struct(F.col("event_type").alias("q")), F.col("event_id") % 2 == 1
+    note = F.struct(F.concat(F.lit("n-"), "event_id").alias("id"), F.when(odd, "note").otherwise("ask").alias("kind"), F.when(odd, F.concat(F.lit("wrote "), "event_type")).alias("text"), F.when(~odd, ask).alias("ask"))
+    files = t.events.groupBy("user_id").agg(F.collect_list(note).alias("notes"))
+    kind = F.when(F.col("user_id") % 10 == 3, "else/notes").otherwise("f/notes")
+    body = F.to_json(F.struct(kind.alias("format"), F.lit(1).alias("version"), F.struct(F.concat(F.lit("d"), "user_id").alias("id")).alias("paper"), "notes"))
+    files.select("user_id", body.alias("value")).repartition("user_id").write.partitionBy("user_id").option("compression", "none").text(where)
+    for_json = readers.read_notes(t.spark, where, ["f/notes"])
+    return for_json.select("doc_id", "note_id", "kind", "text", F.get("thread", F.lit(0))["q"].alias("question"))
+
+
+@query(f"""WITH x AS ({SQL['f16_document_takeaway']}) SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS digest FROM x""")
+def s10_packed_markdown(t: Tables) -> DataFrame:
+    """Documents at their takeaway level in packed files; every text is cut from its file by its place."""
+    where = f"{shared_dir(t.spark)}/packed-{uuid.uuid4().hex}"
+    sinks.write_markdown(fold.local_levels(d.units(t)), "takeaway", where)
+    places = t.spark.read.parquet(f"{where}/index")
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{where}/texts").select(F.col("path").alias("file"), "content")
+    text = F.expr("substring(content, CAST(offset + 1 AS INT), CAST(size AS INT))")
+    return places.join(files, "file").select("doc_id", "size", F.md5(text).alias("digest"))
+
+
+# --- Batches, days ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {sql.UNITS}, s AS (SELECT doc_id, pos // 5 AS s, pos, length(text) AS size, row_number() OVER (PARTITION BY doc_id, pos // 5 ORDER BY pos) AS i,
+  sum(length(text)) OVER (PARTITION BY doc_id, pos // 5) AS total FROM units),
+q AS (SELECT *, greatest(ceil(total / 600.0), 1) AS k FROM s),
+r AS (SELECT doc_id, s, i, pos, CAST(size AS DOUBLE) AS upto, 0 AS b FROM q WHERE i = 1
+  UNION ALL SELECT q.doc_id, q.s, q.i, q.pos, upto + size, CASE WHEN upto + size / 2.0 > (b + 1) * (total / k) AND b + 1 < k THEN b + 1 ELSE b END
+  FROM r JOIN q ON q.doc_id = r.doc_id AND q.s = r.s AND q.i = r.i + 1)
+SELECT doc_id, 's' || s AS section_id, pos, CAST(b AS INTEGER) AS batch FROM r""")
+def x1_batch_numbers(t: Tables) -> DataFrame:
+    """The batch of each unit: a section's text in near-equal runs."""
+    return translate.translation_batches(d.units(t).withColumn("size", F.length("text")), 600)
+
+
+_KEPT_DAYS = "day(created) % 7 IN (0, 1, 2, 4)"
+
+
+@query(f"""WITH {d.NOTES}, dd AS (SELECT DISTINCT CAST(created AS DATE) AS day FROM notes WHERE {_KEPT_DAYS}),
+r AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS run FROM dd),
+s AS (SELECT min(day) AS first_day, max(day) AS last_day FROM r GROUP BY run)
+SELECT first_day, last_day, CASE WHEN first_day = last_day THEN first_day::VARCHAR ELSE first_day || '/' || last_day END AS label FROM s""")
+def n11_gap_ranges(t: Tables) -> DataFrame:
+    """Notes of some days of each week of a month: runs of days, single days, gaps."""
+    return notes.day_ranges(d.notes(t).where(_KEPT_DAYS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import pages as P
@@ -232,6 +232,51 @@ def r2_fold_turns_gist(t: Tables) -> DataFrame:
     return R.fold_turns(t.conversations, _KEYS, 5)
 
 
+_MARKED = [
+    "- item a", "- item b. More.", "  - inner", "> quoted\n> more", "| a | b |\n|---|---|\n| 1 | 2 |", "```\n# no heading\n\nmore\n```", "---",
+]
+_KINDS = ["item", "item", "item", "quote", "table", "code", "rule"]
+
+
+def _marked(t: Tables) -> DataFrame:
+    """Turns with a heading before their text, and items, a quote, a table, code and a rule behind it."""
+    items, rest = "\n".join(_MARKED[:3]), "\n\n".join(_MARKED[3:])
+    x = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s*\n\s*", " "))
+    text = F.concat(F.lit("## Head "), F.col("turn").cast("string"), F.lit("\n\n"), x, F.lit(f"\n\n{items}\n\n{rest}\n"))
+    return t.conversations.select(*_KEYS, text.alias("text"))
+
+
+def _rows_of(kinds: list[str], texts: list[str]) -> str:
+    rows = ", ".join(f"({k}, '{kind}', {'2' if text.startswith('  ') else '0' if kind == 'item' else 'NULL'}, {sql.text_literal(text)})" for k, (kind, text) in enumerate(zip(kinds, texts), 3))
+    return f"(VALUES {rows}) AS m(n, kind, level, text)"
+
+
+@query(f"""WITH {_TURNS}, b AS (SELECT conv_id, turn, 1 AS n, 'heading' AS kind, 2 AS level, '## Head ' || turn AS text FROM c
+UNION ALL SELECT conv_id, turn, 2, 'paragraph', NULL, x FROM c WHERE x <> ''
+UNION ALL SELECT conv_id, turn, m.n, m.kind, m.level, m.text FROM c, {_rows_of(_KINDS, _MARKED)})
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY n) AS INTEGER) AS n, kind, CAST(level AS INTEGER) AS level, text FROM b""")
+def t12_block_kinds(t: Tables) -> DataFrame:
+    """Kinds, levels and borders of blocks of every kind."""
+    made = R.markdown_blocks(_marked(t), _KEYS)
+    return made.select(*_KEYS, F.row_number().over(Window.partitionBy(*_KEYS).orderBy("block")).alias("n"), "kind", "level", "text")
+
+
+_CUT_ONE = f"CASE WHEN {_FIRST} = x THEN x ELSE {_FIRST} || ' …' END"
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, turn, '## Head ' || turn || CASE WHEN x = '' THEN '' ELSE chr(10) || chr(10) || {_CUT_ONE} END
+|| chr(10) || '- item a' || chr(10) || '- item b. …' || chr(10) || chr(10) || '> quoted > more' || chr(10) || chr(10) || {sql.text_literal(_MARKED[4])} || chr(10) || chr(10) || {sql.text_literal(_MARKED[5])} AS shown FROM c""")
+def r2_fold_turns_short(t: Tables) -> DataFrame:
+    """Level 3 over turns with every kind of block."""
+    return R.fold_turns(_marked(t), _KEYS, 3)
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, turn, '## Head ' || turn || CASE WHEN x = '' THEN chr(10) || '- item a' ELSE chr(10) || chr(10) || {_CUT_ONE} END AS shown FROM c""")
+def r2_fold_turns_outline(t: Tables) -> DataFrame:
+    """Level 4 over turns with every kind of block: the heading and the first sentence under it."""
+    return R.fold_turns(_marked(t), _KEYS, 4)
+
+
 _WORDS = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+(?:[''’-][\\p{{L}}\\p{{N}}_]+)*'))::DOUBLE"
 _SHARE = f"{_TURNS}, s AS (SELECT conv_id, turn, {_WORDS.format('x')} AS total, {_WORDS.format(_FIRST)} AS shown_words FROM c)"
 
