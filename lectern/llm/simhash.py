@@ -332,13 +332,15 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One row of docs for each group of near duplicates: the one with the least doc_id; all columns stay as they are.
 
     Rows with a null doc_id stay, as they cannot be named. Rows that share a doc_id but not their text are documents of
-    their own: each stays or goes with its group. Of equal doc_ids in one group the text with the least hash stays, of
-    repeated rows one. An empty table gives no rows.
+    their own: each stays or goes with its group. Of equal doc_ids in one group the text with the least hash stays; of rows
+    that share both, the one whose other columns come first as JSON. Texts are compared whole; an empty table gives no rows.
     """
     defaults = {"width": 5, "lanes": 4, "radius": RADIUS, "distinct": True, "min_similarity": 0.8}
     grouped = _grouped(docs, **(defaults | how)).where("doc_id = component_id")
     chosen = grouped.groupBy("component", "doc_id").agg(F.min("text_key").alias("text_key"))
     packed = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), _text_key())
     kept = packed.join(chosen.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_semi")
-    once = kept.groupBy("doc_id", "text_key").agg(F.first("doc").alias("doc"))
+    rest = [F.col("doc")[c].alias(c) for c in docs.columns if c != "text"]
+    order = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})
+    once = kept.groupBy("doc_id", "text_key").agg(F.min_by("doc", order).alias("doc"))
     return once.select("doc.*").unionByName(docs.where("doc_id IS NULL"))
