@@ -241,7 +241,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, n_positives: int = 5,
     its label with another vec_id. A positive's negatives are the first n_negatives rows of other labels that score between
     LEAST and MOST percent of the positive; ranks count from 1.
 
-    Candidates are dealt to chunks of about CHUNK_ROWS and shuffled once, for both passes; anchors are blocks of about
+    Candidates are shuffled for repeated rows and to chunks of about CHUNK_ROWS, which serve both passes; anchors are blocks of about
     BLOCK_ANCHORS, broadcast BROADCAST_BYTES at a time. Each chunk gives an anchor's few best, which are merged. Rows with a null
     vec_id, label or vector, an empty vector or a null or non-finite component take no part; vectors of another length than an
     anchor's are not compared. Rows that are equal in vec_id, label and vector count once; rows that share a vec_id only are rows
