@@ -322,3 +322,26 @@ SELECT first_day, last_day, CASE WHEN first_day = last_day THEN first_day::VARCH
 def n11_gap_ranges(t: Tables) -> DataFrame:
     """Notes of some days of each week of a month: runs of days, single days, gaps."""
     return notes.day_ranges(d.notes(t).where(_KEPT_DAYS))
+
+
+@query(f"""WITH {sql.UNITS}, e AS (SELECT doc_id, pos, pos % 3 = 0 AS edited FROM units)
+SELECT doc_id, 'n' || pos AS note_id, 'v' || pos AS unit_id, CASE WHEN edited THEN CAST(length(pos || '> now alpha betaa, gamma ') AS INTEGER) END AS start,
+CASE WHEN edited THEN 'found' ELSE 'kept' END AS state FROM e""")
+def v5_context_notes(t: Tables) -> DataFrame:
+    """A note on a word that every 20th line has twice: its contexts tell which one, the edited unit tells the line."""
+    word = F.concat(F.lit("beta"), F.char(F.col("pos") % 20 + 97))
+    said = lambda begin: F.concat("pos", F.lit(begin), F.lit("alpha "), word, F.lit(", gamma "), word, F.lit("; end"))
+    old = d.units(t).withColumn("text", said("> "))
+    new = old.withColumns({"text": F.when(F.col("pos") % 3 == 0, said("> now ")).otherwise(F.col("text")), "unit_id": F.concat(F.lit("v"), "pos")})
+    n = old.select("doc_id", F.concat(F.lit("n"), "pos").alias("note_id"), "unit_id", word.alias("exact"), F.lit("gamma ").alias("prefix"), F.lit("; end").alias("suffix"))
+    return revisions.reanchor(n, new, revisions.align_units(old, new)).select("doc_id", "note_id", "unit_id", "start", "state")
+
+
+@query(f"""WITH {sql.UNITS} SELECT doc_id, pos, CAST(k + 2 AS INTEGER) AS line_tok, CAST(k + pos % 2 AS INTEGER) AS source_tok FROM units, (SELECT unnest([0, 1, 2]) AS k)""")
+def f5_reordered_words(t: Tables) -> DataFrame:
+    """Lines that put the end of their source first: the longer run that keeps its order is aligned."""
+    word = lambda c: F.concat(F.lit(c), "pos", F.lit(" "))
+    first, last = [word(c) for c in "abc"], [word(c) for c in "xy"]
+    lead = F.when(F.col("pos") % 2 == 1, word("q")).otherwise(F.lit(""))
+    made = d.units(t).select("doc_id", "pos", F.concat(*last, *first).alias("line"), F.concat(lead, *first, *last).alias("source"))
+    return structure.align_words(made)
