@@ -1,20 +1,23 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The byte-level BPE tokenizer is compiled to two parts. The boundary machine, a deterministic transducer, reads code-point
-classes and says where a pre-token begins; its transitions carry the offsets of the boundaries they decide. A text is cut
-into chunks of equal length. Every chunk is run from the start state, and from each other state only until both runs meet,
-which gives the chunk's map from entry state to exit state. A prefix scan composes the maps, which fixes each chunk's entry
-state and with it all boundaries.
-
-The number of tokens that a finished pre-token emits is not on transitions: a transducer over all pre-tokens has no bound, as
-merges look at the whole pre-token. The Lexicon gives it: a table from pre-token to count, filled by the merge rules when a
-pre-token is met for the first time and emptied when full. A chunk's count is the sum of its pre-tokens' counts.
+The byte-level BPE tokenizer is compiled to two transducers. The boundary machine reads code-point classes and says where a
+pre-token begins; its transitions carry the offsets of the boundaries they decide. A text is cut into chunks of equal length.
+Every chunk is run from the start state, and from each other state only until both runs meet, which gives the chunk's map
+from entry state to exit state. A prefix scan composes the maps, which fixes each chunk's entry state and with it all
+boundaries.
+
+The token machine reads the bytes of one pre-token. Its state behind a prefix is the last token of that prefix's encoding.
+A transition reads one more token and emits one; it exists if the merge rules, applied to the two tokens' bytes together,
+leave both as they are. Rules that build each token once, from tokens built before, make this exact: a row of tokens is an
+encoding if all its neighbours are, and a prefix has one encoding, so one transition alone enters each place. No merge is
+replayed, and a pre-token of any length takes a number of steps that is linear in its length. Whole pre-tokens are the
+machine's paths from the start state; the Lexicon remembers their counts.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +29,10 @@ from pyspark.sql import DataFrame
 CHUNK = 512
 #: Code points that are tokenized at a time; bounds a worker's memory.
 BLOCK = 1 << 20
-#: Pre-tokens whose counts a worker remembers.
+#: Pre-tokens, and transitions, that a worker remembers.
 REMEMBERED = 400_000
+#: Code points beyond which a pre-token is not remembered.
+LONG = 256
 
 # Classes of code points. Letters that end a contraction have their own.
 LETTER, NUMBER, OTHER, SPACE, WHITE, APOSTROPHE = range(6)
@@ -172,62 +177,103 @@ def _scan(exits: np.ndarray) -> np.ndarray:
     return np.concatenate([[START], maps[START, :-1]]).astype(np.uint8)
 
 
+class TokenMachine:
+    """Transducer over the bytes of a pre-token: states are tokens, each transition emits one token.
+
+    Tokens are numbered: bytes by their value, merged ones by 256 + rank. A token that the rules never leave whole has no
+    transition into it.
+    """
+
+    def __init__(self, merges: list, to_bytes: dict[str, int]):
+        parts = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        known = dict(to_bytes)
+        self.left, self.right = list(range(256)), list(range(256))
+        #: Rank of the rule that builds a token of two others.
+        self.ranks: dict[tuple[int, int], int] = {}
+        spelled = [bytes([b]) for b in range(256)]
+        for r, (a, b) in enumerate(parts):
+            if a not in known or b not in known or a + b in known:
+                raise ValueError(f"merge {r} must build a new token from tokens built before")
+            x, y = known[a], known[b]
+            known[a + b] = 256 + r
+            self.ranks[x, y] = r
+            self.left.append(x)
+            self.right.append(y)
+            spelled.append(spelled[x] + spelled[y])
+        whole = [True] * 256
+        for r, (x, y) in enumerate(zip(self.left[256:], self.right[256:])):
+            whole.append(whole[x] and whole[y] and self.stay(x, y, r, r - 1))
+        #: Transitions that were asked for: state and token to whether there is one.
+        self.seen: dict[int, bool] = {}
+        # Tokens by their bytes, as a tree: (node, byte) to node, and the token that ends at a node.
+        self.step: dict[int, int] = {}
+        self.token = [-1]
+        for t, data in enumerate(spelled):
+            node = 0
+            for c in data:
+                to = self.step.get(node << 8 | c)
+                if to is None:
+                    to = self.step[node << 8 | c] = len(self.token)
+                    self.token.append(-1)
+                node = to
+            if whole[t]:
+                self.token[node] = t
+
+    def stay(self, x: int, y: int, x_until: int = 1 << 40, y_until: int = 1 << 40) -> bool:
+        """Whether no rule merges across the border of two tokens that are built side by side.
+
+        Goes back in time: the pair at the border is x, y from when the later of them was built until a rule takes one of
+        them into a larger token. Of equal rules the one further left is applied first.
+        """
+        left, right, rank = self.left, self.right, self.ranks.get
+        while True:
+            r = rank((x, y))
+            if r is not None and r < x_until and r <= y_until:
+                return False
+            if x > y and x > 255:
+                x_until, x = x - 256, right[x]
+            elif y > 255:
+                y_until, y = y - 256, left[y]
+            else:
+                return True
+
+    def count(self, data: bytes) -> int:
+        """Tokens that the machine emits over the bytes of one pre-token."""
+        n, step, token, stay, known = len(data), self.step.get, self.token, self.stay, self.seen.get
+        state, emitted = array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
+        for i in range(n):
+            node, last, out = 0, state[i], emitted[i] + 1
+            for j in range(i, n):
+                node = step(node << 8 | data[j])
+                if node is None:
+                    break
+                t = token[node]
+                if t >= 0 and state[j + 1] < 0:
+                    if i and (may := known(last << 32 | t)) is None:
+                        if len(self.seen) >= REMEMBERED:
+                            self.seen.clear()
+                        may = self.seen[last << 32 | t] = stay(last, t)
+                    if not i or may:
+                        state[j + 1], emitted[j + 1] = t, out
+        return emitted[n]
+
+
 class Lexicon(dict):
-    """Pre-token to its number of tokens: the lexical machine, extended as pre-tokens are met."""
+    """Pre-token to the number of tokens that the machine emits over it: paths from the start state that were run before."""
 
     def __init__(self, merges: list, to_bytes: dict[str, int]):
         super().__init__()
-        parts = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
-        known = {c: b for c, b in to_bytes.items()}
-        for a, b in parts:
-            known.setdefault(a + b, len(known))
-        #: (left, right) to rank, and by rank the merged part.
-        self.ranks = {(known[a], known[b]): r for r, (a, b) in enumerate(parts)}
-        self.merged = [known[a + b] for a, b in parts]
+        self.machine = TokenMachine(merges, to_bytes)
 
     def __missing__(self, pretoken: str) -> int:
+        n = self.machine.count(pretoken.encode("utf-8", "surrogatepass"))
+        if len(pretoken) > LONG:
+            return n
         if len(self) >= REMEMBERED:
             self.clear()
-        data = pretoken.encode("utf-8", "surrogatepass")
-        n = self[pretoken] = self.count(data) if len(data) <= 256 else self.count_long(data)
+        self[pretoken] = n
         return n
 
-    def count(self, data: bytes) -> int:
-        """Tokens of one pre-token: merge the neighbours of least rank, leftmost first, until none can be merged."""
-        parts, rank, none = list(data), self.ranks.get, len(self.merged)
-        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
-        while ranks and (r := min(ranks)) < none:
-            i = ranks.index(r)
-            parts[i : i + 2] = [self.merged[r]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
-        return len(parts)
-
-    def count_long(self, data: bytes) -> int:
-        """The same with a heap, for pre-tokens in which a scan for each merge would take too long."""
-        parts, rank, n = list(data), self.ranks.get, len(data)
-        after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank((a, b))) is not None]
-        heapq.heapify(heap)
-        left = n
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if j >= n or parts[i] != a or parts[j] != b:
-                continue
-            parts[i], parts[j] = self.merged[r], -1
-            left -= 1
-            after[i] = after[j]
-            if after[i] < n:
-                prior[after[i]] = i
-            for x, y in ((prior[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := rank((parts[x], parts[y]))) is not None:
-                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return left
-
 
 def byte_letters() -> dict[str, int]:
     """The printable stand-ins of byte-level BPE: printable bytes stand for themselves, the rest follow from 256."""
@@ -290,8 +336,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
 
     Counts are those of the library for a byte-level BPE file, without begin, end or added special tokens; a special
     string inside a text is its one token, as by the library's default. Null texts count as empty: no bytes, no tokens.
-    Null doc_ids, repeated rows and further columns of docs make no difference. Texts of a batch are run through the
-    boundary machine together, separated by the start state, so short texts cost no more than long ones.
+    Null doc_ids, repeated rows and further columns of docs make no difference; an empty table gives an empty table. Texts
+    of a batch are run through the boundary machine together, separated by the start state, so short texts cost no more
+    than long ones. A very long text is a block of its own, in memory some 30 bytes a code point.
     """
     classes = class_table(tokenizer_path)
 

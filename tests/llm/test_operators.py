@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import random
 import re
 import time
 import tracemalloc
@@ -292,6 +293,52 @@ def test_token_machine_on_hard_texts():
     assert (token_counts.boundaries(cut, 16) == token_counts.boundaries(cut, 1 << 14)).all()
 
 
+def merged_parts(data: bytes, ranks: dict) -> list[int]:
+    """The rule of the merges itself: of all neighbours the pair of least rank, leftmost first, until none can be merged."""
+    parts = list(data)
+    while found := [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]:
+        r, i = min(found)
+        parts[i : i + 2] = [256 + r]
+    return parts
+
+
+def test_token_machine_equals_merging():
+    rng, checked = random.Random(8), 0
+    for _ in range(150):
+        known, rules = list("abc"), []
+        for _ in range(rng.randint(0, 25)):
+            a, b = rng.choice(known), rng.choice(known)
+            if a + b not in known:
+                known.append(a + b)
+                rules.append((a, b))
+        machine = token_counts.TokenMachine(rules, token_counts.byte_letters())
+        for _ in range(30):
+            data = "".join(rng.choice("abc") for _ in range(rng.randint(0, 25))).encode()
+            parts = merged_parts(data, machine.ranks)
+            assert machine.count(data) == len(parts), (rules, data)
+            checked += len(parts) < len(data)
+        for x, y in zip(parts, parts[1:]):
+            assert machine.stay(x, y)
+    assert checked > 1000
+    with pytest.raises(ValueError):
+        token_counts.TokenMachine(["a b", "ab c", "b c", "a bc"], token_counts.byte_letters())  # abc is built twice
+    with pytest.raises(ValueError):
+        token_counts.TokenMachine(["ab c", "a b"], token_counts.byte_letters())
+
+
+def test_long_pretokens():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    t, (lexicon, special) = Tokenizer.from_file(path), token_counts._lexicon(path)
+    rng = random.Random(4)
+    texts = [c * n for c in ("a", "-", "ab", "é", "中", "=-") for n in (63, 64, 65, 1000, 20_000)]
+    texts += ["".join(rng.choice("ACGT") for _ in range(100_000)), "".join(rng.choice("etaoinshr") for _ in range(100_000))]
+    want = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.count_texts(texts, token_counts.class_table(path), lexicon, special) == want
+    assert all(len(p) <= token_counts.LONG for p in lexicon)
+
+
 # --- 5 ---
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
