@@ -84,10 +84,10 @@ def delimited_cells(text: Column, separator: Column) -> Column:
 def read_sniffed_csv(texts: DataFrame, key: str, max_rows: int = CSV_ROWS, max_columns: int = CSV_COLUMNS) -> DataFrame:
     """key, row, cells: the rows of delimited texts (key, text); row 0 is the header.
 
-    Blank rows go and empty cells at a row's end; whole floats lose their fraction, midnights their time. Rows over the
+    Blank rows go and empty cells at a row's end; whole floats lose their fraction (and a zero its sign), midnights their time. Rows over the
     limit become one row of "…": the limit is the reader's. A text's rows are made from the text alone, without a shuffle.
     """
-    plain = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"^(-?\d+)\.0+$", "$1"), r"^(\d{4}-\d{2}-\d{2})[ T]00:00(?::00)?$", "$1")
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?:-(?=0+\.))?(-?\d+)\.0+$", "$1"), r"^(\d{4}-\d{2}-\d{2})[ T]00:00(?::00)?$", "$1")
     rows = F.transform(delimited_cells(F.col("text"), sniff_separator(F.col("text"))), lambda row: F.transform(row, plain))
     width = lambda row: F.array_max(F.transform(row, lambda c, i: F.when(c != "", i + 1).otherwise(0)))
     cut = F.transform(rows, lambda row: F.slice(row, F.lit(1), F.least(width(row), F.lit(max_columns))))

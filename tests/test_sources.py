@@ -55,3 +55,9 @@ def test_packed_texts_are_read_from_their_place(spark, tmp_path):
     assert all(os.path.getsize(r.file.replace("file:", "")) == r.n for r in ends)
     sinks.write_packed(odd.where("false"), str(tmp_path / "none"))
     assert sinks.read_packed(spark, str(tmp_path / "none"), 1) == []
+
+
+def test_a_whole_negative_zero_is_zero(spark):
+    texts = spark.createDataFrame([(1, "n;v\na;-0.00\nb;-0.50\nc;-10.0\nd;0.0\ne;-0\n")], "doc_id long, text string")
+    cells = {r.cells[0]: r.cells[1] for r in readers.read_sniffed_csv(texts, "doc_id").collect()}
+    assert cells == {"n": "v", "a": "0", "b": "-0.50", "c": "-10", "d": "0", "e": "-0"}
