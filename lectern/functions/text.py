@@ -24,9 +24,10 @@ DANDAS = ("।", "॥")
 CLOSERS = (")", "]", "}", "）", "］", "｝", "】", "〕", "〉", "》", "」", "』", "”", '"', "’", "'")
 
 _ANY = rf"[\p{{L}}\p{{N}}_&&[^{CJK}{THAI}]]"
-_LETTERS = rf"{_ANY}(?:{_ANY}|\p{{M}})*"
-#: One token: a CJK character, a Thai syllable, a grouped number, Thai digits, a word, or any other character.
-TOKEN = rf"[{CJK}]|{THAI_SYLLABLE}|\d+(?:[.,]\d+)+%?|[๐-๙]+|{_LETTERS}(?:['’\-]{_LETTERS})*|[{THAI}]|\S"
+_LETTERS = rf"{_ANY}[{_ANY}\p{{M}}]*+"
+#: One token: a CJK character, a Thai syllable, a grouped number, Thai digits, a word, or any other character. What begins with
+#: an ASCII letter is a word and an ASCII mark stands alone: those come first and are read without asking the large classes.
+TOKEN = rf"[A-Za-z_][A-Za-z0-9_]*+[{_ANY}\p{{M}}]*+(?:['’\-]{_LETTERS})*+|[!-/:-@\[-\^`{{-~]|[{CJK}]|{THAI_SYLLABLE}|\d+(?:[.,]\d+)+%?|[๐-๙]+|{_LETTERS}(?:['’\-]{_LETTERS})*|[{THAI}]|\S"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
@@ -134,11 +135,15 @@ def head_size(toks: Column, n: int) -> Column:
     return F.coalesce(F.get(at, F.least(F.size(at), F.lit(n)) - 1), F.lit(0))
 
 
-def term(token: Column) -> Column:
-    """What two words must share to count as the same; empty for stop words and punctuation."""
-    w = F.regexp_replace(F.lower(token), r"[^\p{L}\p{N}_\p{M}]", "")
-    plural = (F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss")
-    return F.when(w.isin(*STOP_WORDS), F.lit("")).when(plural, F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+def terms(text: Column) -> Column:
+    """array<string>: for each token of a text what two words must share to count as the same; empty for stop words and punctuation.
+
+    Two passes, so that a word is made plain once: what stands twice in a lambda is computed twice.
+    """
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    plain_words = F.transform(found, lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\p{M}]+", ""))
+    # A plural of four letters or more loses its s, if no s is before it.
+    return F.transform(plain_words, lambda w: F.when(w.isin(*STOP_WORDS), F.lit("")).otherwise(F.regexp_replace(w, r"(?s)^(.{2,}[^s])s$", "$1")))
 
 
 def cjk_share(text: Column) -> Column:

@@ -204,7 +204,7 @@ def align_words(lines: DataFrame) -> DataFrame:
     """
     import pandas as pd
 
-    norm = lambda c: F.transform(T.tokens(F.col(c)), lambda x: T.term(x["t"]))
+    norm = lambda c: T.terms(F.col(c))
 
     def run(batches):
         for pdf in batches:
