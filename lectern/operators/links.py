@@ -33,7 +33,10 @@ def link_prompts(lines: DataFrame, most: int = 400, lead: int = 24) -> DataFrame
     ask for are max(20, n / 2), shared by size, eight at least.
     """
     w = Window.partitionBy("doc_id")
-    numbered = lines.where("takeaway <> ''").withColumns({"n": F.count(F.lit(1)).over(w), "i": F.row_number().over(w.orderBy("pos")) - 1})
+    # Lines without a takeaway go behind the windows: a filter before them would be pushed below the fold and compute it many times over.
+    has = F.col("takeaway") != ""
+    counted = lines.select("doc_id", "pos", "role", "takeaway").withColumns({"n": F.count(F.when(has, 1)).over(w), "i": F.count(F.when(has, 1)).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - 1})
+    numbered = counted.where(has)
     size = F.ceil(F.col("n") / F.ceil(F.col("n") / most))
     parts = numbered.withColumn("part", F.floor(F.col("i") / size).cast("int")).withColumn("parts", F.ceil(F.col("n") / size).cast("int"))
     head = parts.where("role = 'abstract'").withColumn("k", F.row_number().over(w.orderBy("pos"))).where(F.col("k") <= lead)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fold, links, translate
-from ..sources.tables import shared_dir
+from ..sources.tables import settle, shared_dir
 from . import derived as d
 from . import sql
 from .registry import Tables, query
@@ -110,7 +110,7 @@ def f10_fold_prompts(t: Tables) -> DataFrame:
 @query(f"WITH {sql.UNITS} SELECT DISTINCT doc_id, 's' || pos // 5 AS section_id FROM units WHERE (pos // 5) % 3 <> 0 OR doc_id % 5 = 0")
 def f11_to_ask(t: Tables) -> DataFrame:
     """Two sections of three have no kept reply, and for a fifth of the documents what was kept cannot be read."""
-    p = _prompts(t)
+    p = settle(_prompts(t).drop("prompt"))
     kept = p.where("cast(substring(section_id, 2) AS int) % 3 = 0").select("cache_key", F.when(F.col("doc_id") % 5 == 0, "cut {").otherwise("{}").alias("out"))
     store = f"replies_{uuid.uuid4().hex}"
     fold.save_replies(kept, store, f"{shared_dir(t.spark)}/{store}", buckets=16)

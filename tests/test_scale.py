@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.operators import library, search
+from lectern.functions import text as T
+from lectern.operators import fold, library, links, search, segment
 
 
 def test_a_shingle_that_all_share_makes_no_candidates(spark):
@@ -38,3 +39,30 @@ def test_deep_folders_and_long_loops(spark):
     assert all(got[f"c{k}"] == (f"c{k - 1}" if k else None, k, 5000 - k) for k in range(5000))
     assert got["below"] == ("l0", 1, 2) and got["under"] == ("below", 2, 1) and got["l0"] == (None, 0, 3)
     assert all(got[f"l{k}"] == (None, 0, 1) for k in range(1, 1000)) and got["lost"] == got["self"] == (None, 0, 1)
+
+
+def _tokenised(df):
+    """How often a plan cuts texts into tokens."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+
+
+def test_prompts_fold_each_unit_once(spark):
+    """A filter on a fold's column was pushed below it: the fold stood in the plan many times over."""
+    docs = spark.createDataFrame([(1, "One two. Three.\n...\nFour five.\nSix.\n\t\nSeven.\nEight.", "T", "text")], "doc_id long, text string, title string, kind string")
+    folded = fold.fold_local(segment.units_of(docs.select("doc_id", "text")))
+    prompts, asked = fold.fold_prompts(folded, docs), links.link_prompts(folded)
+    assert _tokenised(folded) == _tokenised(prompts) == _tokenised(asked) == 1
+    got = {r.section_id: r.prompt for r in prompts.collect()}
+    assert set(got) == {"s0", "s1"}
+    assert all("Opening: One two. ...\n" in p for p in got.values())
+    assert "Outline:\n> s0\n- s1\n" in got["s0"] and "Outline:\n- s0\n> s1\n" in got["s1"]
+    assert asked.first().prompt.split("\n") == ["[0] One two", "[1] ...", "[2] Four five", "[3] Six", "[4] Seven", "[5] Eight"]
+
+
+def test_a_word_of_any_length_is_one_token(spark):
+    """The pattern of words took a stack frame a letter."""
+    text = "é" * 300_000 + " " + "a" * 300_000 + "-" + "b́" * 10_000 + " x."
+    made = spark.createDataFrame([(text,)], "text string").select(F.transform(T.tokens(F.col("text")), lambda x: F.length(x["t"])).alias("n"), T.terms(F.lit("Uses ASS boss the C3P0s s as")).alias("terms"))
+    row = made.first()
+    assert row.n == [300_000, 320_001, 1, 1]
+    assert row.terms == ["use", "ass", "boss", "", "c3p0", "s", ""]
