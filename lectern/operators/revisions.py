@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+
 #: Candidates that an edited unit is compared with, nearest place first, and the likeness it must pass.
 NEAREST, ALIKE = 12, 0.5
 #: Units of each version that are compared in one group.
@@ -22,11 +24,32 @@ EDGE, FIT = 20, 8
 CONTEXT = 12
 
 
-def _likeness(a: str, b: str, least: float) -> float:
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    if m.real_quick_ratio() <= least or m.quick_ratio() <= least:
-        return 0.0
-    return m.ratio()
+def _shared_head(a: str, b: str) -> int:
+    """How many characters two texts have in common at their starts, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def _most_alike(text: str, others: list[str], least: float) -> int:
+    """The place of the text that is most like this one by difflib's ratio, if that is over least; the first of equals; else -1.
+
+    A ratio takes time by the product of both lengths, so it is computed only where bounds leave the answer open: it is at most
+    quick_ratio(), and at least that of the longest match alone, which is no shorter than what both begin or end with.
+    """
+    open_ = []
+    for k, other in enumerate(others):
+        m = difflib.SequenceMatcher(None, text, other, autojunk=False)
+        if m.real_quick_ratio() > least and (most := m.quick_ratio()) > least:
+            shared = max(_shared_head(text, other), _shared_head(text[::-1], other[::-1]))
+            open_.append((k, 2.0 * shared / max(1, len(text) + len(other)), most, m))
+    for k, sure, _, _ in open_:
+        if sure > least and all(j == k or (sure > most if j < k else sure >= most) for j, _, most, _ in open_):
+            return k
+    score, k = max(((m.ratio(), -k) for k, _, _, m in open_), default=(0.0, 1))
+    return -k if score > least else -1
 
 
 def by_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
@@ -97,8 +120,9 @@ def gaps(old: DataFrame, new: DataFrame) -> DataFrame:
     blocks = runs.groupBy("doc_id", "run").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count(F.lit(1)).alias("n")).drop("run")
     chain = by_group(blocks, ["doc_id"], ["i"], _chain, "doc_id long, i int, j int, n int")
     # A block is laid before the unit that it begins with, so that each unit finds the last block before it.
-    ends = [chain.select("doc_id", F.lit(k).alias("side"), F.col(m).alias("place"), F.struct(F.col(m).alias("a"), F.col(o).alias("b"), "n").alias("block")) for k, m, o in ((0, "i", "j"), (1, "j", "i"))]
-    laid = placed.unionByName(ends[0].unionByName(ends[1]), allowMissingColumns=True).repartition("doc_id")
+    ends = F.array(*[F.struct(F.lit(k).alias("side"), F.col(m).alias("place"), F.struct(F.col(m).alias("a"), F.col(o).alias("b"), "n").alias("block")) for k, m, o in ((0, "i", "j"), (1, "j", "i"))])
+    begun = chain.select("doc_id", F.explode(ends).alias("e")).select("doc_id", "e.*")
+    laid = placed.unionByName(begun, allowMissingColumns=True).repartition("doc_id")
     upto = Window.partitionBy("doc_id", "side").orderBy("place", F.col("block").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last("block", ignorenulls=True).over(upto)
     found = laid.withColumns({"_last": last, "gap": F.count("block").over(upto)}).where("block IS NULL").drop("block")
@@ -156,22 +180,24 @@ def align_units(old: DataFrame, new: DataFrame) -> DataFrame:
                     rows.append((doc, ia[i], ib[j1 + i - i1], "same", base + j1 + i - i1))
                     continue
                 near = sorted(free, key=lambda j: (abs(j - j1 - i + i1), j))[:NEAREST]
-                scored = [(_likeness(ta[i], tb[j], ALIKE), -k, j) for k, j in enumerate(near)]
-                score, _, j = max(scored, default=(0.0, 0, -1))
-                if score > ALIKE:
+                best = _most_alike(ta[i], [tb[j] for j in near], ALIKE)
+                if best >= 0:
+                    j = near[best]
                     free.pop(j)
                     rows.append((doc, ia[i], ib[j], "near", base + j1))
                 else:
                     rows.append((doc, ia[i], None, None, base + j1))
         return rows
 
-    cut = gaps(old, new)
+    # Read three times below, so it is made once; only units that are compared keep their texts.
+    compare = F.expr("NOT stays AND n_old > 0 AND n_new > 0")
+    cut = settle(gaps(old, new).withColumn("text", F.when(compare, F.col("text"))))
     key = F.when(F.col("side") == 1, F.col("place")).otherwise(F.col("other")).alias("at")
     sides = [F.max(F.when(F.col("side") == k, F.col("unit_id"))).alias(c) for k, c in ((0, "old_id"), (1, "new_id"))]
     same = cut.where("stays").groupBy("doc_id", key).agg(*sides).select("doc_id", "old_id", "new_id", F.lit("same").alias("kind"), "at")
     none = F.lit(None).cast("string")
     gone = cut.where("NOT stays AND side = 0 AND n_new = 0").select("doc_id", F.col("unit_id").alias("old_id"), none.alias("new_id"), none.alias("kind"), F.col("base").alias("at"))
-    open_ = cut.where("NOT stays AND n_old > 0 AND n_new > 0").select("doc_id", "gap", "part", "side", "pos", "unit_id", "text", "base")
+    open_ = cut.where(compare).select("doc_id", "gap", "part", "side", "pos", "unit_id", "text", "base")
     compared = by_group(open_, ["doc_id", "gap", "part"], ["side", "pos"], align, "doc_id long, old_id string, new_id string, kind string, at int")
     return same.unionByName(compared).unionByName(gone)
 
@@ -183,7 +209,7 @@ def carry_ids(old: DataFrame, new: DataFrame, alignment: DataFrame) -> DataFrame
     a new one whose id an old one has takes the next free number. A section takes the id of the old one that most of its
     units come from, one to one, larger votes first, then the section listed first.
     """
-    paired = alignment.where("new_id IS NOT NULL").select("doc_id", "old_id", "new_id")
+    paired = settle(alignment.where("new_id IS NOT NULL").select("doc_id", "old_id", "new_id"))
     nth = lambda key: F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(key))
     digest = F.sha2("text", 256).alias("h")
     gone = old.join(paired.select("doc_id", F.col("old_id").alias("unit_id")), ["doc_id", "unit_id"], "left_anti").select("doc_id", F.col("unit_id").alias("old_id"), "pos", digest).withColumn("k", nth("pos"))
@@ -197,19 +223,21 @@ def carry_ids(old: DataFrame, new: DataFrame, alignment: DataFrame) -> DataFrame
     clash = F.col("old_id").isNull() & F.col("used").isNotNull()
     n = F.sum(clash.cast("int")).over(Window.partitionBy("doc_id").orderBy("pos"))
     named = fresh.withColumn("unit_id", F.coalesce("old_id", F.when(clash, F.concat(F.regexp_extract("new_id", r"^(\D+)", 1), (F.col("top") + n).cast("string"))).otherwise(F.col("new_id"))))
+    named = settle(named.select("doc_id", "section_id", "new_id", "old_id", "unit_id"))
     votes = named.where("old_id IS NOT NULL").join(old.select("doc_id", F.col("unit_id").alias("old_id"), F.col("section_id").alias("old_section")), ["doc_id", "old_id"])
     votes = votes.groupBy("doc_id", "section_id", "old_section").agg(F.count(F.lit(1)).alias("n"))
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(rows: list[tuple]) -> list[tuple]:
         out, new_taken, old_taken = [], set(), set()
-        for s, o in pdf.sort_values(["n", "section_id", "old_section"], ascending=[False, True, True])[["section_id", "old_section"]].itertuples(index=False):
+        for doc, _, s, o in rows:
             if s not in new_taken and o not in old_taken:
-                out.append((pdf["doc_id"].iloc[0], s, o))
+                out.append((doc, s, o))
                 new_taken.add(s)
                 old_taken.add(o)
-        return pd.DataFrame(out, columns=["doc_id", "section_id", "kept_section"])
+        return out
 
-    sections = votes.groupBy("doc_id").applyInPandas(choose, "doc_id long, section_id string, kept_section string")
+    ranked = votes.select("doc_id", (-F.col("n")).alias("k"), "section_id", "old_section")
+    sections = by_group(ranked, ["doc_id"], ["k", "section_id", "old_section"], choose, "doc_id long, section_id string, kept_section string")
     return named.join(sections, ["doc_id", "section_id"], "left").select("doc_id", "new_id", "unit_id", "section_id", "kept_section")
 
 
@@ -247,7 +275,11 @@ def _shared_end(a: Column, b: Column) -> Column:
     return _shared_start(F.reverse(a), F.reverse(b))
 
 
-def _shared_start(a: Column, b: Column, most: int = 40) -> Column:
+#: Characters of context that are compared at most.
+_SHARED = 40
+
+
+def _shared_start(a: Column, b: Column, most: int = _SHARED) -> Column:
     same = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: (F.length(a) >= i) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
     return F.size(F.filter(same, lambda x: x))
 
@@ -263,24 +295,33 @@ def reanchor(notes: DataFrame, new: DataFrame, alignment: DataFrame) -> DataFram
     document only.
     """
     a = alignment.select("doc_id", F.col("old_id").alias("unit_id"), "new_id", "kind", "at")
-    n = notes.join(a, ["doc_id", "unit_id"], "left")
+    # Notes with their place in the alignment, hits and what is found are each read several times, so they are made once.
+    n = settle(notes.join(a, ["doc_id", "unit_id"], "left"))
     kept = n.where("kind = 'same'").select("doc_id", "note_id", F.col("new_id").alias("unit_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit("kept").alias("state"))
     rest = n.where("kind IS NULL OR kind <> 'same'").drop("unit_id")
     cand = rest.where("trim(exact) <> ''").join(new.select("doc_id", F.col("unit_id").alias("u"), "pos", "text"), "doc_id").where("contains(text, exact)")
-    # Overlapping places count: every start at which the words stand.
-    starts = F.filter(F.sequence(F.lit(1), F.length("text") - F.length("exact") + 1), lambda i: F.substring(F.col("text"), i, F.length("exact")) == F.col("exact"))
-    hit = cand.withColumn("i", F.explode(starts)).withColumn("i", F.col("i") - 1)
-    before, after = F.substring(F.col("text"), F.lit(1), F.col("i")), F.substring(F.col("text"), F.col("i") + F.length("exact") + 1, F.length("text"))
+    # Overlapping places count: the text is cut before every start at which the words stand, in one pass.
+    ahead = F.concat(F.lit("(?=\\Q"), F.replace("exact", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    begun = F.aggregate(
+        F.split("text", ahead), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"],
+    )
+    # The first part begins the text; it is a start only if the words stand there.
+    starts = F.when(F.startswith("text", "exact"), F.col("begun")).otherwise(F.slice("begun", F.lit(2), F.size("begun")))
+    hit = cand.withColumn("begun", begun).withColumn("i", F.explode(starts)).drop("begun")
+    after = F.substring(F.col("text"), F.col("i") + F.length("exact") + 1, F.lit(_SHARED))
+    before = F.substring(F.col("text"), F.greatest(F.col("i") - _SHARED + 1, F.lit(1)), F.least(F.col("i"), F.lit(_SHARED)))
     fit = F.when(F.col("prefix") != "", _shared_end(before, F.col("prefix"))).otherwise(F.when(F.col("i") == 0, EDGE).otherwise(0)) + F.when(
         F.col("suffix") != "", _shared_start(after, F.col("suffix"))
     ).otherwise(F.when(after == "", EDGE).otherwise(0))
     near = F.coalesce(F.col("u") == F.col("new_id"), F.lit(False))
     w = Window.partitionBy("doc_id", "note_id")
-    scored = hit.withColumns({"fit": fit, "near": near, "far": F.abs(F.col("pos") - F.coalesce("at", F.lit(0)))})
-    scored = scored.withColumns({"k": F.row_number().over(w.orderBy(F.desc("fit"), F.desc("near"), "far", "pos", "i")), "hits": F.count(F.lit(1)).over(w)})
-    found = scored.where("k = 1 AND (hits = 1 OR fit >= %d OR near)" % FIT).select("doc_id", "note_id", F.col("u").alias("unit_id"), F.col("i").alias("start"), F.length("exact").alias("size"), F.lit("found").alias("state"))
+    hit = hit.withColumns({"fit": fit, "near": near, "far": F.abs(F.col("pos") - F.coalesce("at", F.lit(0))), "size": F.length("exact")})
+    hit = settle(hit.select("doc_id", "note_id", "u", "pos", "i", "size", "fit", "near", "far"))
+    scored = hit.withColumns({"k": F.row_number().over(w.orderBy(F.desc("fit"), F.desc("near"), "far", "pos", "i")), "hits": F.count(F.lit(1)).over(w)})
+    found = scored.where("k = 1 AND (hits = 1 OR fit >= %d OR near)" % FIT).select("doc_id", "note_id", F.col("u").alias("unit_id"), F.col("i").alias("start"), "size", F.lit("found").alias("state"))
     gone = rest.where("trim(exact) <> ''").join(hit.select("doc_id", "note_id").distinct(), ["doc_id", "note_id"], "left_anti")
-    found = found.unionByName(_between(gone, new))
+    found = settle(found.unionByName(_between(gone, new)))
     lost = rest.join(found, ["doc_id", "note_id"], "left_anti").select("doc_id", "note_id", F.col("new_id").alias("unit_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("size"), F.lit("lost").alias("state"))
     return kept.unionByName(found).unionByName(lost)
 
@@ -308,7 +349,7 @@ def section_target(asked: DataFrame, old: DataFrame, new: DataFrame, alignment:
     """asked (doc_id, section_id) with target: the section itself if it is still there, else where most of its units are,
     else the one before its place, else the first. An as-of lookup by place."""
     there = new.select("doc_id", "section_id").distinct().withColumn("_here", F.lit(True))
-    was = old.select("doc_id", "section_id", F.col("unit_id").alias("old_id")).join(alignment, ["doc_id", "old_id"])
+    was = settle(old.select("doc_id", "section_id", F.col("unit_id").alias("old_id")).join(alignment, ["doc_id", "old_id"]))
     now = new.select("doc_id", F.col("unit_id").alias("new_id"), F.col("section_id").alias("s"), "pos")
     votes = was.join(now, ["doc_id", "new_id"]).groupBy("doc_id", "section_id", "s").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p"))
     most = votes.groupBy("doc_id", "section_id").agg(F.max_by("s", F.struct("n", -F.col("p"))).alias("most"))

@@ -6,6 +6,7 @@ import difflib
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import revisions
@@ -102,3 +103,34 @@ def test_a_document_of_a_hundred_thousand_units(spark):
     counts = {r.kind: r.n for r in got.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts["same"] == n - 6000 - 500 - 94 + 0 and counts["near"] >= 94 and sum(counts.values()) == n
     assert got.where("kind = 'same' AND substring(old_id, 2) <> substring(new_id, 2)").count() == 0
+
+
+def test_most_alike_equals_every_ratio():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab c") for _ in range(rng.randint(0, n)))
+    for _ in range(3000):
+        text = word(12)
+        others = [rng.choice([word(12), text + word(4), word(4) + text, text[:6] + word(6) + text[6:], text]) for _ in range(rng.randint(0, 4))]
+        scores = [difflib.SequenceMatcher(None, text, o, autojunk=False).ratio() for o in others]
+        want = scores.index(max(scores)) if max(scores, default=0.0) > 0.5 else -1
+        assert revisions._most_alike(text, others, 0.5) == want, (text, others)
+
+
+def test_long_edited_lines_need_no_ratio(spark, monkeypatch):
+    """Lines of 40,000 characters, edited at an end: their ratio is quadratic in Python (minutes a line) and not needed."""
+    rng = random.Random(4)
+    long = ["".join(rng.choice("abcdefg h") for _ in range(40_000)) for _ in range(2)]
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: pytest.fail("a ratio was computed"))
+    assert revisions._most_alike(long[0], [long[0] + " revised", "x" * 40_000], 0.5) == 0
+    assert revisions._most_alike(long[0], ["short", "put before " + long[0]], 0.5) == 1
+
+
+def test_places_of_a_note_in_a_long_line(spark):
+    """Every start of the words is asked, overlapping ones too, where they stand at the text's start, and with a pattern's marks in them."""
+    line = "w " * 60_000
+    rows = [("aXaXa tail end", "aXa", "aX", " tail end", 2), (line + r"\Ea.\Q (end)", r"\Ea.\Q", "", " (end)", 120_000), ("begin it all", "begin", "", " it", 0)]
+    old = spark.createDataFrame([(k, 0, "u0", "gone") for k in range(len(rows))], "doc_id long, pos int, unit_id string, text string")
+    new = spark.createDataFrame([(k, 0, "v0", r[0]) for k, r in enumerate(rows)], old.schema)
+    notes = spark.createDataFrame([(k, "n", "u0", *r[1:4]) for k, r in enumerate(rows)], "doc_id long, note_id string, unit_id string, exact string, prefix string, suffix string")
+    got = {r.doc_id: (r.start, r.size, r.state) for r in revisions.reanchor(notes, new, revisions.align_units(old, new)).collect()}
+    assert got == {k: (r[4], len(r[1]), "found") for k, r in enumerate(rows)}
