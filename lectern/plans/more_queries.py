@@ -291,10 +291,7 @@ def s10_packed_markdown(t: Tables) -> DataFrame:
     """Documents at their takeaway level in packed files; every text is cut from its file by its place."""
     where = f"{shared_dir(t.spark)}/packed-{uuid.uuid4().hex}"
     sinks.write_markdown(fold.local_levels(d.units(t)), "takeaway", where)
-    places = t.spark.read.parquet(f"{where}/index")
-    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{where}/texts").select(F.col("path").alias("file"), "content")
-    text = F.expr("substring(content, CAST(offset + 1 AS INT), CAST(size AS INT))")
-    return places.join(files, "file").select("doc_id", "size", F.md5(text).alias("digest"))
+    return sinks.unpack(t.spark, where).select("doc_id", "size", F.md5("text").alias("digest"))
 
 
 # --- Batches, days ----------------------------------------------------------------------------------------------------

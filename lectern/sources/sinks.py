@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fold import document_at
 from ..operators.library import latest_layers
+from .tables import drop_settled, settle
 
 
 def doc_json(levels: DataFrame, docs: DataFrame, edges: DataFrame | None = None, model: str = "") -> DataFrame:
@@ -45,7 +46,8 @@ def write_packed(texts: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
     bytes. The number of files follows the bytes, not the texts. Null texts are empty; repeated rows are written as often.
     """
     spark = texts.sparkSession
-    given = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # The texts are read for their sum, their files and their places: what makes them runs once.
+    given = settle(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     total = given.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
     dealt = given.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
@@ -58,6 +60,25 @@ def write_packed(texts: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) ->
     placed = dealt.select("doc_id", "shard", size.alias("size"), F.coalesce(F.sum(size + 1).over(before), F.lit(0)).alias("offset"))
     named = placed.join(F.broadcast(spark.createDataFrame(found, "shard int, file string")), "shard") if found else placed.withColumn("file", F.lit(""))
     named.select("doc_id", "file", "offset", "size").write.parquet(f"{path}/index")
+    drop_settled(given)
+
+
+def unpack(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, offset, size, text of every text of a packed folder, put together from the lines that lie from its place on.
+
+    Files are read line by line, so that no row holds a file: cut out of a row with the whole file, each text would copy it all.
+    """
+    shard = F.regexp_extract("file", r"shard=(\d+)/", 1).cast("int").alias("shard")
+    places = spark.read.parquet(f"{path}/index").select(shard, F.col("offset").alias("at"), F.struct("doc_id", "offset", "size").alias("place"))
+    # The order of lines inside a file: that of its splits, then that of their rows.
+    order = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("k")).alias("k")
+    read = spark.read.schema("value string, shard int").option("lineSep", "\n").text(f"{path}/texts").select("shard", order, "value")
+    before = Window.partitionBy("shard").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    lines = read.select("shard", F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0)).alias("at"), "value")
+    upto = Window.partitionBy("shard").orderBy("at", F.col("place").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    laid = lines.unionByName(places, allowMissingColumns=True).withColumn("of", F.last("place", ignorenulls=True).over(upto)).where("place IS NULL")
+    whole = F.array_join(F.array_sort(F.collect_list(F.struct("at", "value"))).getField("value"), "\n")
+    return laid.groupBy("shard", "of").agg(whole.alias("text")).select("of.doc_id", "of.offset", "of.size", "text")
 
 
 def read_packed(spark: SparkSession, path: str, doc_id: int) -> list[str]:

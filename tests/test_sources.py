@@ -61,3 +61,11 @@ def test_a_whole_negative_zero_is_zero(spark):
     texts = spark.createDataFrame([(1, "n;v\na;-0.00\nb;-0.50\nc;-10.0\nd;0.0\ne;-0\n")], "doc_id long, text string")
     cells = {r.cells[0]: r.cells[1] for r in readers.read_sniffed_csv(texts, "doc_id").collect()}
     assert cells == {"n": "v", "a": "0", "b": "-0.50", "c": "-10", "d": "0", "e": "-0"}
+
+
+def test_a_packed_folder_is_unpacked_whole(spark, tmp_path):
+    rows = [(k, f"é{k}\r\n\n" * (k % 4) + "x" * (k % 3)) for k in range(300)] + [(7, "again"), (7, "again"), (900, None), (901, "\n")]
+    sinks.write_packed(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "p"), shard_bytes=500)
+    got = sorted((r.doc_id, r.text) for r in sinks.unpack(spark, str(tmp_path / "p")).collect())
+    assert got == sorted((k, text or "") for k, text in rows)
+    assert all(r.size == len(r.text.encode()) for r in sinks.unpack(spark, str(tmp_path / "p")).collect())
