@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -133,18 +136,98 @@ def read_bibliography(items: DataFrame, column: str = "json") -> DataFrame:
     return v.select(get("$.key").alias("key"), get("$.data.title").alias("title"), authors.alias("authors"), year.alias("year"), cite.alias("citekey"), F.coalesce(*fields, repo).alias("arxiv"))
 
 
+class _ArticleMeta:
+    """What an article's JATS XML says of it, gathered while it is parsed once: the strings of the elements that were asked for."""
+
+    DATE = ("year", "month", "day")
+    NAME = ("given-names", "surname")
+    ASKED = frozenset(("article-meta", "article-title", "article-id", "contrib", "name", "pub-date", *DATE, *NAME))
+
+    def __init__(self) -> None:
+        self.above: list[str] = []
+        self.metas = 0  # open article-meta elements
+        self.author = 0  # depth of an author's contrib that is open, 0 for none
+        self.held: list[tuple[int, list[str], bool]] = []  # (depth, text so far, text of the element alone)
+        self.title: list[str] | None = None
+        self.doi: list[str] | None = None
+        self.names: list[dict[str, list[str]]] = []
+        self.dates = 0
+        self.date: dict[str, list[str]] = {}
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        self.above.append(tag)
+        if tag in self.ASKED and (self.metas or tag == "article-meta"):
+            self.enter(tag, attrs, len(self.above), self.above[-2] if len(self.above) > 1 else "")
+
+    def enter(self, tag: str, attrs: dict[str, str], depth: int, up: str) -> None:
+        text: list[str] | None = None
+        if tag == "article-meta":
+            self.metas += 1
+        elif tag == "article-title" and self.title is None:
+            text = self.title = []
+        elif tag == "article-id" and up == "article-meta" and self.doi is None and attrs.get("pub-id-type") == "doi":
+            text = self.doi = []
+        elif tag == "contrib" and attrs.get("contrib-type") == "author":
+            self.author = depth
+        elif tag == "name" and self.author and depth == self.author + 1:
+            self.names.append({})
+        elif tag in self.NAME and up == "name" and self.author and depth == self.author + 2 and tag not in self.names[-1]:
+            text = self.names[-1][tag] = []
+        elif tag == "pub-date" and up == "article-meta":
+            self.dates += 1
+        elif tag in self.DATE and self.dates == 1 and self.above[-3:-1] == ["article-meta", "pub-date"] and tag not in self.date:
+            text = self.date[tag] = []
+        if text is not None:
+            self.held.append((depth, text, tag in self.NAME))
+            self.parser.CharacterDataHandler = self.data
+
+    def data(self, text: str) -> None:
+        for depth, held, alone in self.held:
+            if not alone or depth == len(self.above):
+                held.append(text)
+
+    def end(self, tag: str) -> None:
+        if tag in self.ASKED:
+            depth = len(self.above)
+            if self.held and self.held[-1][0] == depth:
+                self.held.pop()
+                if not self.held:
+                    self.parser.CharacterDataHandler = None
+            if self.author == depth:
+                self.author = 0
+            if tag == "article-meta":
+                self.metas -= 1
+        self.above.pop()
+
+    def read(self, xml: str) -> dict:
+        parser = self.parser = expat.ParserCreate()
+        parser.StartElementHandler, parser.EndElementHandler, parser.buffer_text = self.start, self.end, True
+        parser.Parse(xml, True)
+        del self.parser  # it holds this object
+        whole = lambda x: "".join(x or ())
+        names = [" ".join(filter(None, (whole(n.get("given-names")), whole(n.get("surname"))))) for n in self.names]
+        return {"title": whole(self.title), "authors": [n for n in names if n], "doi": whole(self.doi), **{p: whole(self.date.get(p)) for p in self.DATE}}
+
+
 def read_jats_meta(articles: DataFrame, column: str = "xml") -> DataFrame:
-    """articles with title, authors, doi, date (zero-padded), license (a CC link) from JATS XML."""
-    x = F.regexp_replace(column, r"(?s)<!DOCTYPE.*?>", "")
-    path = lambda p: F.xpath_string(x, F.lit(p))
-    names = F.zip_with(
-        F.xpath(x, F.lit("//article-meta//contrib[@contrib-type='author']/name/given-names/text()")),
-        F.xpath(x, F.lit("//article-meta//contrib[@contrib-type='author']/name/surname/text()")), lambda g, s: F.concat_ws(" ", g, s),
-    )
-    day = [F.lpad(path(f"(//article-meta/pub-date)[1]/{p}"), n, "0") for p, n in (("year", 4), ("month", 2), ("day", 2))]
+    """articles with title, authors, doi, date (zero-padded), license (a CC link) from JATS XML.
+
+    Each article is parsed once; an XPath expression would parse it again for each value. An author is the given names and the surname
+    of one name, so one who has only a surname takes nobody else's given names. XML that is not well formed is an error.
+    """
+    fields = ("title", "authors", "doi", *_ArticleMeta.DATE)
+
+    @F.arrow_udf(", ".join(f"{n} {'array<string>' if n == 'authors' else 'string'}" for n in fields))
+    def article_meta(xml: pa.Array) -> pa.Array:
+        kind = pa.struct([(n, pa.list_(pa.string()) if n == "authors" else pa.string()) for n in fields])
+        return pa.array((_ArticleMeta().read(x.as_py()) if x.is_valid else None for x in xml), kind)
+
+    bare = F.regexp_replace(column, r"(?s)<!DOCTYPE.*?>|\A\s*<\?xml\s.*?\?>", "")
+    day = [F.lpad(F.col(f"_meta.{p}"), n, "0") for p, n in zip(_ArticleMeta.DATE, (4, 2, 2))]
     date = F.array_join(F.filter(F.array(*[F.nullif(F.nullif(p, F.lit("00")), F.lit("0000")) for p in day]), lambda p: p.isNotNull()), "-")
     lic = F.regexp_extract(column, r"(https?://creativecommons\.org/[^\"'<\s]+)", 1)
-    return articles.select("*", F.trim(path("//article-meta//article-title")).alias("title"), names.alias("authors"), path("//article-meta/article-id[@pub-id-type='doi']").alias("doi"), date.alias("date"), lic.alias("license"))
+    made = articles.withColumn("_meta", article_meta(bare))
+    return made.select(*articles.columns, F.trim("_meta.title").alias("title"), F.col("_meta.authors").alias("authors"), F.col("_meta.doi").alias("doi"), date.alias("date"), lic.alias("license"))
 
 
 def read_page_markdown(pages: DataFrame) -> DataFrame:

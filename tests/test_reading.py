@@ -371,6 +371,27 @@ def test_readers(spark, tmp_path):
     assert (j.title, j.authors, j.doi, j.date) == ("On it", ["Ann Lee"], "10.1/x", "2020-03")
 
 
+def test_article_xml_is_parsed_once(spark):
+    """Each of nine paths parsed the article again, and given names and surnames were paired by place."""
+    meta = lambda b: f"<?xml version='1.0' encoding='ISO-8859-1'?><!DOCTYPE article PUBLIC 'x' 'y'><article><front><article-meta>{b}</article-meta></front><body><article-title>no</article-title></body></article>"
+    name = lambda kind, x: f"<contrib contrib-type='{kind}'><name>{x}</name></contrib>"
+    people = name("author", "<surname>Only</surname>") + name("editor", "<surname>E</surname>") + name("author", "<surname>T<!-- c -->U<sup>1</sup></surname><given-names>H</given-names>") + name("author", "")
+    rows = [
+        (0, None), (1, "<a/>"), (2, meta("<article-title> A <i>b</i> &amp; <![CDATA[<c]]> é𝒳</article-title><t><article-title>two</article-title></t>")),
+        (3, meta("<article-id pub-id-type='pmc'>9</article-id><article-id pub-id-type='doi'>10.1/x</article-id><article-id pub-id-type='doi'>10.1/y</article-id>")),
+        (4, meta("<pub-date><day>7</day><month>00</month></pub-date><pub-date><year>2025</year></pub-date>")), (5, meta(people)),
+        (6, meta("<pub-date><year>0000</year><month>0</month><day>12</day></pub-date><l xlink:href='https://creativecommons.org/licenses/by/4.0/'/>")),
+    ]
+    made = readers.read_jats_meta(spark.createDataFrame(rows, "k int, xml string"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("article_meta(") == 1 and "xpath" not in plan.lower()
+    got = [(r.title, r.authors, r.doi, r.date, r.license) for r in made.orderBy("k").collect()]
+    assert got == [
+        (None, None, None, "", None), ("", [], "", "", ""), ("A b & <c é𝒳", [], "", "", ""), ("", [], "10.1/x", "", ""), ("", [], "", "07", ""),
+        ("", ["Only", "H TU"], "", "", ""), ("", [], "", "12", "https://creativecommons.org/licenses/by/4.0/"),
+    ]
+
+
 def test_sinks(spark, tmp_path):
     u = spark.createDataFrame([(1, 0, "u0", "s0", "One. Two."), (2, 0, "u0", "s0", "Three.")], "doc_id long, pos int, unit_id string, section_id string, text string")
     lv = fold.local_levels(u)
