@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,6 +256,27 @@ class Index:
                     self.naming.setdefault(name, []).append(made)
                 stack.append((made, iter(kid[2])))
 
+    def unlink(self) -> None:
+        """Let go of the elements: they hold each other, and would stay until Python looks for such circles."""
+        for e in self.all:
+            e.up, e.kids = None, []
+
+
+#: So many pages are Python objects at once; an Arrow batch may have 10,000.
+PAGES_AT_ONCE = 16
+
+
+def _by_page(read: Callable[[dict], Iterable[tuple]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows that `read` makes of each page, for mapInArrow: a few pages at a time, so that memory follows the page and not the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                rows = [row for page in batch.slice(at, PAGES_AT_ONCE).to_pylist() for row in read(page)]
+                yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate(schema.types)], schema=schema)
+
+    return run
+
 
 def names_of(e: Element) -> list[str]:
     """The ids that an element names."""
@@ -350,19 +371,16 @@ def inline_notes(pages: DataFrame) -> DataFrame:
     go from the text with them (see sentence_notes).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf["page_id"], pdf["html"]):
-                index = Index(html)
-                found, cut = sentence_notes(index)
-                rows.append((pid, None, None, None, shown_text(index.root, cut, {})))
-                rows += [(pid, k, mark, words, None) for k, (mark, words) in enumerate(found)]
-            out = pd.DataFrame(rows, columns=["page_id", "n", "mark", "words", "html_text"])
-            out["n"] = out["n"].astype("Int32")
-            yield out
+    def read(page: dict) -> Iterator[tuple]:
+        index = Index(page["html"])
+        found, cut = sentence_notes(index)
+        yield page["page_id"], None, None, None, shown_text(index.root, cut, {})
+        yield from ((page["page_id"], k, mark, words, None) for k, (mark, words) in enumerate(found))
+        index.unlink()
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, n int, mark string, words string, html_text string")
+    text = pa.string()
+    run = _by_page(read, pa.schema([("page_id", pa.int64()), ("n", pa.int32()), ("mark", text), ("words", text), ("html_text", text)]))
+    return pages.select("page_id", "html").mapInArrow(run, "page_id long, n int, mark string, words string, html_text string")
 
 
 _SELECTOR = re.compile(r"^([a-zA-Z][\w-]*)?((?:#[\w-]+|\.[\w-]+|\[[\w-]+(?:=[\"']?[^\]\"']*[\"']?)?\])*)$")
@@ -449,17 +467,17 @@ def apply_recipes(pages: DataFrame, recipes: DataFrame) -> tuple[DataFrame, Data
             said[e.at] = f" {words} "
         cut |= taken
         text = " ".join(filter(None, (shown_text(r, cut, said) for r in roots)))
+        index.unlink()
         return text, {s: len(found) for s, found in chosen.items()}, drawn, notes
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            columns = (pdf[c] for c in ("page_id", "host", "url", "html", "article", "drop", "content", "figures", "notes"))
-            rows = [(pid, where, *read_by(url or "", *rest)) for pid, where, url, *rest in zip(*columns)]
-            out = pd.DataFrame(rows, columns=["page_id", "host", "text", "hits", "figures", "notes"])
-            out["figures"] = out["figures"].map(lambda x: [{"caption": c, "link": k} for c, k in x])
-            out["notes"] = out["notes"].map(lambda x: [{"mark": m, "words": w} for m, w in x])
-            yield out
+    def row(page: dict) -> Iterator[tuple]:
+        text, hits, drawn, notes = read_by(page["url"] or "", *(page[c] for c in ("html", "article", "drop", "content", "figures", "notes")))
+        figures = [{"caption": c, "link": k} for c, k in drawn]
+        yield page["page_id"], page["host"], text, list(hits.items()), figures, [{"mark": m, "words": w} for m, w in notes]
 
-    read = joined.select("page_id", "host", "url", "html", "article", "drop", "content", "figures", "notes").mapInPandas(run, _READ)
+    text = pa.string()
+    pairs = lambda *names: pa.list_(pa.struct([(n, text) for n in names]))
+    run = _by_page(row, pa.schema([("page_id", pa.int64()), ("host", text), ("text", text), ("hits", pa.map_(text, pa.int32())), ("figures", pairs("caption", "link")), ("notes", pairs("mark", "words"))]))
+    read = joined.select("page_id", "host", "url", "html", "article", "drop", "content", "figures", "notes").mapInArrow(run, _READ)
     counts = read.select("host", F.explode("hits").alias("selector", "n")).groupBy("host", "selector").agg(F.sum("n").alias("hits"))
     return read, counts

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import fold, library, links, search, segment
+from lectern.operators import fold, library, links, pages, search, segment
 
 
 def test_a_shingle_that_all_share_makes_no_candidates(spark):
@@ -66,3 +69,31 @@ def test_a_word_of_any_length_is_one_token(spark):
     row = made.first()
     assert row.n == [300_000, 320_001, 1, 1]
     assert row.terms == ["use", "ass", "boss", "", "c3p0", "s", ""]
+
+
+class _Frame:
+    """Hands out the function that Python workers would run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+    mapInPandas = mapInArrow
+
+
+def test_pages_are_python_objects_a_few_at_a_time():
+    """A worker held 10,000 pages as strings, and the elements of those that were read until Python looked for circles."""
+    html = "".join(f"<p>Said {k}<sup><a href='#f{k}'>{k}</a></sup><span role='doc-footnote' id='f{k}'>Foot {k}</span></p>" for k in range(150))
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(600)), "html": [html] * 600})
+    run = pages.inline_notes(_Frame())
+    gc.disable()
+    tracemalloc.start()
+    try:
+        rows = sum(len(out) for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert rows == 600 * 151 and peak < len(html) * 600 / 2
