@@ -111,8 +111,8 @@ NOTE_SCHEMA = (
 def read_notes(spark: SparkSession, path: str, formats: list[str]) -> DataFrame:
     """doc_id, note_id, kind, created, updated, anchor, text, thread of the notes files below a folder.
 
-    formats: the format names that are read. A note's single question of older files is a thread of one turn; files that
-    cannot be read, or are of another format, are skipped.
+    formats: the format names that are read. A file is a document of notes, or an array of such. A note's single question of older files is
+    a thread of one turn; files that cannot be read, and documents of another format, are skipped.
     """
     raw = spark.read.schema(NOTE_SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     files = raw.where(F.col("_bad").isNull() & F.col("format").isin(*formats))

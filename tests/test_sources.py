@@ -5,10 +5,12 @@ from __future__ import annotations
 import csv
 import glob
 import io
+import json
 import random
 
 from pyspark.sql import functions as F
 
+from lectern.plans import QUERIES
 from lectern.sources import readers, sinks
 
 
@@ -69,3 +71,16 @@ def test_a_packed_folder_is_unpacked_whole(spark, tmp_path):
     got = sorted((r.doc_id, r.text) for r in sinks.unpack(spark, str(tmp_path / "p")).collect())
     assert got == sorted((k, text or "") for k, text in rows)
     assert all(r.size == len(r.text.encode()) for r in sinks.unpack(spark, str(tmp_path / "p")).collect())
+
+
+def test_notes_of_many_documents_lie_in_one_file(spark, tmp_path):
+    """Each user was a folder with a file: what the driver does for files grew with the users."""
+    (tmp_path / "1.json").write_text(json.dumps([{"format": f, "version": 1, "paper": {"id": d}, "notes": [{"id": f"n-{d}", "text": "a\nb"}]} for d, f in (("d1", "f"), ("d2", "g"), ("d3", "f"))]))
+    (tmp_path / "2.json").write_text(json.dumps({"format": "f", "version": 1, "paper": {"id": "d4"}, "notes": [{"id": "n-d4"}]}))
+    (tmp_path / "3.json").write_text('[{"format": "f", "paper": {"id": "d5"')
+    assert sorted(r.note_id for r in readers.read_notes(spark, str(tmp_path), ["f"]).collect()) == ["n-d1", "n-d3", "n-d4"]
+    (tmp_path / "t").mkdir()
+    users = spark.range(1000).select(F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"))
+    users.write.parquet(str(tmp_path / "t" / "events.parquet"))
+    made = QUERIES["s5_read_notes"](spark, str(tmp_path / "t"))
+    assert made.count() == 900 and len(made.inputFiles()) == 5
