@@ -221,7 +221,8 @@ def x1_batch_sizes(t: Tables) -> DataFrame:
 SELECT doc_id, pos, 'de' AS lang, n AS sentences, first AS takeaway FROM c WHERE (doc_id + pos) % 7 <> 0""")
 def x2_assemble_translations(t: Tables) -> DataFrame:
     """Replies with one sentence too few or too many, and no takeaway."""
-    u = fold.fold_local(d.units(t)).select("doc_id", "pos", "sentences", "ev")
+    # Replies and units are both made of the folds: kept, so that they are made once.
+    u = settle(fold.fold_local(d.units(t)).select("doc_id", "pos", "sentences", "ev"))
     short = F.when((F.col("pos") % 2 == 0) & (F.size("sentences") > 1), F.slice("sentences", F.lit(1), F.size("sentences") - 1)).otherwise(F.concat("sentences", F.array(F.lit(""))))
     whole = F.when(F.col("pos") % 3 == 0, F.col("sentences")).otherwise(short)
     one = F.when(F.size("sentences") == 1, F.col("sentences")).otherwise(whole)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fold, search, segment
+from ..sources.tables import settle
 from . import sql
 from .registry import Tables, query
 
@@ -59,7 +60,8 @@ SELECT doc_id, pos, place, start FROM h WHERE NOT (place = 'open' AND spot > 0 A
 UNION ALL SELECT doc_id, pos, 'section', NULL FROM s WHERE contains({_FLAT.format('title')}, 'the e')""")
 def q3_find_at_takeaway(t: Tables) -> DataFrame:
     """Hits in takeaways, in what they leave out, and in titles of sections."""
-    made = fold.fold_local(_units(t)).select("doc_id", "pos", "section_id", F.col("text").alias("full"), "takeaway")
+    # Levels and titles are both made of the folds: kept, so that they are made once.
+    made = settle(fold.fold_local(_units(t)).select("doc_id", "pos", "section_id", F.col("text").alias("full"), "takeaway"))
     titles = made.groupBy("doc_id", "section_id").agg(F.min(F.struct("pos", "takeaway")).alias("x")).select("doc_id", "x.pos", F.col("x.takeaway").alias("title"))
     return search.find(made, "The  é", "takeaway", titles)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import fold, library, links, pages, search, segment
+from lectern.plans import QUERIES
 
 
 def test_a_shingle_that_all_share_makes_no_candidates(spark):
@@ -62,6 +63,18 @@ def test_prompts_fold_each_unit_once(spark):
     assert asked.first().prompt.split("\n") == ["[0] One two", "[1] ...", "[2] Four five", "[3] Six", "[4] Seven", "[5] Eight"]
 
 
+def test_folds_that_are_used_twice_are_made_once(spark, sf):
+    """Both sides of the join, and the titles beside the levels, folded every unit again."""
+    for name in ("x2_assemble_translations", "q3_find_at_takeaway"):
+        assert _tokenised(QUERIES[name](spark, sf)) == 0, name  # what is kept is read
+
+
+def test_the_ranges_hold_every_wide_character(spark):
+    texts = [f"One two{c} Three four. Five." for c in (*T.CJK_STOPS, *T.DANDAS, "぀", "ヿ", "ㇰ", "㐀", "䶿", "一", "鿿", "豈", "﫿", "ｦ", "ﾟ")]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").withColumn("toks", T.tokens(F.col("text")))
+    assert rows.where(~T.sentence_ends(F.col("toks"), F.col("text")).eqNullSafe(T._ends_one_by_one(F.col("toks")))).count() == 0
+
+
 def test_a_word_of_any_length_is_one_token(spark):
     """The pattern of words took a stack frame a letter."""
     text = "é" * 300_000 + " " + "a" * 300_000 + "-" + "b́" * 10_000 + " x."
