@@ -372,7 +372,7 @@ def test_readers(spark, tmp_path):
 
 
 def test_article_xml_is_parsed_once(spark):
-    """Each of nine paths parsed the article again, and given names and surnames were paired by place."""
+    """Each of seven paths parsed the article again, and given names and surnames were paired by place."""
     meta = lambda b: f"<?xml version='1.0' encoding='ISO-8859-1'?><!DOCTYPE article PUBLIC 'x' 'y'><article><front><article-meta>{b}</article-meta></front><body><article-title>no</article-title></body></article>"
     name = lambda kind, x: f"<contrib contrib-type='{kind}'><name>{x}</name></contrib>"
     people = name("author", "<surname>Only</surname>") + name("editor", "<surname>E</surname>") + name("author", "<surname>T<!-- c -->U<sup>1</sup></surname><given-names>H</given-names>") + name("author", "")
