@@ -21,7 +21,7 @@ MOST_SOURCES = 100_000
 _STEPS = 60
 #: Exponents tried at a time where the sources are a table.
 _GRID = 64
-#: Parts in which equal rows of one block are ranked.
+#: Parts in which rows of one place are ranked.
 _PARTS = 64
 
 
@@ -180,25 +180,31 @@ def mix(
     cut = cut.groupBy("_source").agg(F.min_by(F.struct("h", "_block_no", "start"), "start").alias("cut"))
     plan = settle(plan.join(cut, "_source", "left").select("_source", "full", "rest", "cut"))
 
+    # Of the one block in which a quota ends only hashes and words are ranked, not texts. Equal rows share a place and are one.
+    edge, end, left = F.col("cut"), F.col("end"), F.col("rest") - F.col("cut")["start"]
+    last = F.xxhash64(F.lit(seed), F.col("full"), F.col("_block_no"))
+    here, there = F.struct(last.alias("h"), F.col("_block_no").alias("_block_no")), F.struct(edge["h"].alias("h"), edge["_block_no"].alias("_block_no"))
+    row = F.xxhash64(F.lit(seed), F.col("full"), F.col("doc_id"), F.col("text"))
+    edges = by_source(dealt, plan, row_key).where(here == there)
+    places = edges.groupBy("_source", left.alias("_left"), row.alias("place")).agg(F.sum(words_in()).alias("_sum"))
+    upto = Window.partitionBy("_source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumn("start", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).where("start < _left")
+    ends = places.groupBy("_source").agg(F.max(F.struct("place", "start")).alias("end"))
+    plan = settle(plan.join(ends, "_source", "left"))
+
     planned = by_source(dealt, plan, row_key).withColumn("_words", words_in())
-    whole = planned.where("full > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
-    last = planned.where("rest > 0").withColumn("_epoch", F.col("full"))
-    h, edge = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_block_no")), F.col("cut")
-    here, there = F.struct(h.alias("h"), F.col("_block_no").alias("_block_no")), F.struct(edge["h"].alias("h"), edge["_block_no"].alias("_block_no"))
-    before = last.where(here < there)
-    # Only rows of the one block in which the quota ends are ranked. Equal rows share a place: once written they have a
-    # number to tell them apart, and are added up in parts.
-    row = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("doc_id"), F.col("text"))
-    edges = settle(last.where(here == there).withColumn("_place", row).withColumn("_tie", F.monotonically_increasing_id()))
-    edges = edges.withColumn("_part", F.pmod(F.xxhash64("_tie"), F.lit(_PARTS)))
-    keys = ["_source", "_place", "_part"]
-    upto = Window.partitionBy("_source").orderBy("_place", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = edges.groupBy(*keys).agg(F.sum("_words").alias("_sum"))
-    starts = starts.select(*keys, F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_start"))
-    inside = F.sum("_words").over(Window.partitionBy(*keys).orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = edges.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(starts, keys)
-    ended = ranked.where(F.col("_start") + F.col("_inside") < F.col("rest") - F.col("cut")["start"])
-    out = whole.unionByName(before).unionByName(ended.drop("_place", "_tie", "_part", "_inside", "_start"))
-    return out.withColumn("_block", h).withColumn("_row", row).select(
+    taken = F.coalesce(F.when(here == there, row < end["place"]).otherwise(here < there), F.lit(False))
+    times = planned.withColumn("_times", F.col("full") + taken.cast("long")).where("_times > 0")
+    whole = times.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1))).drop("_times")
+    # The rows at the place where the quota ends, often one a source, are written, which gives a number to tell them apart.
+    tied = planned.where(here == there).where(row == end["place"]).withColumn("_epoch", F.col("full"))
+    tied = settle(tied.withColumn("_tie", F.monotonically_increasing_id()))
+    tied = tied.withColumn("_part", F.pmod(F.xxhash64("_tie"), F.lit(_PARTS)))
+    ranked = tied.select("_source", "_part", "_tie", "_words", (left - end["start"]).alias("_left"))
+    ranked = running_start(ranked, ["_source"], [F.col("_tie")], "_words", "_at", 0, F.col("_part")).where("_at < _left")
+    upto = ranked.groupBy("_source").agg(F.max(F.struct("_part", "_tie")).alias("_upto"))
+    ended = by_source(tied, upto, F.col("_tie")).where(F.struct("_part", "_tie") <= F.col("_upto")).drop("_part", "_tie", "_upto")
+    h, row = F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_block_no")), F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("doc_id"), F.col("text"))
+    return whole.unionByName(ended).withColumn("_block", h).withColumn("_row", row).select(
         "doc", F.col("_words").alias("words"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block_order"), F.col("_row").alias("row_order")
     )

@@ -496,6 +496,33 @@ def test_mixing_equals_its_rules_by_hand(spark, monkeypatch, limit):
         assert found == want
 
 
+def test_mixing_writes_no_texts_but_those_at_which_a_quota_ends(spark, monkeypatch):
+    """The block in which a quota ends was written and shuffled with its texts: a source of one block was moved whole."""
+    written, plain = [], mixing.settle
+    monkeypatch.setattr(mixing, "settle", lambda df: written.append(plain(df)) or written[-1])
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), f"s{0 if i % 10 < 6 else i % 10}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, entropy_share=0.95, max_repeats=2.0)
+    moved = sum(t.count() for t in written if "doc" in t.columns)
+    assert 0 < moved <= 5 and out.count() > 900
+    # A quota that ends among copies takes as many of them as it needs.
+    copies = [(7, "a b c", "x")] * 500 + [(i, "d", "y") for i in range(500)]
+    mixed = mixing.mix(spark.createDataFrame(copies, "doc_id long, text string, source string"), entropy_share=0.9, max_repeats=2.0)
+    got = {r.s: r.n for r in mixed.groupBy(F.col("doc.source").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    w = np.array([1500, 500]) / 2000
+    entropy = lambda a: -(w**a / (w**a).sum() * np.log(w**a / (w**a).sum())).sum() / np.log(2)
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        lo, hi = ((lo + hi) / 2, hi) if entropy((lo + hi) / 2) >= 0.9 else (lo, (lo + hi) / 2)
+    twice = (w ** (lo - 1)).max() / (w ** (lo - 1)).min()
+    assert got == {"x": 500, "y": round(500 * twice)}
+    back = mixing.mix(spark.createDataFrame([(7, "a b c", "x")] * 100 + [(i, "d", "y") for i in range(900)], "doc_id long, text string, source string"), 1.0, None)
+    got = {r.s: (r.n, r.w) for r in back.groupBy(F.col("doc.source").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w")).collect()}
+    assert got == {"x": (300, 900), "y": (900, 900)}
+    some = mixing.mix(spark.createDataFrame([(7, "a b c", "x")] * 100 + [(i, "d", "y") for i in range(950)], "doc_id long, text string, source string"), 1.0, None)
+    assert some.where("doc.source = 'x'").count() == 317 and some.where("doc.source = 'y'").count() == 950
+
+
 # --- 6 ---
 
 
