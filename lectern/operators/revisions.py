@@ -8,6 +8,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..sources.tables import settle
 NEAREST, ALIKE = 12, 0.5
 #: Units of each version that are compared in one group.
 GAP_UNITS = 1_000
+#: Pairs of words that difflib compares at most in a part of a run of words that is too long for it as a whole.
+PART_CELLS = 10_000
 #: Contexts: what a passage at a text's edge scores, and what several places with the same words must reach.
 EDGE, FIT = 20, 8
 #: Characters of context that can tell a passage whose own words are gone.
@@ -361,6 +364,75 @@ def section_target(asked: DataFrame, old: DataFrame, new: DataFrame, alignment:
     return out.select("doc_id", "section_id", F.coalesce(F.when(F.col("_here"), F.col("section_id")), "most", "before", "first").alias("target"))
 
 
+def _longest_common(x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The length of the longest run that stands in both, and at each place of either a number for the run of that length there.
+
+    Runs of 2, 4, 8 ... are numbered as pairs of runs of half their length, as long as one stands in both; then the longest
+    one is put together of these, the longer ones first.
+    """
+
+    def paired(head: tuple, tail: tuple, step: int) -> tuple | None:
+        """Numbers for runs of head with the tail that begins step places on; none if no such run stands in both."""
+        n = [max(0, len(t) - step) for t in tail]
+        if not all(n):
+            return None
+        both = np.concatenate([h[:k].astype(np.int64) << 32 | t[step:] for h, t, k in zip(head, tail, n)])
+        ids = np.unique(both, return_inverse=True)[1]
+        return (ids[: n[0]], ids[n[0] :]) if np.isin(ids[: n[0]], ids[n[0] :]).any() else None
+
+    if not np.isin(x, y).any():
+        return 0, x, y
+    ladder = [(x, y)]
+    while (twice := paired(ladder[-1], ladder[-1], 1 << (len(ladder) - 1))) is not None:
+        ladder.append(twice)
+    size, runs = 1 << (len(ladder) - 1), ladder[-1]
+    for k in range(len(ladder) - 2, -1, -1):
+        if (longer := paired(runs, ladder[k], size)) is not None:
+            size, runs = size + (1 << k), longer
+    return size, *runs
+
+
+def _word_opcodes(a: list[str], b: list[str], part_cells: int = PART_CELLS) -> list[tuple]:
+    """difflib's opcodes for two long runs of words, in memory by their length.
+
+    difflib takes the longest run that stands in both, the first in a, then in b, and goes on left and right of it. Right of it
+    no longer one is left, so all of that length are taken in one pass from left to right; what lies between holds shorter ones only.
+    A part with at most part_cells pairs of words goes to difflib itself.
+    """
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64) for words in (a, b))
+    found, parts = [], [(0, len(a), 0, len(b))]
+    while parts:
+        alo, ahi, blo, bhi = parts.pop()
+        if (ahi - alo) * (bhi - blo) <= part_cells:
+            met = difflib.SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks()
+            found += [(alo + i, blo + j, n) for i, j, n in met if n]
+            continue
+        size, in_a, in_b = _longest_common(x[alo:ahi], y[blo:bhi])
+        if not size:
+            continue
+        at = np.flatnonzero(np.isin(in_a, in_b))
+        order = np.argsort(in_b, kind="stable")
+        first, last = (np.searchsorted(in_b[order], in_a[at], side).tolist() for side in ("left", "right"))
+        places, i, j = order.tolist(), 0, 0
+        for p, lo, hi in zip(at.tolist(), first, last):
+            if p >= i and (k := bisect_left(places, j, lo, hi)) < hi:
+                parts.append((alo + i, alo + p, blo + j, blo + places[k]))
+                found.append((alo + p, blo + places[k], size))
+                i, j = p + size, places[k] + size
+        parts.append((alo + i, ahi, blo + j, bhi))
+    ops, i, j = [], 0, 0
+    for p, q, n in [*sorted(found), (len(a), len(b), 0)]:
+        if p > i or q > j:
+            ops.append(("replace" if p > i and q > j else "delete" if p > i else "insert", i, p, j, q))
+        if n and ops and ops[-1][0] == "equal":
+            ops[-1] = ("equal", ops[-1][1], p + n, ops[-1][3], q + n)
+        elif n:
+            ops.append(("equal", p, p + n, q, q + n))
+        i, j = p + n, q + n
+    return ops
+
+
 def _word_places(was: list[tuple[int, str]], now: list[tuple[int, str]], most_cells: int) -> list[tuple[int, str, str]]:
     """(pos, was, now) of what differs between two runs of units, word by word; changes with only white space between
     them are one. pos is the new unit's that a change begins in, the old one's if the run has no new unit."""
@@ -379,7 +451,7 @@ def _word_places(was: list[tuple[int, str]], now: list[tuple[int, str]], most_ce
         e += 1
     ma, mb = ta[s : len(ta) - e], tb[s : len(tb) - e]
     if len(ma) * len(mb) > most_cells:
-        ops = [("replace", 0, len(ma), 0, len(mb))]
+        ops = _word_opcodes(ma, mb)
     else:
         ops = difflib.SequenceMatcher(None, ma, mb, autojunk=False).get_opcodes()
     ops = [(op, i1 + s, i2 + s, j1 + s, j2 + s) for op, i1, i2, j1, j2 in ops]
@@ -408,7 +480,7 @@ def edit_places(old: DataFrame, new: DataFrame, most_cells: int = 1_000_000) ->
     old, new: doc_id, pos, text. Documents in which every unit has its text at its place are set aside by a full outer
     join; of the others the units are aligned by their texts, whatever their places, so that a unit put in between changes
     no other. Lines that stand once in both versions cut a document into gaps, which are compared one by one (see gaps). Runs of
-    units with more than most_cells pairs of words are one change.
+    units with more than most_cells pairs of words are matched in another way, which finds the same changes (see _word_opcodes).
     """
     # New names of old columns, as the versions may come from one table.
     o = old.select(F.col("doc_id").alias("doc_id"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("text"))

@@ -134,3 +134,20 @@ def test_places_of_a_note_in_a_long_line(spark):
     notes = spark.createDataFrame([(k, "n", "u0", *r[1:4]) for k, r in enumerate(rows)], "doc_id long, note_id string, unit_id string, exact string, prefix string, suffix string")
     got = {r.doc_id: (r.start, r.size, r.state) for r in revisions.reanchor(notes, new, revisions.align_units(old, new)).collect()}
     assert got == {k: (r[4], len(r[1]), "found") for k, r in enumerate(rows)}
+
+
+def test_an_edit_in_a_long_line_is_as_small_as_in_a_short_one(spark):
+    """A line of 1,200 words with a word added behind and a line put in before it: over a million pairs of words."""
+    line = "5> " + " ".join(f"word{k % 300}" for k in range(1200))
+    old = spark.createDataFrame([(1, 8, "Before."), (1, 10, line), (1, 12, "Behind.")], "doc_id long, pos int, text string")
+    new = spark.createDataFrame([(1, 8, "Before."), (1, 9, "Put-in4"), (1, 10, line + " revised"), (1, 12, "Behind.")], old.schema)
+    assert {tuple(r) for r in revisions.edit_places(old, new).collect()} == {(1, 9, "", "Put-in4"), (1, 10, "", "revised")}
+
+
+def test_long_runs_of_words_are_matched_as_difflib_does():
+    rng = random.Random(7)
+    for n in [*range(1, 12)] * 60 + [400]:
+        a, b = ([rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, n))] for _ in range(2))
+        b = rng.choice([b, [*a[: n // 2], "new", *a[n // 2 :]], [*b, *a, *b]])
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+        assert revisions._word_opcodes(a, b, 0) == revisions._word_opcodes(a, b, 20) == want, (a, b)
