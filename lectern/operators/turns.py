@@ -41,13 +41,14 @@ def markdown_blocks(df: DataFrame, keys: list[str], text: str = "text") -> DataF
     return made.select(*keys, "block", F.when(F.col("kind") == "text", "paragraph").otherwise(F.col("kind")).alias("kind"), level.alias("level"), "text")
 
 
-def first_sentences(text: Column, n: int) -> Column:
+def first_sentences(text: Column, n: int, every_stop: bool = False) -> Column:
     """The first n sentences: stops with closers before white space, or CJK stops; not in code spans or behind abbreviations.
 
-    What is cut open (bold, code) is closed.
+    What is cut open (bold, code) is closed. every_stop: stops behind abbreviations and initials end a sentence too.
     """
     short = "|".join(a.replace(".", r"\.") for a in REPLY_ABBREVIATIONS)
-    unit = rf"(?:`[^`]*`|(?<![\p{{L}}.])(?:{short})\.|(?<=\s|^)\p{{Lu}}\.(?=\s)|[.!?]+(?![)\]\"'”’*_]*(?:\s|$))|[^.!?。！？])"
+    kept = "" if every_stop else rf"(?<![\p{{L}}.])(?:{short})\.|(?<=\s|^)\p{{Lu}}\.(?=\s)|"
+    unit = rf"(?:`[^`]*`|{kept}[.!?]+(?![)\]\"'”’*_]*(?:\s|$))|[^.!?。！？])"
     one = rf"{unit}*+(?:[.!?]+[)\]\"'”’*_]*(?=\s|$)|[。！？]+[」』”’）)]*|$)"
     flat = F.trim(F.regexp_replace(text, r"\s*\n\s*", " "))
     head = F.trim(F.regexp_extract(flat, rf"^((?:\s*{one}){{1,{n}}})", 1))

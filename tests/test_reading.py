@@ -11,6 +11,7 @@ from lectern.functions import text as T
 from lectern.functions.languages import languages
 from lectern.operators.fold import document_at
 from lectern.operators import cjk, fold, library, links, notes, pages, revisions, search, segment, structure, translate, turns
+from lectern.plans import QUERIES, SQL
 from lectern.sources import readers, sinks
 from lectern.streaming import streams
 
@@ -132,6 +133,17 @@ def test_first_sentence(spark, text, first):
     assert one(spark, text, turns.first_sentences(F.col("text"), 1)) == first
 
 
+@pytest.mark.parametrize("name", ["r1_first_sentence"])
+def test_queries_cut_behind_abbreviations_as_their_sql_does(spark, tmp_path, name):
+    import duckdb
+
+    texts = ["St. Anna is old. It stands.", "No. 5 is out. Next one.", "A. Smith agrees. Next one.", "Use e.g. this one. Next.", "Dr. Who?\nYes.", "Plain one. Two.", "no stop", ""]
+    turned = [(1, k, "user", x) for k, x in enumerate(texts)]
+    spark.createDataFrame(turned, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()} == set(duckdb.sql(SQL[name]).fetchall())
+
+
 def test_fold_turns(spark):
     text = "# Head\n\nFirst one. Second one. Third.\n\n- item a. More.\n  - inner\n- item b\n\n```\ncode\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |"
     df = spark.createDataFrame([(1, text)], "k long, text string")
