@@ -57,11 +57,11 @@ def first_sentences(text: Column, n: int, every_stop: bool = False) -> Column:
     return F.concat(head, F.when(ticks % 2 == 1, F.lit("`")).otherwise(F.lit("")), F.when(bold % 2 == 1, F.lit("**")).otherwise(F.lit("")))
 
 
-def fold_turns(turns: DataFrame, keys: list[str], level: int) -> DataFrame:
+def fold_turns(turns: DataFrame, keys: list[str], level: int, every_stop: bool = False) -> DataFrame:
     """keys, shown: each turn folded. 2: two sentences a paragraph, each item's first; 3: one sentence, top items; 4: headings
     with the first sentence under each, or level 3 without headings; 5: the first sentence of all. " …" where more follows.
 
-    Tables are whole; code of over 8 lines becomes a line that counts them.
+    Tables are whole; code of over 8 lines becomes a line that counts them. every_stop: as in first_sentences.
     """
     if level not in FOLD_LEVELS:
         raise ValueError("level is 2, 3, 4 or 5")
@@ -74,7 +74,7 @@ def fold_turns(turns: DataFrame, keys: list[str], level: int) -> DataFrame:
     b = b.withColumns({"under": under, "nth": nth})
 
     def cut(n: int) -> Column:
-        head = first_sentences(F.col("text"), n)
+        head = first_sentences(F.col("text"), n, every_stop)
         whole = F.trim(F.regexp_replace("text", r"\s*\n\s*", " "))
         return F.when(head == whole, head).otherwise(F.concat(head, F.lit(" …")))
 
