@@ -97,13 +97,13 @@ def effort(text: Column) -> Column:
     return F.regexp_count(prose, F.lit(f"[{T.CJK}]")) / 1.6 + F.regexp_count(prose, F.lit(rf"[\p{{L}}\p{{N}}_&&[^{T.CJK}]]+(?:['’\-][\p{{L}}\p{{N}}_&&[^{T.CJK}]]+)*"))
 
 
-def fold_share(turns: DataFrame, keys: list[str], level: int) -> DataFrame:
-    """keys, total, shown_words: words of each turn and of its fold."""
-    folded = fold_turns(turns, keys, level)
-    return turns.join(folded, keys).select(*keys, effort(F.col("text")).alias("total"), effort(F.regexp_replace("shown", " …", "")).alias("shown_words"))
+def fold_share(turns: DataFrame, keys: list[str], level: int, every_stop: bool = False) -> DataFrame:
+    """keys, total, shown_words: words of each turn and of its fold. every_stop: as in first_sentences."""
+    folded = fold_turns(turns, keys, level, every_stop)
+    return turns.join(folded, keys).select(*keys, effort(F.coalesce("text", F.lit(""))).alias("total"), effort(F.regexp_replace("shown", " …", "")).alias("shown_words"))
 
 
-def worth_folding(turns: DataFrame, keys: list[str], level: int, least: float = 80, hidden: float = 0.25) -> DataFrame:
+def worth_folding(turns: DataFrame, keys: list[str], level: int, least: float = 80, hidden: float = 0.25, every_stop: bool = False) -> DataFrame:
     """The keys of turns that take 80 words' effort or more and of which the fold hides a quarter or more."""
-    s = fold_share(turns, keys, level)
+    s = fold_share(turns, keys, level, every_stop)
     return s.where((F.col("total") >= least) & (F.col("shown_words") <= (1 - hidden) * F.col("total"))).select(*keys)

@@ -133,11 +133,12 @@ def test_first_sentence(spark, text, first):
     assert one(spark, text, turns.first_sentences(F.col("text"), 1)) == first
 
 
-@pytest.mark.parametrize("name", ["r1_first_sentence", "r2_fold_turns_gist", "r2_fold_turns_outline", "r2_fold_turns_short"])
+@pytest.mark.parametrize("name", ["r1_first_sentence", "r2_fold_turns_gist", "r2_fold_turns_outline", "r2_fold_turns_short", "r3_fold_share", "r4_worth_folding"])
 def test_queries_cut_behind_abbreviations_as_their_sql_does(spark, tmp_path, name):
     import duckdb
 
-    texts = ["St. Anna is old. It stands.", "No. 5 is out. Next one.", "A. Smith agrees. Next one.", "Use e.g. this one. Next.", "Dr. Who?\nYes.", "Plain one. Two.", "no stop", ""]
+    texts = ["St. Anna is old. It stands.", "No. 5 is out. Next one.", "A. Smith agrees. Next one.", "Use e.g. this one. Next.", "Dr. Who?\nYes.", "Plain one. Two.", "no stop", "", None]
+    texts += ["St. " + "word " * 80 + "end. Two.", "St. Anna " + "word " * 80 + "end. " + "more " * 20]
     turned = [(1, k, "user", x) for k, x in enumerate(texts)]
     spark.createDataFrame(turned, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
